@@ -4,19 +4,60 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from panelforge.llm import quality_rules
+from panelforge.llm import decontaminate, mixing, quality_rules, simhash, token_files, toxicity
 from panelforge.llm.common import table
 
+TOKENIZER = "byte_bpe_50k.json"
+
+
+def fold(modulus: int) -> F.Column:
+    """crc32 of doc_id as text, modulo."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs.where(fold(5) != 0), labels.where(fold(5) != 0))
+    return toxicity.toxicity(docs, model).select("doc_id", (fold(5) == 0).alias("held_out"), "score", "predicted")
+
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = token_files.new_path(spark)
+    token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
+    return token_files.token_digests(spark, path)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_quality_rules": op7_quality_rules}
+    return {
+        "op2_mix_sources": op2_mix_sources,
+        "op3_simhash": op3_simhash,
+        "op4_decontaminate": op4_decontaminate,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality_rules": op7_quality_rules,
+        "op10_token_files": op10_token_files,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_quality_rules": quality_rules.oracle()}
+    return {"op4_decontaminate": decontaminate.oracle(), "op7_quality_rules": quality_rules.oracle()}
