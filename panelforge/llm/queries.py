@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, mixing, quality_rules, simhash, token_files, toxicity
+from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, token_files, toxicity
 from panelforge.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -32,6 +32,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs.where(fold(5) != 0), labels.where(fold(5) != 0))
@@ -42,6 +46,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    net = language_id.fit(docs.where(fold(3) != 1))
+    return language_id.identify(docs, net).select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = token_files.new_path(spark)
     token_files.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path(TOKENIZER))
@@ -53,8 +63,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_mix_sources": op2_mix_sources,
         "op3_simhash": op3_simhash,
         "op4_decontaminate": op4_decontaminate,
+        "op5_kneser_ney": op5_kneser_ney,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
+        "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
     }
 
