@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, token_files, toxicity
+from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, token_files, toxicity, wrappers
 from panelforge.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -46,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op8_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     net = language_id.fit(docs.where(fold(3) != 1))
@@ -66,6 +70,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_kneser_ney": op5_kneser_ney,
         "op6_toxicity": op6_toxicity,
         "op7_quality_rules": op7_quality_rules,
+        "op8_wrappers": op8_wrappers,
         "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
     }
