@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, token_files, toxicity, wrappers
+from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, wrappers
 from panelforge.llm.common import table
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -19,6 +19,10 @@ def fold(modulus: int) -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), digests=True)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -64,6 +68,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_suffix_dedup": op1_suffix_dedup,
         "op2_mix_sources": op2_mix_sources,
         "op3_simhash": op3_simhash,
         "op4_decontaminate": op4_decontaminate,
