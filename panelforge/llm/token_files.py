@@ -25,8 +25,10 @@ END_ID = 0
 CHUNK = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 #: Other white space would need the tokenizer's own look-ahead: such texts are encoded whole.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0  -     　]")
+#: A space that does not stand alone: then CHUNK's cuts are needed.
+UNEVEN = re.compile(r"[ \t\n\r] ")
 #: Bound on remembered chunks in a worker; beyond it the memory starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 900_000
 BLOCK_TEXTS = 256
 
 _state: dict = {}
@@ -83,22 +85,44 @@ def encode_texts(texts: list[str], path: str) -> list[np.ndarray]:
     """Ids of whole texts, equal to encoding each at once.
 
     Byte-level pre-tokens do not cross CHUNK's cuts, so chunks can be encoded on their own; a chunk
-    seen before is looked up, and only new ones go to the tokenizer, many at a time.
+    seen before is looked up, and only new ones go to the tokenizer, many at a time. Most texts have
+    nothing but single spaces between words and are cut there.
     """
     tokenizer, known = _tokenizer(path)
-    if len(known) > REMEMBERED:
-        known.clear()
-    cut = [None if RARE.search(t) else CHUNK.findall(t) for t in texts]
-    new = list({c for chunks in cut if chunks for c in chunks if c not in known})
+    spaced = _state.setdefault((path, "spaced"), {})
+    for memory in (known, spaced):
+        if len(memory) > REMEMBERED:
+            memory.clear()
+    kinds, cuts, odd, words = [], [], set(), set()
+    for t in texts:
+        if RARE.search(t):
+            kinds.append(2)
+            cuts.append(None)
+        elif not t or t[0] == " " or t[-1] == " " or UNEVEN.search(t):
+            kinds.append(1)
+            cuts.append(CHUNK.findall(t))
+            odd.update(cuts[-1])
+        else:
+            kinds.append(0)
+            pieces = t.split(" ")
+            odd.add(pieces[0])
+            cuts.append(pieces)
+            words.update(pieces)
+    new = list(odd - known.keys())
     for at in range(0, len(new), 20_000):
         _learn(tokenizer, new[at : at + 20_000], known, _byte_lengths(path))
-    look = known.__getitem__
+    new, found = list(words - spaced.keys()), {}
+    for at in range(0, len(new), 20_000):
+        _learn(tokenizer, [" " + w for w in new[at : at + 20_000]], found, _byte_lengths(path))
+    spaced.update({w[1:]: ids for w, ids in found.items()})
     out = []
-    for text, chunks in zip(texts, cut, strict=True):
-        if chunks is None:
+    for text, kind, chunks in zip(texts, kinds, cuts, strict=True):
+        if kind == 2:
             out.append(np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<i4"))
+        elif kind == 1:
+            out.append(np.frombuffer(b"".join(map(known.__getitem__, chunks)), "<i4"))
         else:
-            out.append(np.frombuffer(b"".join(map(look, chunks)), "<i4"))
+            out.append(np.frombuffer(b"".join([known[chunks[0]], *map(spaced.__getitem__, chunks[1:])]), "<i4"))
     return out
 
 
