@@ -1,0 +1,63 @@
+"""From raw documents to token files: five stages, each on what the one before it kept.
+
+Toxic documents go; of near-duplicates one stays; documents that contain benchmark items go; sources
+are mixed to target weights, so a document may be left out or taken twice; the mix is written as
+token ids and read back.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from panelforge.llm import decontaminate, mixing, simhash, token_files, toxicity
+from panelforge.llm.common import table, written
+from panelforge.llm.queries import TOKENIZER, fold
+
+#: No SQL: two stages are trained or hashed in ways that DuckDB lacks; tests use brute force.
+ORACLE_SQL = None
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that the classifier, trained on labelled rows outside the held-out fold, calls clean."""
+    model = toxicity.fit(docs.where(fold(5) != 0), table(spark, sf_dir, "labels").where(fold(5) != 0))
+    return toxicity.clean(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs with the smallest doc_id of each SimHash component."""
+    return simhash.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs that contain no benchmark item."""
+    return decontaminate.decontaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs as often as the mix takes them."""
+    return mixing.mixed(docs)
+
+
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of what the token files hold."""
+    path = token_files.new_path(spark)
+    token_files.write_tokens(docs, path, public_tokenizers.path(TOKENIZER))
+    return token_files.token_digests(spark, path)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("simhash", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+    ("tokens", tokenize),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on the documents of sf_dir, each result written and read again."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return docs

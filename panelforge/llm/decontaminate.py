@@ -179,29 +179,62 @@ _index: dict = {}
 _BLOCK_BYTES = 400_000
 
 
+def _index_of(shared) -> ItemIndex:
+    key, rows, size, threshold, n_hashes = shared.value
+    if key not in _index:
+        _index.clear()
+        _index[key] = ItemIndex(rows, size, threshold, n_hashes)
+    return _index[key]
+
+
+def _found(index: ItemIndex, texts: list[str]) -> Iterator[tuple[int, int, int, int]]:
+    """The matches of many texts, searched in blocks of bounded size."""
+    a = 0
+    while a < len(texts):
+        b, total = a, 0
+        while b < len(texts) and (b == a or total + len(texts[b]) <= _BLOCK_BYTES):
+            total += len(texts[b])
+            b += 1
+        yield from ((a + k, *m) for k, *m in index.matches(texts[a:b]))
+        a = b
+
+
 def _search(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, size, threshold, n_hashes = shared.value
-        if key not in _index:
-            _index.clear()
-            _index[key] = ItemIndex(rows, size, threshold, n_hashes)
-        index = _index[key]
+        index = _index_of(shared)
         for batch in batches:
-            ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
-            a = 0
-            while a < len(texts):
-                b, total = a, 0
-                while b < len(texts) and (b == a or total + len(texts[b]) <= _BLOCK_BYTES):
-                    total += len(texts[b])
-                    b += 1
-                found = [(ids[a + k], *m) for k, *m in index.matches(texts[a:b])]
-                a = b
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item"])
+            ids = batch.column("doc_id").to_pylist()
+            found = [(ids[k], *m) for k, *m in _found(index, [t or "" for t in batch.column("text").to_pylist()])]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item"])
 
     return run
 
 
+def _without(shared, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _index_of(shared)
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for k, *_ in _found(index, [t or "" for t in batch.column(column).to_pylist()]):
+                keep[k] = False
+            yield batch.filter(pa.array(keep))
+
+    return run
+
+
+def _item_blocks(items: DataFrame, size: int, threshold: float, n_hashes: int) -> list:
+    """Broadcasts of the items, in blocks of bounded size."""
+    spark = items.sparkSession
+    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    blocks = blocks_for(i.count(), ITEMS_PER_BLOCK)
+    out = []
+    for block in range(blocks):
+        rows = [tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows, size, threshold, n_hashes)))
+    return out
+
+
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, n_hashes: int = HASHES) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): items contained in documents.
 
@@ -211,23 +244,20 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, thresho
     carried along; empty tables give no rows; other columns are ignored. Items go to the tasks in
     blocks of bounded size, documents stay where they are: there is no shuffle.
     """
-    spark = docs.sparkSession
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    i = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = blocks_for(i.count(), ITEMS_PER_BLOCK)
     out = None
-    for block in range(blocks):
-        rows = [tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        sent = spark.sparkContext.broadcast((uuid.uuid4().hex, rows, size, threshold, n_hashes))
+    for sent in _item_blocks(items, size, threshold, n_hashes):
         found = d.mapInArrow(_search(sent), "doc_id long, item_id long, n_shared long, n_item long")
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
-def decontaminated(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """docs without those that contain an item; rows with a null doc_id stay only if none matched."""
-    hit = contaminated(docs, items, **options).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["__hit"]), "left_anti")
+def decontaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, n_hashes: int = HASHES) -> DataFrame:
+    """docs without those that contain an item, all columns as they are; judged where they lie."""
+    out = docs
+    for sent in _item_blocks(items, size, threshold, n_hashes):
+        out = out.mapInArrow(_without(sent, docs.columns.index("text")), docs.schema)
+    return out
 
 
 def oracle(size: int = SHINGLE, threshold: float = THRESHOLD) -> str:

@@ -127,8 +127,22 @@ def mix_sources(docs: DataFrame, seed: int = 42, weights: tuple[int, ...] = WEIG
     before = Window.partitionBy("__s", "__n").orderBy("__salt").rowsBetween(Window.unboundedPreceding, -1)
     offsets = key(by_salt.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))).join(key(plan).drop("__s", "__n"), "__key")
     offsets = offsets.select(F.struct("__s", "__n", "__salt").alias("__key"), "__before", "source_size", "target", "__full", "__extra")
-    rank = F.row_number().over(Window.partitionBy("__s", "__n", "__salt").orderBy("__h", "doc_id"))
-    d = d.withColumn("__rank", rank).withColumn("__key", F.struct("__s", "__n", "__salt")).join(offsets, "__key")
+    # The window and the join share one shuffle of the documents.
+    rank = F.row_number().over(Window.partitionBy("__key").orderBy("__h", "doc_id"))
+    d = d.withColumn("__key", F.struct("__s", "__n", "__salt")).withColumn("__rank", rank).join(offsets, "__key")
     copies = F.col("__full") + F.when(F.col("__before") + F.col("__rank") <= F.col("__extra"), 1).otherwise(0)
     keep = [c for c in docs.columns if c.lower() not in reserved]
     return d.select(*keep, F.col("__n").alias("size"), "source_size", "target", F.least(copies, F.lit(repeats)).cast("long").alias("copies"))
+
+
+def mixed(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: docs' columns, each document as often as the mix takes it."""
+    d = mix_sources(docs, **options).where("copies > 0")
+    d = d.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return d.select(*docs.columns) if not {"size", "source_size", "target", "copies"} & {c.lower() for c in docs.columns} else _restored(docs, **options)
+
+
+def _restored(docs: DataFrame, **options) -> DataFrame:
+    """As mixed, for docs that have columns of the names that mix_sources adds."""
+    renamed = docs.toDF(*[f"__in_{i}" if c.lower() in ("size", "source_size", "target", "copies") else c for i, c in enumerate(docs.columns)])
+    return mixed(renamed, **options).toDF(*docs.columns)

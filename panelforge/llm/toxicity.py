@@ -229,7 +229,17 @@ def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _clean(shared, column: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            keep = [model.score((t or "").encode()) < 0.5 for t in batch.column(column).to_pylist()]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
 def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
-    """docs without those predicted toxic; a row with a null doc_id goes only if such a row is toxic."""
-    bad = toxicity(docs, model).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti")
+    """docs without those predicted toxic, all columns as they are; judged where they lie, no shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(model.linear())
+    return docs.mapInArrow(_clean(sent, docs.columns.index("text")), docs.schema)
