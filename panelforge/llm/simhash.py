@@ -12,7 +12,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -87,8 +86,8 @@ def _cell(q: np.ndarray) -> np.ndarray:
     return ((q[:, 0] * 17 + q[:, 1]) * 17 + q[:, 2]) * 17 + q[:, 3]
 
 
-def _deal(radius: int, parts: int):
-    """Sends each tile to itself and to the tiles whose population counts are within the radius."""
+def _deal(radius: int, parts: int, cells: np.ndarray):
+    """Sends each tile to itself and to the existing tiles with population counts within the radius."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets = _offsets(radius)
@@ -99,6 +98,7 @@ def _deal(radius: int, parts: int):
                 to = q + offsets
                 to = to[(to >= 0).all(1) & (to <= 16).all(1)]
                 home = _cell(to)
+                home = home[np.isin(home, cells)]
                 own = _cell(q)[0]
                 blob, keys = fp.tobytes(), np.array(ids, np.int64).tobytes()
                 rows = [(int(h), p, part, bool(h == own and p == part), blob, keys) for h in home for p in range(parts) if h != own or p >= part]
@@ -128,32 +128,44 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[moved], nodes[label[moved]]
 
 
-def _compare(radius: int, step: int = 2_000_000):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf["own"].to_numpy(bool)
-        load = lambda rows, col, kind: np.frombuffer(b"".join(rows[col]), kind)
-        home, away = pdf[own], pdf[~own]
-        x, ix = load(home, "fps", np.uint64), load(home, "ids", np.int64)
-        y, iy = load(away, "fps", np.uint64), load(away, "ids", np.int64)
-        a: list[np.ndarray] = []
-        b: list[np.ndarray] = []
-        for p, ip, q, iq in ((x, ix, x, ix), (x, ix, y, iy)):
-            if not len(p) or not len(q):
-                continue
-            rows = max(1, step // len(q))
-            for at in range(0, len(p), rows):
-                near = np.bitwise_count(p[at : at + rows, None] ^ q[None, :]) <= radius
-                i, j = np.nonzero(near)
-                i, j = ip[at + i], iq[j]
-                keep = i != j
-                if keep.any():
-                    u, v = _forest(i[keep], j[keep])
-                    a.append(u)
-                    b.append(v)
-        if not a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        u, v = _forest(np.concatenate(a), np.concatenate(b))
-        return pd.DataFrame({"a": u, "b": v})
+def _near(p: np.ndarray, ip: np.ndarray, q: np.ndarray, iq: np.ndarray, radius: int, step: int = 500_000) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked ids of two tiles, some rows of the one against all of the other at a time."""
+    if not len(p) or not len(q):
+        return
+    rows = max(1, step // len(q))
+    for at in range(0, len(p), rows):
+        i, j = np.nonzero(np.bitwise_count(p[at : at + rows, None] ^ q[None, :]) <= radius)
+        i, j = ip[at + i], iq[j]
+        keep = i != j
+        if keep.any():
+            yield _forest(i[keep], j[keep])
+
+
+def _compare(radius: int):
+    """Compares the tiles of each (cell, parts) group; the rows of a group come one after another."""
+
+    def compared(home: list, away: list) -> pa.RecordBatch | None:
+        load = lambda rows, k, kind: np.frombuffer(b"".join(r[k] for r in rows), kind)
+        x, ix = load(home, 0, np.uint64), load(home, 1, np.int64)
+        y, iy = load(away, 0, np.uint64), load(away, 1, np.int64)
+        found = [*_near(x, ix, x, ix, radius), *_near(x, ix, y, iy, radius)]
+        if not found:
+            return None
+        a, b = _forest(*(np.concatenate(c) for c in zip(*found, strict=True)))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, home, away = None, [], []
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in ("cell", "home_part", "away_part", "own", "fps", "ids")]
+            for cell, p, q, own, fps, ids in zip(*columns, strict=True):
+                if (cell, p, q) != at:
+                    if home and (out := compared(home, away)) is not None:
+                        yield out
+                    at, home, away = (cell, p, q), [], []
+                (home if own else away).append((fps, ids))
+        if home and (out := compared(home, away)) is not None:
+            yield out
 
     return run
 
@@ -167,14 +179,18 @@ def links(classes: DataFrame, radius: int = RADIUS, per_task: int = PER_TASK) ->
     """
     parts = blocks_for(classes.count(), 10 * per_task)
     q = [F.bit_count(F.shiftrightunsigned("__fp", 16 * k).bitwiseAND(F.lit(0xFFFF))) for k in range(4)]
-    tiles = classes.withColumn("cell", ((q[0] * 17 + q[1]) * 17 + q[2]) * 17 + q[3]).withColumn("part", F.pmod(F.xxhash64("__fp"), F.lit(parts)).cast("int"))
+    cell = ((q[0] * 17 + q[1]) * 17 + q[2]) * 17 + q[3]
+    tiles = classes.withColumn("cell", cell).withColumn("part", F.pmod(F.xxhash64("__fp"), F.lit(parts)).cast("int"))
     tiles = tiles.groupBy("cell", "part").agg(F.collect_list(F.struct("__fp", "rep")).alias("z")).select("part", F.col("z.__fp").alias("fps"), F.col("z.rep").alias("ids"))
-    dealt = tiles.mapInArrow(_deal(radius, parts), "cell long, home_part int, away_part int, own boolean, fps binary, ids binary")
+    # At most 17 ** 4 cells exist, whatever the input.
+    cells = np.array([r["cell"] for r in classes.select(cell.alias("cell")).distinct().collect()], np.int64)
+    dealt = tiles.mapInArrow(_deal(radius, parts, cells), "cell long, home_part int, away_part int, own boolean, fps binary, ids binary")
     if parts > 1:
         # A tile's own part must be present beside every part it is compared with.
         homes = dealt.where("own")
         dealt = dealt.where("not own").unionByName(homes.withColumn("away_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))))
-    return dealt.groupBy("cell", "home_part", "away_part").applyInPandas(_compare(radius), "a long, b long")
+    keys = ("cell", "home_part", "away_part")
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
@@ -186,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
     and has a null component. Other columns are ignored; an empty table gives no rows.
     """
     d = written(with_fingerprints(docs, size, seed), "fingerprints")
-    classes = d.groupBy("__fp").agg(F.min("doc_id").alias("rep"))
+    classes = written(d.groupBy("__fp").agg(F.min("doc_id").alias("rep")), "classes")
     found = components(links(classes.where("rep is not null"), radius))
     classes = classes.join(found, classes["rep"] == found["node"], "left").select("__fp", F.coalesce("component", "rep").alias("component_id"))
     return d.join(classes, "__fp").select("doc_id", F.lower(F.lpad(F.hex("__fp"), 16, "0")).alias("fingerprint"), "component_id")
