@@ -1,17 +1,41 @@
-"""Collects (query, DuckDB twin) pairs under their names."""
+"""Queries and their DuckDB twins for all registered operators."""
 
 from __future__ import annotations
 
+import importlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from panelforge.operators.base import DUCK, REGISTRY, SPARK, duck_text, run
+from panelforge.sources import panels
+
 Query = Callable[[SparkSession, str], DataFrame]
 
+#: Modules whose import registers operators.
+MODULES = ["panelforge.functions.factors"]
+for module in MODULES:
+    importlib.import_module(module)
+
+#: Queries written by hand rather than as one SQL text: name -> (query, twin or None).
+BY_HAND: dict[str, tuple[Query, str | None]] = {}
+
+
+def _frame(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
+    return panels.SPARK[panel](spark, sf_dir) if panel in panels.SPARK else spark.read.parquet(f"{sf_dir}/{panel}.parquet")
+
+
+def _query(name: str) -> Query:
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        entry = REGISTRY[name]
+        return run(entry.text(SPARK, **entry.params), **{k: _frame(spark, sf_dir, p) for k, p in entry.frames.items()})
+
+    return query
+
 
 def queries() -> dict[str, Query]:
-    return {}
+    return {name: _query(name) for name in REGISTRY} | {name: q for name, (q, _) in BY_HAND.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: duck_text(e, panels.DUCK, panels.NEEDS) for name, e in REGISTRY.items()} | {name: sql for name, (_, sql) in BY_HAND.items() if sql}
