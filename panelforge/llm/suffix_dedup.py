@@ -340,7 +340,7 @@ def _anchors(buckets: int):
                     kept[int(key)] = [summed(parts)]
         for key in list(kept):
             found, n = summed(kept.pop(key))
-            edges = np.searchsorted(found, (np.arange(1, buckets, dtype=np.uint64) * np.uint64((1 << 64) // buckets)))
+            edges = np.searchsorted(found, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64))
             for bucket, (x, c) in enumerate(zip(np.split(found, edges), np.split(n, edges), strict=True)):
                 if len(x):
                     blob = _pack_sorted(x, n=pa.array(np.minimum(c, 65535).astype(np.uint16)))
