@@ -39,6 +39,10 @@ class Dialect:
         """A lateral table of the array's items; stands after FROM t."""
         return f"LATERAL VIEW explode({array}) AS {alias}" if self.name == "spark" else f", unnest({array}) AS _{alias}({alias})"
 
+    def array(self, items: list) -> str:
+        inner = ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in items)
+        return f"array({inner})" if self.name == "spark" else f"[{inner}]"
+
     def days(self, a: str, b: str) -> str:
         return f"datediff({a}, {b})" if self.name == "spark" else f"date_diff('day', {b}, {a})"
 
@@ -71,6 +75,7 @@ def operator(name: str, frames: dict[str, str] | None = None, **registered: obje
     """Registers a query text builder; frames maps its frame names to the panels of its query."""
 
     def wrap(text: Callable[..., str]) -> Callable[..., DataFrame]:
+        text = getattr(text, "text", text)
         REGISTRY[name] = Entry(name, text, frames or {}, dict(registered))
 
         @functools.wraps(text)
@@ -79,6 +84,7 @@ def operator(name: str, frames: dict[str, str] | None = None, **registered: obje
             return run(text(SPARK, **{k: v for k, v in given.items() if k not in dfs}), **dfs)
 
         apply.text = text
+        apply.__wrapped__ = text
         return apply
 
     return wrap

@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.operators.base import run
+from panelforge.operators import base
+from panelforge.operators.base import Dialect, run
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,28 +76,27 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-#: Signals of session t - 1 with the label open(t + h) / open(t) - 1, long by factor and horizon.
-_OBS = """
+def observations_text(d: Dialect) -> str:
+    """Signals of session t - 1 with the label open(t + h) / open(t) - 1, long by factor and horizon."""
+    grid = f"{d.explode(d.array(['rev5', 'strength', 'width']), 'factor_id')} {d.explode(d.array([1, 5]), 'horizon')}"
+    past = lambda x: f"CASE WHEN sx - (lag(sx, 1) OVER w) = 1 THEN lag({x}, 1) OVER w END"
+    label = lambda h: f"CASE WHEN (lead(sx, {h}) OVER w) - sx = {h} THEN (lead(open, {h}) OVER w) / open - 1 END"
+    return f"""
 WITH b AS (
-  SELECT *, CASE WHEN sx - lag(sx, 5) OVER w = 5 THEN 1 - close / lag(close, 5) OVER w END AS r5, close / open - 1 AS st, high / low - 1 AS wd FROM {bars} WINDOW w AS (PARTITION BY instrument ORDER BY sx)),
+  SELECT *, CASE WHEN sx - (lag(sx, 5) OVER w) = 5 THEN 1 - close / (lag(close, 5) OVER w) END AS r5, close / open - 1 AS st, high / low - 1 AS wd FROM {{bars}} WINDOW w AS (PARTITION BY instrument ORDER BY sx)),
 s AS (
-  SELECT instrument, session, sx, grp, cap, year(session) AS subperiod,
-    CASE WHEN sx - lag(sx, 1) OVER w = 1 THEN lag(r5, 1) OVER w END AS rev5, CASE WHEN sx - lag(sx, 1) OVER w = 1 THEN lag(st, 1) OVER w END AS strength, CASE WHEN sx - lag(sx, 1) OVER w = 1 THEN lag(wd, 1) OVER w END AS width,
-    CASE WHEN lead(sx, 1) OVER w - sx = 1 THEN lead(open, 1) OVER w / open - 1 END AS fwd1, CASE WHEN lead(sx, 5) OVER w - sx = 5 THEN lead(open, 5) OVER w / open - 1 END AS fwd5,
+  SELECT instrument, session, sx, grp, cap, year(session) AS subperiod, {past('r5')} AS rev5, {past('st')} AS strength, {past('wd')} AS width, {label(1)} AS fwd1, {label(5)} AS fwd5,
     avg(amount) OVER (PARTITION BY instrument ORDER BY sx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS adv
   FROM b WINDOW w AS (PARTITION BY instrument ORDER BY sx)),
 f AS (
-  SELECT instrument, session, sx, grp, cap, subperiod, adv, fwd1, fwd5, 'rev5' AS factor_id, rev5 AS v FROM s
-  UNION ALL SELECT instrument, session, sx, grp, cap, subperiod, adv, fwd1, fwd5, 'strength', strength FROM s
-  UNION ALL SELECT instrument, session, sx, grp, cap, subperiod, adv, fwd1, fwd5, 'width', width FROM s)
-SELECT instrument, session, sx, grp, cap, subperiod, adv, factor_id, v, CAST(1 AS BIGINT) AS horizon, fwd1 AS fwd FROM f WHERE v IS NOT NULL AND fwd1 IS NOT NULL AND adv IS NOT NULL
-UNION ALL SELECT instrument, session, sx, grp, cap, subperiod, adv, factor_id, v, CAST(5 AS BIGINT), fwd5 FROM f WHERE v IS NOT NULL AND fwd5 IS NOT NULL AND adv IS NOT NULL
-"""
+  SELECT instrument, session, sx, grp, cap, subperiod, adv, factor_id, CASE factor_id WHEN 'rev5' THEN rev5 WHEN 'strength' THEN strength ELSE width END AS v, CAST(horizon AS BIGINT) AS horizon, CASE WHEN horizon = 1 THEN fwd1 ELSE fwd5 END AS fwd
+  FROM s {grid})
+SELECT * FROM f WHERE v IS NOT NULL AND fwd IS NOT NULL AND adv IS NOT NULL"""
 
 
 def observations(bars: DataFrame) -> DataFrame:
     """The evaluation panel: factor values known before a session and the returns that follow it."""
-    return run(_OBS, bars=bars)
+    return run(observations_text(base.SPARK), bars=bars)
 
 
 # --- the same panels for DuckDB, written for its dialect -------------------------------------------
@@ -122,8 +122,8 @@ DUCK = {
     + ", ".join(f"sum(CASE WHEN left(o_orderpriority, 1) = '{k}' THEN 1.0::DOUBLE ELSE 0 END) AS n_{k}" for k in range(1, 6))
     + " FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
     "ev": "SELECT user_id, event_type, event_id, ts, value, props, lag(event_id) OVER k AS prev_id, lead(ts) OVER k AS ts_to FROM events WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
-    "obs": _OBS.replace("{bars}", "p1"),
-    "obs2": _OBS.replace("{bars}", "p2"),
+    "obs": observations_text(base.DUCK).replace("{bars}", "p1"),
+    "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
 }
 NEEDS = {"obs": ["p1"], "obs2": ["p2"]}
 SPARK = {
