@@ -3,12 +3,12 @@
 The model counts byte n-grams (a byte and the four before it; upper case, symbols and table bars
 tell junk as well as words do, and the tables stay small beside the text). Counts are summed over
 all trusted documents, every order's probabilities come from joins of count tables sharded by
-n-gram, and each document's perplexity is read off the n-grams that its batch of documents asked
-for. Perplexities are thresholded by quantiles of the trusted documents of the same language.
+n-gram, and each document's perplexity is read off the table they give. Perplexities are thresholded by quantiles of the trusted documents of the same language.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +18,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import blocks_for, written
+from panelforge.llm.common import written
 
 ORDER = 5
-#: Bytes of text in a batch of documents, on average.
-BATCH_BYTES = 48_000_000
+#: Bytes of text in a batch of documents, and the largest table of probabilities to broadcast.
+BATCH_BYTES, BROADCAST_GRAMS = 16_000_000, 4_000_000
 QUANTILE, MARGIN = 0.995, 1.15
 UNKNOWN = "und"
 _PAD = b"\n" * (ORDER - 1)
@@ -38,25 +38,37 @@ def grams(data: bytes) -> np.ndarray:
     return code
 
 
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of this task's documents by batch, with their count in trusted ones."""
-    kept: dict[int, list] = {}
+def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return codes, np.bincount(where, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
 
-    def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-        codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return codes, np.bincount(where, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of this task's documents, with their count in trusted ones."""
+    parts, held, limit = [], 0, 2_000_000
     for batch in batches:
-        for key, text, trusted in zip(batch.column("__batch").to_pylist(), batch.column("__t").to_pylist(), batch.column("__trusted").to_pylist(), strict=True):
+        for text, trusted in zip(batch.column("__t").to_pylist(), batch.column("__trusted").to_pylist(), strict=True):
             if text:
                 codes, counts = np.unique(grams(text), return_counts=True)
-                parts = kept.setdefault(key, [])
                 parts.append((codes, counts if trusted else np.zeros(len(codes), np.int64)))
-                if len(parts) >= 64:
-                    kept[key] = [summed(parts)]
-    for key, parts in kept.items():
-        codes, counts = summed(parts)
-        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(codes), key, np.int32)), pa.array(codes), pa.array(counts)], names=["batch", "gram", "n"])
+                held += len(codes)
+                if held >= limit:
+                    parts = [_summed(parts)]
+                    held = len(parts[0][0])
+                    limit = max(limit, 3 * held)
+    if parts:
+        codes, counts = _summed(parts)
+        yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "n"])
+
+
+def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct n-grams of each packed batch of documents."""
+    for batch in batches:
+        for key, blob in zip(batch.column("batch").to_pylist(), batch.column("docs").to_pylist(), strict=True):
+            texts = [t for t in _unpacked(blob).column("text").to_pylist() if t]
+            if texts:
+                codes = np.unique(np.concatenate([np.unique(grams(t)) for t in texts]))
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(codes), pa.string()), pa.array(codes)], names=["batch", "gram"])
 
 
 def discounts(counts: list[float]) -> tuple[float, float, float]:
@@ -99,63 +111,87 @@ def probabilities(counted: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("gram", F.log("p").alias("log_p"))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of many documents' compressed texts, by batch: what the shuffle carries."""
-    squeeze = zstandard.ZstdCompressor(level=3)
-    schema = pa.schema([("batch", pa.int32()), ("docs", pa.binary())])
+def _pack(batch_bytes: int):
+    """Rows of many documents' compressed texts; each row is a batch with a name of its own."""
 
-    def row(key: int, docs: list) -> pa.RecordBatch:
-        table = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "lang": pa.array([d[1] for d in docs], pa.string()), "trusted": pa.array([d[2] for d in docs], pa.bool_()), "text": pa.array([d[3] for d in docs], pa.large_binary())})
-        sink = pa.BufferOutputStream()
-        with pa.ipc.new_stream(sink, table.schema) as out:
-            out.write_table(table)
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([squeeze.compress(sink.getvalue().to_pybytes())], pa.binary())], schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for d in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "__trusted", "__t")], strict=True):
+                held.append(d)
+                size += len(d[3] or b"")
+                if size > batch_bytes:
+                    yield _packed(held)
+                    held, size = [], 0
+        if held:
+            yield _packed(held)
+
+    return run
+
+
+def _packed(docs: list) -> pa.RecordBatch:
+    table = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "lang": pa.array([d[1] for d in docs], pa.string()), "trusted": pa.array([d[2] for d in docs], pa.bool_()), "text": pa.array([d[3] for d in docs], pa.large_binary())})
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
+    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary())], names=["batch", "docs"])
 
-    held: dict[int, list] = {}
-    size: dict[int, int] = {}
-    for batch in batches:
-        for d in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "__trusted", "__t", "__batch")], strict=True):
-            held.setdefault(d[4], []).append(d)
-            size[d[4]] = size.get(d[4], 0) + len(d[3] or b"")
-            if size[d[4]] > 4_000_000:
-                yield row(d[4], held.pop(d[4]))
-                size[d[4]] = 0
-    for key, docs in held.items():
-        yield row(key, docs)
 
+def _unpacked(blob: bytes) -> pa.Table:
+    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as stream:
+        return stream.read_all()
 
-def _perplexity(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+
+def _mean_perplexity(text: bytes | None, codes: np.ndarray, logs: np.ndarray) -> float | None:
+    return float(np.exp(-logs[np.searchsorted(codes, grams(text))].mean(dtype=np.float64))) if text else None
+
+
+def _from_shards(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
     table = table.sort_values("gram")
     codes, logs = table["gram"].to_numpy(), table["log_p"].to_numpy()
-    expand = zstandard.ZstdDecompressor()
     out: list[tuple] = []
     for blob in packed["docs"]:
-        with pa.ipc.open_stream(expand.decompress(blob)) as stream:
-            docs = stream.read_all()
-        for doc_id, lang, trusted, text in zip(*[docs.column(c).to_pylist() for c in ("doc_id", "lang", "trusted", "text")], strict=True):
-            mean = float(logs[np.searchsorted(codes, grams(text))].mean()) if text else None
-            out.append((doc_id, lang, trusted, None if mean is None else float(np.exp(-mean))))
+        columns = [_unpacked(blob).column(c).to_pylist() for c in ("doc_id", "lang", "trusted", "text")]
+        out += [(i, lang, trusted, _mean_perplexity(text, codes, logs)) for i, lang, trusted, text in zip(*columns, strict=True)]
     found = pd.DataFrame(out, columns=["doc_id", "lang", "trusted", "perplexity"])
     found["doc_id"] = found["doc_id"].astype("Int64")
     return found
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(doc_id, lang, trusted, perplexity): null and empty texts have no perplexity."""
+def _from_broadcast(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes, logs = shared.value
+        for batch in batches:
+            p = [_mean_perplexity(t, codes, logs) for t in batch.column("__t").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("__trusted"), pa.array(p, pa.float64())], names=["doc_id", "lang", "trusted", "perplexity"])
+
+    return run
+
+
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """(doc_id, lang, trusted, perplexity): null and empty texts have no perplexity.
+
+    The count tables are joined by n-gram into one table of probabilities. If it has at most
+    broadcast_grams rows (12 bytes each) it goes to the documents; else documents are packed into
+    batches, each batch asks for its n-grams, and the answers of the shards are joined back to it.
+    """
     ids = trusted_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("__t"))
     # Checked: two million ids are 16 MB; beyond that Spark picks the join.
     ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
-    total = d.agg(F.sum(F.octet_length("__t")), F.count("*")).first()
-    batches = blocks_for(total[0], batch_bytes)
-    d = d.withColumn("__batch", F.pmod(F.xxhash64("doc_id", F.length("__t")), F.lit(batches)).cast("int"))
-    d = d.join(ids, d["doc_id"] == ids["__id"], "left").select("doc_id", "lang", "__t", "__batch", F.col("__id").isNotNull().alias("__trusted"))
-    asked = written(d.select("__batch", "__t", "__trusted").mapInArrow(_requests, "batch int, gram long, n long"), "requests")
-    counted = written(asked.groupBy("gram").agg(F.sum("n").alias("n")), "counted")
-    model = probabilities(counted)
-    replies = asked.select("batch", "gram").distinct().join(model, "gram")
-    packed = d.mapInArrow(_pack, "batch int, docs binary")
-    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_perplexity, "doc_id long, lang string, trusted boolean, perplexity double")
+    d = d.join(ids, d["doc_id"] == ids["__id"], "left").select("doc_id", "lang", "__t", F.col("__id").isNotNull().alias("__trusted"))
+    counted = written(d.select("__t", "__trusted").mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counted")
+    model = written(probabilities(counted), "model")
+    schema = "doc_id long, lang string, trusted boolean, perplexity double"
+    if model.count() <= broadcast_grams:
+        table = model.toArrow()
+        codes, logs = table.column("gram").to_numpy(), table.column("log_p").to_numpy().astype(np.float32)
+        order = np.argsort(codes)
+        return d.mapInArrow(_from_broadcast(d.sparkSession.sparkContext.broadcast((codes[order], logs[order]))), schema)
+    packed = written(d.mapInArrow(_pack(batch_bytes), "batch string, docs binary"), "packed")
+    replies = packed.mapInArrow(_requests, "batch string, gram long").join(model, "gram")
+    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_from_shards, schema)
 
 
 def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
