@@ -271,7 +271,8 @@ SOURCES = (
 
 def preset_query(d: Dialect, number: int) -> str:
     sessions, formula = presets(d)[number]
-    return f"SELECT instrument, session, round(value, 6) + 0.0 AS value, round(-value, 6) + 0.0 AS inverse FROM (SELECT instrument, session, CASE WHEN {complete(sessions)} THEN CAST({formula} AS DOUBLE) END AS value FROM ({SOURCES}) AS x) AS y WHERE value IS NOT NULL"
+    digits = 1 if number in (13, 82) else 6  # products of two amounts: ten digits before the point
+    return f"SELECT instrument, session, round(value, {digits}) + 0.0 AS value, round(-value, {digits}) + 0.0 AS inverse FROM (SELECT instrument, session, CASE WHEN {complete(sessions)} THEN CAST({formula} AS DOUBLE) END AS value FROM ({SOURCES}) AS x) AS y WHERE value IS NOT NULL"
 
 
 def _register_preset(number: int) -> None:
