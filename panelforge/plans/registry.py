@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from panelforge.operators.base import DUCK, REGISTRY, SPARK, duck_text, run
+from panelforge.plans import by_hand
 from panelforge.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +18,7 @@ MODULES = ["panelforge.functions.factors", "panelforge.operators.xs", "panelforg
 for module in MODULES:
     importlib.import_module(module)
 
-#: Queries written by hand rather than as one SQL text: name -> (query, twin or None).
-BY_HAND: dict[str, tuple[Query, str | None]] = {}
+BY_HAND: dict[str, tuple[Query, str | None]] = by_hand.QUERIES
 
 
 def _frame(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
