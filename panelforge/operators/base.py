@@ -20,6 +20,14 @@ def run(text: str, **frames: DataFrame) -> DataFrame:
     return next(iter(frames.values())).sparkSession.sql(text, **frames)
 
 
+#: Counted columns that Spark's ranking and date functions give as int; they are bigint throughout.
+_COUNTED = {"y", "place", "grp_no", "fold", "path", "block", "subperiod", "offset_no"}
+
+
+def widened(df: DataFrame) -> DataFrame:
+    return df.selectExpr(*[f"CAST({c} AS BIGINT) AS {c}" if c in _COUNTED and t == "int" else f"`{c}`" for c, t in df.dtypes])
+
+
 @dataclass
 class Dialect:
     """The few functions that Spark and DuckDB call differently."""
@@ -81,7 +89,7 @@ def operator(name: str, frames: dict[str, str] | None = None, **registered: obje
         @functools.wraps(text)
         def apply(**given: object) -> DataFrame:
             dfs = {k: v for k, v in given.items() if isinstance(v, DataFrame)}
-            return run(text(SPARK, **{k: v for k, v in given.items() if k not in dfs}), **dfs)
+            return widened(run(text(SPARK, **{k: v for k, v in given.items() if k not in dfs}), **dfs))
 
         apply.text = text
         apply.__wrapped__ = text

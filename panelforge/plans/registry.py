@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.operators.base import DUCK, REGISTRY, SPARK, duck_text, run
+from panelforge.operators.base import DUCK, REGISTRY, SPARK, duck_text, run, widened
 from panelforge.plans import by_hand
 from panelforge.sources import panels
 
@@ -28,7 +28,7 @@ def _frame(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
 def _query(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry = REGISTRY[name]
-        return run(entry.text(SPARK, **entry.params), **{k: _frame(spark, sf_dir, p) for k, p in entry.frames.items()})
+        return widened(run(entry.text(SPARK, **entry.params), **{k: _frame(spark, sf_dir, p) for k, p in entry.frames.items()}))
 
     return query
 
