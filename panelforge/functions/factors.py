@@ -178,6 +178,15 @@ def factor_panel(d: Dialect) -> str:
     return f"SELECT instrument, session, factor_id, round(value, 6) + 0.0 AS value FROM (UNPIVOT (SELECT instrument, session, {columns} FROM ({BASE}) AS x) ON {', '.join(names)} INTO NAME factor_id VALUE value) AS z WHERE value IS NOT NULL"
 
 
+@operator("e23_generic", {"bars": "p1"})
+def generic(d: Dialect, f: str = "volume", g: str = "amount", n: int = 10) -> str:
+    """The generic builders on any field f, some against a second field g; division by zero is null."""
+    change = f"({ratio(f, lag(f, 1))} - 1)"
+    columns = {"mean": mean(f, n), "sma_ratio": sma_ratio(f, max(2, n // 2), n), "relative_strength": f"{period_return(f, n)} - {period_return(g, n)}", "volatility": over("stddev_pop", "chg", n), "amihud": f"1000000 * {mean(f'abs(chg) / nullif({g}, 0)', n)}", "max_drawdown": drawdown(d, f, n)}
+    picked = ", ".join(f"round(CASE WHEN {complete(n + 1)} THEN {x} END, 6) + 0.0 AS {name}" for name, x in columns.items())
+    return f"SELECT * FROM (SELECT instrument, session, {picked} FROM (SELECT *, {change} AS chg FROM {{bars}}) AS x) AS y WHERE mean IS NOT NULL"
+
+
 # --- presets over several sources ------------------------------------------------------------------
 
 #: Source fields, bound in this order to the order-flow columns amount_1..5, n_1..5.

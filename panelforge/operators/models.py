@@ -12,11 +12,12 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _EULER = 0.5772156649015329
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def deflated_probability(sharpe: pd.Series, spread: pd.Series, trials: pd.Series, error: pd.Series) -> pd.Series:
     """Probability that a Sharpe ratio beats the best that so many trials give by chance."""
     normal = NormalDist()

@@ -320,6 +320,12 @@ def missing_members(d: Dialect) -> str:
     return "SELECT DISTINCT instrument, session FROM {cells} AS c WHERE NOT EXISTS (SELECT 1 FROM {cells} AS v WHERE v.event_type = 'click' AND v.instrument = c.instrument AND v.session = c.session)"
 
 
+@operator("d12_grid", P1)
+def grid(d: Dialect) -> str:
+    """The full session by name grid (two short dimension lists) and how much of it is there."""
+    return "SELECT s.session, count(*) AS cells, count(b.instrument) AS present FROM (SELECT DISTINCT session FROM {bars}) AS s CROSS JOIN (SELECT DISTINCT instrument FROM {bars}) AS n LEFT JOIN {bars} AS b ON b.session = s.session AND b.instrument = n.instrument GROUP BY s.session"
+
+
 @operator("d13_overlaps", OBS)
 def overlaps(d: Dialect) -> str:
     """Sessions whose label interval meets that of an earlier session: a running maximum of ends."""
