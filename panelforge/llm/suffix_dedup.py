@@ -166,19 +166,27 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def _hash_runs(t: np.ndarray, sizes: tuple[int, ...]) -> dict[int, np.ndarray]:
     """Hashes of all strings of the given sizes, built from strings of half the length."""
-    cache = {1: _BYTE[t]}
-
-    def of(k: int) -> np.ndarray:
-        if k not in cache:
-            a = 1 << (k.bit_length() - 1)
-            a = a // 2 if a == k else a
-            x, y = of(a), of(k - a)
-            n = len(t) - k + 1
-            h = x[:n] * _MUL + y[a : a + n]
-            cache[k] = h ^ (h >> np.uint64(29))
-        return cache[k]
-
-    return {k: _mixed(of(k)) for k in sizes}
+    powers = {1: _BYTE[t]}
+    k = 1
+    while 2 * k <= max(sizes):
+        powers[2 * k] = _joined(powers[k], powers[k], k)
+        k *= 2
+    out = {}
+    for size in sizes:
+        h, length = None, 0
+        for k in sorted(powers, reverse=True):
+            if length + k <= size and size & k:
+                h = powers[k] if h is None else _joined(h, powers[k], length)
+                length += k
+        out[size] = _mixed(h)
+    return out
+
+
+def _joined(x: np.ndarray, y: np.ndarray, shift: int) -> np.ndarray:
+    """Hashes of strings made of one hashed in x and, shift bytes on, one hashed in y."""
+    n = len(y) - shift
+    h = x[:n] * _MUL + y[shift:]
+    return h ^ (h >> np.uint64(29))
 
 
 def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
