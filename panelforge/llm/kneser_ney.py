@@ -208,6 +208,8 @@ def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, marg
     base = scored.where("trusted and perplexity is not null")
     level = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
     by_lang = base.groupBy("lang").agg(level.alias("__own"))
+    # Checked: one row per language; the joined side would be dealt by a few languages otherwise.
+    by_lang = F.broadcast(by_lang) if base.select("lang").distinct().count() <= 10_000 else by_lang
     overall = base.agg(level).first()[0]
     d = scored.join(by_lang, "lang", "left")
     threshold = margin * F.coalesce(F.col("__own"), F.lit(overall).cast("double"))
