@@ -124,7 +124,7 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, dimension: int
     if len(set(labels.tolist())) < 2:
         bias[:] = [0.0, 4.0] if len(labels) and labels[0] else [0.0, -4.0]
         return ToxicityModel(v * 0, u, bias)
-    docs = [subwords(t) for t in texts]
+    docs = [(k.astype(np.int32), w.astype(np.int32), n) for k, w, n in map(subwords, texts)]
     # n-grams of a few documents would only memorise them: they keep a zero embedding.
     seen_in = np.zeros(BUCKETS, np.int64)
     for key, _, _ in docs:
