@@ -2,7 +2,8 @@
 
 A document is held against its language: Jensen-Shannon distance between its character-class
 histogram and the one that all documents of its language have together, and the same for the
-language's common words. Documents too short for a stable histogram skip a rule.
+language's common words. How far is too far comes from the distances themselves: short documents
+stray further than long ones, so each language and length class has limits of its own.
 """
 
 from __future__ import annotations
@@ -32,6 +33,15 @@ SYMBOLS = "[#*$%&|<>]"
 #: Trimmed from a word before it is held against the common words.
 PUNCTUATION = ".,;:!?\"()"
 BASE_WORDS, REPEAT_PERCENT = 50, 50
+#: Length classes begin at these numbers of words.
+LENGTHS = (100, 200, 500)
+#: A limit is the upper quartile of a class plus SPREAD times the distance between its quartiles, or
+#: plus the least margin where that is more. Quartiles stand still until a quarter of a class is junk.
+QUARTILES, SPREAD = (0.25, 0.75), 1.5
+CHAR_MARGIN, WORD_MARGIN = 0.06, 0.05
+#: A class of fewer distinct documents takes the limits of its length over all languages.
+MIN_CLASS = 30
+ALL = "*"
 
 
 def _jsd(p: list[Column], q: list[Column]) -> Column:
@@ -90,9 +100,27 @@ def _list_of(lang: str) -> Column:
     return out
 
 
-def quality_rules(docs: DataFrame, max_char_distance: float = 0.26, max_word_distance: float = 0.3, min_char_words: int = 50, min_word_words: int = 100) -> DataFrame:
+def _limits(d: DataFrame) -> DataFrame:
+    """(__lang, __class, __char_limit, __word_limit); language * stands for all of them.
+
+    Equal distances are copies and count once; quartiles are over four decimals, so that a class
+    holds at most 10,000 values at any size.
+    """
+    rows = d.where("not __base").select("__lang", "__class", F.round("char_distance", 6).alias("c"), F.round("word_distance", 6).alias("w")).distinct()
+    rows = rows.withColumn("__lang", F.explode(F.array("__lang", F.lit(ALL))))
+    at = lambda x: F.percentile(F.round(x, 4), F.array(*map(F.lit, QUARTILES)))
+    q = rows.groupBy("__lang", "__class").agg(F.count("*").alias("__n_class"), at("c").alias("c"), at("w").alias("w"))
+    limit = lambda x, least: F.col(x)[1] + F.greatest(F.lit(least), SPREAD * (F.col(x)[1] - F.col(x)[0]))
+    return q.where(F.col("__n_class") >= MIN_CLASS).select("__lang", "__class", limit("c", CHAR_MARGIN).alias("__char_limit"), limit("w", WORD_MARGIN).alias("__word_limit"))
+
+
+def quality_rules(docs: DataFrame, max_char_distance: float = 0.26, max_word_distance: float = 0.3, min_char_words: int = 50, min_word_words: int = 50) -> DataFrame:
     """One row per document: counts, both distances, base_failed and kept.
 
+    A document is kept if it passes the base rules and neither distance is over the limit of its
+    language and length class; max_char_distance and max_word_distance are ceilings of these limits,
+    and the limits themselves where too few documents are there to derive any.
+
     The language reference is summed over all documents of a language (a language without a word
     list, and null, counts as one more language), so the broadcast table has five rows at any size.
     Null text is an empty text: no words, base_failed, not kept. A null doc_id is carried along,
@@ -113,15 +141,24 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.26, max_word_dis
     d = d.withColumn("char_distance", _jsd(shares(chars, "__n"), shares(chars, "__r__n", "__r")))
     d = d.withColumn("word_distance", _jsd(shares(words, "n_words"), shares(words, "__rw", "__r")))
     base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    far = ((F.col("n_words") >= min_char_words) & (F.col("char_distance") > max_char_distance)) | ((F.col("n_words") >= min_word_words) & (F.col("word_distance") > max_word_distance))
-    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), (~base & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
+    d = d.withColumn("__base", base).withColumn("__class", sum(((F.col("n_words") >= n).cast("int") for n in LENGTHS), F.lit(0)))
+    limits = _limits(d)
+    overall = limits.where(F.col("__lang") == ALL).select("__class", F.col("__char_limit").alias("__char_all"), F.col("__word_limit").alias("__word_all"))
+    d = d.join(F.broadcast(limits), ["__lang", "__class"], "left").join(F.broadcast(overall), "__class", "left")
+
+    def over(kind: str, ceiling: float, words: int) -> Column:
+        limit = F.least(F.lit(ceiling), F.coalesce(f"__{kind}_limit", f"__{kind}_all"))
+        return (F.col("n_words") >= words) & (F.round(f"{kind}_distance", 6) > F.round(limit, 6))
+
+    far = over("char", max_char_distance, min_char_words) | over("word", max_word_distance, min_word_words)
+    return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", F.col("__base").alias("base_failed"), (~F.col("__base") & ~far).alias("kept"), F.round("char_distance", 6).alias("char_distance"), F.round("word_distance", 6).alias("word_distance"))
 
 
 def _sql_list(words: list[str]) -> str:
     return "[" + ", ".join("'" + w + "'" for w in words) + "]"
 
 
-def oracle(max_char_distance: float = 0.26, max_word_distance: float = 0.3, min_char_words: int = 50, min_word_words: int = 100) -> str:
+def oracle(max_char_distance: float = 0.26, max_word_distance: float = 0.3, min_char_words: int = 50, min_word_words: int = 50) -> str:
     """The same rules as DuckDB SQL over the view documents."""
     quote = lambda r: "'" + r.replace("'", "''") + "'"
     hist = ["__k_space", *[f"__k_{c}" for c in CLASSES], *[f"__h_{j}" for j in range(12)]]
@@ -136,6 +173,7 @@ def oracle(max_char_distance: float = 0.26, max_word_distance: float = 0.3, min_
         return f"sqrt(greatest(({' + '.join(terms)}) / 2, 0))"
 
     lists = " ".join(f"WHEN lang = '{k}' THEN {_sql_list(v)}" for k, v in COMMON.items())
+    quartiles = ", ".join(f"quantile_cont(round({x}, 4), {p}) AS {x}{k}" for x in "cw" for k, p in zip((1, 3), QUARTILES, strict=True))
     space = r"'[\x20\x09-\x0D]+'"
     return f"""
 WITH d AS (
@@ -155,8 +193,14 @@ h AS (
   FROM w),
 r AS (SELECT l, sum(n) AS rn, sum(n_words)::DOUBLE AS rw, {", ".join(f"sum({c}) AS r{c}" for c in hist)} FROM h GROUP BY l),
 z AS (SELECT h.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {jsd(chars, "n", "rn")} AS char_distance, {jsd(words, "n_words", "rw")} AS word_distance FROM h JOIN r USING (l) LEFT JOIN rep USING (rid)),
-y AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed FROM z)
+y AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
+  {" + ".join(f"(n_words >= {n})::INTEGER" for n in LENGTHS)} AS class FROM z),
+e AS (SELECT DISTINCT l, class, round(char_distance, 6) AS c, round(word_distance, 6) AS w FROM y WHERE NOT base_failed),
+q AS (SELECT CASE WHEN grouping(l) = 1 THEN '{ALL}' ELSE l END AS l, class, count(*) AS members, {quartiles} FROM e GROUP BY GROUPING SETS ((l, class), (class))),
+m AS (SELECT l, class, c3 + greatest({CHAR_MARGIN}, {SPREAD} * (c3 - c1)) AS char_limit, w3 + greatest({WORD_MARGIN}, {SPREAD} * (w3 - w1)) AS word_limit FROM q WHERE members >= {MIN_CLASS}),
+k AS (SELECT y.*, least({max_char_distance}, coalesce(m.char_limit, a.char_limit)) AS char_limit, least({max_word_distance}, coalesce(m.word_limit, a.word_limit)) AS word_limit
+  FROM y LEFT JOIN m ON m.l = y.l AND m.class = y.class LEFT JOIN m AS a ON a.l = '{ALL}' AND a.class = y.class)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT ((n_words >= {min_char_words} AND char_distance > {max_char_distance}) OR (n_words >= {min_word_words} AND word_distance > {max_word_distance})) AS kept,
+  NOT base_failed AND NOT ((n_words >= {min_char_words} AND round(char_distance, 6) > round(char_limit, 6)) OR (n_words >= {min_word_words} AND round(word_distance, 6) > round(word_limit, 6))) AS kept,
   round(char_distance, 6) AS char_distance, round(word_distance, 6) AS word_distance
-FROM y"""
+FROM k"""

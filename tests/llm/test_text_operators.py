@@ -118,6 +118,32 @@ def test_components_of_a_path_and_a_star(spark):
     assert {got[i] for i in range(10, 41)} == {10} and {got[i] for i in range(100, 140)} == {100} and 7 not in got
 
 
+def test_quality_rules_find_table_junk_of_every_length(spark):
+    d = pd.read_parquet("/root/testdata/sf0.01/documents.parquet")
+    clean = d[(d.lang == "en") & (d.text.str.count(" \\| ") == 0)].reset_index(drop=True)
+    planted, rng = [], np.random.default_rng(5)
+    vocabulary = [w for t in clean.text for w in t.split() if len(w) > 6 and w.isalpha()]
+    for i in range(24):
+        planted.append((10_000_000 + i, " | ".join(rng.choice(vocabulary, (60, 90, 150, 400)[i % 4] // 2)), "en"))
+    rows = [(int(i), t, "en") for i, t in zip(clean.doc_id, clean.text, strict=True)] + planted
+    got = quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string")).toPandas()
+    junk = got.doc_id >= 10_000_000
+    assert not got.base_failed[junk].any() and not got.kept[junk].any()
+    labels = pd.read_parquet("/root/testdata/sf0.01/labels.parquet")
+    good = got[got.doc_id.isin(labels.doc_id[labels.quality == 1]) & ~got.base_failed]
+    assert len(good) > 100 and good.kept.mean() > 0.98
+
+
+def test_quality_rules_equal_their_twin(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.01/documents.parquet'")
+    theirs = con.execute(quality_rules.oracle()).df().sort_values("doc_id", ignore_index=True)
+    ours = quality_rules.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).toPandas().sort_values("doc_id", ignore_index=True)
+    pd.testing.assert_frame_equal(ours, theirs, check_dtype=False, atol=2e-6)
+
+
 def test_decontamination_finds_every_contained_item(small, spark, sf_dir):
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     sets = {r.item_id: set(decontaminate.shingles(r.text)) for r in items.collect()}
