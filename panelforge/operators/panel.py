@@ -10,6 +10,10 @@ W = "PARTITION BY instrument ORDER BY sx"
 FLAGS = "high < greatest(open, close) OR low > least(open, close) OR least(open, high, low, close) <= 0 OR volume < 0 OR amount < 0"
 
 
+#: What the first entry of a ledger names as its predecessor's hash.
+GENESIS = "0" * 64
+
+
 def text_type(d: Dialect) -> str:
     return "STRING" if d.name == "spark" else "VARCHAR"
 
@@ -118,9 +122,12 @@ def label_transitions(d: Dialect, at_least: int = 20) -> str:
 
 @operator("b5_timing_audit", OBS)
 def timing_audit(d: Dialect) -> str:
-    """Signals must be known before their label starts; keys must be unique and values finite."""
-    return """
-SELECT factor_id, horizon, count(*) AS observations, CAST(sum(CASE WHEN sx - 1 >= sx THEN 1 ELSE 0 END) AS BIGINT) AS late_signals, CAST(sum(CASE WHEN sx + horizon < sx THEN 1 ELSE 0 END) AS BIGINT) AS bad_labels, count(*) - count(DISTINCT sx * 1000000 + instrument) AS duplicates, CAST(sum(CASE WHEN v IS NULL OR v <> v THEN 1 ELSE 0 END) AS BIGINT) AS not_finite FROM {obs} GROUP BY factor_id, horizon"""
+    """Signals must be taken by the time they are known, and known before their label starts; labels
+    must not end before they start, keys must be unique and values finite."""
+    odd = lambda x: f"{x} IS NULL OR isnan({x}) OR abs({x}) = CAST('Infinity' AS DOUBLE)"
+    count = lambda x: f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT)"
+    return f"""
+SELECT factor_id, horizon, count(*) AS observations, {count('feature_at IS NULL OR label_start IS NULL OR feature_at >= label_start')} AS late_signals, {count('signal_at IS NULL OR signal_at > feature_at')} AS early_signals, {count('label_end IS NULL OR label_end < label_start')} AS bad_labels, count(*) - count(DISTINCT sx * 1000000 + instrument) AS duplicates, {count(f"{odd('v')} OR {odd('fwd')}")} AS not_finite FROM {{obs}} GROUP BY factor_id, horizon"""
 
 
 @operator("b6_overlap_audit", OBS)
@@ -150,14 +157,15 @@ SELECT class, violations, violations = 0 AS passed FROM (
   UNION ALL SELECT 'empty_interval', CAST(sum(empty) AS BIGINT) FROM ({interval_overlaps.text(d)}) AS c) AS x"""
 
 
-@operator("b11_audit_chain", EV)
+@operator("b11_audit_chain", {"ledger": "ledger"})
 def audit_chain(d: Dialect) -> str:
     """Every row is checked against its stored predecessor: sequence, previous hash, own hash."""
-    entry = d.sha256(f"concat(CAST(event_id AS {text_type(d)}), '|', event_type)")
+    t = text_type(d)
+    own = d.sha256(f"concat(CAST(seq AS {t}), '|', previous_hash, '|', CAST(event_id AS {t}), '|', event_type)")
+    count = lambda x: f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT)"
     return f"""
-WITH h AS (SELECT user_id, event_id, event_type, {entry} AS entry_hash, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM {{ev}}),
-p AS (SELECT *, lag(entry_hash, 1) OVER (PARTITION BY user_id ORDER BY seq) AS previous_hash, lag(seq, 1) OVER (PARTITION BY user_id ORDER BY seq) AS before FROM h)
-SELECT user_id, count(*) AS entries, CAST(sum(CASE WHEN before IS NOT NULL AND seq <> before + 1 THEN 1 ELSE 0 END) AS BIGINT) AS gaps, CAST(sum(CASE WHEN seq > 1 AND previous_hash IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS unlinked, count(*) - count(DISTINCT entry_hash) AS repeated, max(entry_hash) AS last_hash FROM p GROUP BY user_id"""
+WITH p AS (SELECT *, {own} AS own_hash, coalesce(lag(seq, 1) OVER (PARTITION BY user_id ORDER BY seq, event_id), 0) AS before, row_number() OVER (PARTITION BY user_id ORDER BY seq, event_id) AS k, lag(entry_hash, 1) OVER (PARTITION BY user_id ORDER BY seq, event_id) AS stored FROM {{ledger}})
+SELECT user_id, count(*) AS entries, {count('seq IS DISTINCT FROM before + 1')} AS gaps, {count(f"previous_hash IS DISTINCT FROM CASE WHEN k = 1 THEN '{GENESIS}' ELSE stored END")} AS unlinked, {count('entry_hash IS DISTINCT FROM own_hash')} AS altered, count(*) - count(DISTINCT event_id) AS repeated, max_by(entry_hash, seq) AS last_hash FROM p GROUP BY user_id"""
 
 
 # --- filters and predicates ------------------------------------------------------------------------

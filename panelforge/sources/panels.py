@@ -6,11 +6,15 @@ from the distinct sessions, a small calendar, so no window ever runs over a whol
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import base
 from panelforge.operators.base import Dialect, run
+from panelforge.operators.panel import GENESIS
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -76,8 +80,26 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's events as a stored hash chain: seq, previous_hash and entry_hash as a writer leaves them."""
+
+    def chain(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, previous, rows = pdf.sort_values("event_id"), GENESIS, []
+        for seq, (user, event, kind) in enumerate(zip(pdf["user_id"], pdf["event_id"], pdf["event_type"], strict=True), 1):
+            own = hashlib.sha256(f"{seq}|{previous}|{event}|{kind}".encode()).hexdigest()
+            rows.append((user, event, kind, seq, previous, own))
+            previous = own
+        return pd.DataFrame(rows, columns=["user_id", "event_id", "event_type", "seq", "previous_hash", "entry_hash"])
+
+    events = _table(spark, sf_dir, "events").select(F.col("user_id").cast("long"), F.col("event_id").cast("long"), "event_type")
+    return events.groupBy("user_id").applyInPandas(chain, "user_id long, event_id long, event_type string, seq long, previous_hash string, entry_hash string")
+
+
 def observations_text(d: Dialect) -> str:
-    """Signals of session t - 1 with the label open(t + h) / open(t) - 1, long by factor and horizon."""
+    """Signals of session t - 1 with the label open(t + h) / open(t) - 1, long by factor and horizon.
+
+    A signal is taken from the bar of session signal_at and known with that bar's close (feature_at);
+    its label runs from label_start to label_end."""
     grid = f"{d.explode(d.array(['rev5', 'strength', 'width']), 'factor_id')} {d.explode(d.array([1, 5]), 'horizon')}"
     past = lambda x: f"CASE WHEN sx - (lag(sx, 1) OVER w) = 1 THEN lag({x}, 1) OVER w END"
     label = lambda h: f"CASE WHEN (lead(sx, {h}) OVER w) - sx = {h} THEN (lead(open, {h}) OVER w) / open - 1 END"
@@ -86,10 +108,12 @@ WITH b AS (
   SELECT *, CASE WHEN sx - (lag(sx, 5) OVER w) = 5 THEN 1 - close / (lag(close, 5) OVER w) END AS r5, close / open - 1 AS st, high / low - 1 AS wd FROM {{bars}} WINDOW w AS (PARTITION BY instrument ORDER BY sx)),
 s AS (
   SELECT instrument, session, sx, grp, cap, year(session) AS subperiod, {past('r5')} AS rev5, {past('st')} AS strength, {past('wd')} AS width, {label(1)} AS fwd1, {label(5)} AS fwd5,
+    lag(session, 1) OVER w AS signal_at, session AS label_start, lead(session, 1) OVER w AS end1, lead(session, 5) OVER w AS end5,
     avg(amount) OVER (PARTITION BY instrument ORDER BY sx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS adv
   FROM b WINDOW w AS (PARTITION BY instrument ORDER BY sx)),
 f AS (
-  SELECT instrument, session, sx, grp, cap, subperiod, adv, factor_id, CASE factor_id WHEN 'rev5' THEN rev5 WHEN 'strength' THEN strength ELSE width END AS v, CAST(horizon AS BIGINT) AS horizon, CASE WHEN horizon = 1 THEN fwd1 ELSE fwd5 END AS fwd
+  SELECT instrument, session, sx, grp, cap, subperiod, adv, factor_id, CASE factor_id WHEN 'rev5' THEN rev5 WHEN 'strength' THEN strength ELSE width END AS v, CAST(horizon AS BIGINT) AS horizon, CASE WHEN horizon = 1 THEN fwd1 ELSE fwd5 END AS fwd,
+    signal_at, signal_at AS feature_at, label_start, CASE WHEN horizon = 1 THEN end1 ELSE end5 END AS label_end
   FROM s {grid})
 SELECT * FROM f WHERE v IS NOT NULL AND fwd IS NOT NULL AND adv IS NOT NULL"""
 
@@ -122,6 +146,9 @@ DUCK = {
     + ", ".join(f"sum(CASE WHEN left(o_orderpriority, 1) = '{k}' THEN 1.0::DOUBLE ELSE 0 END) AS n_{k}" for k in range(1, 6))
     + " FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL",
     "ev": "SELECT user_id, event_type, event_id, ts, value, props, lag(event_id) OVER k AS prev_id, lead(ts) OVER k AS ts_to FROM events WINDOW k AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)",
+    "ledger": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
+c AS (SELECT e.*, '{GENESIS}' AS previous_hash, sha256(concat(seq, '|', '{GENESIS}', '|', event_id, '|', event_type)) AS entry_hash FROM e WHERE seq = 1
+UNION ALL SELECT e.*, c.entry_hash, sha256(concat(e.seq, '|', c.entry_hash, '|', e.event_id, '|', e.event_type)) FROM e JOIN c ON e.user_id = c.user_id AND e.seq = c.seq + 1) SELECT * FROM c""",
     "obs": observations_text(base.DUCK).replace("{bars}", "p1"),
     "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
 }
@@ -132,6 +159,7 @@ SPARK = {
     "p3": user_days,
     "p4": order_flow,
     "ev": raw_events,
+    "ledger": ledger,
     "obs": lambda spark, sf_dir: observations(monthly_bars(spark, sf_dir)),
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
 }
