@@ -213,3 +213,21 @@ def test_main_text_of_a_page():
         one = wrappers.skeleton(wrappers.parse(p))
         template = one if template is None else wrappers.fold(template, one)
     assert wrappers.main_text(pages[3], template) == "story 3 goes on and on\nend 3"
+
+
+def test_main_text_keeps_nested_and_all_articles():
+    assert wrappers.main_text("<body><article><p>before</p><article><p>quoted</p></article><div class='ad'>buy</div><p>after</p></article></body>") == "before\nquoted\nafter"
+    assert wrappers.main_text("<body><nav>menu</nav><main><h1>Head</h1><p>lead</p><article><p>story</p></article></main></body>") == "Head\nlead\nstory"
+    assert wrappers.main_text("<body><article><p>one</p></article><p>aside</p><article><p>two is longer</p></article></body>") == "one\ntwo is longer"
+
+
+def test_copied_pages_are_not_a_template(spark):
+    page = lambda i, more="": f"<body><div><p>Read our magazine</p></div><article><h1>Story {i}</h1><p>text {i}</p>{more}</article></body>"
+    table = "<table><tr><td>only here</td></tr></table>"
+    copied = [page(99, table)] * 6
+    varied = [page(99, table) + f"<!-- {i} -->" for i in range(6)]
+    for extra in (copied, varied):
+        pages = [page(i) for i in range(12)] + extra
+        rows = [(i, f"http://h/{i}", p) for i, p in enumerate(pages)]
+        got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+        assert got[12] == "Story 99\ntext 99\nonly here" and got[3] == "Story 3\ntext 3"
