@@ -123,17 +123,17 @@ SELECT count(*) AS splits, {r6('avg(CASE WHEN r / (n + 1) <= 0.5 THEN 1e0 ELSE 0
 
 
 @operator("j11_placebo", OBS)
-def placebo(d: Dialect, reps: int = 39, seed: int = 7) -> str:
-    """Returns shuffled against signals within each session by md5 order; ranks are taken once.
+def placebo(d: Dialect, reps: int = 199, seed: int = 7) -> str:
+    """Returns shuffled against signals, and signals against returns, within each session by md5 order; ranks are taken once.
 
     p = (1 + repetitions with a mean RankIC at least the observed one) / (repetitions + 1)."""
     t = "STRING" if d.name == "spark" else "VARCHAR"
     return f"""
-WITH k AS (SELECT factor_id, session, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf, row_number() OVER (PARTITION BY {XS} ORDER BY instrument) AS seat FROM {{obs}} WHERE horizon = 1),
-p AS (SELECT factor_id, session, rv, rep, row_number() OVER (PARTITION BY factor_id, session, rep ORDER BY md5(concat('{seed}|', CAST(rep AS {t}), '|', CAST(session AS {t}), '|', CAST(instrument AS {t}))), instrument) AS seat FROM k {d.explode(d.sequence('1', str(reps)), 'rep')}),
-s AS (SELECT p.factor_id, p.rep, p.session, corr(p.rv, k.rf) AS ic FROM p JOIN k ON k.factor_id = p.factor_id AND k.session = p.session AND k.seat = p.seat GROUP BY p.factor_id, p.rep, p.session),
-m AS (SELECT factor_id, rep, round(avg(ic), 9) AS ic FROM s GROUP BY factor_id, rep), o AS (SELECT factor_id, round(avg(ic), 9) AS ic FROM (SELECT factor_id, session, corr(rv, rf) AS ic FROM k GROUP BY factor_id, session) AS x GROUP BY factor_id)
-SELECT o.factor_id, {r6('max(o.ic)')} AS observed, {r6('(1 + sum(CASE WHEN m.ic >= o.ic THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE)')} AS p_value FROM o JOIN m ON m.factor_id = o.factor_id GROUP BY o.factor_id"""
+WITH k AS (SELECT factor_id, horizon, session, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf, row_number() OVER (PARTITION BY {XS} ORDER BY instrument) AS seat FROM {{obs}}),
+p AS (SELECT factor_id, horizon, session, rv, rf, method, rep, row_number() OVER (PARTITION BY factor_id, horizon, session, method, rep ORDER BY md5(concat('{seed}|', method, '|', CAST(rep AS {t}), '|', CAST(session AS {t}), '|', CAST(instrument AS {t}))), instrument) AS seat FROM k {d.explode(d.sequence('1', str(reps)), 'rep')} {d.explode(d.array(['return', 'signal']), 'method')}),
+s AS (SELECT p.factor_id, p.horizon, p.method, p.rep, p.session, corr(CASE WHEN p.method = 'return' THEN p.rv ELSE k.rv END, CASE WHEN p.method = 'return' THEN k.rf ELSE p.rf END) AS ic FROM p JOIN k ON k.factor_id = p.factor_id AND k.horizon = p.horizon AND k.session = p.session AND k.seat = p.seat GROUP BY p.factor_id, p.horizon, p.method, p.rep, p.session),
+m AS (SELECT factor_id, horizon, method, rep, round(avg(ic), 9) AS ic FROM s GROUP BY factor_id, horizon, method, rep), o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM k GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon)
+SELECT o.factor_id, o.horizon, m.method, {r6('max(o.ic)')} AS observed, {r6('(1 + sum(CASE WHEN m.ic >= o.ic THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE)')} AS p_value FROM o JOIN m ON m.factor_id = o.factor_id AND m.horizon = o.horizon GROUP BY o.factor_id, o.horizon, m.method"""
 
 
 @operator("j12_deflated_sharpe_inputs", OBS)

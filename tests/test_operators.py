@@ -137,3 +137,9 @@ def test_chain_audit_finds_broken_links_and_altered_entries(spark, sf_dir):
     assert found(altered) == (0, 0, 1, 0)
     assert found(broken) == (0, 1, 1, 0)
     assert found(chain.drop(index=2)) == (1, 1, 0, 0)
+
+
+def test_placebo_has_both_methods_and_horizons(obs):
+    both = obs.unionByName(obs.withColumn("horizon", obs["horizon"] * 5))
+    got = {(r["factor_id"], r["horizon"], r["method"]): r["p_value"] for r in validation.placebo(obs=both).collect()}
+    assert len(got) == 8 and {got["rev5", h, m] for h in (1, 5) for m in ("return", "signal")} == {0.005}
