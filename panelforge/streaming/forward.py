@@ -1,4 +1,4 @@
-"""The forward log as a stream: one observation for each source and session, late repeats dropped."""
+"""The forward log as a stream: one observation for each source and session, repeated events included."""
 
 from __future__ import annotations
 
