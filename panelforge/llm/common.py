@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,33 +45,40 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def give_back() -> None:
+    """Returns a Python worker's freed memory to the system: it lives on beside the next stage's."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def few(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """df marked for a broadcast if it has at most so many (narrow) rows; beyond, Spark picks the join."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def blocks_for(amount: int | None, per_block: int) -> int:
     """So many blocks that one holds per_block on average: grows with the input, no upper limit."""
     return max(1, -(-int(amount or 0) // per_block))
 
 
-def _digest(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): the smallest node reachable, for every node of an undirected edge list.
 
-    Alternates large-star and small-star steps until the edges stand still; each step is two
-    group-and-join rounds over plain rows, and its result is written to the shared folder. Self
-    loops and repeated edges are fine, null ends are dropped, an empty list gives no rows.
+    Alternates large-star and small-star steps until the edges stand still; every step's minima and
+    edges are written to the shared folder, so no plan names the step before it. Self loops and
+    repeated edges are fine, null ends are dropped, an empty list gives no rows.
     """
+    digest = lambda x: tuple(x.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u is not null and v is not null and u <> v").distinct()
     e = written(e, "edges")
-    while True:
+    before, now = None, digest(e)
+    while before != now:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
+        low = written(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")), "low")
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        nxt = written(small.where("u <> v").distinct(), "edges")
-        moved = _digest(nxt) != _digest(e)
-        e = nxt
-        if not moved:
-            break
+        e = written(small.where("u <> v").distinct(), "edges")
+        before, now = now, digest(e)
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

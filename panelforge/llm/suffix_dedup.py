@@ -21,15 +21,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import blocks_for
+from panelforge.llm.common import blocks_for, give_back
+from panelforge.llm.packing import docs_of, pack, pack_docs, pack_sorted, unpack, unpack_sorted
 
 WINDOW, ANCHOR = 50, 24
 #: Bytes of text of a batch, of an anchor bucket and of a segment bucket, on average.
-BATCH_BYTES, ANCHOR_BYTES, SEGMENT_BYTES = 24_000_000, 48_000_000, 12_000_000
+BATCH_BYTES, ANCHOR_BYTES, SEGMENT_BYTES = 16_000_000, 24_000_000, 6_000_000
 #: An anchor in more documents than this deals its windows by their whole content instead.
 HOT_DOCUMENTS = 5000
 _NONE = np.iinfo(np.int64).max
@@ -59,7 +59,8 @@ def _sort_directly(at: np.ndarray, w: np.ndarray, depth: int) -> np.ndarray:
     key = w[at]
     order = np.argsort(key, kind="stable")
     at, key = at[order], key[order]
-    group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
+    group = np.zeros(len(at), np.int32)
+    np.cumsum(key[1:] != key[:-1], out=group[1:])
     for d in range(8, depth, 8):
         tied = np.zeros(len(at), bool)
         same = group[1:] == group[:-1]
@@ -74,9 +75,9 @@ def _sort_directly(at: np.ndarray, w: np.ndarray, depth: int) -> np.ndarray:
         at[i] = sub[order]
         key, g = key[order], group[i]
         # Ties keep one group number only while their next bytes agree.
-        differs = np.zeros(len(at), np.int64)
-        differs[i[1:]] = ((g[1:] == g[:-1]) & (key[1:] != key[:-1])).astype(np.int64)
-        group = group + np.cumsum(differs)
+        differs = np.zeros(len(at), np.int32)
+        differs[i[1:]] = (g[1:] == g[:-1]) & (key[1:] != key[:-1])
+        group += np.cumsum(differs, dtype=np.int32)
     return at
 
 
@@ -84,19 +85,21 @@ def suffix_array(t: np.ndarray, depth: int = 56, w: np.ndarray | None = None) ->
     """Suffixes of the bytes t in order of their first depth bytes at least (an end comes first)."""
     n = len(t)
     if n == 0:
-        return np.zeros(0, np.int64)
+        return np.zeros(0, np.int32)
     w = _words(t) if w is None else w
     # A suffix is smaller than its successor if the first different byte to come is larger.
-    last = np.flatnonzero(np.concatenate([t[1:] != t[:-1], [True]]))
+    last = np.flatnonzero(np.concatenate([t[1:] != t[:-1], [True]])).astype(np.int32)
     rises = np.concatenate([t[last[:-1]] < t[last[:-1] + 1], [False]])
-    smaller = np.repeat(rises, np.diff(np.concatenate([[-1], last])))
-    direct = _sort_directly(np.flatnonzero(smaller), w, depth)
+    smaller = np.repeat(rises, np.diff(last, prepend=np.int32(-1)))
+    del last, rises
+    direct = _sort_directly(np.flatnonzero(smaller).astype(np.int32), w, depth)
+    del smaller
     direct_by = np.searchsorted(t[direct], np.arange(257))
     induced: list[list[np.ndarray]] = [[] for _ in range(256)]
-    induced[t[n - 1]].append(np.array([n - 1]))
+    induced[t[n - 1]].append(np.array([n - 1], np.int32))
     out: list[np.ndarray] = []
     for c in range(256):
-        scan = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int64)
+        scan = np.concatenate(induced[c]) if induced[c] else np.zeros(0, np.int32)
         parts = [scan]
         while len(scan):
             before = scan[scan > 0] - 1
@@ -134,26 +137,28 @@ def common_prefixes(w: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) ->
     return np.minimum(out, limit)
 
 
-def smallest_owner(segments: list[bytes], owners: np.ndarray, window: int = WINDOW) -> list[np.ndarray]:
+def smallest_owner(segments: list[bytes], owners: np.ndarray, window: int = WINDOW) -> Iterator[np.ndarray]:
     """For every window of every segment, the smallest owner of a segment that has the same window."""
     t = np.frombuffer(_SEPARATOR.join(segments) + _SEPARATOR, np.uint8)
-    lengths = np.array([len(s) for s in segments])
+    lengths = np.array([len(s) for s in segments], np.int64)
     starts = np.cumsum(lengths + 1) - lengths - 1
     counts = np.maximum(lengths - window + 1, 0)
     w = _words(t)
-    owner_at = np.full(len(t), -1, np.int64)
-    at = np.repeat(starts - (np.cumsum(counts) - counts), counts) + np.arange(counts.sum())
-    owner_at[at] = np.repeat(np.arange(len(segments)), counts)
+    owner_at = np.full(len(t), -1, np.int32)
+    owner_at[np.repeat((starts - (np.cumsum(counts) - counts)).astype(np.int32), counts) + np.arange(counts.sum(), dtype=np.int32)] = np.repeat(np.arange(len(segments), dtype=np.int32), counts)
     sa = suffix_array(t, window + 6, w)
     sa = sa[owner_at[sa] >= 0]
-    if not len(sa):
-        return [np.zeros(0, np.int64) for _ in segments]
-    new = np.concatenate([[True], common_prefixes(w, sa[:-1], sa[1:], window) < window])
+    new = np.ones(len(sa), bool)
+    for i in range(0, len(sa) - 1, _BLOCK):
+        part = sa[i : i + _BLOCK + 1]
+        new[i + 1 : i + len(part)] = common_prefixes(w, part[:-1], part[1:], window) < window
     first = np.flatnonzero(new)
-    low = np.minimum.reduceat(owners[owner_at[sa]], first)
-    result = np.zeros(len(t), np.int64)
-    result[sa] = np.repeat(low, np.diff(np.concatenate([first, [len(sa)]])))
-    return [result[s : s + c] for s, c in zip(starts, counts, strict=True)]
+    low = np.minimum.reduceat(owners[owner_at[sa]], first) if len(sa) else owners
+    del w, owner_at
+    group = np.zeros(len(t), np.int32)
+    group[sa] = np.cumsum(new, dtype=np.int32) - 1
+    for s, c in zip(starts.tolist(), counts.tolist(), strict=True):
+        yield low[group[s : s + c]]
 
 
 # --- anchors and segments --------------------------------------------------------------------------
@@ -265,62 +270,6 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
     return of[np.minimum(np.searchsorted(of, x), len(of) - 1)] == x
 
 
-# --- packing ---------------------------------------------------------------------------------------
-
-
-def _pack(**columns: np.ndarray | list) -> bytes:
-    table = pa.table({k: v if isinstance(v, pa.Array) else pa.array(v) for k, v in columns.items()})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    return zstandard.ZstdCompressor(level=1).compress(sink.getvalue().to_pybytes())
-
-
-def _unpack(blob: bytes) -> pa.Table:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as stream:
-        return stream.read_all()
-
-
-def _pack_sorted(x: np.ndarray, **columns) -> bytes:
-    """Sorted numbers as differences, byte by byte."""
-    gaps = np.diff(np.concatenate([np.zeros(1, np.uint64), x]))
-    width = max(1, (int(gaps.max()).bit_length() + 7) // 8) if len(x) else 1
-    raw = gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-    return _pack(gaps=[raw], width=[width], **{k: pa.array([v], pa.list_(v.type)) if isinstance(v, pa.Array) else [v] for k, v in columns.items()})
-
-
-def _unpack_sorted(table: pa.Table) -> np.ndarray:
-    width, raw = table.column("width")[0].as_py(), np.frombuffer(table.column("gaps")[0].as_py(), np.uint8)
-    full = np.zeros((len(raw) // width, 8), np.uint8)
-    full[:, :width] = raw.reshape(width, -1).T
-    return np.cumsum(full.view("<u8").ravel(), dtype=np.uint64)
-
-
-def _pack_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
-    size: dict[int, int] = {}
-
-    def row(key: int, docs: list) -> pa.RecordBatch:
-        blob = _pack(doc_id=pa.array([d[0] for d in docs], pa.int64()), text=pa.array([d[1] for d in docs], pa.large_binary()))
-        return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([blob], pa.binary())], names=["batch", "docs"])
-
-    for batch in batches:
-        for key, doc_id, text in zip(*[batch.column(c).to_pylist() for c in ("batch", "doc_id", "__t")], strict=True):
-            held.setdefault(key, []).append((doc_id, text))
-            size[key] = size.get(key, 0) + len(text)
-            if size[key] > 2_000_000:
-                yield row(key, held.pop(key))
-                size[key] = 0
-    for key, docs in held.items():
-        yield row(key, docs)
-
-
-def _docs_of(packed: pd.DataFrame) -> Iterator[tuple[list, list]]:
-    for blob in packed["docs"]:
-        table = _unpack(blob)
-        yield table.column("doc_id").to_pylist(), table.column("text").to_pylist()
-
-
 # --- the four steps --------------------------------------------------------------------------------
 
 
@@ -351,37 +300,46 @@ def _anchors(buckets: int):
             edges = np.searchsorted(found, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64))
             for bucket, (x, c) in enumerate(zip(np.split(found, edges), np.split(n, edges), strict=True)):
                 if len(x):
-                    blob = _pack_sorted(x, n=pa.array(np.minimum(c, 65535).astype(np.uint16)))
+                    blob = pack_sorted(x, n=pa.array(np.minimum(c, 65535).astype(np.uint16)))
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([key], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "batch", "blob"])
+        give_back()
 
     return run
 
 
 def _shared(hot_documents: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        tables = [_unpack(b) for b in pdf["blob"]]
-        keys = [_unpack_sorted(t) for t in tables]
-        counts = [t.column("n")[0].values.to_numpy().astype(np.int64) for t in tables]
-        found, where = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(where, np.concatenate(counts), len(found))
+        # Every blob holds an anchor once, with the number of its documents that have it.
+        found = np.concatenate([unpack_sorted(unpack(b)) for b in pdf["blob"]])
+        found.sort()
+        found = found[np.concatenate([[True], found[1:] != found[:-1]])] if len(found) else found
+        total = np.zeros(len(found), np.int32)
+        for blob in pdf["blob"]:
+            table = unpack(blob)
+            total[np.searchsorted(found, unpack_sorted(table))] += table.column("n")[0].values.to_numpy()
+        found, total = found[total >= 2], total[total >= 2]
         out = []
         for batch, rows in pdf.groupby("batch").indices.items():
-            own = np.unique(np.concatenate([keys[i] for i in rows]))
-            n = total[np.searchsorted(found, own)]
-            own, n = own[n >= 2], n[n >= 2]
+            own = np.unique(np.concatenate([_shared_of(found, unpack_sorted(unpack(pdf["blob"].iloc[i]))) for i in rows]))
             if len(own):
-                out.append((batch, _pack_sorted(own, hot=pa.array(n > hot_documents))))
+                out.append((batch, pack_sorted(own, hot=pa.array(total[np.searchsorted(found, own)] > hot_documents))))
+        del found, total
+        give_back()
         return pd.DataFrame(out, columns=["batch", "blob"])
 
     return run
 
 
+def _shared_of(found: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return keys[_member(keys, found)]
+
+
 def _learned(replies: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted anchors that a batch shares with others, and the hot ones among them."""
     keys, hot = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for blob in replies["blob"]:
-        table = _unpack(blob)
-        x = _unpack_sorted(table)
+        table = unpack(blob)
+        x = unpack_sorted(table)
         keys.append(x)
         hot.append(x[table.column("hot")[0].values.to_numpy(zero_copy_only=False)])
     return np.sort(np.concatenate(keys)), np.sort(np.concatenate(hot))
@@ -391,7 +349,7 @@ def _send_segments(buckets: int):
     def run(packed: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
         shared, hot = _learned(replies)
         seen: dict[str, list] = {"key": [], "content": [], "owner": [], "text": []}
-        for ids, texts in _docs_of(packed):
+        for ids, texts in docs_of(packed):
             doc, start, runs, key, content = segments(texts, hot)
             # Windows with a hot anchor have another key: they are all sent.
             keep = _member(key, shared) | _hot_alone(key, runs, shared, hot, texts, doc, start)
@@ -414,8 +372,10 @@ def _send_segments(buckets: int):
         rows = []
         for b in np.unique(bucket):
             i = first[bucket == b]
-            blob = _pack(content=content[i], owner=owner[i], text=pa.array([seen["text"][k] for k in i.tolist()], pa.large_binary()))
+            blob = pack(content=content[i], owner=owner[i], text=pa.array([seen["text"][k] for k in i.tolist()], pa.large_binary()))
             rows.append((int(b), int(packed["batch"].iloc[0]), blob))
+        del seen
+        give_back()
         return pd.DataFrame(rows, columns=["bucket", "batch", "blob"])
 
     return run
@@ -436,23 +396,32 @@ def _hot_alone(key, runs, shared, hot, texts, doc, start) -> np.ndarray:
 
 
 def _smallest(pdf: pd.DataFrame) -> pd.DataFrame:
-    tables = [_unpack(b) for b in pdf["blob"]]
-    content = [t.column("content").to_numpy() for t in tables]
-    owner = [t.column("owner").to_numpy() for t in tables]
+    content, owner, texts = [], [], []
+    for blob in pdf["blob"]:
+        table = unpack(blob)
+        content.append(table.column("content").to_numpy())
+        owner.append(table.column("owner").to_numpy())
+        texts.append(table.column("text").combine_chunks())
     base = np.cumsum([0, *[len(c) for c in content]])
-    all_content, all_owner = np.concatenate(content), np.concatenate(owner)
-    found, first, where = np.unique(all_content, return_index=True, return_inverse=True)
-    low = np.full(len(found), _NONE)
-    np.minimum.at(low, where, all_owner)
+    all_content = np.concatenate(content)
+    order = np.argsort(all_content, kind="stable")
+    ordered = all_content[order]
+    lead = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    found, first = ordered[lead], order[lead]
+    low = np.minimum.reduceat(np.concatenate(owner)[order], np.flatnonzero(lead))
+    del all_content, order, ordered, owner
     which = np.searchsorted(base, first, "right") - 1
-    texts = [tables[k].column("text")[int(i - base[k])].as_py() for i, k in zip(first, which, strict=True)]
-    answers = smallest_owner(texts, low)
+    segments_of = [texts[k][int(i - base[k])].as_py() for i, k in zip(first.tolist(), which.tolist(), strict=True)]
+    del texts
+    answers = list(smallest_owner(segments_of, low))
     out = []
     for batch, rows in pdf.groupby("batch").indices.items():
         own = np.unique(np.concatenate([content[i] for i in rows]))
         values = [answers[i] for i in np.searchsorted(found, own)]
         counts = np.array([len(v) for v in values], np.int32)
-        out.append((batch, _pack(content=[own.tobytes()], counts=[counts.tobytes()], low=[np.concatenate(values).astype("<i8").tobytes()])))
+        out.append((batch, pack(content=[own.tobytes()], counts=[counts.tobytes()], low=[np.concatenate(values).astype("<i8").tobytes()])))
+    del answers, content, segments_of
+    give_back()
     return pd.DataFrame(out, columns=["batch", "blob"])
 
 
@@ -461,9 +430,9 @@ def _cut_out(packed: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     content, offsets, low = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     done = 0
     for kind, blob in zip(replies["kind"], replies["blob"], strict=True):
-        table = _unpack(blob)
+        table = unpack(blob)
         if kind == 0:
-            x = _unpack_sorted(table)
+            x = unpack_sorted(table)
             hot = np.concatenate([hot, x[table.column("hot")[0].values.to_numpy(zero_copy_only=False)]])
             continue
         counts = np.frombuffer(table.column("counts")[0].as_py(), np.int32).astype(np.int64)
@@ -476,7 +445,7 @@ def _cut_out(packed: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
     order = np.argsort(content)
     content, offsets = content[order], offsets[order]
     out = []
-    for ids, texts in _docs_of(packed):
+    for ids, texts in docs_of(packed):
         doc, start, runs, _, own = segments(texts, hot)
         keep = _member(own, content)
         doc, start, runs, own = doc[keep], start[keep], runs[keep], own[keep]
@@ -496,6 +465,8 @@ def _cut_out(packed: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
             out.append((doc_id, len(text), removed, spans, kept))
     found = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
     found["doc_id"] = found["doc_id"].astype("Int64")
+    del out, low, content, offsets
+    give_back()
     return found
 
 
@@ -518,7 +489,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot_documents: int =
     total = d.agg(F.sum(F.octet_length("__t"))).first()[0]
     batches, anchors, buckets = (blocks_for(total, x) for x in (BATCH_BYTES, ANCHOR_BYTES, SEGMENT_BYTES))
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("__t")), F.lit(batches)).cast("int"))
-    packed = d.mapInArrow(_pack_docs, "batch int, docs binary").groupBy("batch")
+    packed = d.mapInArrow(pack_docs, "batch int, docs binary").groupBy("batch")
     sent = d.select("batch", "__t").mapInArrow(_anchors(anchors), "bucket int, batch int, blob binary")
     shared = sent.groupBy("bucket").applyInPandas(_shared(hot_documents), "batch int, blob binary")
     pieces = packed.cogroup(shared.groupBy("batch")).applyInPandas(_send_segments(buckets), "bucket int, batch int, blob binary")
