@@ -19,6 +19,8 @@ from panelforge.llm.common import n_words
 WEIGHTS = (5, 2, 1)
 #: Size of the mix as a share of all sizes, and the most a source may be repeated.
 SHARE, MAX_REPEATS = 1.5, 2
+#: So many documents or fewer are left to the knapsack as a whole, if its table is no larger than this.
+FEW, LARGEST_TABLE = 256, 4_000_000
 #: A group of equally long documents is ranked within this many hash ranges, not as one group.
 SALTS = 1024
 
@@ -45,8 +47,9 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0
     """How many documents of each size to take so that the sum comes as near to budget as it can.
 
     First every size gives its proportional share, rounded down; then sizes in seeded order give
-    one more until twice the longest document is left; that is closed by a bounded knapsack over
-    the documents not yet taken (each sum remembers the item that first reached it).
+    one more until twice the longest document is left (or until few documents are, so that these are
+    settled together); that is closed by a bounded knapsack over the documents not yet taken (each sum
+    remembers the item that first reached it).
     """
     take = np.zeros(len(sizes), np.int64)
     total = int((sizes * counts).sum())
@@ -58,7 +61,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0
     left = budget - int((take * sizes).sum())
     order = np.random.default_rng(seed).permutation(len(sizes))
     for i in order:
-        if left <= 2 * sizes.max():
+        if left <= 2 * sizes.max() or (left <= LARGEST_TABLE and (counts - take).sum() <= FEW):
             break
         if sizes[i] and take[i] < counts[i] and sizes[i] <= left:
             take[i] += 1
@@ -67,7 +70,7 @@ def fit_counts(sizes: np.ndarray, counts: np.ndarray, budget: int, seed: int = 0
         return take
     # A little too much is as good as too little.
     top = left + int(sizes.max())
-    via = np.full(top + 1, -1, np.int64)
+    via = np.full(top + 1, -1, np.int32)
     via[0] = -2
     items: list[tuple[int, int]] = []
     for i in order:
