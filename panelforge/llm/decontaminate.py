@@ -4,7 +4,8 @@ Containment search by MinHash, partitioned by size. A whole long document has ne
 similarity with a short item, so documents are cut into windows sized for each size class of items
 (items of U/2 to U shingles meet overlapping windows of 2U): inside such a window an item that is
 contained has a similarity of at least 0.19, and with one-row bands and 64 hash functions it is missed
-with a probability below 2e-6. Every candidate is verified by exact containment of its shingles in
+with a probability below 2e-6. Items of less than half the smallest class are looked up by the hashes
+of their shingles instead. Every candidate is verified by exact containment of its shingles in
 the whole document.
 """
 
@@ -35,9 +36,9 @@ def words(text: str | None) -> list[str]:
 
 
 def shingles(text: str | None, size: int = SHINGLE) -> list[str]:
-    """Space-joined shingles, repeats included; a shorter text is one shingle; no word: none."""
+    """Space-joined shingles, repeats included; none in a shorter text."""
     w = words(text)
-    return [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)] if len(w) >= size else [" ".join(w)] * bool(w)
+    return [" ".join(w[i : i + size]) for i in range(len(w) - size + 1)]
 
 
 _LOW = np.arange(256, dtype=np.uint8)
@@ -77,10 +78,10 @@ def shingle_hashes(texts: list[bytes], size: int = SHINGLE) -> tuple[np.ndarray,
     starts_n = np.concatenate([[0], ends_n[:-1] + 1]) if len(ends_n) else ends_n
     limits = np.cumsum([len(x) + 1 for x in texts])
     n_words = np.diff(np.concatenate([[0], np.searchsorted(starts, limits)]))
-    n = np.where(n_words >= size, n_words - size + 1, np.minimum(n_words, 1))
+    n = np.maximum(n_words - size + 1, 0)
     first = np.cumsum(n_words) - n_words
     g = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(n.sum())
-    last = g + np.repeat(np.minimum(size, n_words), n) - 1
+    last = g + size - 1
     up, down = _power(len(norm) + 1)
     h = np.concatenate([np.zeros(1, np.uint64), np.cumsum((norm + np.uint64(1)) * up[: len(norm)], dtype=np.uint64)])
     out = (h[ends_n[last]] - h[starts_n[g]]) * down[starts_n[g]]
@@ -107,9 +108,22 @@ class ItemIndex:
         self.mul, self.add = _family(n_hashes)
         self.items = []
         classes: dict[int, list[int]] = {}
+        #: Items too short for a window of the smallest class, by the words of their shingles (all of
+        #: their words if these are fewer than a shingle's): sorted hashes and the items.
+        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        brief: dict[int, list[int]] = {}
         for row, (item_id, text) in enumerate(rows):
+            n = len(words(text))
+            if not n:
+                continue
+            if n < size:
+                brief.setdefault(n, []).append(len(self.items))
+                self.items.append((item_id, {" ".join(words(text))}, row))
+                continue
             grams = set(shingles(text, size))
-            if not grams:
+            if len(grams) < _SMALLEST // 2:
+                brief.setdefault(size, []).append(len(self.items))
+                self.items.append((item_id, grams, row))
                 continue
             upper = _SMALLEST
             while upper < len(grams):
@@ -118,6 +132,10 @@ class ItemIndex:
             self.items.append((item_id, grams, row))
         #: For each class: sorted values of each hash function, and the item of each value.
         self.tables = {}
+        for n, members in brief.items():
+            h, each = shingle_hashes([(rows[self.items[m][2]][1] or "").encode() for m in members], n)
+            order = np.argsort(h, kind="stable")
+            self.short[n] = (h[order], np.repeat(members, each)[order])
         for upper, members in classes.items():
             h, n = shingle_hashes([(rows[self.items[m][2]][1] or "").encode() for m in members], size)
             at = np.cumsum(n) - n
@@ -161,12 +179,24 @@ class ItemIndex:
                 size *= 2
         return found
 
+    def brief_candidates(self, texts: list[bytes]) -> list[tuple[int, int, int]]:
+        """(words, text number, item number) where a text has a shingle that hashes as one of a short item."""
+        out: set[tuple[int, int, int]] = set()
+        for size, (hashes, members) in self.short.items():
+            h, n = shingle_hashes(texts, size)
+            owner = np.repeat(np.arange(len(texts)), n)
+            a, b = np.searchsorted(hashes, h), np.searchsorted(hashes, h, "right")
+            hit = np.flatnonzero(b > a)
+            out |= {(size, int(owner[i]), int(m)) for i in hit for m in members[a[i] : b[i]]}
+        return list(out)
+
     def matches(self, texts: list[str]) -> list[tuple[int, int, int, int]]:
         """(text number, item_id, shared shingles, item shingles) for every item contained in a text."""
-        out, own, at = [], set(), -1
-        for k, m in sorted(self.candidates([t.encode() for t in texts])):
-            if k != at:
-                own, at = set(shingles(texts[k], self.size)), k
+        out, own, at = [], set(), None
+        data = [t.encode() for t in texts]
+        for size, k, m in sorted([(self.size, *c) for c in self.candidates(data)] + self.brief_candidates(data)):
+            if (size, k) != at:
+                own, at = set(shingles(texts[k], size)), (size, k)
             item_id, wanted, _ = self.items[m]
             shared = len(wanted & own)
             if shared >= self.threshold * len(wanted):
@@ -238,9 +268,9 @@ def _item_blocks(items: DataFrame, size: int, threshold: float, n_hashes: int) -
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, n_hashes: int = HASHES) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment): items contained in documents.
 
-    An item is contained if at least threshold of its distinct shingles occur in the document. Items
-    and documents of fewer words than a shingle have one shingle of all their words; without a word
-    they match nothing, and neither do null texts. Repeated rows give repeated matches; a null id is
+    An item is contained if at least threshold of its distinct shingles occur in the document; an
+    item of fewer words than a shingle is contained where its words stand in a row. Items without a
+    word match nothing, and neither do null texts. Repeated rows give repeated matches; a null id is
     carried along; empty tables give no rows; other columns are ignored. Items go to the tasks in
     blocks of bounded size, documents stay where they are: there is no shuffle.
     """
@@ -263,12 +293,14 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, thres
 def oracle(size: int = SHINGLE, threshold: float = THRESHOLD) -> str:
     """Exact containment as DuckDB SQL over the views documents and benchmark."""
     word = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
-    grams = f"CASE WHEN len(w) >= {size} THEN list_transform(generate_series(1, len(w) - {size - 1}), lambda i: array_to_string(w[i:i+{size - 1}], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END"
+    grams = "CASE WHEN len(w) >= k THEN list_transform(generate_series(1, len(w) - k + 1), lambda i: array_to_string(w[i:i+k-1], ' ')) ELSE [] END"
     return f"""
 WITH i0 AS (SELECT row_number() OVER () AS ir, item_id, {word} AS w FROM benchmark),
-i AS (SELECT DISTINCT ir, item_id, unnest({grams}) AS g FROM i0),
+i1 AS (SELECT *, least(len(w), {size}) AS k FROM i0 WHERE len(w) > 0),
+i AS (SELECT DISTINCT ir, item_id, k, unnest({grams}) AS g FROM i1),
 n AS (SELECT ir, count(*) AS n_item FROM i GROUP BY ir),
 d0 AS (SELECT row_number() OVER () AS dr, doc_id, {word} AS w FROM documents),
-d AS (SELECT DISTINCT dr, doc_id, unnest({grams}) AS g FROM d0)
+d1 AS (SELECT * FROM d0 CROSS JOIN (SELECT DISTINCT k FROM i1) AS sizes),
+d AS (SELECT DISTINCT dr, doc_id, k, unnest({grams}) AS g FROM d1)
 SELECT any_value(doc_id) AS doc_id, any_value(item_id) AS item_id, count(*)::BIGINT AS n_shared, any_value(n_item)::BIGINT AS n_item, count(*) / any_value(n_item) AS containment
-FROM d JOIN i USING (g) JOIN n USING (ir) GROUP BY dr, ir HAVING count(*) >= {threshold} * any_value(n_item)"""
+FROM d JOIN i USING (k, g) JOIN n USING (ir) GROUP BY dr, ir HAVING count(*) >= {threshold} * any_value(n_item)"""
