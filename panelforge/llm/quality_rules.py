@@ -1,7 +1,7 @@
 """Quality rules by distribution divergence, in DataFrame functions only.
 
 A document is held against its language: Jensen-Shannon distance between its character-class
-histogram and the one that all documents of its language have together, and the same for the
+histogram and the one that the documents of its language past the base rules have together, and the same for the
 language's common words. How far is too far comes from the distances themselves: short documents
 stray further than long ones, so each language and length class has limits of its own.
 """
@@ -32,6 +32,7 @@ CLASSES = {
 SYMBOLS = "[#*$%&|<>]"
 #: Trimmed from a word before it is held against the common words.
 PUNCTUATION = ".,;:!?\"()"
+LONGEST = max(len(w) for words in COMMON.values() for w in words)
 BASE_WORDS, REPEAT_PERCENT = 50, 50
 #: Length classes begin at these numbers of words.
 LENGTHS = (100, 200, 500)
@@ -62,17 +63,17 @@ def _counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("__w", F.array_remove(F.split("__t", SPACE), ""))
     d = d.withColumn("__lines", F.filter(F.split("__t", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     d = d.withColumn("__l", _list_of("__lang"))
-    short = F.filter("__w", lambda x: F.length(x) <= 6)
-    d = d.withColumn("__c", F.filter(F.transform(short, lambda x: F.array_position("__l", F.btrim(F.lower(x), F.lit(PUNCTUATION)))), lambda j: j > 0))
-    length = F.length("__t")
+    trimmed = F.filter(F.transform("__w", lambda x: F.btrim(F.lower(x), F.lit(PUNCTUATION))), lambda x: F.length(x) <= LONGEST)
+    d = d.withColumn("__c", F.array_remove(F.transform(trimmed, lambda x: F.array_position("__l", x).cast("int")), 0))
+    d = d.withColumn("__n", F.length("__t").cast("double")).withColumn("word_chars", F.length(F.regexp_replace("__t", SPACE, "")).cast("long"))
     d = d.select(
         "doc_id", "__lang", "__w", "__c",
         F.size("__w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("__t", SPACE, "")).cast("long").alias("word_chars"),
+        "word_chars",
         F.regexp_count("__t", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        length.cast("double").alias("__n"),
-        (length - F.length(F.regexp_replace("__t", SPACE, ""))).cast("double").alias("__k_space"),
+        "__n",
+        (F.col("__n") - F.col("word_chars")).alias("__k_space"),
         *[F.regexp_count("__t", F.lit(r)).cast("double").alias(f"__k_{c}") for c, r in CLASSES.items()],
     )
     # Every 3-word window as (hash, position), sorted: equal windows stand side by side.
@@ -85,14 +86,10 @@ def _counts(docs: DataFrame) -> DataFrame:
     d = d.withColumn("__p", F.sort_array(F.transform(F.filter("__g", twin), lambda x: x["p"])))
     steps = F.transform("__p", lambda p, i: F.least(F.lit(3), F.coalesce(F.get("__p", i + 1) - p, F.lit(3))))
     d = d.withColumn("n_repeat_words", F.aggregate(steps, F.lit(0).cast("long"), lambda a, x: a + x))
-    hits = [F.size(F.filter("__c", _equals(j + 1))).cast("double").alias(f"__h_{j}") for j in range(12)]
+    hits = [(F.size("__c") - F.size(F.array_remove("__c", j + 1))).cast("double").alias(f"__h_{j}") for j in range(12)]
     return d.select("doc_id", "__lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "__n", "__k_space", *[f"__k_{c}" for c in CLASSES], *hits)
 
 
-def _equals(value: int):
-    return lambda x: x == value
-
-
 def _list_of(lang: str) -> Column:
     out = F.array(*[F.lit(w) for w in COMMON["en"]])
     for name, words in COMMON.items():
@@ -121,15 +118,17 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.26, max_word_dis
     language and length class; max_char_distance and max_word_distance are ceilings of these limits,
     and the limits themselves where too few documents are there to derive any.
 
-    The language reference is summed over all documents of a language (a language without a word
-    list, and null, counts as one more language), so the broadcast table has five rows at any size.
+    The language reference is summed over all documents of a language that pass the base rules (a
+    language without a word list, and null, counts as one more language), so the broadcast table has five rows at any size.
     Null text is an empty text: no words, base_failed, not kept. A null doc_id is carried along,
     repeated rows give repeated rows, an empty table gives none, other columns are ignored. Very
     long texts stay in their row; the only sort is over the positions of one document.
     """
     d = written(_counts(docs), "counts")
     hist = ["__k_space"] + [f"__k_{c}" for c in CLASSES] + [f"__h_{j}" for j in range(12)]
-    ref = d.groupBy("__lang").agg(*[F.sum(c).alias(f"__r{c}") for c in ["__n", *hist]], F.sum("n_words").alias("__rw"))
+    base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
+    d = d.withColumn("__base", base)
+    ref = d.where("not __base").groupBy("__lang").agg(*[F.sum(c).alias(f"__r{c}") for c in ["__n", *hist]], F.sum("n_words").alias("__rw"))
     d = d.join(F.broadcast(ref), "__lang", "left")
 
     def shares(cols: list[str], total: str, pre: str = "") -> list[Column]:
@@ -140,8 +139,7 @@ def quality_rules(docs: DataFrame, max_char_distance: float = 0.26, max_word_dis
     chars, words = hist[: len(CLASSES) + 1], hist[len(CLASSES) + 1 :]
     d = d.withColumn("char_distance", _jsd(shares(chars, "__n"), shares(chars, "__r__n", "__r")))
     d = d.withColumn("word_distance", _jsd(shares(words, "n_words"), shares(words, "__rw", "__r")))
-    base = (F.col("n_words") < BASE_WORDS) | (100 * F.col("n_repeat_words") > REPEAT_PERCENT * F.col("n_words"))
-    d = d.withColumn("__base", base).withColumn("__class", sum(((F.col("n_words") >= n).cast("int") for n in LENGTHS), F.lit(0)))
+    d = d.withColumn("__class", sum(((F.col("n_words") >= n).cast("int") for n in LENGTHS), F.lit(0)))
     limits = _limits(d)
     overall = limits.where(F.col("__lang") == ALL).select("__class", F.col("__char_limit").alias("__char_all"), F.col("__word_limit").alias("__word_all"))
     d = d.join(F.broadcast(limits), ["__lang", "__class"], "left").join(F.broadcast(overall), "__class", "left")
@@ -189,10 +187,11 @@ h AS (
     (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))))::BIGINT AS n_dup_lines,
     length(t)::DOUBLE AS n, (length(t) - length(regexp_replace(t, {space}, '', 'g')))::DOUBLE AS __k_space,
     {", ".join(f"len(regexp_extract_all(t, {quote(r)}))::DOUBLE AS __k_{c}" for c, r in CLASSES.items())},
-    {", ".join(f"len(list_filter(ws, lambda x: length(x) <= 6 AND trim(lower(x), {quote(PUNCTUATION)}) = common[{j + 1}]))::DOUBLE AS __h_{j}" for j in range(12))}
+    {", ".join(f"len(list_filter(ws, lambda x: trim(lower(x), {quote(PUNCTUATION)}) = common[{j + 1}]))::DOUBLE AS __h_{j}" for j in range(12))}
   FROM w),
-r AS (SELECT l, sum(n) AS rn, sum(n_words)::DOUBLE AS rw, {", ".join(f"sum({c}) AS r{c}" for c in hist)} FROM h GROUP BY l),
-z AS (SELECT h.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {jsd(chars, "n", "rn")} AS char_distance, {jsd(words, "n_words", "rw")} AS word_distance FROM h JOIN r USING (l) LEFT JOIN rep USING (rid)),
+r AS (SELECT l, sum(n) AS rn, sum(n_words)::DOUBLE AS rw, {", ".join(f"sum({c}) AS r{c}" for c in hist)} FROM h LEFT JOIN rep USING (rid)
+  WHERE n_words >= {BASE_WORDS} AND 100 * coalesce(n_repeat_words, 0) <= {REPEAT_PERCENT} * n_words GROUP BY l),
+z AS (SELECT h.*, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, {jsd(chars, "n", "rn")} AS char_distance, {jsd(words, "n_words", "rw")} AS word_distance FROM h LEFT JOIN r USING (l) LEFT JOIN rep USING (rid)),
 y AS (SELECT *, n_words < {BASE_WORDS} OR 100 * n_repeat_words > {REPEAT_PERCENT} * n_words AS base_failed,
   {" + ".join(f"(n_words >= {n})::INTEGER" for n in LENGTHS)} AS class FROM z),
 e AS (SELECT DISTINCT l, class, round(char_distance, 6) AS c, round(word_distance, 6) AS w FROM y WHERE NOT base_failed),
