@@ -147,6 +147,7 @@ for _name, (_sessions, _formula) in LONG.items():
 
 
 @operator("e15_relative_strength_20", {"bars": "p2"})
+@operator("e15_relative_strength_60", {"bars": "p2"}, n=60)
 def relative_strength(d: Dialect, n: int = 20) -> str:
     """Own return less the return of the equal-weight index of closes."""
     return f"""
@@ -157,6 +158,7 @@ WHERE own IS NOT NULL AND before IS NOT NULL"""
 
 
 @operator("e21_max_drawdown_20", {"bars": "p1"})
+@operator("e21_max_drawdown_61", {"bars": "p1"}, n=61)
 def max_drawdown(d: Dialect, n: int = 20) -> str:
     return factor_query(drawdown(d, "close", n), n)
 

@@ -9,10 +9,12 @@ from __future__ import annotations
 
 import functools
 import re
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def run(text: str, **frames: DataFrame) -> DataFrame:
@@ -20,6 +22,24 @@ def run(text: str, **frames: DataFrame) -> DataFrame:
     return next(iter(frames.values())).sparkSession.sql(text, **frames)
 
 
+def scratch(spark: SparkSession) -> str:
+    """A new folder below the one that driver and executors share; a local one only on a local master."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="panelforge-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df by way of files in the shared folder: named many times, computed once, safe from lost executors."""
+    path = scratch(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Counted columns that Spark's ranking and date functions give as int; they are bigint throughout.
 _COUNTED = {"y", "place", "grp_no", "fold", "path", "block", "subperiod", "offset_no"}
 
@@ -51,6 +71,22 @@ class Dialect:
         inner = ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in items)
         return f"array({inner})" if self.name == "spark" else f"[{inner}]"
 
+    def doubles(self, items: tuple) -> str:
+        return self.array([f"{float(x)!r}e0" for x in items]).replace("'", "")
+
+    def distinct(self, *columns: str) -> str:
+        """How many different tuples of the columns there are."""
+        inner = ", ".join(columns)
+        return f"count(DISTINCT {inner})" if self.name == "spark" else f"count(DISTINCT ({inner}))"
+
+    def pair(self, a: str, b: str) -> str:
+        """A value that is ordered by a, then by b."""
+        return f"struct({a}, {b})" if self.name == "spark" else f"row({a}, {b})"
+
+    def levels(self, x: str, part: str = "horizon") -> str:
+        """How many different values x has in its part, as a window."""
+        return f"size(collect_set({x}) OVER (PARTITION BY {part}))" if self.name == "spark" else f"len(list_distinct(list({x}) OVER (PARTITION BY {part})))"
+
     def days(self, a: str, b: str) -> str:
         return f"datediff({a}, {b})" if self.name == "spark" else f"date_diff('day', {b}, {a})"
 
@@ -61,6 +97,7 @@ class Dialect:
         return f"shiftleft(1L, {x})" if self.name == "spark" else f"(1::BIGINT << ({x})::INTEGER)"
 
     def collect(self, x: str, order: str) -> str:
+        """The items of a group as a list; order is the column that DuckDB sorts by, Spark sorts the items."""
         return f"array_sort(collect_list({x}))" if self.name == "spark" else f"list({x} ORDER BY {order})"
 
 
@@ -73,23 +110,32 @@ class Entry:
     text: Callable[..., str]
     frames: dict[str, str]
     params: dict = field(default_factory=dict)
+    stages: dict[str, Callable[[Dialect], str]] = field(default_factory=dict)
+
+    def run(self, frames: dict[str, DataFrame], **params: object) -> DataFrame:
+        """The query over its frames; its stages are written first, each as one more frame."""
+        frames = dict(frames)
+        for name, text in self.stages.items():
+            frames[name] = written(run(text(SPARK), **frames))
+        return widened(run(self.text(SPARK, **params), **frames))
 
 
 #: Registered operators by query name.
 REGISTRY: dict[str, Entry] = {}
 
 
-def operator(name: str, frames: dict[str, str] | None = None, **registered: object) -> Callable:
-    """Registers a query text builder; frames maps its frame names to the panels of its query."""
+def operator(name: str, frames: dict[str, str] | None = None, stages: dict[str, Callable[[Dialect], str]] | None = None, **registered: object) -> Callable:
+    """Registers a query text builder; frames maps its frame names to the panels of its query, stages
+    are smaller tables that its text names more than once."""
 
     def wrap(text: Callable[..., str]) -> Callable[..., DataFrame]:
         text = getattr(text, "text", text)
-        REGISTRY[name] = Entry(name, text, frames or {}, dict(registered))
+        entry = REGISTRY[name] = Entry(name, text, frames or {}, dict(registered), stages or {})
 
         @functools.wraps(text)
         def apply(**given: object) -> DataFrame:
             dfs = {k: v for k, v in given.items() if isinstance(v, DataFrame)}
-            return widened(run(text(SPARK, **{k: v for k, v in given.items() if k not in dfs}), **dfs))
+            return entry.run(dfs, **{k: v for k, v in given.items() if k not in dfs})
 
         apply.text = text
         apply.__wrapped__ = text
@@ -105,6 +151,8 @@ def duck_text(entry: Entry, panels: dict[str, str], needs: dict[str, list[str]])
         for p in [*needs.get(panel, []), panel]:
             if p not in wanted:
                 wanted.append(p)
-    text = re.sub(r"\{(\w+)\}", lambda m: entry.frames[m[1]], entry.text(DUCK, **entry.params))
-    tables = ", ".join(f"{p} AS MATERIALIZED ({panels[p]})" for p in wanted if p in panels)
+    names = entry.frames | {s: s for s in entry.stages}
+    named = lambda t: re.sub(r"\{(\w+)\}", lambda m: names[m[1]], t)
+    text = named(entry.text(DUCK, **entry.params))
+    tables = ", ".join([f"{p} AS MATERIALIZED ({panels[p]})" for p in wanted if p in panels] + [f"{s} AS MATERIALIZED ({named(t(DUCK))})" for s, t in entry.stages.items()])
     return f"WITH {tables} SELECT * FROM ({text}) AS result" if tables else text

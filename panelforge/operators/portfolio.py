@@ -27,28 +27,57 @@ def trade_cost(d: Dialect, nav: float = 1000000.0) -> str:
     return f"SELECT factor_id, session, instrument, {r6(f'{notional} * (0.0003e0 + 0.0005e0 + 0.001e0 + 0.1e0 * sqrt({notional} / greatest(adv, 1)))')} AS sell_cost, {r6(f'{notional} * (0.0003e0 + 0.0005e0 + 0.1e0 * sqrt({notional} / greatest(adv, 1)))')} AS buy_cost FROM ({ONE}) AS o"
 
 
-def cohorts_text(h: int = 3, b: int = 10, mode: str = "BUY") -> str:
-    """Weights of staggered cohorts: every session opens the cohort of its offset."""
-    keep = f"place <= {b}" if mode == "BUY" else f"place <= n - {b}"
+#: Round-trip cost of a cohort: commission, slippage and impact both ways and the tax on sales.
+COST = 0.002
+EVENT_KEYS = "factor_id, horizon, b, nav, part"
+
+
+def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tuple = (1e6,), parts: tuple = (0.1,), gate: str = "TRUE", hold: bool = False, base: str = "rev5", cost: float = COST) -> str:
+    """Cohorts of every factor and horizon over a grid of breadths, NAVs and participations, in one plan.
+
+    A factor with labels over h sessions has h staggered offsets; each cohort puts 1 / h of the NAV into
+    its names, each order at most part of the name's prior amount. BUY holds the best b, AVOID all but
+    the worst b (b = 0: everything, the control), TIMING those of the best b of the base factor whose
+    own signal is at least the upper median, at 1 / b each. A cohort of b names or fewer is skipped; one
+    that the gate closes is flat, or holds everything alike. Turnover is half the sum of weight changes
+    against the offset's last cohort: a name that is held again changes by the difference, one that is
+    not held again leaves in the next cohort; a window over the name's own rows tells which.
+    """
+    raw = {"BUY": "CASE WHEN down <= b THEN 1e0 / b END", "AVOID": "CASE WHEN up > b THEN 1e0 / (n - b) END", "TIMING": "CASE WHEN base_down <= b AND v >= threshold THEN 1e0 / b END"}[mode]
+    timing = ""
+    if mode == "TIMING":
+        timing = f", max(CASE WHEN factor_id = '{base}' THEN down END) OVER (PARTITION BY horizon, session, instrument) AS base_down, max(CASE WHEN up = floor(n_own / 2e0) + 1 THEN v END) OVER (PARTITION BY {XS}) AS threshold"
     return f"""
-SELECT factor_id, session, instrument, fwd, adv, offset_no, seq, 1e0 / count(*) OVER (PARTITION BY factor_id, session) AS w FROM (
-  SELECT *, (i - 1) % {h} AS offset_no, CAST(floor((i - 1) / {h}e0) AS BIGINT) AS seq FROM (
-    SELECT *, {ordinal('v', desc=True)} AS place, {size()} AS n, dense_rank() OVER (PARTITION BY factor_id ORDER BY session) AS i FROM ({ONE}) AS o) AS a WHERE n > {b}) AS c WHERE {keep}"""
-
-
-def events_text(h: int = 3, b: int = 10, mode: str = "BUY", cost: float = 0.002) -> str:
-    """Per cohort: return less the cross-section's, turnover against the offset's last cohort, cost."""
-    return f"""
-SELECT factor_id, offset_no, seq, session, gross, turnover, gross - {cost}e0 * turnover AS net FROM (
-  SELECT e.factor_id, e.offset_no, e.seq, e.session, e.gross - m.market AS gross, t.turnover FROM (SELECT factor_id, offset_no, seq, session, sum(w * fwd) AS gross FROM ({cohorts_text(h, b, mode)}) AS w1 GROUP BY factor_id, offset_no, seq, session) AS e
-  JOIN (SELECT factor_id, session, avg(fwd) AS market FROM ({ONE}) AS o GROUP BY factor_id, session) AS m ON m.factor_id = e.factor_id AND m.session = e.session
-  JOIN (SELECT factor_id, offset_no, seq, sum(abs(dw)) / 2 AS turnover FROM (SELECT factor_id, offset_no, seq, instrument, sum(dw) AS dw FROM (SELECT factor_id, offset_no, seq, instrument, w AS dw FROM ({cohorts_text(h, b, mode)}) AS w2 UNION ALL SELECT factor_id, offset_no, seq + 1, instrument, -w FROM ({cohorts_text(h, b, mode)}) AS w3) AS u GROUP BY factor_id, offset_no, seq, instrument) AS n GROUP BY factor_id, offset_no, seq) AS t
-  ON t.factor_id = e.factor_id AND t.offset_no = e.offset_no AND t.seq = e.seq) AS x"""
+SELECT {EVENT_KEYS}, offset_no, seq, max(session) AS session, max(CASE WHEN active THEN 1 ELSE 0 END) = 1 AS active, sum(ret) - max(market) AS gross, sum(abs(dw)) / 2 AS turnover, sum(ret) - max(market) - {cost}e0 * sum(abs(dw)) / 2 AS net,
+  sum(clipped) AS clipped, CAST(sum(CASE WHEN clipped > 0 THEN 1 ELSE 0 END) AS BIGINT) AS clipped_orders FROM (
+  SELECT {EVENT_KEYS}, offset_no, seq + k AS seq, CASE WHEN k = 0 THEN session END AS session, k = 0 AND active AS active, CASE WHEN k = 0 THEN market END AS market, CASE WHEN k = 0 THEN w * fwd ELSE 0e0 END AS ret, CASE WHEN k = 0 THEN clipped ELSE 0e0 END AS clipped,
+    CASE WHEN k = 1 THEN -w WHEN seq_before = seq - 1 THEN w - w_before ELSE w END AS dw FROM (
+    SELECT *, lag(seq, 1) OVER kept AS seq_before, lag(w, 1) OVER kept AS w_before, lead(seq, 1) OVER kept AS seq_after FROM (
+      SELECT *, least(nav / horizon * w0, coalesce(prior_amount, 0) * part) / nav AS w, greatest(nav / horizon * w0 - coalesce(prior_amount, 0) * part, 0e0) AS clipped FROM (
+        SELECT o.factor_id, o.horizon, o.session, o.instrument, o.fwd, o.prior_amount, o.down, c.b, c.offset_no, c.seq, c.active, c.market / o.horizon AS market,
+          coalesce(CASE WHEN c.active THEN {raw} WHEN {str(hold).upper()} THEN 1e0 / n END, 0e0) AS w0 FROM (
+          SELECT *{timing} FROM (SELECT *, {ordinal('v', desc=True)} AS down, {ordinal('v')} AS up, {size()} AS n_own FROM {{obs}}) AS x) AS o
+        JOIN (
+          SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, offset_no, b ORDER BY session) - 1 AS seq FROM (
+            SELECT *, (row_number() OVER (PARTITION BY factor_id, horizon ORDER BY session) - 1) % horizon AS offset_no FROM (
+              SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) AS market, {gate} AS active FROM {{obs}} GROUP BY factor_id, horizon, session) AS c0) AS c1 {d.explode(d.array(list(breadths)), 'b')} WHERE n > b) AS c
+        ON c.factor_id = o.factor_id AND c.horizon = o.horizon AND c.session = o.session) AS weighted {d.explode(d.doubles(navs), 'nav')} {d.explode(d.doubles(parts), 'part')} WHERE w0 > 0 OR down = 1) AS executed
+    WINDOW kept AS (PARTITION BY {EVENT_KEYS}, offset_no, instrument ORDER BY seq)) AS walked {d.explode(d.array([0, 1]), 'k')} WHERE k = 0 OR (w > 0 AND seq_after IS DISTINCT FROM seq + 1)) AS moved
+GROUP BY {EVENT_KEYS}, offset_no, seq HAVING max(session) IS NOT NULL"""
+
+
+def control_text(d: Dialect) -> str:
+    """The no-signal control: all names alike."""
+    return events_text(d, (0,), "AVOID")
 
 
 @operator("k3_cohort_events", OBS)
-def cohort_events(d: Dialect, h: int = 3, b: int = 10) -> str:
-    return f"SELECT factor_id, offset_no, seq, session, {r6('gross')} AS gross, {r6('turnover')} AS turnover, {r6('net')} AS net FROM ({events_text(h, b)}) AS e"
+@operator("k3_cohort_avoid", OBS, mode="AVOID")
+@operator("k3_cohort_timing", OBS, mode="TIMING")
+@operator("k3_cohort_gated", OBS, gate="avg(v) >= 0", hold=True)
+def cohort_events(d: Dialect, b: int = 10, mode: str = "BUY", gate: str = "TRUE", hold: bool = False) -> str:
+    """Dated cohorts: gate is an aggregate condition on the cross-section's rows."""
+    return f"SELECT factor_id, horizon, offset_no, CAST(seq AS BIGINT) AS seq, session, active, {r6('gross')} AS gross, {r6('turnover')} AS turnover, {r6('net')} AS net, round(clipped, 2) + 0.0 AS clipped FROM ({events_text(d, (b,), mode, gate=gate, hold=hold)}) AS e"
 
 
 @operator("k4_weighting", OBS)
@@ -58,12 +87,12 @@ def weighting(d: Dialect, b: int = 10) -> str:
 
 
 @operator("k5_path_summary", OBS)
-def path_summary(d: Dialect, h: int = 3) -> str:
-    """Increments over the avoid-list control by offset; median, lower quartile by index, positives."""
+def path_summary(d: Dialect) -> str:
+    """Increments over the control by offset; median, lower quartile by index, positives."""
     return f"""
-WITH p AS (SELECT a.factor_id, a.offset_no, avg(a.net - c.net) / nullif(stddev_samp(a.net - c.net), 0) AS sharpe FROM ({events_text(h)}) AS a JOIN ({events_text(h, 10, 'AVOID')}) AS c ON c.factor_id = a.factor_id AND c.session = a.session GROUP BY a.factor_id, a.offset_no),
-k AS (SELECT *, row_number() OVER (PARTITION BY factor_id ORDER BY sharpe, offset_no) AS i, count(*) OVER (PARTITION BY factor_id) AS n FROM p)
-SELECT factor_id, {r6(d.percentile('sharpe', 0.5))} AS median_sharpe, {r6('max(CASE WHEN i = floor(0.25e0 * (n - 1)) + 1 THEN sharpe END)')} AS lower_quartile, CAST(sum(CASE WHEN sharpe > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_paths FROM k GROUP BY factor_id"""
+WITH p AS (SELECT a.factor_id, a.horizon, a.offset_no, avg(a.net - c.net) / nullif(stddev_samp(a.net - c.net), 0) AS sharpe FROM ({events_text(d)}) AS a JOIN ({control_text(d)}) AS c ON c.factor_id = a.factor_id AND c.horizon = a.horizon AND c.session = a.session GROUP BY a.factor_id, a.horizon, a.offset_no),
+k AS (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon ORDER BY sharpe, offset_no) AS i, count(*) OVER (PARTITION BY factor_id, horizon) AS n FROM p)
+SELECT factor_id, horizon, {r6(d.percentile('sharpe', 0.5))} AS median_sharpe, {r6('max(CASE WHEN i = floor(0.25e0 * (n - 1)) + 1 THEN sharpe END)')} AS lower_quartile, CAST(sum(CASE WHEN sharpe > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_paths FROM k GROUP BY factor_id, horizon"""
 
 
 @operator("k6_quantile_portfolio", OBS)
@@ -82,27 +111,26 @@ SELECT n.factor_id, {r6('avg(1 - coalesce(shared, 0) / CAST(n.c + p.c - coalesce
 
 
 @operator("k7_stress", OBS)
-def stress(d: Dialect) -> str:
-    """Net results over a grid of cost multipliers and holding periods, in one plan."""
-    parts = " UNION ALL ".join(f"SELECT {h} AS h, factor_id, gross, turnover FROM ({events_text(h)}) AS e{h}" for h in (1, 3))
-    return f"SELECT h, multiplier, factor_id, count(*) AS cohorts, {r6('avg(gross - 0.002e0 * multiplier * turnover)')} AS mean_net FROM ({parts}) AS g {d.explode(d.array([1, 2, 4]), 'multiplier')} GROUP BY h, multiplier, factor_id"
+def stress(d: Dialect, navs: tuple = (1e5, 1e6, 1e7), parts: tuple = (0.05, 0.1), multipliers: tuple = (1.0, 2.0, 4.0)) -> str:
+    """Net results, clipped notional and turnover over NAV by participation by cost multiplier, in one plan."""
+    return f"SELECT factor_id, horizon, nav, part, multiplier, count(*) AS cohorts, {r6(f'avg(gross - {COST}e0 * multiplier * turnover)')} AS mean_net, {r6(f'avg(gross - {COST}e0 * multiplier * turnover) / nullif(stddev_samp(gross - {COST}e0 * multiplier * turnover), 0)')} AS sharpe, {r6('avg(turnover)')} AS turnover, round(sum(clipped), 0) + 0.0 AS clipped FROM ({events_text(d, navs=navs, parts=parts)}) AS g {d.explode(d.doubles(multipliers), 'multiplier')} GROUP BY factor_id, horizon, nav, part, multiplier"
 
 
 @operator("h22_accounting", OBS)
 def accounting(d: Dialect) -> str:
-    return f"SELECT a.factor_id, count(*) AS cohorts, {r6('sum(a.gross)')} AS gross, {r6('sum(a.net)')} AS net, {r6('sum(a.gross - a.net)')} AS cost, {r6('sum(c.net)')} AS control, {r6('sum(a.net - c.net)')} AS value_added FROM ({events_text()}) AS a JOIN ({events_text(3, 10, 'AVOID')}) AS c ON c.factor_id = a.factor_id AND c.session = a.session GROUP BY a.factor_id"
+    return f"SELECT a.factor_id, a.horizon, count(*) AS cohorts, {r6('sum(a.gross)')} AS gross, {r6('sum(a.net)')} AS net, {r6('sum(a.gross - a.net)')} AS cost, {r6('sum(c.net)')} AS control, {r6('sum(a.net - c.net)')} AS value_added FROM ({events_text(d)}) AS a JOIN ({control_text(d)}) AS c ON c.factor_id = a.factor_id AND c.horizon = a.horizon AND c.session = a.session GROUP BY a.factor_id, a.horizon"
 
 
 @operator("h23_conversion", OBS)
-def conversion(d: Dialect) -> str:
-    """Gross against net by breadth and year, and the cost that would eat all of it."""
-    parts = " UNION ALL ".join(f"SELECT {b} AS breadth, factor_id, year(session) AS y, gross, turnover, net FROM ({events_text(3, b)}) AS e{b}" for b in (5, 10))
-    return f"SELECT breadth, factor_id, y, {r6('avg(gross)')} AS gross, {r6('avg(net)')} AS net, {r6('avg(gross - net)')} AS drag, {r6('sum(gross) / nullif(sum(turnover), 0)')} AS cost_tolerance FROM ({parts}) AS g GROUP BY breadth, factor_id, y"
+def conversion(d: Dialect, breadths: tuple = (5, 10)) -> str:
+    """Gross against net by horizon, breadth and year, and the cost that would eat all of it."""
+    return f"SELECT factor_id, horizon, CAST(b AS BIGINT) AS breadth, year(session) AS y, {r6('avg(gross)')} AS gross, {r6('avg(net)')} AS net, {r6('avg(gross - net)')} AS drag, {r6('sum(gross) / nullif(sum(turnover), 0)')} AS cost_tolerance FROM ({events_text(d, breadths)}) AS g GROUP BY factor_id, horizon, b, year(session)"
 
 
 @operator("h26_run_totals", OBS)
-def run_totals(d: Dialect) -> str:
-    return f"SELECT factor_id, count(*) AS cohorts, {r6('sum(turnover)')} AS turnover, {r6('sum(gross - net)')} AS cost, CAST(sum(CASE WHEN round(turnover, 6) > 0.9 THEN 1 ELSE 0 END) AS BIGINT) AS full_turns FROM ({events_text()}) AS e GROUP BY factor_id"
+def run_totals(d: Dialect, nav: float = 1e7) -> str:
+    """Turnover, cost, notional that could not be placed, and how many orders were cut."""
+    return f"SELECT factor_id, horizon, count(*) AS cohorts, {r6('sum(turnover)')} AS turnover, {r6('sum(gross - net)')} AS cost, round(sum(clipped), 0) + 0.0 AS clipped_notional, CAST(sum(clipped_orders) AS BIGINT) AS clipped_orders FROM ({events_text(d, navs=(nav,))}) AS e GROUP BY factor_id, horizon"
 
 
 @operator("k8_hysteresis", OBS)
@@ -120,8 +148,9 @@ def by_slice(d: Dialect) -> str:
 
 
 @operator("k10_sleeves", OBS)
-def sleeves(d: Dialect, h: int = 3, b: int = 10) -> str:
-    return f"SELECT factor_id, {r6('avg(sharpe)')} AS mean_sharpe, {r6('min(sharpe)')} AS worst_sharpe FROM (SELECT factor_id, offset_no, avg(gross - 0.002e0) / nullif(stddev_samp(gross - 0.002e0), 0) AS sharpe FROM ({events_text(h, b)}) AS e GROUP BY factor_id, offset_no) AS x GROUP BY factor_id"
+def sleeves(d: Dialect, b: int = 10) -> str:
+    """Sharpe of each offset's sleeve under the cost of a full turn."""
+    return f"SELECT factor_id, horizon, {r6('avg(sharpe)')} AS mean_sharpe, {r6('min(sharpe)')} AS worst_sharpe FROM (SELECT factor_id, horizon, offset_no, avg(gross - {COST}e0) / nullif(stddev_samp(gross - {COST}e0), 0) AS sharpe FROM ({events_text(d, (b,))}) AS e GROUP BY factor_id, horizon, offset_no) AS x GROUP BY factor_id, horizon"
 
 
 # --- candidate tables ------------------------------------------------------------------------------
@@ -138,11 +167,18 @@ def candidate_grid(d: Dialect) -> str:
 
 
 @operator("l2_dedupe_quota", EV)
-def dedupe_quota(d: Dialect, quota: int = 40) -> str:
-    """First of each (user, type, rounded value) is a candidate; each domain admits quota of them."""
+def dedupe_quota(d: Dialect, quota: int = 40, block: int = 100_000) -> str:
+    """First of each (type, rounded value) is a candidate; each domain admits quota of them in order.
+
+    The running number of a domain is the sum of its earlier blocks of event ids and the place within
+    the block, so no task orders a whole domain.
+    """
     return f"""
-SELECT event_type AS domain, status, count(*) AS candidates FROM (SELECT *, CASE WHEN k > 1 THEN 'duplicate' WHEN sum(CASE WHEN k = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY event_type ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) > {quota} THEN 'over_budget' ELSE 'admitted' END AS status FROM (
-  SELECT *, row_number() OVER (PARTITION BY event_type, round(value, 1) ORDER BY event_id) AS k FROM {{ev}}) AS a) AS b GROUP BY event_type, status"""
+WITH k AS (SELECT event_type, event_id, CAST(floor(event_id / {block}e0) AS BIGINT) AS blk, CASE WHEN row_number() OVER (PARTITION BY event_type, round(value, 1) ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS firsts FROM {{ev}}),
+p AS (SELECT event_type, blk, coalesce(sum(firsts) OVER (PARTITION BY event_type ORDER BY blk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM (SELECT event_type, blk, sum(firsts) AS firsts FROM k GROUP BY event_type, blk) AS b)
+SELECT event_type AS domain, status, count(*) AS candidates FROM (
+  SELECT n.event_type, CASE WHEN n.firsts = 0 THEN 'duplicate' WHEN p.earlier + n.place > {quota} THEN 'over_budget' ELSE 'admitted' END AS status FROM (
+    SELECT *, sum(firsts) OVER (PARTITION BY event_type, blk ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM k) AS n JOIN p ON p.event_type = n.event_type AND p.blk = n.blk) AS s GROUP BY event_type, status"""
 
 
 _EVIDENCE = f"SELECT factor_id, horizon, count(*) AS days, avg(rank_ic) AS ic, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS icir, avg(CASE WHEN rank_ic > 0 THEN 1e0 ELSE 0e0 END) AS hit FROM ({DAILY}) AS a GROUP BY factor_id, horizon"

@@ -131,30 +131,55 @@ SELECT factor_id, horizon, {r6('max(CASE WHEN k = 1 THEN ic END)')} AS last_quar
 
 @operator("h12_diagnostics", OBS)
 def diagnostics(d: Dialect) -> str:
-    """Coverage, pooled IC, stale share and concentration in one aggregation after one window."""
+    """Coverage, pooled and size-free IC, stale share, concentration by group and session, style
+    correlations, and what turnover leaves of the spread; one aggregation after one window."""
     return f"""
-WITH x AS (SELECT *, CASE WHEN v = lag(v, 1) OVER (PARTITION BY factor_id, horizon, instrument ORDER BY session) THEN 1e0 ELSE 0e0 END AS stale FROM {{obs}}),
-g AS (SELECT factor_id, horizon, max(share) AS top_group FROM (SELECT factor_id, horizon, grp, count(*) / CAST(sum(count(*)) OVER (PARTITION BY factor_id, horizon) AS DOUBLE) AS share FROM {{obs}} GROUP BY factor_id, horizon, grp) AS s GROUP BY factor_id, horizon)
-SELECT x.factor_id, x.horizon, count(*) AS cells, count(DISTINCT x.session) AS sessions, count(DISTINCT x.instrument) AS instruments, {r6('corr(x.v, x.fwd)')} AS pooled_ic, {r6('avg(stale)')} AS stale_share, {r6('max(top_group)')} AS top_group, {r6('corr(x.v, ln(x.cap))')} AS size_correlation
-FROM x JOIN g ON g.factor_id = x.factor_id AND g.horizon = x.horizon GROUP BY x.factor_id, x.horizon"""
+WITH x AS (SELECT *, ln(cap) AS lc, ln(adv) AS la, CASE WHEN v = lag(v, 1) OVER (PARTITION BY factor_id, horizon, instrument ORDER BY session) THEN 1e0 ELSE 0e0 END AS stale FROM {{obs}}),
+g AS (SELECT factor_id, horizon, max(share) AS top_group FROM (SELECT factor_id, horizon, grp, count(*) / CAST(sum(count(*)) OVER (PARTITION BY factor_id, horizon) AS DOUBLE) AS share FROM {{obs}} GROUP BY factor_id, horizon, grp) AS s GROUP BY factor_id, horizon),
+t AS (SELECT factor_id, horizon, max(share) AS top_session FROM (SELECT factor_id, horizon, session, count(*) / CAST(sum(count(*)) OVER (PARTITION BY factor_id, horizon) AS DOUBLE) AS share FROM {{obs}} GROUP BY factor_id, horizon, session) AS s GROUP BY factor_id, horizon),
+c AS (SELECT factor_id, horizon, count(*) AS cells, {d.distinct('session')} AS sessions, {d.distinct('instrument')} AS instruments, corr(v, fwd) AS vf, corr(v, lc) AS vc, corr(fwd, lc) AS fc, corr(v, la) AS va, avg(stale) AS stale FROM x GROUP BY factor_id, horizon)
+SELECT c.factor_id, c.horizon, cells, sessions, instruments, {r6('cells / CAST(sessions * instruments AS DOUBLE)')} AS coverage, {r6('vf')} AS pooled_ic, {r6('(vf - vc * fc) / nullif(sqrt((1 - vc * vc) * (1 - fc * fc)), 0)')} AS residual_ic, {r6('stale')} AS stale_share, {r6('top_group')} AS top_group, {r6('top_session')} AS top_session, {r6('vc')} AS size_correlation, {r6('va')} AS liquidity_correlation
+FROM c JOIN g ON g.factor_id = c.factor_id AND g.horizon = c.horizon JOIN t ON t.factor_id = c.factor_id AND t.horizon = c.horizon"""
 
 
 @operator("h13_regime_evidence", OBS)
 def regime_evidence(d: Dialect) -> str:
-    """Pooled RankIC in sessions that the market rose and fell in, and whether both agree."""
+    """Pooled RankIC in sessions that the market rose and fell in.
+
+    Values are ranked on a grid of 1e-4: the counts of each grid value are ranked, not the rows, so
+    a regime is never sorted by one task as a whole.
+    """
+    key = "factor_id, horizon, regime"
+
+    def ranks(x: str) -> str:
+        return f"SELECT {key}, {x}, sum(c) OVER (PARTITION BY {key} ORDER BY {x} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (c - 1) / 2e0 AS r FROM (SELECT {key}, {x}, count(*) AS c FROM m GROUP BY {key}, {x}) AS h_{x}"
+
+    on = lambda t, x: f"{t}.factor_id = m.factor_id AND {t}.horizon = m.horizon AND {t}.regime = m.regime AND {t}.{x} = m.{x}"
     return f"""
-WITH m AS (SELECT *, CASE WHEN avg(fwd) OVER (PARTITION BY {XS}) >= 0 THEN 'up' ELSE 'down' END AS regime FROM {{obs}}),
-k AS (SELECT *, {avg_rank('v', 'factor_id, horizon, regime')} AS rv, {avg_rank('fwd', 'factor_id, horizon, regime')} AS rf FROM m)
-SELECT factor_id, horizon, regime, count(*) AS cells, {r6('corr(rv, rf)')} AS rank_ic FROM k GROUP BY factor_id, horizon, regime"""
+WITH m AS (SELECT factor_id, horizon, round(v, 4) AS gv, round(fwd, 4) AS gf, CASE WHEN avg(fwd) OVER (PARTITION BY {XS}) >= 0 THEN 'up' ELSE 'down' END AS regime FROM {{obs}}),
+rv AS ({ranks('gv')}), rf AS ({ranks('gf')})
+SELECT m.factor_id, m.horizon, m.regime, count(*) AS cells, {r6('corr(rv.r, rf.r)')} AS rank_ic FROM m JOIN rv ON {on('rv', 'gv')} JOIN rf ON {on('rf', 'gf')} GROUP BY m.factor_id, m.horizon, m.regime"""
 
 
 @operator("h14_objective", OBS)
-def objective(d: Dialect) -> str:
-    """Weighted sum of percentile scores of four measures."""
-    score = lambda x: f"(dense_rank() OVER (PARTITION BY horizon ORDER BY {x}) - 1) / CAST(greatest(count(*) OVER (PARTITION BY horizon) - 1, 1) AS DOUBLE)"
+def objective(d: Dialect, lookback: str = "CASE factor_id WHEN 'rev5' THEN 5e0 ELSE 1e0 END", family: str = "CASE factor_id WHEN 'rev5' THEN 'price' ELSE 'bar' END") -> str:
+    """Weighted sum of seven percentile scores: RankIC, top excess, monotonicity, share of positive
+    regimes and novelty of the family for it, concentration on few sessions and complexity against it."""
+    score = lambda x: f"((dense_rank() OVER (PARTITION BY horizon ORDER BY {x}) - 1) / CAST(greatest({d.levels(x)} - 1, 1) AS DOUBLE))"
+    weights = {"ic": 0.25, "top": 0.25, "mono": 0.15, "regime": 0.15, "novelty": 0.1, "concentration": -0.05, "complexity": -0.05}
+    total = " + ".join(f"({w}e0) * {score(x)}" for x, w in weights.items())
     return f"""
-SELECT factor_id, horizon, {r6(f"0.4e0 * {score('ic')} + 0.3e0 * {score('icir')} + 0.2e0 * {score('hit')} + 0.1e0 * {score('worst')}")} AS objective FROM (
-  SELECT factor_id, horizon, avg(rank_ic) AS ic, avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) AS icir, avg(CASE WHEN rank_ic > 0 THEN 1e0 ELSE 0e0 END) AS hit, min(rank_ic) AS worst FROM ({DAILY}) AS a GROUP BY factor_id, horizon) AS b"""
+WITH b AS (SELECT *, {bucket_text(5)} AS q FROM {{obs}}),
+day AS (SELECT factor_id, horizon, session, avg(CASE WHEN q = 5 THEN fwd END) AS top, avg(fwd) AS everyone, avg(CASE WHEN q = 5 THEN fwd END) - avg(CASE WHEN q = 1 THEN fwd END) AS spread FROM b GROUP BY factor_id, horizon, session),
+placed AS (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon ORDER BY abs(spread) DESC, session) AS i, count(*) OVER (PARTITION BY factor_id, horizon) AS n FROM day),
+shape AS (SELECT factor_id, horizon, avg(top - everyone) AS top, sum(CASE WHEN i <= greatest(1, ceil(n * 0.1e0)) THEN abs(spread) ELSE 0 END) / nullif(sum(abs(spread)), 0) AS concentration FROM placed GROUP BY factor_id, horizon),
+means AS (SELECT factor_id, horizon, q, avg(ret) AS ret FROM (SELECT factor_id, horizon, session, q, avg(fwd) AS ret FROM b GROUP BY factor_id, horizon, session, q) AS x GROUP BY factor_id, horizon, q),
+mono AS (SELECT factor_id, horizon, corr(q, r) AS mono FROM (SELECT *, {avg_rank('ret', 'factor_id, horizon')} AS r FROM means) AS y GROUP BY factor_id, horizon),
+ics AS (SELECT a.factor_id, a.horizon, a.rank_ic, CASE WHEN day.everyone >= 0 THEN 'up' ELSE 'down' END AS regime FROM ({DAILY}) AS a JOIN day ON day.factor_id = a.factor_id AND day.horizon = a.horizon AND day.session = a.session),
+reg AS (SELECT factor_id, horizon, sum(s) / sum(n) AS ic, avg(CASE WHEN s > 0 THEN 1e0 ELSE 0e0 END) AS regime FROM (SELECT factor_id, horizon, regime, sum(rank_ic) AS s, CAST(count(*) AS DOUBLE) AS n FROM ics GROUP BY factor_id, horizon, regime) AS z GROUP BY factor_id, horizon),
+t AS (SELECT shape.factor_id, shape.horizon, round(ic, 9) AS ic, round(top, 9) AS top, round(mono, 9) AS mono, regime, round(concentration, 9) AS concentration, round(ln(1 + {lookback.replace('factor_id', 'shape.factor_id')}), 9) AS complexity, round(1e0 / count(*) OVER (PARTITION BY shape.horizon, {family.replace('factor_id', 'shape.factor_id')}), 9) AS novelty
+  FROM shape JOIN mono ON mono.factor_id = shape.factor_id AND mono.horizon = shape.horizon JOIN reg ON reg.factor_id = shape.factor_id AND reg.horizon = shape.horizon)
+SELECT factor_id, horizon, {r6(total)} AS objective FROM t"""
 
 
 @operator("h15_moments", OBS)
@@ -198,11 +223,22 @@ def subwindows(d: Dialect, c: int = 4) -> str:
     return performance(f"SELECT factor_id, segment, session, ret FROM ({segments_text(c)}) AS s", "factor_id, segment")
 
 
+def _top_text(breadths: tuple, d: Dialect) -> str:
+    """Excess return of the best b names of every cross-section with more names than that."""
+    return f"SELECT concat(factor_id, ':', horizon) AS factor_id, b, session, avg(CASE WHEN k <= b THEN fwd END) - avg(fwd) AS ret FROM (SELECT *, {ordinal('v', desc=True)} AS k, {size()} AS n FROM {{obs}}) AS o {d.explode(d.array(list(breadths)), 'b')} WHERE n > b GROUP BY factor_id, horizon, b, session"
+
+
 @operator("h20_stability", OBS)
-def stability(d: Dialect, c: int = 4) -> str:
+def stability(d: Dialect, c: int = 4, breadths: tuple = (5, 10, 20), robust: float = 0.6) -> str:
+    """Sharpe by chronological segment and breadth: median, worst, share of segments with a gain, share
+    of the neighbouring breadths that hold up, and the reasons against the candidate."""
     return f"""
-SELECT factor_id, {r6(d.percentile('sharpe', 0.5))} AS median_sharpe, {r6('min(sharpe)')} AS worst_sharpe, {r6('avg(CASE WHEN sharpe > 0 THEN 1e0 ELSE 0e0 END)')} AS positive_share, CASE WHEN min(sharpe) <= 0 THEN 'negative_segment' ELSE 'stable' END AS reason FROM (
-  SELECT factor_id, segment, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12) AS sharpe FROM ({segments_text(c)}) AS s GROUP BY factor_id, segment) AS x GROUP BY factor_id"""
+WITH s AS (SELECT factor_id, b, ret, CAST(floor((i * {c} - 1) / CAST(n AS DOUBLE)) AS BIGINT) AS segment FROM (SELECT *, row_number() OVER (PARTITION BY factor_id, b ORDER BY session) AS i, count(*) OVER (PARTITION BY factor_id, b) AS n FROM ({_top_text(breadths, d)}) AS r) AS a),
+g AS (SELECT factor_id, b, segment, avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252) AS sharpe, sum(ret) AS total FROM s GROUP BY factor_id, b, segment),
+m AS (SELECT factor_id, b, {d.percentile('sharpe', 0.5)} AS median_sharpe, min(sharpe) AS worst_sharpe, avg(CASE WHEN total > 0 THEN 1e0 ELSE 0e0 END) AS positive_share FROM g GROUP BY factor_id, b),
+e AS (SELECT *, avg(CASE WHEN worst_sharpe > 0 AND positive_share >= {robust}e0 THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY factor_id) AS neighbours FROM m)
+SELECT factor_id, CAST(b AS BIGINT) AS breadth, {r6('median_sharpe')} AS median_sharpe, {r6('worst_sharpe')} AS worst_sharpe, positive_share, {r6('neighbours')} AS breadth_robustness,
+  concat_ws('+', CASE WHEN positive_share < {robust}e0 THEN 'subwindow_sign_instability' END, CASE WHEN coalesce(worst_sharpe, -1) <= 0 THEN 'negative_worst_subwindow' END, CASE WHEN neighbours < {robust}e0 THEN 'breadth_fragility' END) AS reasons FROM e"""
 
 
 _INDEX = "SELECT session, sx, level, level / lag(level, 1) OVER (ORDER BY sx) - 1 AS bench FROM (SELECT session, sx, avg(close) AS level FROM {bars} GROUP BY session, sx) AS i"
@@ -218,7 +254,7 @@ FROM ({RETURNS}) AS r JOIN ({_INDEX}) AS b USING (session) WHERE bench IS NOT NU
 @operator("h24_trial_report", {"ev": "ev"})
 def trial_report(d: Dialect) -> str:
     """Trials by family: counts by status, the best accepted one, spread of scores."""
-    return f"SELECT event_type AS family, count(*) AS trials, CAST(sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS accepted, max_by(event_id, value * 1000000 - event_id * 1e-7) AS best_trial, {r6('stddev_samp(value)')} AS score_spread, {r6('max(value)')} AS best_score FROM {{ev}} GROUP BY event_type"
+    return f"SELECT event_type AS family, count(*) AS trials, CAST(sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) AS BIGINT) AS accepted, max_by(event_id, {d.pair('value', '-event_id')}) AS best_trial, {r6('stddev_samp(value)')} AS score_spread, {r6('max(value)')} AS best_score FROM {{ev}} GROUP BY event_type"
 
 
 @operator("h25_failure_patterns", {"ev": "ev"})

@@ -33,11 +33,12 @@ SELECT factor_id, horizon, session, corr(v, fwd) AS ic, corr(rv, rf) AS rank_ic,
   SELECT *, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf FROM {{obs}}) AS ranked
 GROUP BY factor_id, horizon, session HAVING count(*) >= 3 AND min(v) < max(v) AND min(fwd) < max(fwd)"""
 
-#: Top-quintile return over the cross-section's mean, by factor and session (horizon 1).
+#: Top-quintile return over the cross-section's mean, by session; a factor at a horizon is a candidate
+#: of its own, named factor:horizon.
 RETURNS = f"""
-SELECT factor_id, session, avg(CASE WHEN k <= greatest(1, floor(n / 5e0)) THEN fwd END) - avg(fwd) AS ret, count(*) AS names FROM (
-  SELECT *, {ordinal('v', desc=True)} AS k, {size()} AS n FROM {{obs}} WHERE horizon = 1) AS ordered
-GROUP BY factor_id, session HAVING count(*) >= 5"""
+SELECT concat(factor_id, ':', horizon) AS factor_id, session, avg(CASE WHEN k <= greatest(1, floor(n / 5e0)) THEN fwd END) - avg(fwd) AS ret, count(*) AS names FROM (
+  SELECT *, {ordinal('v', desc=True)} AS k, {size()} AS n FROM {{obs}}) AS ordered
+GROUP BY factor_id, horizon, session HAVING count(*) >= 5"""
 
 
 def series(returns: str, part: str = "factor_id") -> str:

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from panelforge.operators.base import Dialect, operator
+from panelforge.operators.scores import REDUNDANCY
 from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, r6, size, unit
-from panelforge.operators.xs import winsor_z_text
 
 OBS = {"obs": "obs"}
 G, K = 6, 3
@@ -63,53 +65,145 @@ SELECT a.fold, count(DISTINCT a.sx) AS train, CAST(sum(CASE WHEN b.sx <= a.sx +
 
 
 @operator("j4_cpcv_paths", OBS)
-def cpcv_paths(d: Dialect) -> str:
-    return f"SELECT row_number() OVER (PARTITION BY grp_no ORDER BY fold) - 1 AS path, grp_no, fold FROM ({folds_text(d)}) AS f"
+def cpcv_paths(d: Dialect, g: int = G, k: int = K) -> str:
+    """Which fold each path takes for each group of sessions, and how many sessions that is."""
+    return f"""
+SELECT p.path, p.grp_no, p.fold, t.sessions, CAST(sum(t.sessions) OVER (PARTITION BY p.path) AS BIGINT) AS path_sessions FROM ({paths_text(d, g, k)}) AS p
+JOIN (SELECT grp_no, count(*) AS sessions FROM ({groups_text(g)}) AS q GROUP BY grp_no) AS t ON t.grp_no = p.grp_no"""
 
 
-@operator("j5_fit_transform", OBS)
-def fit_transform(d: Dialect) -> str:
-    """Winsor limits, mean and population scale learned on train sessions, used on both sides."""
+def paths_text(d: Dialect, g: int = G, k: int = K) -> str:
+    return f"SELECT row_number() OVER (PARTITION BY grp_no ORDER BY fold) - 1 AS path, grp_no, fold FROM ({folds_text(d, g, k)}) AS pf"
+
+
+#: Percentiles of a whole factor are taken on a grid, so that what one of them gathers is bounded.
+GRID = 5
+
+
+# --- stages: small tables that the fold operators name more than once -------------------------------
+
+
+def role_text(d: Dialect) -> str:
+    return f"WITH {members_text(d)} SELECT fold, sx, role FROM ({roles_text(d)}) AS r"
+
+
+def daily_text(d: Dialect) -> str:
+    return f"SELECT a.factor_id, a.horizon, o.sx, a.rank_ic FROM ({DAILY}) AS a JOIN (SELECT DISTINCT session, sx FROM {{obs}}) AS o ON o.session = a.session"
+
+
+def scores_text(d: Dialect) -> str:
+    """Mean RankIC of every factor and horizon on the train and test sessions of every fold."""
+    return "SELECT factor_id, horizon, fold, role, avg(rank_ic) AS score, count(*) AS days FROM {daily} AS i JOIN {roles} AS r ON r.sx = i.sx WHERE role IN ('train', 'test') GROUP BY factor_id, horizon, fold, role"
+
+
+def weights_text(d: Dialect) -> str:
+    """Weights of every candidate in every fold, learned on its train sessions.
+
+    A candidate is a set of factors under a scheme: single (one factor), equal, positive (mean train
+    RankIC where positive, equal if none is), best (the one with the highest) and signed (equal, each
+    in the direction of its train RankIC).
+    """
     return f"""
-WITH {members_text(d)}, r AS ({roles_text(d)}), v AS (SELECT fold, role, o.instrument, o.sx, o.v FROM r JOIN (SELECT * FROM {{obs}} WHERE factor_id = 'rev5' AND horizon = 5) AS o ON o.sx = r.sx WHERE role IN ('train', 'test')),
-q AS (SELECT fold, {d.percentile('v', 0.05)} AS lo, {d.percentile('v', 0.95)} AS hi FROM v WHERE role = 'train' GROUP BY fold), m AS (SELECT v.fold, avg(least(greatest(v, lo), hi)) AS mu, stddev_pop(least(greatest(v, lo), hi)) AS sd FROM v JOIN q ON q.fold = v.fold WHERE role = 'train' GROUP BY v.fold)
-SELECT v.fold, role, count(*) AS cells, {r6('avg((least(greatest(v, lo), hi) - mu) / sd)')} AS mean_z, {r6('stddev_pop((least(greatest(v, lo), hi) - mu) / sd)')} AS scale_z FROM v JOIN q ON q.fold = v.fold JOIN m ON m.fold = v.fold GROUP BY v.fold, role"""
+WITH fac AS (SELECT factor_id, row_number() OVER (ORDER BY factor_id) - 1 AS k, count(*) OVER () AS n_factors FROM (SELECT DISTINCT factor_id FROM {{scores}}) AS x),
+sets AS (SELECT m AS members, fac.factor_id, count(*) OVER (PARTITION BY m) AS n FROM fac {d.explode(d.sequence('1', '127'), 'm')} WHERE m < {d.shift_left('n_factors')} AND (m & {d.shift_left('k')}) > 0),
+ts AS (SELECT sets.members, sets.n, s.fold, s.horizon, s.factor_id, s.score, greatest(s.score, 0) AS gain, row_number() OVER (PARTITION BY sets.members, s.fold, s.horizon ORDER BY round(s.score, 9) DESC, s.factor_id) AS place FROM {{scores}} AS s JOIN sets ON sets.factor_id = s.factor_id WHERE s.role = 'train'),
+tt AS (SELECT *, sum(gain) OVER (PARTITION BY members, fold, horizon) AS total FROM ts)
+SELECT fold, horizon, members, scheme, factor_id, CASE scheme WHEN 'positive' THEN CASE WHEN total > 0 THEN gain / total ELSE 1e0 / n END WHEN 'best' THEN CASE WHEN place = 1 THEN 1e0 ELSE 0e0 END WHEN 'signed' THEN CASE WHEN score < 0 THEN -1e0 ELSE 1e0 END / n ELSE 1e0 / n END AS weight
+FROM tt {d.explode(d.array(['single', 'equal', 'positive', 'best', 'signed']), 'scheme')} WHERE (n = 1) = (scheme = 'single')"""
 
 
-def scored_text(d: Dialect) -> str:
-    return f"WITH {members_text(d)}, r AS ({roles_text(d)}), ic AS (SELECT a.factor_id, a.horizon, o.sx, a.rank_ic FROM ({DAILY}) AS a JOIN (SELECT DISTINCT session, sx FROM {{obs}}) AS o ON o.session = a.session), s AS (SELECT factor_id, fold, role, avg(rank_ic) AS score, count(*) AS days FROM ic JOIN r ON r.sx = ic.sx WHERE horizon = 5 AND role IN ('train', 'test') GROUP BY factor_id, fold, role)"
+def blends_text(d: Dialect) -> str:
+    """Names each candidate's blend in each fold by its weights: folds that learn the same share one."""
+    t = "STRING" if d.name == "spark" else "VARCHAR"
+    name = d.collect(f"concat(factor_id, '=', CAST(round(weight, 9) AS {t}))", "factor_id")
+    joined = f"array_join({name}, ',')" if d.name == "spark" else f"array_to_string({name}, ',')"
+    return f"SELECT fold, horizon, members, scheme, {joined} AS blend FROM {{weights}} WHERE weight <> 0 GROUP BY fold, horizon, members, scheme"
 
 
-@operator("j6_cpcv_scores", OBS)
+def blend_ics_text(d: Dialect) -> str:
+    """RankIC of every blend on each session that any of its folds tests."""
+    on = "b.fold = w.fold AND b.horizon = w.horizon AND b.members = w.members AND b.scheme = w.scheme"
+    return f"""
+WITH parts AS (SELECT b.blend, b.horizon, w.factor_id, max(w.weight) AS weight FROM {{blends}} AS b JOIN {{weights}} AS w ON {on} WHERE w.weight <> 0 GROUP BY b.blend, b.horizon, w.factor_id),
+asked AS (SELECT DISTINCT b.blend, b.horizon, r.sx FROM {{blends}} AS b JOIN {{roles}} AS r ON r.fold = b.fold WHERE r.role = 'test'),
+need AS (SELECT a.blend, a.horizon, a.sx, p.factor_id, p.weight, count(*) OVER (PARTITION BY a.blend, a.horizon, a.sx) AS n FROM asked AS a JOIN parts AS p ON p.blend = a.blend AND p.horizon = a.horizon),
+u AS (SELECT factor_id, horizon, sx, instrument, fwd, {unit(avg_rank('v'), size())} AS u FROM {{obs}}),
+x AS (SELECT need.blend, u.horizon, u.sx, u.instrument, round(sum(need.weight * u.u), 9) AS value, max(u.fwd) AS fwd FROM u JOIN need ON need.factor_id = u.factor_id AND need.horizon = u.horizon AND need.sx = u.sx GROUP BY need.blend, u.horizon, u.sx, u.instrument HAVING count(*) = max(need.n)),
+k AS (SELECT blend, horizon, sx, {avg_rank('value', 'blend, horizon, sx')} AS rv, {avg_rank('fwd', 'blend, horizon, sx')} AS rf FROM x)
+SELECT blend, horizon, sx, corr(rv, rf) AS ic FROM k GROUP BY blend, horizon, sx HAVING count(*) >= 3"""
+
+
+def tests_text(d: Dialect) -> str:
+    """RankIC of every candidate on every test session of every fold, with that fold's weights."""
+    return "SELECT b.fold, b.horizon, b.members, b.scheme, r.sx, i.ic FROM {blends} AS b JOIN {roles} AS r ON r.fold = b.fold AND r.role = 'test' JOIN {blend_ics} AS i ON i.blend = b.blend AND i.horizon = b.horizon AND i.sx = r.sx WHERE i.ic IS NOT NULL"
+
+
+def path_scores_text(d: Dialect) -> str:
+    """Mean out-of-sample RankIC of every candidate on every path, each group by the path's own fold."""
+    return f"SELECT p.path, concat(t.horizon, ':', t.members, ':', t.scheme) AS config, avg(t.ic) AS score FROM ({paths_text(d)}) AS p JOIN ({groups_text()}) AS g ON g.grp_no = p.grp_no JOIN ({tests_text(d)}) AS t ON t.fold = p.fold AND t.sx = g.sx GROUP BY p.path, t.horizon, t.members, t.scheme"
+
+
+ROLES = {"roles": role_text}
+SCORES = ROLES | {"daily": daily_text, "scores": scores_text}
+WEIGHTS = SCORES | {"weights": weights_text}
+BLENDS = WEIGHTS | {"blends": blends_text, "blend_ics": blend_ics_text}
+
+#: Percentiles of a whole factor are taken on a grid, so that what one of them gathers is bounded.
+GRID = 5
+
+
+@operator("j5_fit_transform", OBS, ROLES)
+def fit_transform(d: Dialect) -> str:
+    """Winsor limits, mean and population scale learned on train sessions, used on both sides."""
+    limit = lambda q: d.percentile(f"round(v, {GRID})", q)
+    clipped = "least(greatest(v, lo), hi)"
+    return f"""
+WITH v AS (SELECT r.fold, r.role, o.factor_id, o.horizon, o.v FROM {{roles}} AS r JOIN {{obs}} AS o ON o.sx = r.sx WHERE role IN ('train', 'test')),
+q AS (SELECT fold, factor_id, horizon, {limit(0.05)} AS lo, {limit(0.95)} AS hi FROM v WHERE role = 'train' GROUP BY fold, factor_id, horizon),
+m AS (SELECT v.fold, v.factor_id, v.horizon, avg({clipped}) AS mu, stddev_pop({clipped}) AS sd FROM v JOIN q ON q.fold = v.fold AND q.factor_id = v.factor_id AND q.horizon = v.horizon WHERE role = 'train' GROUP BY v.fold, v.factor_id, v.horizon)
+SELECT v.fold, v.factor_id, v.horizon, role, count(*) AS cells, {r6(f'avg(({clipped} - mu) / sd)')} AS mean_z, {r6(f'stddev_pop(({clipped} - mu) / sd)')} AS scale_z
+FROM v JOIN q ON q.fold = v.fold AND q.factor_id = v.factor_id AND q.horizon = v.horizon JOIN m ON m.fold = v.fold AND m.factor_id = v.factor_id AND m.horizon = v.horizon GROUP BY v.fold, v.factor_id, v.horizon, role"""
+
+
+@operator("j6_cpcv_scores", OBS, SCORES)
 def cpcv_scores(d: Dialect) -> str:
-    return f"{scored_text(d)} SELECT factor_id, fold, role, days, {r6('score')} AS score FROM s"
+    return f"SELECT factor_id, horizon, fold, role, days, {r6('score')} AS score FROM {{scores}}"
 
 
-@operator("j7_fit_weights", OBS)
+@operator("j7_fit_weights", OBS, WEIGHTS)
 def fit_weights(d: Dialect) -> str:
-    """Positive train scores as weights, equal ones where no score is positive."""
-    return f"{scored_text(d)} SELECT fold, factor_id, {r6('CASE WHEN total > 0 THEN w / total ELSE 1e0 / n END')} AS weight FROM (SELECT fold, factor_id, greatest(score, 0) AS w, sum(greatest(score, 0)) OVER (PARTITION BY fold) AS total, count(*) OVER (PARTITION BY fold) AS n FROM s WHERE role = 'train') AS x"
+    return f"SELECT fold, horizon, CAST(members AS BIGINT) AS members, scheme, factor_id, {r6('weight')} AS weight FROM {{weights}}"
+
+
+@operator("j8_path_scores", OBS, BLENDS)
+def path_scores(d: Dialect) -> str:
+    return f"SELECT path, config, {r6('score')} AS score FROM ({path_scores_text(d)}) AS ps"
 
 
-@operator("j8_pbo_paths", OBS)
-def pbo_paths(d: Dialect) -> str:
-    """Overfitting probability over all half-splits of the paths: logit of the winner's rank out of sample."""
-    paths = 10
+@operator("j8_pbo_paths", OBS, BLENDS | {"path_scores": path_scores_text})
+def pbo_paths(d: Dialect, g: int = G, k: int = K) -> str:
+    """Overfitting probability over all half-splits of the paths: logit of the winner's rank out of sample.
+
+    Scores are those of candidates that learn their weights in each fold, so paths differ by what was
+    learned and by nothing else.
+    """
+    paths = math.comb(g - 1, k - 1)
     bit = f"((m & {d.shift_left('path')}) > 0)"
+    logit = "ln((r / (n + 1)) / (1 - r / (n + 1)))"
     return f"""
-WITH {members_text(d)}, pt AS (SELECT row_number() OVER (PARTITION BY grp_no ORDER BY fold) - 1 AS path, grp_no, fold FROM f), ic AS (SELECT a.factor_id, a.horizon, g.grp_no, avg(a.rank_ic) AS score FROM ({DAILY}) AS a JOIN (SELECT DISTINCT session, sx FROM {{obs}}) AS o ON o.session = a.session JOIN g ON g.sx = o.sx GROUP BY a.factor_id, a.horizon, g.grp_no),
-ps AS (SELECT path, concat(factor_id, ':', CAST(horizon AS {'STRING' if d.name == 'spark' else 'VARCHAR'})) AS config, avg(score + 0.001e0 * fold * CASE WHEN factor_id = 'rev5' THEN 1 ELSE -1 END) AS score FROM pt JOIN ic ON ic.grp_no = pt.grp_no GROUP BY path, factor_id, horizon),
-ms AS (SELECT m FROM (SELECT 1 AS one) AS o {d.explode(d.sequence('0', str(2**paths - 1)), 'm')} WHERE bit_count(m) = {paths // 2}),
-sc AS (SELECT m, config, avg(CASE WHEN {bit} THEN score END) AS inside, avg(CASE WHEN NOT {bit} THEN score END) AS outside FROM ms CROSS JOIN ps GROUP BY m, config),
-k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY round(inside, 9) DESC, config DESC) AS place, {avg_rank('round(outside, 9)', 'm')} AS r, count(*) OVER (PARTITION BY m) AS n FROM sc)
-SELECT count(*) AS splits, {r6('avg(CASE WHEN ln((r / (n + 1)) / (1 - r / (n + 1))) <= 0 THEN 1e0 ELSE 0e0 END)')} AS pbo, {r6('avg(ln((r / (n + 1)) / (1 - r / (n + 1))))')} AS mean_logit FROM k WHERE place = 1"""
+WITH ms AS (SELECT m FROM (SELECT 1 AS one) AS o {d.explode(d.sequence('0', str(2**paths - 1)), 'm')} WHERE bit_count(m) = {paths // 2}),
+sc AS (SELECT m, config, round(avg(CASE WHEN {bit} THEN score END), 9) AS inside, round(avg(CASE WHEN NOT {bit} THEN score END), 9) AS outside FROM ms CROSS JOIN {{path_scores}} AS ps GROUP BY m, config),
+pk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY inside DESC, config DESC) AS place, {avg_rank('outside', 'm')} AS r, count(*) OVER (PARTITION BY m) AS n FROM sc)
+SELECT count(*) AS splits, max(n) AS configs, {r6(f'avg(CASE WHEN {logit} <= 0 THEN 1e0 ELSE 0e0 END)')} AS pbo, {r6(f'avg({logit})')} AS mean_logit FROM pk WHERE place = 1"""
 
 
-@operator("j9_pbo_folds", OBS)
+@operator("j9_pbo_folds", OBS, SCORES)
 def pbo_folds(d: Dialect) -> str:
-    return f"""{scored_text(d)}, w AS (SELECT fold, factor_id, max(CASE WHEN role = 'train' THEN score END) AS a, max(CASE WHEN role = 'test' THEN score END) AS b FROM s GROUP BY fold, factor_id),
-k AS (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY round(a, 9) DESC, factor_id DESC) AS place, {avg_rank('b', 'fold')} AS r, count(*) OVER (PARTITION BY fold) AS n FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
-SELECT fold, factor_id AS winner, {r6('r / (n + 1)')} AS relative_rank, {r6('ln((r / (n + 1)) / (1 - r / (n + 1)))')} AS logit FROM k WHERE place = 1"""
+    """The train winner of every fold and horizon and its rank on that fold's test sessions."""
+    return f"""
+WITH w AS (SELECT fold, horizon, factor_id, max(CASE WHEN role = 'train' THEN score END) AS a, max(CASE WHEN role = 'test' THEN score END) AS b FROM {{scores}} GROUP BY fold, horizon, factor_id),
+k AS (SELECT *, row_number() OVER (PARTITION BY fold, horizon ORDER BY round(a, 9) DESC, factor_id DESC) AS place, {avg_rank('b', 'fold, horizon')} AS r, count(*) OVER (PARTITION BY fold, horizon) AS n FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
+SELECT fold, horizon, factor_id AS winner, {r6('r / (n + 1)')} AS relative_rank, {r6('ln((r / (n + 1)) / (1 - r / (n + 1)))')} AS logit FROM k WHERE place = 1"""
 
 
 @operator("j10_pbo_blocks", OBS)
@@ -146,11 +240,12 @@ SELECT factor_id, n, {r6('sharpe')} AS sharpe, {r6('skew')} AS skew, {r6('kurt')
 
 @operator("j13_walk_forward", OBS)
 def walk_forward(d: Dialect, blocks: int = 6) -> str:
-    """For each block of time the factor with the best mean RankIC on all blocks before it."""
+    """For each horizon and block of time the factor with the best mean RankIC on all blocks before it."""
+    before = "OVER (PARTITION BY factor_id, horizon ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
     return f"""
-WITH ic AS (SELECT factor_id, session, rank_ic, ntile({blocks}) OVER (PARTITION BY factor_id ORDER BY session) AS block FROM ({DAILY}) AS a WHERE horizon = 1), b AS (SELECT factor_id, block, sum(rank_ic) AS s, count(*) AS n FROM ic GROUP BY factor_id, block),
-c AS (SELECT factor_id, block, sum(s) OVER (PARTITION BY factor_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) / sum(n) OVER (PARTITION BY factor_id ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS past, s / n AS here FROM b)
-SELECT block, factor_id, {r6('past')} AS past, {r6('here')} AS realised FROM (SELECT *, row_number() OVER (PARTITION BY block ORDER BY past DESC, factor_id) AS k FROM c WHERE past IS NOT NULL) AS x WHERE k = 1"""
+WITH ic AS (SELECT factor_id, horizon, session, rank_ic, ntile({blocks}) OVER (PARTITION BY factor_id, horizon ORDER BY session) AS block FROM ({DAILY}) AS a), b AS (SELECT factor_id, horizon, block, sum(rank_ic) AS s, count(*) AS n FROM ic GROUP BY factor_id, horizon, block),
+c AS (SELECT factor_id, horizon, block, sum(s) {before} / sum(n) {before} AS past, s / n AS here FROM b)
+SELECT horizon, block, factor_id, {r6('past')} AS past, {r6('here')} AS realised FROM (SELECT *, row_number() OVER (PARTITION BY horizon, block ORDER BY round(past, 9) DESC, factor_id) AS k FROM c WHERE past IS NOT NULL) AS x WHERE k = 1"""
 
 
 @operator("j14_screen", OBS)
@@ -162,21 +257,70 @@ SELECT factor_id, horizon, days, {r6('ic')} AS mean_rank_ic, {r6('positive')} AS
 
 @operator("j15_robust_scale", OBS)
 def robust_scale(d: Dialect, split: int = 40) -> str:
-    """Median and scaled MAD of the train part, applied to later sessions, clipped at train quantiles."""
+    """Median and scaled MAD of the train part, applied to later sessions, clipped at train quantiles
+    (all of them on a grid, see GRID)."""
+    at = lambda x, q: d.percentile(f"round({x}, {GRID})", q)
+    key = lambda a, b: f"{a}.factor_id = {b}.factor_id AND {a}.horizon = {b}.horizon"
     return f"""
-WITH t AS (SELECT factor_id, v FROM {{obs}} WHERE horizon = 1 AND sx <= {split}), q AS (SELECT factor_id, {d.percentile('v', 0.5)} AS mid, {d.percentile('v', 0.01)} AS lo, {d.percentile('v', 0.99)} AS hi FROM t GROUP BY factor_id),
-m AS (SELECT t.factor_id, {d.percentile('abs(v - mid)', 0.5)} * 1.4826e0 AS mad FROM t JOIN q ON q.factor_id = t.factor_id GROUP BY t.factor_id)
-SELECT o.factor_id, session, instrument, {r6('(least(greatest(v, lo), hi) - mid) / nullif(mad, 0)')} AS value FROM {{obs}} AS o JOIN q ON q.factor_id = o.factor_id JOIN m ON m.factor_id = o.factor_id WHERE horizon = 1 AND sx > {split}"""
-
-
-@operator("j18_marginal", OBS)
-def marginal(d: Dialect) -> str:
-    """Candidate off reference by a regression of the train half; RankIC of the residual later on."""
+WITH t AS (SELECT factor_id, horizon, v FROM {{obs}} WHERE sx <= {split}), q AS (SELECT factor_id, horizon, {at('v', 0.5)} AS mid, {at('v', 0.01)} AS lo, {at('v', 0.99)} AS hi FROM t GROUP BY factor_id, horizon),
+m AS (SELECT t.factor_id, t.horizon, {at('abs(v - mid)', 0.5)} * 1.4826e0 AS mad FROM t JOIN q ON {key('q', 't')} GROUP BY t.factor_id, t.horizon)
+SELECT o.factor_id, o.horizon, session, instrument, {r6('(least(greatest(v, lo), hi) - mid) / nullif(mad, 0)')} AS value FROM {{obs}} AS o JOIN q ON {key('q', 'o')} JOIN m ON {key('m', 'o')} WHERE sx > {split}"""
+
+
+@operator("j18_marginal", OBS, ROLES)
+def marginal(d: Dialect, reference: str = "rev5", fraction: float = 0.2, blend: float = 0.5, cost: float = 0.001, complexity: float = 0.0) -> str:
+    """What a candidate adds to a reference factor, fold by fold.
+
+    Each fold's train sessions give the regression of the candidate on the reference (from one row of
+    sums per session); on its test sessions the residual is scored, and the long portfolio of the
+    reference is held against one of reference and residual together: Sharpe, turnover, drawdown and
+    tail, and the utility they make.
+    """
+    part = "fold, factor_id, horizon, session"
+    z = lambda x: f"coalesce(({x} - avg({x}) OVER (PARTITION BY {part})) / nullif(stddev_pop({x}) OVER (PARTITION BY {part}), 0), 0)"
+    key = "fold, factor_id, horizon, kind"
+    return f"""
+WITH r AS (SELECT * FROM {{roles}}),
+w AS (SELECT a.factor_id, a.horizon, a.session, a.sx, a.instrument, a.v AS y, b.v AS x, a.fwd FROM {{obs}} AS a JOIN {{obs}} AS b ON b.horizon = a.horizon AND b.session = a.session AND b.instrument = a.instrument WHERE a.factor_id <> '{reference}' AND b.factor_id = '{reference}'),
+sums AS (SELECT factor_id, horizon, sx, count(*) AS n, sum(x) AS sx1, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM w GROUP BY factor_id, horizon, sx),
+m AS (SELECT fold, factor_id, horizon, n, CASE WHEN sxx - sx1 * sx1 / n > 0 THEN (sxy - sx1 * sy / n) / (sxx - sx1 * sx1 / n) ELSE 0e0 END AS beta, sx1 / n AS mx, sy / n AS my FROM (
+  SELECT r.fold, s.factor_id, s.horizon, CAST(sum(s.n) AS DOUBLE) AS n, sum(s.sx1) AS sx1, sum(s.sy) AS sy, sum(s.sxx) AS sxx, sum(s.sxy) AS sxy FROM sums AS s JOIN r ON r.sx = s.sx WHERE r.role = 'train' GROUP BY r.fold, s.factor_id, s.horizon) AS t),
+e AS (SELECT m.fold, w.factor_id, w.horizon, w.session, w.instrument, w.x, w.fwd, w.y - m.my - m.beta * (w.x - m.mx) AS e FROM w JOIN r ON r.sx = w.sx AND r.role = 'test' JOIN m ON m.fold = r.fold AND m.factor_id = w.factor_id AND m.horizon = w.horizon),
+a AS (SELECT *, round({z('x')} + {blend}e0 * {z('e')}, 9) AS augmented FROM e),
+p AS (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY x DESC, instrument DESC) AS k_ref, row_number() OVER (PARTITION BY {part} ORDER BY augmented DESC, instrument DESC) AS k_aug FROM a),
+days AS (SELECT fold, session, row_number() OVER (PARTITION BY fold ORDER BY session) AS i FROM (SELECT DISTINCT fold, session FROM e) AS x),
+h AS (SELECT p.fold, p.factor_id, p.horizon, kind, p.session, days.i, p.instrument, p.fwd FROM p JOIN days ON days.fold = p.fold AND days.session = p.session {d.explode(d.array(['reference', 'augmented']), 'kind')} WHERE CASE kind WHEN 'reference' THEN k_ref ELSE k_aug END <= greatest(1, ceil(n * {fraction}e0))),
+o AS (SELECT *, CASE WHEN lag(i, 1) OVER (PARTITION BY {key}, instrument ORDER BY i) = i - 1 THEN 1 ELSE 0 END AS again FROM h),
+day AS (SELECT {key}, session, i, avg(fwd) AS ret, count(*) AS c, sum(again) AS shared FROM o GROUP BY {key}, session, i),
+dt AS (SELECT *, CASE WHEN lag(i, 1) OVER (PARTITION BY {key} ORDER BY i) = i - 1 THEN 1 - shared / CAST(c + lag(c, 1) OVER (PARTITION BY {key} ORDER BY i) - shared AS DOUBLE) END AS turn FROM day),
+net AS (SELECT *, ret - {cost}e0 * coalesce(avg(turn) OVER (PARTITION BY {key}), 0) AS net FROM dt),
+wealth AS (SELECT *, exp(sum(ln(greatest(1 + net, 0.01e0))) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS wealth, row_number() OVER (PARTITION BY {key} ORDER BY net, i) AS worst, count(*) OVER (PARTITION BY {key}) AS n_days FROM net),
+peaks AS (SELECT *, wealth / greatest(1e0, max(wealth) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS fall FROM wealth),
+pm AS (SELECT {key}, coalesce(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252e0), 0e0) AS sharpe, coalesce(avg(turn), 0e0) AS turnover, least(0e0, min(fall)) AS drawdown, max(CASE WHEN worst = greatest(1, ceil(n_days * 0.05e0)) THEN net END) AS tail FROM peaks GROUP BY {key}),
+dl AS (SELECT fold, factor_id, horizon, max(CASE kind WHEN 'augmented' THEN sharpe END) - max(CASE kind WHEN 'reference' THEN sharpe END) AS d_sharpe, max(CASE kind WHEN 'augmented' THEN turnover END) - max(CASE kind WHEN 'reference' THEN turnover END) AS d_turnover, max(CASE kind WHEN 'augmented' THEN drawdown END) - max(CASE kind WHEN 'reference' THEN drawdown END) AS d_drawdown, max(CASE kind WHEN 'augmented' THEN tail END) - max(CASE kind WHEN 'reference' THEN tail END) AS d_tail FROM pm GROUP BY fold, factor_id, horizon),
+ri AS (SELECT fold, factor_id, horizon, corr(e, fwd) AS residual_ic, corr(x, fwd) AS reference_ic FROM e GROUP BY fold, factor_id, horizon)
+SELECT dl.fold, dl.factor_id, dl.horizon, {r6('m.beta')} AS beta, {r6('ri.reference_ic')} AS reference_ic, {r6('ri.residual_ic')} AS residual_ic, {r6('d_sharpe')} AS delta_sharpe, {r6('d_turnover')} AS delta_turnover, {r6('d_drawdown')} AS drawdown_improvement, {r6('d_tail')} AS delta_tail,
+  {r6(f'd_sharpe + 2 * ri.residual_ic + d_drawdown + d_tail - greatest(d_turnover, 0) - {complexity}e0')} AS utility
+FROM dl JOIN ri ON ri.fold = dl.fold AND ri.factor_id = dl.factor_id AND ri.horizon = dl.horizon JOIN m ON m.fold = dl.fold AND m.factor_id = dl.factor_id AND m.horizon = dl.horizon"""
+
+
+#: Tags of the panel's factors, for the overlap of what they mean.
+TAGS = {"rev5": ("price", "reversal", "close"), "strength": ("price", "intraday", "close"), "width": ("price", "intraday", "range")}
+
+
+@operator("j19_duplicate_matrix", OBS)
+def duplicate_matrix(d: Dialect, tags: dict = TAGS, pearson: float = 0.98, rank: float = 0.98, residual: float = 0.95, exposure: float = 0.95) -> str:
+    """Every pair of factors: Pearson, mean daily Spearman, Pearson of what log size leaves, cosine of
+    their exposures (to log size, log turnover and group), overlap of tags, and the verdict."""
+    rows = " UNION ALL ".join(f"SELECT '{f}' AS factor_id, '{t}' AS tag" for f, ts in tags.items() for t in ts)
     return f"""
-WITH w AS (SELECT session, sx, instrument, max(CASE WHEN factor_id = 'width' THEN v END) AS y, max(CASE WHEN factor_id = 'rev5' THEN v END) AS x, max(fwd) AS fwd FROM {{obs}} WHERE horizon = 1 GROUP BY session, sx, instrument),
-c AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS base FROM w WHERE sx <= 40 AND x IS NOT NULL AND y IS NOT NULL), e AS (SELECT session, y - base - slope * x AS e, y, fwd FROM w, c WHERE sx > 40 AND x IS NOT NULL AND y IS NOT NULL),
-k AS (SELECT session, {avg_rank('e', 'session')} AS re, {avg_rank('y', 'session')} AS ry, {avg_rank('fwd', 'session')} AS rf FROM e)
-SELECT count(*) AS days, {r6('avg(a)')} AS raw_rank_ic, {r6('avg(b)')} AS residual_rank_ic FROM (SELECT session, corr(ry, rf) AS a, corr(re, rf) AS b FROM k GROUP BY session HAVING count(*) >= 3) AS x"""
+WITH tag AS ({rows}), c AS (SELECT a.factor_id AS fa, b.factor_id AS fb, a.horizon AS horizon, count(*) AS cells, corr(a.v, b.v) AS ab, corr(a.v, ln(a.cap)) AS ac, corr(b.v, ln(a.cap)) AS bc FROM {{obs}} AS a JOIN {{obs}} AS b ON a.horizon = b.horizon AND a.session = b.session AND a.instrument = b.instrument AND a.factor_id < b.factor_id GROUP BY a.factor_id, b.factor_id, a.horizon),
+x AS (SELECT factor_id, horizon, coalesce(corr(v, ln(cap)), 0) AS e1, coalesce(corr(v, ln(adv)), 0) AS e2, coalesce(corr(v, CAST(grp AS DOUBLE)), 0) AS e3 FROM {{obs}} GROUP BY factor_id, horizon),
+s AS ({REDUNDANCY}), n AS (SELECT factor_id, count(*) AS n FROM tag GROUP BY factor_id), t AS (SELECT a.factor_id AS fa, b.factor_id AS fb, count(*) AS shared FROM tag AS a JOIN tag AS b ON a.tag = b.tag AND a.factor_id < b.factor_id GROUP BY a.factor_id, b.factor_id),
+f AS (SELECT c.fa, c.fb, c.horizon, c.cells, c.ab, s.rho, (c.ab - c.ac * c.bc) / nullif(sqrt((1 - c.ac * c.ac) * (1 - c.bc * c.bc)), 0) AS rest, (xa.e1 * xb.e1 + xa.e2 * xb.e2 + xa.e3 * xb.e3) / nullif(sqrt((xa.e1 * xa.e1 + xa.e2 * xa.e2 + xa.e3 * xa.e3) * (xb.e1 * xb.e1 + xb.e2 * xb.e2 + xb.e3 * xb.e3)), 0) AS cosine,
+  coalesce(t.shared, 0) / CAST(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(t.shared, 0) AS DOUBLE) AS jaccard FROM c JOIN s ON s.fa = c.fa AND s.fb = c.fb AND s.horizon = c.horizon JOIN x AS xa ON xa.factor_id = c.fa AND xa.horizon = c.horizon JOIN x AS xb ON xb.factor_id = c.fb AND xb.horizon = c.horizon LEFT JOIN n AS na ON na.factor_id = c.fa LEFT JOIN n AS nb ON nb.factor_id = c.fb LEFT JOIN t ON t.fa = c.fa AND t.fb = c.fb)
+SELECT fa, fb, horizon, cells, {r6('ab')} AS pearson, {r6('rho')} AS spearman, {r6('rest')} AS residual_pearson, {r6('cosine')} AS exposure_cosine, {r6('jaccard')} AS tag_jaccard,
+  CASE WHEN abs(ab) >= {pearson} AND abs(rho) >= {rank} THEN 'NUMERICAL_DUPLICATE' WHEN abs(rest) >= {residual} AND abs(cosine) >= {exposure} THEN 'RESIDUAL_DUPLICATE' ELSE 'NOVEL' END AS code FROM f"""
 
 
 @operator("j19_novelty", {"vectors": "embeddings"})
@@ -189,10 +333,7 @@ WITH f AS ({flat}), m AS (SELECT label, i, avg(x) AS x FROM f GROUP BY label, i)
 SELECT a.label AS la, b.label AS lb, {r6('sum(a.x * b.x) / max(na.norm * nb.norm)')} AS cosine, CASE WHEN sum(a.x * b.x) / max(na.norm * nb.norm) > 0.9 THEN 'duplicate' ELSE 'novel' END AS priority FROM m AS a JOIN m AS b ON a.i = b.i AND a.label < b.label JOIN n AS na ON na.label = a.label JOIN n AS nb ON nb.label = b.label GROUP BY a.label, b.label"""
 
 
-@operator("j20_composite_scores", OBS)
+@operator("j20_composite_scores", OBS, BLENDS)
 def composite_scores(d: Dialect) -> str:
-    """Unit ranks blended with each fold's own train weights, scored on its test sessions."""
-    return f"""{scored_text(d)}, w AS (SELECT fold, factor_id, CASE WHEN total > 0 THEN w / total ELSE 1e0 / n END AS weight FROM (SELECT fold, factor_id, greatest(score, 0) AS w, sum(greatest(score, 0)) OVER (PARTITION BY fold) AS total, count(*) OVER (PARTITION BY fold) AS n FROM s WHERE role = 'train') AS x),
-u AS (SELECT factor_id, sx, instrument, fwd, {unit(avg_rank('v'), size())} AS u FROM {{obs}} WHERE horizon = 5), b AS (SELECT r.fold, u.sx, u.instrument, round(sum(w.weight * u.u), 9) AS blend, max(u.fwd) AS fwd FROM u JOIN r ON r.sx = u.sx AND r.role = 'test' JOIN w ON w.fold = r.fold AND w.factor_id = u.factor_id GROUP BY r.fold, u.sx, u.instrument HAVING count(*) = 3),
-k AS (SELECT fold, sx, {avg_rank('blend', 'fold, sx')} AS rb, {avg_rank('fwd', 'fold, sx')} AS rf FROM b)
-SELECT fold, count(*) AS days, {r6('avg(ic)')} AS score FROM (SELECT fold, sx, corr(rb, rf) AS ic FROM k GROUP BY fold, sx HAVING count(*) >= 3) AS x GROUP BY fold"""
+    """Every candidate scored on each fold's test sessions with that fold's weights."""
+    return f"SELECT fold, horizon, CAST(members AS BIGINT) AS members, scheme, count(*) AS days, {r6('avg(ic)')} AS score FROM ({tests_text(d)}) AS t GROUP BY fold, horizon, members, scheme"

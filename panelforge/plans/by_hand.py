@@ -2,43 +2,31 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.operators import models, panel, validation
-from panelforge.operators.base import SPARK, run
+from panelforge.operators.base import SPARK, run, scratch
 from panelforge.sources import files, panels
 from panelforge.streaming import forward
 
 
-def _scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one (a local one in tests)."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="panelforge-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/panel-{uuid.uuid4().hex}"
-
-
 def a3_read_bars_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     bars = panels.weekly_bars(spark, sf_dir).selectExpr("instrument AS code", "session AS trade_date", "open", "high", "low", "close", "volume AS vol", "amount")
     bars.write.option("header", True).csv(path)
     return files.read_bars_long(spark, path)
 
 
 def a6_read_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     panels.raw_events(spark, sf_dir).selectExpr("'industry' AS kind", "ts AS effective_at", "ts + INTERVAL 1 HOUR AS available_at", "ts + INTERVAL 1 DAY AS ingested_at", "user_id AS instrument", "event_type AS group_id", "event_type AS group_name").write.option("header", True).csv(path)
     return files.read_memberships(spark, path)
 
 
 def a7_universe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also the sink of universes (A10)."""
-    path = _scratch(spark)
+    path = scratch(spark)
     files.write_universe(run(panel.dynamic_universe.text(SPARK), bars=panels.monthly_bars(spark, sf_dir)), path)
     return files.read_universe(spark, path, 10)
 
@@ -47,19 +35,19 @@ A7_TWIN = f"WITH p1 AS MATERIALIZED ({panels.DUCK['p1']}) SELECT session, instru
 
 
 def a8_read_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     panels.weekly_bars(spark, sf_dir).groupBy("session").agg(F.avg("open").alias("open")).write.option("header", True).csv(path)
     return files.read_index(spark, path)
 
 
 def a11_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     panels.monthly_bars(spark, sf_dir).select("instrument", "session", "close").write.parquet(path)
     return files.snapshot(spark, f"{path}/*.parquet")
 
 
 def a14_write_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = _scratch(spark)
+    path = scratch(spark)
     files.write_bundle(panels.raw_events(spark, sf_dir).select("event_id", "event_type", "user_id"), path)
     return spark.read.text(path)
 
@@ -84,7 +72,7 @@ def j17_component_and_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m1_forward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = _scratch(spark)
+    base = scratch(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
     events.write.parquet(f"{base}/in")
     return forward.stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "2024-01-10").select("session", "event_type", F.round("ret", 6).alias("ret"), "n")

@@ -7,8 +7,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.operators.base import DUCK, REGISTRY, SPARK, duck_text, run, widened
-from panelforge.plans import by_hand
+from panelforge.operators.base import REGISTRY, duck_text
+from panelforge.plans import by_hand, twins
 from panelforge.sources import panels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,7 +28,7 @@ def _frame(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
 def _query(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry = REGISTRY[name]
-        return widened(run(entry.text(SPARK, **entry.params), **{k: _frame(spark, sf_dir, p) for k, p in entry.frames.items()}))
+        return entry.run({k: _frame(spark, sf_dir, p) for k, p in entry.frames.items()}, **entry.params)
 
     return query
 
@@ -38,4 +38,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_text(e, panels.DUCK, panels.NEEDS) for name, e in REGISTRY.items()} | {name: sql for name, (_, sql) in BY_HAND.items() if sql}
+    """Twins of all queries: second formulas where there are any, the operator's own text otherwise."""
+    return {name: duck_text(e, panels.DUCK, panels.NEEDS) for name, e in REGISTRY.items()} | {name: sql for name, (_, sql) in BY_HAND.items() if sql} | twins.texts()

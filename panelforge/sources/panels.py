@@ -109,10 +109,10 @@ WITH b AS (
 s AS (
   SELECT instrument, session, sx, grp, cap, year(session) AS subperiod, {past('r5')} AS rev5, {past('st')} AS strength, {past('wd')} AS width, {label(1)} AS fwd1, {label(5)} AS fwd5,
     lag(session, 1) OVER w AS signal_at, session AS label_start, lead(session, 1) OVER w AS end1, lead(session, 5) OVER w AS end5,
-    avg(amount) OVER (PARTITION BY instrument ORDER BY sx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS adv
+    avg(amount) OVER (PARTITION BY instrument ORDER BY sx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS adv, lag(amount, 1) OVER w AS prior_amount
   FROM b WINDOW w AS (PARTITION BY instrument ORDER BY sx)),
 f AS (
-  SELECT instrument, session, sx, grp, cap, subperiod, adv, factor_id, CASE factor_id WHEN 'rev5' THEN rev5 WHEN 'strength' THEN strength ELSE width END AS v, CAST(horizon AS BIGINT) AS horizon, CASE WHEN horizon = 1 THEN fwd1 ELSE fwd5 END AS fwd,
+  SELECT instrument, session, sx, grp, cap, subperiod, adv, prior_amount, factor_id, CASE factor_id WHEN 'rev5' THEN rev5 WHEN 'strength' THEN strength ELSE width END AS v, CAST(horizon AS BIGINT) AS horizon, CASE WHEN horizon = 1 THEN fwd1 ELSE fwd5 END AS fwd,
     signal_at, signal_at AS feature_at, label_start, CASE WHEN horizon = 1 THEN end1 ELSE end5 END AS label_end
   FROM s {grid})
 SELECT * FROM f WHERE v IS NOT NULL AND fwd IS NOT NULL AND adv IS NOT NULL"""
