@@ -1,32 +1,40 @@
 """Quality by perplexity under an interpolated modified Kneser-Ney model of trusted text.
 
-The model counts byte n-grams (a byte and the four before it; upper case, symbols and table bars
-tell junk as well as words do, and the tables stay small beside the text). Counts are summed over
-all trusted documents, every order's probabilities come from joins of count tables sharded by
-n-gram, and each document's perplexity is read off the table they give. Perplexities are thresholded by quantiles of the trusted documents of the same language.
+The model counts byte n-grams: a byte and the four before it. Case, symbols, table bars and words said
+over and over tell junk in them, and the tables stay small beside the text, which word n-grams of this
+text would not. Counts are summed over all trusted documents but a held-out fifth, every order's
+probabilities come from joins of count tables sharded by n-gram, and batches of documents ask the
+shards for the n-grams they hold. Perplexities are thresholded by a quantile of the held-out trusted
+documents of the same language and length class, as short texts spread more.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import written
+from panelforge.llm.common import blocks_for, few, give_back, written
+from panelforge.llm.packing import docs_of, pack, pack_docs, pack_sorted, unpack, unpack_sorted
 
 ORDER = 5
-#: Bytes of text in a batch of documents, and the largest table of probabilities to broadcast.
-BATCH_BYTES, BROADCAST_GRAMS = 16_000_000, 4_000_000
-QUANTILE, MARGIN = 0.995, 1.15
+#: Bytes of text in a batch of documents, n-grams of a shard of the model, and batches that ask one
+#: copy of a shard: more batches are answered by more copies.
+BATCH_BYTES, SHARD_GRAMS, BATCHES_PER_COPY = 32_000_000, 250_000, 16
+#: Trusted documents with this remainder of crc32(doc_id) by FOLDS are held out of the counts.
+FOLDS, HELD_OUT = 5, 0
+QUANTILE = 0.985
+#: Length classes begin at these numbers of bytes; a class of fewer held-out documents takes the
+#: threshold of its length over all languages.
+LENGTHS, MIN_CLASS = (150, 300, 600), 30
 UNKNOWN = "und"
 _PAD = b"\n" * (ORDER - 1)
 _UNIFORM = 1.0 / 256
+_BLOCK = 1_000_000
 
 
 def grams(data: bytes) -> np.ndarray:
@@ -38,37 +46,50 @@ def grams(data: bytes) -> np.ndarray:
     return code
 
 
-def _summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-    codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return codes, np.bincount(where, np.concatenate([p[1] for p in parts]), len(codes)).astype(np.int64)
+def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, how often each occurs) of many texts, some at a time."""
+    parts, held, size = [], [], 0
+    for text in [*texts, None]:
+        if text:
+            held.append(grams(text))
+            size += len(text)
+        if held and (text is None or size > _BLOCK):
+            parts.append(_runs(np.sort(np.concatenate(held))))
+            held, size = [], 0
+        if len(parts) > 16 or (text is None and len(parts) > 1):
+            parts = [summed(parts)]
+    return parts[0] if parts else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def _runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    first = np.flatnonzero(new)
+    return x[first], np.diff(np.append(first, len(x)))
+
+
+def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+    """Tables of (n-grams, counts) as one."""
+    codes, counts = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    order = np.argsort(codes, kind="stable")
+    codes, n = _runs(codes[order])
+    return codes, np.add.reduceat(counts[order], np.cumsum(n) - n) if len(n) else n
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of this task's documents, with their count in trusted ones."""
-    parts, held, limit = [], 0, 2_000_000
+    """Distinct n-grams of this task's documents, with their count in those the model learns from."""
+    parts = []
     for batch in batches:
-        for text, trusted in zip(batch.column("__t").to_pylist(), batch.column("__trusted").to_pylist(), strict=True):
-            if text:
-                codes, counts = np.unique(grams(text), return_counts=True)
-                parts.append((codes, counts if trusted else np.zeros(len(codes), np.int64)))
-                held += len(codes)
-                if held >= limit:
-                    parts = [_summed(parts)]
-                    held = len(parts[0][0])
-                    limit = max(limit, 3 * held)
+        texts, learned = batch.column("__t").to_pylist(), batch.column("__learned").to_pylist()
+        parts.append(distinct([t for t, x in zip(texts, learned, strict=True) if x]))
+        codes, _ = distinct([t for t, x in zip(texts, learned, strict=True) if not x])
+        parts.append((codes, np.zeros(len(codes), np.int64)))
+        if len(parts) > 8:
+            parts = [summed(parts)]
     if parts:
-        codes, counts = _summed(parts)
+        codes, counts = summed(parts)
         yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts)], names=["gram", "n"])
-
-
-def _requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams of each packed batch of documents."""
-    for batch in batches:
-        for key, blob in zip(batch.column("batch").to_pylist(), batch.column("docs").to_pylist(), strict=True):
-            texts = [t for t in _unpacked(blob).column("text").to_pylist() if t]
-            if texts:
-                codes = np.unique(np.concatenate([np.unique(grams(t)) for t in texts]))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(codes), pa.string()), pa.array(codes)], names=["batch", "gram"])
+    give_back()
 
 
 def discounts(counts: list[float]) -> tuple[float, float, float]:
@@ -111,106 +132,103 @@ def probabilities(counted: DataFrame, order: int = ORDER) -> DataFrame:
     return below.select("gram", F.log("p").alias("log_p"))
 
 
-def _pack(batch_bytes: int):
-    """Rows of many documents' compressed texts; each row is a batch with a name of its own."""
+def _shard_of(codes: np.ndarray, shards: int) -> np.ndarray:
+    x = codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return ((x >> np.uint64(33)) % np.uint64(shards)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in batches:
-            for d in zip(*[batch.column(c).to_pylist() for c in ("doc_id", "lang", "__trusted", "__t")], strict=True):
-                held.append(d)
-                size += len(d[3] or b"")
-                if size > batch_bytes:
-                    yield _packed(held)
-                    held, size = [], 0
-        if held:
-            yield _packed(held)
 
-    return run
+def _requests(shards: int, copies: int):
+    """Of each batch the distinct n-grams, by shard."""
 
+    def run(packed: pd.DataFrame) -> pd.DataFrame:
+        codes, _ = distinct([t for _, texts in docs_of(packed) for t in texts])
+        batch, shard = int(packed["batch"].iloc[0]), _shard_of(codes, shards)
+        rows = [(int(s), batch % copies, batch, pack_sorted(codes[shard == s].astype(np.uint64))) for s in np.unique(shard)]
+        give_back()
+        return pd.DataFrame(rows, columns=["shard", "copy", "batch", "blob"])
 
-def _packed(docs: list) -> pa.RecordBatch:
-    table = pa.table({"doc_id": pa.array([d[0] for d in docs], pa.int64()), "lang": pa.array([d[1] for d in docs], pa.string()), "trusted": pa.array([d[2] for d in docs], pa.bool_()), "text": pa.array([d[3] for d in docs], pa.large_binary())})
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, table.schema) as out:
-        out.write_table(table)
-    blob = zstandard.ZstdCompressor(level=3).compress(sink.getvalue().to_pybytes())
-    return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([blob], pa.binary())], names=["batch", "docs"])
+    return run
 
 
-def _unpacked(blob: bytes) -> pa.Table:
-    with pa.ipc.open_stream(zstandard.ZstdDecompressor().decompress(blob)) as stream:
-        return stream.read_all()
+def _answers(asked: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+    """The log probabilities of a shard's n-grams for every batch that asks, in the order of asking."""
+    model = model.sort_values("gram")
+    codes, logs = model["gram"].to_numpy(), model["log_p"].to_numpy().astype("<f4")
+    rows = [(batch, shard, pack(logs=[logs[np.searchsorted(codes, unpack_sorted(unpack(blob)).astype(np.int64))].tobytes()])) for batch, shard, blob in zip(asked["batch"], asked["shard"], asked["blob"], strict=True)]
+    return pd.DataFrame(rows, columns=["batch", "shard", "blob"])
 
 
-def _mean_perplexity(text: bytes | None, codes: np.ndarray, logs: np.ndarray) -> float | None:
-    return float(np.exp(-logs[np.searchsorted(codes, grams(text))].mean(dtype=np.float64))) if text else None
+def _scored(shards: int):
+    def run(packed: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+        codes, _ = distinct([t for _, texts in docs_of(packed) for t in texts])
+        logs, shard = np.zeros(len(codes), np.float32), _shard_of(codes, shards)
+        for s, blob in zip(answers["shard"], answers["blob"], strict=True):
+            logs[shard == s] = np.frombuffer(unpack(blob).column("logs")[0].as_py(), "<f4")
+        rows = []
+        for ids, texts in docs_of(packed):
+            rows += [(i, float(np.exp(-logs[np.searchsorted(codes, grams(t))].mean(dtype=np.float64))) if t else None, len(t)) for i, t in zip(ids, texts, strict=True)]
+        found = pd.DataFrame(rows, columns=["row", "perplexity", "n_bytes"])
+        give_back()
+        return found
 
+    return run
 
-def _from_shards(packed: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-    table = table.sort_values("gram")
-    codes, logs = table["gram"].to_numpy(), table["log_p"].to_numpy()
-    out: list[tuple] = []
-    for blob in packed["docs"]:
-        columns = [_unpacked(blob).column(c).to_pylist() for c in ("doc_id", "lang", "trusted", "text")]
-        out += [(i, lang, trusted, _mean_perplexity(text, codes, logs)) for i, lang, trusted, text in zip(*columns, strict=True)]
-    found = pd.DataFrame(out, columns=["doc_id", "lang", "trusted", "perplexity"])
-    found["doc_id"] = found["doc_id"].astype("Int64")
-    return found
 
+def perplexities(docs: DataFrame, trusted_ids: DataFrame, batch_bytes: int = BATCH_BYTES, shard_grams: int = SHARD_GRAMS) -> DataFrame:
+    """(doc_id, lang, trusted, held_out, n_bytes, perplexity); null and empty texts have no perplexity.
 
-def _from_broadcast(shared):
+    Texts are dealt to batches by a hash and packed; each batch asks the shards of the model for its
+    distinct n-grams once, and the answers are joined back to it. One way at every size: shards grow
+    in number with the model, copies of a shard with the batches that ask it.
+    """
+    ids = few(trusted_ids.select(F.col("doc_id").cast("long").alias("__id")).where("__id is not null").distinct())
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("__t"))
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
+    d = d.join(ids, d["doc_id"] == ids["__id"], "left").select("doc_id", "lang", "__t", F.col("__id").isNotNull().alias("trusted"), held_out.alias("held_out"))
+    amount = d.agg(F.sum(F.octet_length("__t"))).first()[0]
+    batches = blocks_for(amount, batch_bytes)
+    counted = d.select("__t", (F.col("trusted") & ~F.col("held_out")).alias("__learned")).mapInArrow(_counts, "gram long, n long")
+    model = written(probabilities(written(counted.groupBy("gram").agg(F.sum("n").alias("n")), "counted")), "model")
+    shards, copies = blocks_for(model.count(), shard_grams), blocks_for(batches, BATCHES_PER_COPY)
+    # What a row is beside its text travels with it as one struct.
+    row = F.struct("doc_id", "lang", "trusted", "held_out")
+    d = d.select(F.pmod(F.xxhash64("doc_id", F.octet_length("__t")), F.lit(batches)).cast("int").alias("batch"), F.to_json(row).alias("doc_id"), "__t")
+    packed = d.mapInArrow(pack_docs, "batch int, docs binary").groupBy("batch")
+    asked = packed.applyInPandas(_requests(shards, copies), "shard int, copy int, batch int, blob binary")
+    sharded = model.mapInArrow(_with_shard(shards), "gram long, log_p double, shard int").withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    answers = asked.groupBy("shard", "copy").cogroup(sharded.groupBy("shard", "copy")).applyInPandas(_answers, "batch int, shard int, blob binary")
+    found = packed.cogroup(answers.groupBy("batch")).applyInPandas(_scored(shards), "row string, perplexity double, n_bytes long")
+    return found.select(F.from_json("row", "doc_id long, lang string, trusted boolean, held_out boolean").alias("row"), "perplexity", "n_bytes").select("row.*", "n_bytes", "perplexity")
+
+
+def _with_shard(shards: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes, logs = shared.value
         for batch in batches:
-            p = [_mean_perplexity(t, codes, logs) for t in batch.column("__t").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("__trusted"), pa.array(p, pa.float64())], names=["doc_id", "lang", "trusted", "perplexity"])
+            shard = pa.array(_shard_of(batch.column("gram").to_numpy(), shards), pa.int64()).cast(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("gram"), batch.column("log_p"), shard], names=["gram", "log_p", "shard"])
 
     return run
 
 
-def perplexities(docs: DataFrame, trusted_ids: DataFrame, broadcast_grams: int = BROADCAST_GRAMS, batch_bytes: int = BATCH_BYTES) -> DataFrame:
-    """(doc_id, lang, trusted, perplexity): null and empty texts have no perplexity.
-
-    The count tables are joined by n-gram into one table of probabilities. If it has at most
-    broadcast_grams rows (12 bytes each) it goes to the documents; else documents are packed into
-    batches, each batch asks for its n-grams, and the answers of the shards are joined back to it.
-    """
-    ids = trusted_ids.select(F.col("doc_id").alias("__id")).where("__id is not null").distinct()
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit(UNKNOWN)).alias("lang"), F.col("text").cast("binary").alias("__t"))
-    # Checked: two million ids are 16 MB; beyond that Spark picks the join.
-    ids = F.broadcast(ids) if ids.count() <= 2_000_000 else ids
-    d = d.join(ids, d["doc_id"] == ids["__id"], "left").select("doc_id", "lang", "__t", F.col("__id").isNotNull().alias("__trusted"))
-    counted = written(d.select("__t", "__trusted").mapInArrow(_counts, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "counted")
-    model = written(probabilities(counted), "model")
-    schema = "doc_id long, lang string, trusted boolean, perplexity double"
-    if model.count() <= broadcast_grams:
-        table = model.toArrow()
-        codes, logs = table.column("gram").to_numpy(), table.column("log_p").to_numpy().astype(np.float32)
-        order = np.argsort(codes)
-        return d.mapInArrow(_from_broadcast(d.sparkSession.sparkContext.broadcast((codes[order], logs[order]))), schema)
-    packed = written(d.mapInArrow(_pack(batch_bytes), "batch string, docs binary"), "packed")
-    replies = packed.mapInArrow(_requests, "batch string, gram long").join(model, "gram")
-    return packed.groupBy("batch").cogroup(replies.groupBy("batch")).applyInPandas(_from_shards, schema)
-
-
-def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, margin: float = MARGIN) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """(doc_id, lang, perplexity, threshold, kept) of every document; labels names trusted text.
 
     Trusted are the documents that labels marks with quality 1. A document is kept if its perplexity
-    is at most margin times the quantile of the trusted documents of its language; a language without
-    trusted documents (a null language counts as und) takes the quantile over all trusted ones, and
-    without any trusted document everything with text is kept. Null and empty texts have a null
-    perplexity and are not kept. Repeated rows give repeated rows, a null doc_id is never trusted,
-    other columns are ignored, an empty table gives no rows.
+    is at most the quantile of the held-out trusted documents of its language and length class; a
+    class with under MIN_CLASS of them (a null language counts as und) takes the quantile of its
+    length over all languages, a length without any that over all held-out documents, and without
+    these everything with text is kept. Null and empty texts have a null perplexity and are not kept.
+    Repeated rows give repeated rows, a null doc_id is never trusted, other columns are ignored, an
+    empty table gives no rows.
     """
     scored = written(perplexities(docs, labels.where("quality = 1")), "scored")
-    base = scored.where("trusted and perplexity is not null")
+    scored = scored.withColumn("__class", sum(((F.col("n_bytes") >= n).cast("int") for n in LENGTHS), F.lit(0)))
+    base = scored.where("trusted and held_out and perplexity is not null")
     level = F.percentile_approx("perplexity", F.lit(quantile), F.lit(10_000))
-    by_lang = base.groupBy("lang").agg(level.alias("__own"))
-    # Checked: one row per language; the joined side would be dealt by a few languages otherwise.
-    by_lang = F.broadcast(by_lang) if base.select("lang").distinct().count() <= 10_000 else by_lang
+    own = base.groupBy("lang", "__class").agg(level.alias("__own"), F.count("*").alias("n")).where(F.col("n") >= MIN_CLASS).drop("n")
+    by_length = base.groupBy("__class").agg(level.alias("__length"))
     overall = base.agg(level).first()[0]
-    d = scored.join(by_lang, "lang", "left")
-    threshold = margin * F.coalesce(F.col("__own"), F.lit(overall).cast("double"))
+    # Checked: a few rows per language; the joined side would be dealt by a few languages otherwise.
+    d = scored.join(few(own, 100_000), ["lang", "__class"], "left").join(F.broadcast(by_length), "__class", "left")
+    threshold = F.coalesce("__own", "__length", F.lit(overall).cast("double"))
     return d.select("doc_id", "lang", "perplexity", threshold.alias("threshold"), F.coalesce(F.col("perplexity") <= F.coalesce(threshold, F.lit(float("inf"))), F.lit(False)).alias("kept"))
