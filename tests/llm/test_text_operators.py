@@ -1,6 +1,7 @@
 """Text operators against brute force, held-out labels and exact round trips, and their edge cases."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -42,7 +43,7 @@ def test_edges_of_every_operator(spark, docs):
         assert toxicity.clean(full, model).columns == docs.columns
         assert quality_rules.quality_rules(full).count() == n
         assert language_id.identify(full, net).count() == n
-        assert decontaminate.contaminated(full, items).count() in (0, 4)
+        assert decontaminate.contaminated(full, items).count() in (0, 4, 5)
         assert decontaminate.decontaminated(full, items).columns == docs.columns
     assert wrappers.extract(pages).count() == 3 and wrappers.extract(pages.limit(0)).count() == 0
 
@@ -82,6 +83,54 @@ def test_mixing_hits_its_targets_and_repeats_itself(small):
     assert ((by["taken"] - by["target"]).abs() <= 0.05 * by["target"] + 30).all() and a["copies"].max() <= 2
 
 
+def test_mixing_against_brute_force(spark, small):
+    rows = [(r.doc_id, r.text, r.source) for r in small.collect()] + [(-1, None, None), (-2, "", None), (-3, "a b c", None), (-3, "a b c", None), (None, "x", "tiny")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    count = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    sizes: dict = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + count(t)
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    targets, open_, budget = {}, set(names), 1.5 * sum(sizes.values())
+    while open_:
+        share = {s: budget * weight[s] / sum(weight[x] for x in open_) for s in open_}
+        over = {s for s in open_ if share[s] > 2 * sizes[s]}
+        if not over:
+            targets |= share
+            break
+        for s in over:
+            targets[s] = 2.0 * sizes[s]
+            budget -= targets[s]
+        open_ -= over
+    got = mixing.mix_sources(docs).select("doc_id", "source", "size", "source_size", "target", "copies").toPandas()
+    assert len(got) == len(rows) and got.copies.between(0, 2).all()
+    for s in names:
+        own = got[got.source.isna() if s is None else got.source == s]
+        assert own.source_size.iloc[0] == sizes[s] and own["size"].sum() == sizes[s] and own.target.iloc[0] == pytest.approx(targets[s], abs=1e-6)
+        sums, full = 1, int(targets[s] // sizes[s]) if sizes[s] else 0
+        for n in own["size"]:
+            sums |= sums << int(n)
+        rest = round(targets[s]) - full * sizes[s]
+        best = min(abs(x - rest) for x in range(sizes[s] + 1) if sums >> x & 1)
+        assert abs((own["size"] * own.copies).sum() - targets[s]) <= best + 1
+
+
+def test_budget_fit_equals_all_subsets():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        sizes = np.unique(rng.integers(1, 60, int(rng.integers(1, 7))))
+        counts = rng.integers(1, 4, len(sizes))
+        budget = int(rng.integers(0, int((sizes * counts).sum()) + 1))
+        sums = {0}
+        for s, c in zip(sizes.tolist(), counts.tolist(), strict=True):
+            sums = {x + s * k for x in sums for k in range(c + 1)}
+        take = mixing.fit_counts(sizes, counts, budget)
+        assert ((take >= 0) & (take <= counts)).all()
+        # Proportional shares come first; what they leave to close is at most one longest document off.
+        assert abs(int((take * sizes).sum()) - budget) <= min(abs(x - budget) for x in sums) + sizes.max() // 2
+
+
 def test_budget_fit_is_exact_where_sums_allow():
     rng = np.random.default_rng(1)
     for _ in range(20):
@@ -145,12 +194,19 @@ def test_quality_rules_equal_their_twin(spark):
 
 
 def test_decontamination_finds_every_contained_item(small, spark, sf_dir):
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    sets = {r.item_id: set(decontaminate.shingles(r.text)) for r in items.collect()}
+    some = [" ".join(decontaminate.words(r.text)[7 : 7 + n]) for r, n in zip(small.where("length(text) > 400").orderBy("doc_id").limit(8).collect(), (1, 2, 3, 4, 5, 6, 2, 3), strict=True)]
+    brief = spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*some, some[2], "zz qq", "", None])], "item_id long, text string")
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").unionByName(brief)
     wanted = set()
     for r in small.collect():
-        own = set(decontaminate.shingles(r.text))
-        wanted |= {(r.doc_id, i) for i, s in sets.items() if s and len(s & own) >= 0.8 * len(s)}
+        own = decontaminate.words(r.text)
+        grams = {k: {" ".join(own[i : i + k]) for i in range(len(own) - k + 1)} for k in range(1, 6)}
+        for item in items.collect():
+            w = decontaminate.words(item.text)
+            k = min(len(w), 5)
+            s = {" ".join(w[i : i + k]) for i in range(len(w) - k + 1)} if k else set()
+            if s and len(s & grams[k]) >= 0.8 * len(s):
+                wanted.add((r.doc_id, item.item_id))
     assert {(r.doc_id, r.item_id) for r in decontaminate.contaminated(small, items).collect()} == wanted and wanted
 
 
@@ -168,10 +224,64 @@ def test_kneser_ney_sums_to_one_and_prefers_trusted_text(spark):
     assert not kept[99] and all(kept[i] for i in range(30))
 
 
-def test_sharded_scores_equal_broadcast_ones(small, spark, sf_dir):
+def _kneser_ney_by_hand(learned: list[bytes]):
+    """Byte probabilities from dictionaries, one context after another."""
+    order = kneser_ney.ORDER
+    counts = [{} for _ in range(order + 1)]
+    for t in learned:
+        t = b"\n" * (order - 1) + t
+        for i in range(order - 1, len(t)):
+            g = t[i - order + 1 : i + 1]
+            counts[order][g] = counts[order].get(g, 0) + 1
+    for k in range(order - 1, 0, -1):
+        for g in counts[k + 1]:
+            counts[k][g[1:]] = counts[k].get(g[1:], 0) + 1
+    cuts = [None] * (order + 1)
+    followers = [{} for _ in range(order + 1)]
+    for k in range(1, order + 1):
+        values = list(counts[k].values())
+        cuts[k] = kneser_ney.discounts([values.count(i) for i in (1, 2, 3, 4)])
+        for g, c in counts[k].items():
+            followers[k].setdefault(g[:-1], []).append(c)
+    freed = [{h: (sum(v), sum(cuts[k][min(c, 3) - 1] for c in v)) for h, v in followers[k].items()} for k in range(order + 1)]
+
+    def p(g: bytes) -> float:
+        if not g:
+            return 1 / 256
+        k, lower = len(g), p(g[1:])
+        if g[:-1] not in freed[k]:
+            return lower
+        total, gamma = freed[k][g[:-1]]
+        c = counts[k].get(g, 0)
+        return (c - (cuts[k][min(c, 3) - 1] if c else 0) + gamma * lower) / total
+
+    def perplexity(t: bytes) -> float | None:
+        padded = b"\n" * (order - 1) + t
+        return float(np.exp(-np.mean([np.log(p(padded[i : i + order])) for i in range(len(t))]))) if t else None
+
+    return perplexity
+
+
+@pytest.mark.parametrize("sizes", [(32_000_000, 250_000), (40_000, 1_000)])
+def test_perplexities_equal_brute_force(small, spark, sf_dir, sizes):
     trusted = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1")
-    a, b = ({r.doc_id: r.perplexity for r in kneser_ney.perplexities(small, trusted, n, 50_000).collect()} for n in (4_000_000, 0))
-    assert a.keys() == b.keys() and all(a[k] == pytest.approx(b[k], rel=1e-4) for k in a)
+    ids = {r.doc_id for r in trusted.collect()}
+    docs = small.where("length(text) < 3000").unionByName(spark.createDataFrame([(None, "x y", "en"), (-1, "", None), (-2, None, "de")], "doc_id long, text string, lang string"), allowMissingColumns=True)
+    rows = docs.select("doc_id", "text").collect()
+    held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 0
+    by_hand = _kneser_ney_by_hand([r.text.encode() for r in rows if r.doc_id in ids and r.text and not held(r.doc_id)])
+    got = {r.doc_id: r for r in kneser_ney.perplexities(docs, trusted, *sizes).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        assert got[r.doc_id].held_out == held(r.doc_id) and got[r.doc_id].n_bytes == len((r.text or "").encode())
+        wanted = by_hand((r.text or "").encode())
+        assert got[r.doc_id].perplexity == (None if wanted is None else pytest.approx(wanted, rel=1e-5))
+
+
+def test_quality_against_labels(spark):
+    d, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = kneser_ney.quality(d, labels).join(labels, "doc_id").toPandas()
+    assert got.kept[got.quality == 1].mean() > 0.95 and got.kept[got.quality == 0].mean() < 0.15
 
 
 def test_toxicity_on_held_out_rows():
@@ -191,43 +301,60 @@ def test_language_on_held_out_rows():
     assert net.predict([None, "", "12 ?!"]) == [("und", 0.0)] * 3
 
 
-def test_tokens_round_trip(spark, docs):
+ODD_TEXTS = ["", "  a", "a  ", " a", "a\nb", "a\n\nb", "\n", "a \nb", "a\n b", "don't 'tis it's,next", "x\xa0y z", "é,è.à", "“a” b", "1,2 3.5%", "<|endoftext|> x", "a,\n", "tab\tx y\t\tz", "x" * 3000 + " y", "×,÷,é×,", "日本語。テスト, ok", "a\r\nb \r\n c", "...\n...", "A.B,c;d", "\x1c a\u2003 b"]
+
+
+@pytest.mark.parametrize("remembered", [1_500_000, 50])
+def test_chunks_encode_as_whole_texts_do(remembered, monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_files, "REMEMBERED", remembered)
+    path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(3)
+    letters = list("ab é,.'\n\t  ×1\xa0”日s")
+    texts = ODD_TEXTS + ["".join(rng.choice(letters, int(rng.integers(1, 30)))) for _ in range(3000)]
+    wanted = [e.ids for e in token_files._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    for a in range(0, len(texts), 700):
+        assert [x.tolist() for x in token_files.encode_texts([t.encode() for t in texts[a : a + 700]], path)] == wanted[a : a + 700]
+
+
+@pytest.mark.parametrize("range_bytes", [128_000_000, 20_000])
+def test_tokens_round_trip(spark, docs, small, range_bytes):
     import public_tokenizers
 
-    path, tokenizer_path = token_files.new_path(spark), public_tokenizers.path("byte_bpe_50k.json")
-    token_files.write_tokens(docs, path, tokenizer_path)
-    tokenizer, _ = token_files._tokenizer(tokenizer_path)
-    wanted = sorted(((i is not None, i or 0), len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())) for i, t, *_ in ROWS for ids in [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 0]])
-    got = sorted(((r.doc_id is not None, r.doc_id or 0), r.n_tokens, r.ids_crc32) for r in token_files.token_digests(spark, path).collect())
-    assert got == wanted
-    rows = sorted(token_files.token_digests(spark, path).collect(), key=lambda r: r.start)
-    assert [r.start for r in rows] == np.cumsum([0, *[r.n_tokens for r in rows[:-1]]]).tolist()
-
-
-def test_main_text_of_a_page():
-    page = "<body><nav>menu</nav><div class='header'>top</div><article><h1>A &amp; b</h1><p>one <b>two\n three</b><p>five<div class='ad'>buy</div><ul><li>x<li>y</ul><section class='comments'>c</section></article><footer>f</footer>"
-    assert wrappers.main_text(page) == "A & b\none two three\nfive\nx\ny"
-    pages = [f"<body><div><p>Read our magazine</p></div><div><p>story {i} goes on and on</p><p>end {i}</p></div>" for i in range(6)]
-    template = None
-    for p in pages:
-        one = wrappers.skeleton(wrappers.parse(p))
-        template = one if template is None else wrappers.fold(template, one)
-    assert wrappers.main_text(pages[3], template) == "story 3 goes on and on\nend 3"
-
-
-def test_main_text_keeps_nested_and_all_articles():
-    assert wrappers.main_text("<body><article><p>before</p><article><p>quoted</p></article><div class='ad'>buy</div><p>after</p></article></body>") == "before\nquoted\nafter"
-    assert wrappers.main_text("<body><nav>menu</nav><main><h1>Head</h1><p>lead</p><article><p>story</p></article></main></body>") == "Head\nlead\nstory"
-    assert wrappers.main_text("<body><article><p>one</p></article><p>aside</p><article><p>two is longer</p></article></body>") == "one\ntwo is longer"
-
-
-def test_copied_pages_are_not_a_template(spark):
-    page = lambda i, more="": f"<body><div><p>Read our magazine</p></div><article><h1>Story {i}</h1><p>text {i}</p>{more}</article></body>"
-    table = "<table><tr><td>only here</td></tr></table>"
-    copied = [page(99, table)] * 6
-    varied = [page(99, table) + f"<!-- {i} -->" for i in range(6)]
-    for extra in (copied, varied):
-        pages = [page(i) for i in range(12)] + extra
-        rows = [(i, f"http://h/{i}", p) for i, p in enumerate(pages)]
-        got = {r.page_id: r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-        assert got[12] == "Story 99\ntext 99\nonly here" and got[3] == "Story 3\ntext 3"
+    tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = token_files._tokenizer(tokenizer_path)
+    twice = spark.createDataFrame([(9, t) for t in ("b c", "a", "", "b b b b", None, "a")], "doc_id long, text string")
+    for table in (docs, small, twice, docs.limit(0)):
+        path = token_files.new_path(spark)
+        token_files.write_tokens(table, path, tokenizer_path, range_bytes=range_bytes)
+        wanted, start = [], 0
+        order = lambda r: (r.doc_id is not None, r.doc_id or 0, r.text is not None, (r.text or "").encode())
+        for r in sorted(table.select("doc_id", "text").collect(), key=order):
+            ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0]
+            wanted.append((r.doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+            start += len(ids)
+        got = token_files.token_digests(spark, path).collect()
+        assert sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == [(s, d, n, c) for d, s, n, c in wanted]
+
+
+def test_deduplicated_keeps_one_row_of_repeated_ids(spark):
+    a, b = LONG * 3, "an entirely different text about boats and the weather of the northern isles in spring " * 3
+    rows = [(5, a, "x"), (5, a, "y"), (5, b, "z"), (7, a, "w"), (2, b, "v"), (None, a, "n"), (None, a, "n"), (9, None, "e"), (8, "", "e")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    got = sorted((r.doc_id is not None, r.doc_id or 0, r.text or "") for r in simhash.deduplicated(docs).collect())
+    assert got == sorted([(True, 5, a), (True, 2, b), (False, 0, a), (False, 0, a), (True, 8, "")])
+    assert simhash.deduplicated(docs).columns == docs.columns and simhash.deduplicated(docs.limit(0)).count() == 0
+
+
+def test_values_at_the_edges(spark, docs):
+    by = lambda df, *c: {tuple(r[x] for x in c) for r in df.collect()}
+    empty = hashlib.sha256(b"").hexdigest()
+    got = suffix_dedup.remove_repeats(docs, digests=True)
+    assert {(3, 0, 0, 0, empty), (5, 0, 0, 0, empty), (1, len(LONG) * 3, 0, 0, hashlib.sha256((LONG * 3).encode()).hexdigest()), (2, len(LONG) * 3, len(LONG) * 3, 1, empty)} <= by(got, *got.columns)
+    found = by(simhash.near_duplicates(docs), "doc_id", "fingerprint", "component_id")
+    assert {(3, "0" * 16, 3), (5, "0" * 16, 3)} <= found and {c for i, _, c in found if i in (1, 2)} == {1}
+    rules = by(quality_rules.quality_rules(docs), "doc_id", "n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    assert {(3, 0, 0, 0, 0, True, False), (6, 30_000, 120_000, 0, 30_000, True, False), (7, 5, 10, 0, 0, True, False)} <= rules
+    assert by(language_id.identify(docs, language_id.fit(docs.limit(0))), "lang_pred", "score") == {("und", 0.0)}
+    flat = toxicity.toxicity(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")))
+    assert len(by(flat, "score", "predicted")) == 1 and by(flat, "predicted") == {(0,)}
