@@ -6,6 +6,7 @@ from panelforge.operators.base import Dialect, operator
 from panelforge.operators.sqlkit import RETURNS, XS, ordinal, r6, size
 
 P1, P2, EV, OBS = {"bars": "p1"}, {"bars": "p2"}, {"ev": "ev"}, {"obs": "obs"}
+VENDOR, REVS = {"bars": "vendor"}, {"revs": "revs"}
 W = "PARTITION BY instrument ORDER BY sx"
 FLAGS = "high < greatest(open, close) OR low > least(open, close) OR least(open, high, low, close) <= 0 OR volume < 0 OR amount < 0"
 
@@ -21,10 +22,12 @@ def text_type(d: Dialect) -> str:
 # --- sources and sinks -----------------------------------------------------------------------------
 
 
-@operator("a1_daily_bars", P1)
-def daily_bars(d: Dialect, factor: float = 1.5) -> str:
-    """Vendor units to canonical ones: lots to shares, thousands to units, prices times the factor."""
-    return f"SELECT instrument, session, {r6(f'open * {factor}')} AS open, {r6(f'high * {factor}')} AS high, {r6(f'low * {factor}')} AS low, {r6(f'close * {factor}')} AS close, round(volume * 100, 2) AS volume, round(amount * 1000, 0) AS amount, sx FROM {{bars}}"
+@operator("a1_daily_bars", VENDOR)
+def daily_bars(d: Dialect, adjustment: str = "adjustment", date_from_file: str = "file_sx") -> str:
+    """Vendor units to canonical ones: lots to shares, thousands to units, prices times the adjustment
+    column; a row whose own date is not that of its file is marked, not dropped."""
+    price = ", ".join(f"{r6(f'{c} * {adjustment}')} AS {c}" for c in ("open", "high", "low", "close"))
+    return f"SELECT instrument, session, {price}, round(volume * 100, 2) AS volume, round(amount * 1000, 0) AS amount, sx, sx <> {date_from_file} AS quarantined FROM {{bars}}"
 
 
 @operator("a2_select_sessions", P2)
@@ -34,13 +37,24 @@ def select_sessions(d: Dialect, start: str = "1997-01-01", end: str = "1998-12-3
     return f"SELECT instrument, session, {r6('close')} AS close FROM {{bars}} WHERE session BETWEEN DATE '{start}' AND DATE '{end}'{extra}"
 
 
+#: What each kind of alternative source measures in, and when it takes effect and is known.
+ALTERNATIVES = {
+    "click": ("flow", 10000.0, "15:00:00", "18:00:00", 0), "error": ("limit_event", 1.0, "15:00:00", "20:00:00", 0), "purchase": ("margin", 10000.0, "15:00:00", "09:00:00", 1),
+    "signup": ("fundamental", 100.0, "00:00:00", "09:00:00", 1), "view": ("auction", 1000.0, "09:25:00", "09:26:00", 0), "*": ("chip", 1.0, "15:00:00", "21:00:00", 0),
+}
+
+
 @operator("a4_read_alternative", {"cells": "p3"})
-def read_alternative(d: Dialect, lag_days: int = 1) -> str:
-    """Long observations with the clocks of their kind, shifted by lag_days."""
-    day = f"date_add(session, {lag_days})" if d.name == "spark" else f"(session + {lag_days})::DATE"
-    stamp = lambda clock: f"CAST(concat(CAST({day} AS {text_type(d)}), ' {clock}') AS TIMESTAMP)"
-    return f"""
-SELECT instrument, event_type AS field, session, round(value * 10000, 2) AS value, CASE WHEN event_type = 'view' THEN {stamp('09:25:00')} ELSE {stamp('15:00:00')} END AS effective_at, CASE WHEN event_type = 'view' THEN {stamp('09:26:00')} ELSE {stamp('18:00:00')} END AS available_at FROM {{cells}}"""
+def read_alternative(d: Dialect, kinds: dict = ALTERNATIVES, lag_days: int = 0) -> str:
+    """Long observations of six kinds of source: values in base units, and the stamps at which they take
+    effect and become known (some kinds a day later, all of them lag_days on top)."""
+    default = kinds["*"]
+    pick = lambda i, show: "CASE event_type " + " ".join(f"WHEN '{k}' THEN {show(v[i])}" for k, v in kinds.items() if k != "*") + f" ELSE {show(default[i])} END"
+    quoted, number = lambda x: f"'{x}'", lambda x: f"{x}e0" if isinstance(x, float) else str(x)
+    later = f"({pick(4, number)} + {lag_days})"
+    day = f"date_add(session, {later})" if d.name == "spark" else f"(session + {later}::INTEGER)::DATE"
+    stamp = lambda date, clock: f"CAST(concat(CAST({date} AS {text_type(d)}), ' ', {clock}) AS TIMESTAMP)"
+    return f"SELECT instrument, event_type AS field, {pick(0, quoted)} AS kind, session, round(value * {pick(1, number)}, 2) AS value, {stamp('session', pick(2, quoted))} AS effective_at, {stamp(day, pick(3, quoted))} AS available_at FROM {{cells}}"
 
 
 @operator("a5_densify", {"cells": "p3"})
@@ -67,14 +81,15 @@ c AS (SELECT count(*) AS common FROM (SELECT session FROM s GROUP BY session HAV
 SELECT source, count(*) AS sessions, max(session) AS latest, max(common) AS common FROM s, c GROUP BY source"""
 
 
-@operator("a13_announcements", EV)
+@operator("a13_announcements", REVS)
 def announcements(d: Dialect) -> str:
-    """Exact duplicates dropped and counted, keys with differing rows quarantined."""
-    key = "user_id, event_type, CAST(ts AS DATE)"
+    """Exact duplicates dropped and counted, keys with differing rows quarantined; a nominal row is known
+    one day after it was announced, an actual one when it was announced and published."""
+    key = "user_id, event_type, CAST(visible_at AS DATE)"
     return f"""
-SELECT event_type, count(*) AS raw, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates, CAST(sum(CASE WHEN k = 1 AND variants > 1 THEN 1 ELSE 0 END) AS BIGINT) AS quarantined, CAST(sum(CASE WHEN k = 1 AND variants = 1 THEN 1 ELSE 0 END) AS BIGINT) AS admitted FROM (
-  SELECT *, max(variant) OVER (PARTITION BY {key}) AS variants FROM (
-    SELECT *, dense_rank() OVER (PARTITION BY {key} ORDER BY round(value, 0)) AS variant, row_number() OVER (PARTITION BY {key}, round(value, 0) ORDER BY event_id) AS k FROM {{ev}}) AS a) AS b GROUP BY event_type"""
+SELECT event_type, nominal, count(*) AS raw, CAST(sum(CASE WHEN k > 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicates, CAST(sum(CASE WHEN k = 1 AND variants > 1 THEN 1 ELSE 0 END) AS BIGINT) AS quarantined, CAST(sum(CASE WHEN k = 1 AND variants = 1 THEN 1 ELSE 0 END) AS BIGINT) AS admitted, CAST(sum(CASE WHEN k = 1 AND variants = 1 AND available_at < known_at THEN 1 ELSE 0 END) AS BIGINT) AS early, min(CASE WHEN k = 1 AND variants = 1 THEN known_at END) AS first_known FROM (
+  SELECT *, CASE WHEN nominal THEN announced_at + INTERVAL 1 DAY ELSE greatest(announced_at, published_at) END AS known_at, max(variant) OVER (PARTITION BY {key}) AS variants FROM (
+    SELECT *, dense_rank() OVER (PARTITION BY {key} ORDER BY round(value, 0)) AS variant, row_number() OVER (PARTITION BY {key}, round(value, 0) ORDER BY event_id) AS k FROM {{revs}}) AS a) AS b GROUP BY event_type, nominal"""
 
 
 # --- validation and audit --------------------------------------------------------------------------
@@ -85,21 +100,21 @@ def bar_violations(d: Dialect) -> str:
     return f"SELECT grp, count(*) AS bars, CAST(sum(CASE WHEN {FLAGS} THEN 1 ELSE 0 END) AS BIGINT) AS violations, CAST(sum(CASE WHEN high = low THEN 1 ELSE 0 END) AS BIGINT) AS flat FROM {{bars}} GROUP BY grp"
 
 
-@operator("b2_layer_audit", P1)
-def layer_audit(d: Dialect) -> str:
+@operator("b2_layer_audit", VENDOR)
+def layer_audit(d: Dialect, value: str = "close_seen") -> str:
     """Missing cells, duplicate keys and changes against the last non-blank value, in one pass."""
     return f"""
-WITH v AS (SELECT *, CASE WHEN sx % 7 = 0 THEN NULL ELSE round(close, 0) END AS x FROM {{bars}}),
-p AS (SELECT *, {'last(x, true)' if d.name == 'spark' else 'last_value(x IGNORE NULLS)'} OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS px FROM v)
-SELECT count(*) AS cells, CAST(sum(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, {r6('avg(CASE WHEN x IS NULL THEN 1e0 ELSE 0e0 END)')} AS missing_rate, count(*) - count(DISTINCT instrument * 100000 + sx) AS duplicates, CAST(sum(CASE WHEN {FLAGS} THEN 1 ELSE 0 END) AS BIGINT) AS invalid, count(DISTINCT instrument) AS instruments, min(session) AS first_session, max(session) AS last_session, CAST(sum(CASE WHEN x <> px THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM p"""
+WITH p AS (SELECT *, {'last(' + value + ', true)' if d.name == 'spark' else 'last_value(' + value + ' IGNORE NULLS)'} OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS px FROM {{bars}})
+SELECT count(*) AS cells, CAST(sum(CASE WHEN {value} IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS missing, {r6(f'avg(CASE WHEN {value} IS NULL THEN 1e0 ELSE 0e0 END)')} AS missing_rate, count(*) - {d.distinct('instrument', 'sx')} AS duplicates, CAST(sum(CASE WHEN {FLAGS} THEN 1 ELSE 0 END) AS BIGINT) AS invalid, count(DISTINCT instrument) AS instruments, min(session) AS first_session, max(session) AS last_session, CAST(sum(CASE WHEN {value} <> px THEN 1 ELSE 0 END) AS BIGINT) AS changes FROM p"""
 
 
-@operator("b3_admit_fields", P1)
-def admit_fields(d: Dialect) -> str:
-    """Admission class of each field by its missing rate and whether it is mandatory."""
-    fields = {"close": "CASE WHEN sx % 50 = 0 THEN NULL ELSE close END", "volume": "volume", "cap": "CASE WHEN cap < 2000 THEN NULL ELSE cap END"}
-    rows = " UNION ALL ".join(f"SELECT '{k}' AS field, {str(k == 'close').upper()} AS mandatory, avg(CASE WHEN {x} IS NULL THEN 1e0 ELSE 0e0 END) AS rate FROM {{bars}}" for k, x in fields.items())
-    return f"SELECT field, {r6('rate')} AS missing_rate, CASE WHEN mandatory AND rate > 0.05 THEN 'REJECT' WHEN rate = 0 THEN 'A' WHEN rate <= 0.05 THEN 'B' WHEN rate <= 0.5 THEN 'C' ELSE 'REJECT' END AS class FROM ({rows}) AS f"
+@operator("b3_admit_fields", VENDOR)
+def admit_fields(d: Dialect, fields: tuple = ("close", "close_thin", "volume", "cap_thin", "close_seen"), mandatory: tuple = ("close", "close_seen")) -> str:
+    """Admission class of each field by its missing rate and whether it is mandatory, from one scan."""
+    rates = ", ".join(f"avg(CASE WHEN {x} IS NULL THEN 1e0 ELSE 0e0 END) AS {x}" for x in fields)
+    pick = "CASE field " + " ".join(f"WHEN '{x}' THEN r.{x}" for x in fields) + " END"
+    must = "field IN (" + ", ".join(f"'{x}'" for x in mandatory) + ")"
+    return f"SELECT field, {r6('rate')} AS missing_rate, CASE WHEN must AND rate > 0.05 THEN 'REJECT' WHEN rate = 0 THEN 'A' WHEN rate <= 0.05 THEN 'B' WHEN rate <= 0.5 THEN 'C' ELSE 'REJECT' END AS class FROM (SELECT field, {pick} AS rate, {must} AS must FROM (SELECT {rates} FROM {{bars}}) AS r {d.explode(d.array(list(fields)), 'field')}) AS f"
 
 
 _LABELS = "SELECT instrument, session, year(session) AS y, CASE WHEN n_1 >= n_2 AND n_1 >= n_3 AND n_1 >= n_4 AND n_1 >= n_5 THEN '1' WHEN n_2 >= n_3 AND n_2 >= n_4 AND n_2 >= n_5 THEN '2' WHEN n_3 >= n_4 AND n_3 >= n_5 THEN '3' WHEN n_4 >= n_5 THEN '4' ELSE '5' END AS label FROM {flow}"
@@ -127,7 +142,7 @@ def timing_audit(d: Dialect) -> str:
     odd = lambda x: f"{x} IS NULL OR isnan({x}) OR abs({x}) = CAST('Infinity' AS DOUBLE)"
     count = lambda x: f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT)"
     return f"""
-SELECT factor_id, horizon, count(*) AS observations, {count('feature_at IS NULL OR label_start IS NULL OR feature_at >= label_start')} AS late_signals, {count('signal_at IS NULL OR signal_at > feature_at')} AS early_signals, {count('label_end IS NULL OR label_end < label_start')} AS bad_labels, count(*) - count(DISTINCT sx * 1000000 + instrument) AS duplicates, {count(f"{odd('v')} OR {odd('fwd')}")} AS not_finite FROM {{obs}} GROUP BY factor_id, horizon"""
+SELECT factor_id, horizon, count(*) AS observations, {count('feature_at IS NULL OR label_start IS NULL OR feature_at >= label_start')} AS late_signals, {count('signal_at IS NULL OR signal_at > feature_at')} AS early_signals, {count('label_end IS NULL OR label_end < label_start')} AS bad_labels, count(*) - {d.distinct('sx', 'instrument')} AS duplicates, {count(f"{odd('v')} OR {odd('fwd')}")} AS not_finite FROM {{obs}} GROUP BY factor_id, horizon"""
 
 
 @operator("b6_overlap_audit", OBS)
@@ -136,25 +151,36 @@ def overlap_audit(d: Dialect) -> str:
     return "SELECT factor_id, horizon, count(*) AS sections, CAST(sum(CASE WHEN nxt < sx + horizon THEN 1 ELSE 0 END) AS BIGINT) AS overlapping FROM (SELECT factor_id, horizon, sx, lead(sx, 1) OVER (PARTITION BY factor_id, horizon ORDER BY sx) AS nxt FROM (SELECT DISTINCT factor_id, horizon, sx FROM {obs}) AS s) AS t GROUP BY factor_id, horizon"
 
 
-@operator("b7_revision_violations", EV)
+def _tally(**conditions: str) -> str:
+    return ", ".join(f"CAST(sum(CASE WHEN {x} THEN 1 ELSE 0 END) AS BIGINT) AS {name}" for name, x in conditions.items())
+
+
+@operator("b7_revision_violations", REVS)
 def revision_violations(d: Dialect) -> str:
-    """A chain's first row names no predecessor, every later one the revision before it."""
-    return "SELECT event_type, count(*) AS rows_seen, CAST(sum(CASE WHEN k = 1 AND prev_id IS NOT NULL THEN 1 WHEN k > 1 AND (prev_id IS NULL OR prev_id <> before) THEN 1 ELSE 0 END) AS BIGINT) AS broken FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS k, lag(event_id, 1) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before FROM {ev}) AS e GROUP BY event_type"
+    """A chain's first row names no predecessor, every later one the revision before it; no row is
+    available before it was announced and published, nominal ones not before the next day."""
+    chain = "OVER (PARTITION BY user_id, event_type ORDER BY visible_at, event_id)"
+    return f"""
+SELECT event_type, count(*) AS rows_seen, {_tally(false_start='k = 1 AND predecessor IS NOT NULL', unlinked='k > 1 AND predecessor IS NULL', mislinked='k > 1 AND predecessor <> before', early='NOT nominal AND available_at < greatest(announced_at, published_at)', nominal_early='nominal AND available_at < announced_at + INTERVAL 1 DAY')}
+FROM (SELECT *, row_number() {chain} AS k, lag(event_id, 1) {chain} AS before FROM {{revs}}) AS e GROUP BY event_type"""
 
 
-@operator("b8_interval_overlaps", EV)
+@operator("b8_interval_overlaps", REVS)
 def interval_overlaps(d: Dialect) -> str:
-    return "SELECT event_type, count(*) AS intervals, CAST(sum(CASE WHEN ts_to <= ts THEN 1 ELSE 0 END) AS BIGINT) AS empty, CAST(sum(CASE WHEN before > ts THEN 1 ELSE 0 END) AS BIGINT) AS overlapping, CAST(sum(CASE WHEN ts_to IS NULL AND NOT last_one THEN 1 ELSE 0 END) AS BIGINT) AS open_inside FROM (SELECT *, lag(ts_to, 1) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS before, lead(event_id, 1) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) IS NULL AS last_one FROM {ev}) AS e GROUP BY event_type"
+    """Intervals that end before they start, start before the one before them ends, or are open inside."""
+    chain = "OVER (PARTITION BY user_id, event_type ORDER BY effective_from, event_id)"
+    return f"""
+SELECT event_type, count(*) AS intervals, {_tally(empty='effective_to <= effective_from', overlapping='before > effective_from', open_inside='effective_to IS NULL AND after IS NOT NULL')}
+FROM (SELECT *, lag(effective_to, 1) {chain} AS before, lead(event_id, 1) {chain} AS after FROM {{revs}}) AS e GROUP BY event_type"""
 
 
-@operator("b9_leakage_summary", EV)
+@operator("b9_leakage_summary", REVS)
 def leakage_summary(d: Dialect) -> str:
     """Violations of each class and whether the gate stays open."""
     return f"""
 SELECT class, violations, violations = 0 AS passed FROM (
-  SELECT 'revision_chain' AS class, CAST(sum(broken) AS BIGINT) AS violations FROM ({revision_violations.text(d)}) AS a
-  UNION ALL SELECT 'interval_overlap', CAST(sum(overlapping + open_inside) AS BIGINT) FROM ({interval_overlaps.text(d)}) AS b
-  UNION ALL SELECT 'empty_interval', CAST(sum(empty) AS BIGINT) FROM ({interval_overlaps.text(d)}) AS c) AS x"""
+  SELECT class, CASE class WHEN 'false_start' THEN false_start WHEN 'unlinked' THEN unlinked WHEN 'mislinked' THEN mislinked WHEN 'early' THEN early ELSE nominal_early END AS violations FROM (SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('false_start', 'unlinked', 'mislinked', 'early', 'nominal_early'))} FROM ({revision_violations.text(d)}) AS a) AS x {d.explode(d.array(['false_start', 'unlinked', 'mislinked', 'early', 'nominal_early']), 'class')}
+  UNION ALL SELECT class, CASE class WHEN 'empty' THEN empty WHEN 'overlapping' THEN overlapping ELSE open_inside END FROM (SELECT {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('empty', 'overlapping', 'open_inside'))} FROM ({interval_overlaps.text(d)}) AS b) AS y {d.explode(d.array(['empty', 'overlapping', 'open_inside']), 'class')}) AS z"""
 
 
 @operator("b11_audit_chain", {"ledger": "ledger"})
@@ -179,23 +205,31 @@ SELECT instrument, session, up AS upper_limit, down AS lower_limit, NOT (open >
   SELECT *, floor(pc * {1 + rate} * 100 + 0.5e0) / 100 AS up, floor(pc * {1 - rate} * 100 + 0.5e0) / 100 AS down FROM (SELECT *, lag(close, 1) OVER ({W}) AS pc FROM {{bars}}) AS a) AS b WHERE pc IS NOT NULL"""
 
 
-@operator("c2_price_limit_rule", P1)
-def price_limit_rule(d: Dialect) -> str:
-    """Board by group, and the limit rate that was in force on the session."""
-    return "SELECT instrument, session, CASE WHEN grp < 5 THEN 'growth' WHEN grp < 20 THEN 'main' ELSE 'other' END AS board, CASE WHEN grp < 5 AND session >= DATE '1998-01-01' THEN 0.2e0 WHEN grp < 20 THEN 0.1e0 END AS rate, CASE WHEN grp >= 20 THEN 'unknown' WHEN grp < 5 AND session < DATE '1998-01-01' THEN 'inferred' ELSE 'dated' END AS evidence FROM {bars}"
+#: Dated price-limit rules: board, first session, rate, how good the evidence is. An example; give your own.
+LIMIT_RULES = (("main", "1900-01-01", 0.1, "dated"), ("growth", "1900-01-01", 0.1, "inferred"), ("growth", "1998-01-01", 0.2, "dated"))
+
+
+@operator("c2_price_limit_rule", VENDOR)
+def price_limit_rule(d: Dialect, rules: tuple = LIMIT_RULES) -> str:
+    """The limit rate of the bar's board that was in force on its session; unknown boards have none."""
+    rows = " UNION ALL ".join(f"SELECT '{b}' AS board, DATE '{since}' AS since, {rate}e0 AS rate, '{e}' AS evidence" for b, since, rate, e in rules)
+    return f"""
+WITH r AS (SELECT *, lead(since, 1) OVER (PARTITION BY board ORDER BY since) AS until FROM ({rows}) AS x)
+SELECT instrument, session, b.board, r.rate, coalesce(r.evidence, 'unknown') AS evidence FROM {{bars}} AS b LEFT JOIN r ON r.board = b.board AND b.session >= r.since AND (r.until IS NULL OR b.session < r.until)"""
 
 
 @operator("c3_is_equity", P1)
-def is_equity(d: Dialect) -> str:
+def is_equity(d: Dialect, pattern: str = "^0000[0-4]") -> str:
+    """Security type by the prefix of the six-digit code."""
     code = f"lpad(CAST(instrument AS {text_type(d)}), 6, '0')"
-    match = f"{code} RLIKE '^0000[0-4]'" if d.name == "spark" else f"regexp_matches({code}, '^0000[0-4]')"
+    match = f"{code} RLIKE '{pattern}'" if d.name == "spark" else f"regexp_matches({code}, '{pattern}')"
     return f"SELECT instrument, {match} AS is_equity, count(*) AS bars FROM {{bars}} GROUP BY instrument, {match}"
 
 
-@operator("c4_adjust_prices", P1)
-def adjust_prices(d: Dialect) -> str:
-    """Prices times the product of all action ratios up to the bar's session (a ratio every 24th)."""
-    return f"SELECT instrument, session, {r6('close * exp(sum(ln(ratio)) OVER (PARTITION BY instrument ORDER BY sx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS adjusted FROM (SELECT *, CASE WHEN sx % 24 = 0 THEN 1.05e0 ELSE 1e0 END AS ratio FROM {{bars}}) AS b"
+@operator("c4_adjust_prices", VENDOR)
+def adjust_prices(d: Dialect, ratio: str = "ratio") -> str:
+    """Prices times the product of all action ratios up to the bar's session."""
+    return f"SELECT instrument, session, {r6(f'close * exp(sum(ln({ratio})) OVER (PARTITION BY instrument ORDER BY sx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))')} AS adjusted FROM {{bars}}"
 
 
 @operator("c5_market_cap", P1)
@@ -368,7 +402,7 @@ def style_controls(d: Dialect) -> str:
 # --- universes -------------------------------------------------------------------------------------
 
 #: Reason for leaving a name out of a session's universe, first match; OK otherwise.
-_REASON = "CASE WHEN instrument % 10 = 7 THEN 'flagged' WHEN seen < {h} THEN 'short_history' WHEN adv < {floor} THEN 'illiquid' ELSE 'OK' END"
+_REASON = "CASE WHEN flagged THEN 'flagged' WHEN seen < {h} THEN 'short_history' WHEN adv < {floor} THEN 'illiquid' ELSE 'OK' END"
 _DAILY = f"SELECT *, count(*) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen, avg(amount) OVER ({W} ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS adv FROM {{bars}}"
 
 
@@ -376,25 +410,25 @@ def universe_text(h: int = 12, floor: float = 150000.0, top: int = 30) -> str:
     return f"SELECT instrument, session, sx, grp, cap, adv, row_number() OVER (PARTITION BY session ORDER BY adv DESC, instrument) AS place FROM (SELECT *, {_REASON.format(h=h, floor=floor)} AS reason FROM ({_DAILY}) AS a) AS b WHERE reason = 'OK'"
 
 
-@operator("g1_training_universe", P1)
+@operator("g1_training_universe", VENDOR)
 def training_universe(d: Dialect, n: int = 50) -> str:
     """Names there on every session and not flagged, the n with the largest mean turnover."""
-    return f"SELECT instrument, round(mean_amount, 2) AS mean_amount, place FROM (SELECT *, row_number() OVER (ORDER BY mean_amount DESC, instrument) AS place FROM (SELECT instrument, avg(amount) AS mean_amount FROM {{bars}} WHERE instrument % 10 <> 7 GROUP BY instrument HAVING count(*) = (SELECT count(DISTINCT session) FROM {{bars}})) AS a) AS b WHERE place <= {n}"
+    return f"SELECT instrument, round(mean_amount, 2) AS mean_amount, place FROM (SELECT *, row_number() OVER (ORDER BY mean_amount DESC, instrument) AS place FROM (SELECT instrument, avg(amount) AS mean_amount FROM {{bars}} WHERE NOT flagged GROUP BY instrument HAVING count(*) = (SELECT count(DISTINCT session) FROM {{bars}})) AS a) AS b WHERE place <= {n}"
 
 
-@operator("g2_dynamic_universe", P1)
+@operator("g2_dynamic_universe", VENDOR)
 def dynamic_universe(d: Dialect, top: int = 30) -> str:
     return f"SELECT instrument, session, place FROM ({universe_text()}) AS u WHERE place <= {top}"
 
 
-@operator("g3_market_universe", P1)
+@operator("g3_market_universe", VENDOR)
 def market_universe(d: Dialect) -> str:
     """All eligible names with flags for the largest ones and a stable hash sample."""
     code = f"CAST(instrument AS {text_type(d)})"
     return f"SELECT instrument, session, place <= 10 AS top10, place <= 50 AS top50, row_number() OVER (PARTITION BY session ORDER BY {d.sha256(code)}) <= 20 AS sampled FROM ({universe_text()}) AS u"
 
 
-@operator("g4_membership_turnover", P1)
+@operator("g4_membership_turnover", VENDOR)
 def membership_turnover(d: Dialect, top: int = 30) -> str:
     return f"""
 WITH m AS (SELECT instrument, session, dense_rank() OVER (ORDER BY session) AS i FROM ({universe_text()}) AS u WHERE place <= {top}), n AS (SELECT i, min(session) AS session, count(*) AS members FROM m GROUP BY i),
@@ -403,12 +437,12 @@ SELECT n.session, n.members, coalesce(entries, 0) AS entries, CASE WHEN n.i = 1
 FROM n LEFT JOIN n AS p ON p.i = n.i - 1 LEFT JOIN e ON e.i = n.i LEFT JOIN x ON x.i = n.i"""
 
 
-@operator("g5_universe_report", P1)
+@operator("g5_universe_report", VENDOR)
 def universe_report(d: Dialect) -> str:
     return f"SELECT session, reason, count(*) AS names FROM (SELECT *, {_REASON.format(h=12, floor=150000.0)} AS reason FROM ({_DAILY}) AS a) AS b GROUP BY session, reason"
 
 
-@operator("g6_forced_exits", P1)
+@operator("g6_forced_exits", VENDOR)
 def forced_exits(d: Dialect, top: int = 30, every: int = 3) -> str:
     """Names chosen at an earlier rebalance that are no members on a session."""
     return f"""

@@ -101,12 +101,13 @@ def weights_text(d: Dialect) -> str:
 
     A candidate is a set of factors under a scheme: single (one factor), equal, positive (mean train
     RankIC where positive, equal if none is), best (the one with the highest) and signed (equal, each
-    in the direction of its train RankIC).
+    in the direction of its train RankIC). A fold without train sessions learns nothing: scores of 0.
     """
     return f"""
 WITH fac AS (SELECT factor_id, row_number() OVER (ORDER BY factor_id) - 1 AS k, count(*) OVER () AS n_factors FROM (SELECT DISTINCT factor_id FROM {{scores}}) AS x),
+s AS (SELECT n.fold, x.horizon, x.factor_id, coalesce(t.score, 0e0) AS score FROM (SELECT DISTINCT fold FROM {{roles}}) AS n CROSS JOIN (SELECT DISTINCT factor_id, horizon FROM {{scores}}) AS x LEFT JOIN {{scores}} AS t ON t.fold = n.fold AND t.factor_id = x.factor_id AND t.horizon = x.horizon AND t.role = 'train'),
 sets AS (SELECT m AS members, fac.factor_id, count(*) OVER (PARTITION BY m) AS n FROM fac {d.explode(d.sequence('1', '127'), 'm')} WHERE m < {d.shift_left('n_factors')} AND (m & {d.shift_left('k')}) > 0),
-ts AS (SELECT sets.members, sets.n, s.fold, s.horizon, s.factor_id, s.score, greatest(s.score, 0) AS gain, row_number() OVER (PARTITION BY sets.members, s.fold, s.horizon ORDER BY round(s.score, 9) DESC, s.factor_id) AS place FROM {{scores}} AS s JOIN sets ON sets.factor_id = s.factor_id WHERE s.role = 'train'),
+ts AS (SELECT sets.members, sets.n, s.fold, s.horizon, s.factor_id, s.score, greatest(s.score, 0) AS gain, row_number() OVER (PARTITION BY sets.members, s.fold, s.horizon ORDER BY round(s.score, 9) DESC, s.factor_id) AS place FROM s JOIN sets ON sets.factor_id = s.factor_id),
 tt AS (SELECT *, sum(gain) OVER (PARTITION BY members, fold, horizon) AS total FROM ts)
 SELECT fold, horizon, members, scheme, factor_id, CASE scheme WHEN 'positive' THEN CASE WHEN total > 0 THEN gain / total ELSE 1e0 / n END WHEN 'best' THEN CASE WHEN place = 1 THEN 1e0 ELSE 0e0 END WHEN 'signed' THEN CASE WHEN score < 0 THEN -1e0 ELSE 1e0 END / n ELSE 1e0 / n END AS weight
 FROM tt {d.explode(d.array(['single', 'equal', 'positive', 'best', 'signed']), 'scheme')} WHERE (n = 1) = (scheme = 'single')"""
@@ -216,18 +217,44 @@ k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY inside DESC, factor_i
 SELECT count(*) AS splits, {r6('avg(CASE WHEN r / (n + 1) <= 0.5 THEN 1e0 ELSE 0e0 END)')} AS pbo FROM k WHERE place = 1"""
 
 
+def _deal(instrument: str, rep: str, sx: str, method: str, seed: int) -> str:
+    """A number to shuffle by: squares modulo a prime, which every engine computes alike."""
+    prime = 2147483647
+    first = f"(({instrument} * 48271 + {rep} * 69621 + {sx} * 16807 + {method} * 7919 + {seed * 104729}) % {prime})"
+    second = f"(({first} * {first}) % {prime} + {rep})"
+    return f"(({second} * {second}) % {prime})"
+
+
 @operator("j11_placebo", OBS)
 def placebo(d: Dialect, reps: int = 199, seed: int = 7) -> str:
-    """Returns shuffled against signals, and signals against returns, within each session by md5 order; ranks are taken once.
+    """Returns shuffled against signals (return) and signals against returns (signal), within each session.
 
-    p = (1 + repetitions with a mean RankIC at least the observed one) / (repetitions + 1)."""
-    t = "STRING" if d.name == "spark" else "VARCHAR"
+    Ranks are taken once; a cross-section is one row with its ranks in arrays, and every repetition
+    shuffles them inside that row, so repetitions are never sorted or shuffled between tasks.
+    p = (1 + repetitions with a mean RankIC at least the observed one) / (repetitions + 1). DuckDB
+    gets the plain form: one row for every name and repetition.
+    """
+    ranked = f"SELECT factor_id, horizon, session, sx, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf FROM {{obs}}"
+    keys = "factor_id, horizon, method, rep"
+    if d.name == "spark":
+        deal = _deal("x.instrument", "rep", "sx", "method", seed)
+        shuffled = f"""
+SELECT factor_id, horizon, method, rep, (aggregate(transform(dealt, (y, i) -> CASE WHEN method = 0 THEN z[i].rv * z[y.i].rf ELSE z[i].rf * z[y.i].rv END), 0e0, (a, x) -> a + x) / n - mean * mean) / nullif(sqrt(vv * vf), 0) AS ic FROM (
+  SELECT *, sort_array(transform(z, (x, i) -> struct({deal} AS h, x.instrument AS name, i AS i))) AS dealt FROM (
+    SELECT *, (n + 1) / 2e0 AS mean FROM (
+      SELECT factor_id, horizon, session, max(sx) AS sx, CAST(count(*) AS DOUBLE) AS n, var_pop(rv) AS vv, var_pop(rf) AS vf, array_sort(collect_list(struct(instrument, rv, rf))) AS z FROM k GROUP BY factor_id, horizon, session) AS g
+  ) AS s LATERAL VIEW explode(sequence(1, {reps})) AS rep LATERAL VIEW explode(array(0, 1)) AS method) AS r"""
+    else:
+        deal = _deal("instrument", "rep", "sx", "method", seed)
+        shuffled = f"""
+SELECT {keys}, corr(CASE WHEN method = 0 THEN seat_rv ELSE rv END, CASE WHEN method = 0 THEN rf ELSE seat_rf END) AS ic FROM (
+  SELECT p.*, q.rv AS seat_rv, q.rf AS seat_rf FROM (
+    SELECT k.*, method, rep, row_number() OVER (PARTITION BY factor_id, horizon, session, method, rep ORDER BY {deal}, instrument) AS seat FROM k, unnest(generate_series(1, {reps})) AS a(rep), unnest([0, 1]) AS b(method)) AS p
+  JOIN (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, session ORDER BY instrument) AS seat FROM k) AS q ON q.factor_id = p.factor_id AND q.horizon = p.horizon AND q.session = p.session AND q.seat = p.seat) AS x GROUP BY {keys}, session"""
     return f"""
-WITH k AS (SELECT factor_id, horizon, session, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf, row_number() OVER (PARTITION BY {XS} ORDER BY instrument) AS seat FROM {{obs}}),
-p AS (SELECT factor_id, horizon, session, rv, rf, method, rep, row_number() OVER (PARTITION BY factor_id, horizon, session, method, rep ORDER BY md5(concat('{seed}|', method, '|', CAST(rep AS {t}), '|', CAST(session AS {t}), '|', CAST(instrument AS {t}))), instrument) AS seat FROM k {d.explode(d.sequence('1', str(reps)), 'rep')} {d.explode(d.array(['return', 'signal']), 'method')}),
-s AS (SELECT p.factor_id, p.horizon, p.method, p.rep, p.session, corr(CASE WHEN p.method = 'return' THEN p.rv ELSE k.rv END, CASE WHEN p.method = 'return' THEN k.rf ELSE p.rf END) AS ic FROM p JOIN k ON k.factor_id = p.factor_id AND k.horizon = p.horizon AND k.session = p.session AND k.seat = p.seat GROUP BY p.factor_id, p.horizon, p.method, p.rep, p.session),
-m AS (SELECT factor_id, horizon, method, rep, round(avg(ic), 9) AS ic FROM s GROUP BY factor_id, horizon, method, rep), o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM k GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon)
-SELECT o.factor_id, o.horizon, m.method, {r6('max(o.ic)')} AS observed, {r6('(1 + sum(CASE WHEN m.ic >= o.ic THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE)')} AS p_value FROM o JOIN m ON m.factor_id = o.factor_id AND m.horizon = o.horizon GROUP BY o.factor_id, o.horizon, m.method"""
+WITH k AS ({ranked}), m AS (SELECT {keys}, round(avg(ic), 9) AS ic FROM ({shuffled}) AS s GROUP BY {keys}),
+o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM k GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon)
+SELECT o.factor_id, o.horizon, CASE m.method WHEN 0 THEN 'return' ELSE 'signal' END AS method, {r6('max(o.ic)')} AS observed, {r6('(1 + sum(CASE WHEN m.ic >= o.ic THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE)')} AS p_value FROM o JOIN m ON m.factor_id = o.factor_id AND m.horizon = o.horizon GROUP BY o.factor_id, o.horizon, m.method"""
 
 
 @operator("j12_deflated_sharpe_inputs", OBS)

@@ -65,35 +65,38 @@ SELECT {KEYS}, {r6('y - (ybar + coalesce(slope, 0) * (x - xbar))')} AS value FRO
 
 
 @operator("f8_residualise", OBS)
-def residualise(d: Dialect) -> str:
-    """Residual on log size and log turnover with intercept, one control after the other."""
+@operator("f8_residualise_3", OBS, controls=("ln(cap)", "ln(adv)", "CAST(grp AS DOUBLE)"))
+def residualise(d: Dialect, controls: tuple = ("ln(cap)", "ln(adv)")) -> str:
+    """Residual on any number of controls with intercept: each control is freed of those before it, then
+    the factor of each of them, which equals least squares on all of them at once."""
     slope = lambda y, x: f"coalesce(covar_pop({y}, {x}) OVER (PARTITION BY {XS}) / nullif(var_pop({x}) OVER (PARTITION BY {XS}), 0), 0)"
     mean = lambda x: f"avg({x}) OVER (PARTITION BY {XS})"
-    return f"""
-SELECT {KEYS}, {r6(f"e1 - {mean('e1')} - {slope('e1', 'e2')} * (e2 - {mean('e2')})")} AS value FROM (
-  SELECT *, v - {mean('v')} - {slope('v', 'x1')} * (x1 - {mean('x1')}) AS e1, x2 - {mean('x2')} - {slope('x2', 'x1')} * (x1 - {mean('x1')}) AS e2 FROM (
-    SELECT *, ln(cap) AS x1, ln(adv) AS x2 FROM {{obs}}) AS a) AS b"""
+    text = f"SELECT {KEYS}, v AS y, {', '.join(f'{c} AS x{i}' for i, c in enumerate(controls))} FROM {{obs}}"
+    for i in range(len(controls)):
+        freed = [f"{c} - {mean(c)} - {slope(c, f'x{i}')} * (x{i} - {mean(f'x{i}')}) AS {c}" for c in ("y", *(f"x{j}" for j in range(i + 1, len(controls))))]
+        text = f"SELECT {KEYS}, {', '.join(freed)} FROM ({text}) AS e{i}"
+    return f"SELECT {KEYS}, {r6('y')} AS value FROM ({text}) AS e"
 
 
 @operator("f9_orthogonalise", OBS)
-def orthogonalise(d: Dialect) -> str:
-    """rev5 in winsorised z, less its projections on strength and then on width (no intercept)."""
+def orthogonalise(d: Dialect, target: str = "rev5", others: tuple = ("strength", "width")) -> str:
+    """The target in winsorised z, less its projections on the others, one after another (no intercept)."""
     part = "horizon, session"
-    beta = lambda y, x: f"coalesce(sum({y} * {x}) OVER (PARTITION BY {part}) / nullif(sum({x} * {x}) OVER (PARTITION BY {part}), 0), 0)"
-    return f"""
-SELECT horizon, session, instrument, {r6(f"e - {beta('e', 'x2')} * x2")} AS value FROM (
-  SELECT *, y - {beta('y', 'x1')} * x1 AS e FROM (
-    SELECT horizon, session, instrument, max(CASE WHEN factor_id = 'rev5' THEN z END) AS y, max(CASE WHEN factor_id = 'strength' THEN z END) AS x1, max(CASE WHEN factor_id = 'width' THEN z END) AS x2
-    FROM ({winsor_z_text('{obs}')}) AS z GROUP BY horizon, session, instrument HAVING count(*) = 3) AS a) AS b"""
+    text = f"SELECT horizon, session, instrument, max(CASE WHEN factor_id = '{target}' THEN z END) AS e, {', '.join(f"max(CASE WHEN factor_id = '{f}' THEN z END) AS x{i}" for i, f in enumerate(others))} FROM ({winsor_z_text('{obs}')}) AS z GROUP BY horizon, session, instrument"
+    text = f"SELECT * FROM ({text}) AS wide WHERE e IS NOT NULL AND {' AND '.join(f'x{i} IS NOT NULL' for i in range(len(others)))}"
+    for i in range(len(others)):
+        beta = f"coalesce(sum(e * x{i}) OVER (PARTITION BY {part}) / nullif(sum(x{i} * x{i}) OVER (PARTITION BY {part}), 0), 0)"
+        text = f"SELECT horizon, session, instrument, e - {beta} * x{i} AS e{''.join(f', x{j}' for j in range(i + 1, len(others)))} FROM ({text}) AS s{i}"
+    return f"SELECT horizon, session, instrument, {r6('e')} AS value FROM ({text}) AS r"
 
 
-@operator("f10_demean_by_label", {"obs": "obs", "bars": "p1"})
-def demean_by_label(d: Dialect) -> str:
+@operator("f10_demean_by_label", {"obs": "obs", "bars": "vendor"})
+def demean_by_label(d: Dialect, label: str = "label") -> str:
     """Less the mean of the names that had the same label one session ago; groups of two or more."""
     return f"""
 SELECT {KEYS}, {r6(f'v - avg(v) OVER (PARTITION BY {XS}, label)')} AS value FROM (
   SELECT *, count(*) OVER (PARTITION BY {XS}, label) AS peers FROM (
-    SELECT o.*, (b.instrument * 7 + b.sx) % 5 AS label FROM {{obs}} AS o JOIN {{bars}} AS b ON b.instrument = o.instrument AND b.sx = o.sx - 1) AS a) AS c WHERE peers >= 2"""
+    SELECT o.*, b.{label} AS label FROM {{obs}} AS o JOIN {{bars}} AS b ON b.instrument = o.instrument AND b.sx = o.sx - 1) AS a) AS c WHERE peers >= 2"""
 
 
 @operator("f11_blend_ranks", OBS)

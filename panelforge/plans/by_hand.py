@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import models, panel, validation
 from panelforge.operators.base import SPARK, run, scratch
+from panelforge.plans import twins
 from panelforge.sources import files, panels
 from panelforge.streaming import forward
 
@@ -15,35 +16,32 @@ def a3_read_bars_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     bars = panels.weekly_bars(spark, sf_dir).selectExpr("instrument AS code", "session AS trade_date", "open", "high", "low", "close", "volume AS vol", "amount")
     bars.write.option("header", True).csv(path)
-    return files.read_bars_long(spark, path)
+    price = [F.round(c, 6).alias(c) for c in ("open", "high", "low", "close")]
+    return files.read_bars_long(spark, path).select("instrument", "session", *price, "volume", F.round("amount", 2).alias("amount"), "bad")
 
 
 def a6_read_memberships(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
-    panels.raw_events(spark, sf_dir).selectExpr("'industry' AS kind", "ts AS effective_at", "ts + INTERVAL 1 HOUR AS available_at", "ts + INTERVAL 1 DAY AS ingested_at", "user_id AS instrument", "event_type AS group_id", "event_type AS group_name").write.option("header", True).csv(path)
+    panels.raw_events(spark, sf_dir).selectExpr("'industry' AS kind", "ts AS effective_at", "ts + INTERVAL 1 HOUR AS available_at", "ts + INTERVAL 1 DAY AS ingested_at", "user_id AS instrument", "event_type AS group_id", "event_type AS group_name").write.option("header", True).option("timestampFormat", files.STAMP).csv(path)
     return files.read_memberships(spark, path)
 
 
 def a7_universe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Also the sink of universes (A10)."""
     path = scratch(spark)
-    files.write_universe(run(panel.dynamic_universe.text(SPARK), bars=panels.monthly_bars(spark, sf_dir)), path)
+    files.write_universe(run(panel.dynamic_universe.text(SPARK), bars=panels.SPARK["vendor"](spark, sf_dir)), path)
     return files.read_universe(spark, path, 10)
 
 
-A7_TWIN = f"WITH p1 AS MATERIALIZED ({panels.DUCK['p1']}) SELECT session, instrument, place FROM ({panel.universe_text().replace('{bars}', 'p1')}) AS u WHERE place <= 10"
-
-
 def a8_read_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     panels.weekly_bars(spark, sf_dir).groupBy("session").agg(F.avg("open").alias("open")).write.option("header", True).csv(path)
-    return files.read_index(spark, path)
+    return files.read_index(spark, path).withColumn("open", F.round("open", 6))
 
 
 def a11_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = scratch(spark)
-    panels.monthly_bars(spark, sf_dir).select("instrument", "session", "close").write.parquet(path)
-    return files.snapshot(spark, f"{path}/*.parquet")
+    """Over the given tables' own files: their names stay, so the hash repeats."""
+    return files.snapshot(spark, [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part")])
 
 
 def a14_write_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,7 +62,7 @@ def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def j16_ridge_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.ridge_residual(_wide(spark, sf_dir), "width", ["rev5", "strength"], F.col("sx") <= 40)
+    return models.ridge_residual(_wide(spark, sf_dir), "width", ["rev5", "strength"], F.col("sx") <= 40).select("instrument", "session", "sx", "residual")
 
 
 def j17_component_and_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,21 +70,23 @@ def j17_component_and_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def m1_forward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily observations arrive as files, every third one twice; the stream appends each once."""
     base = scratch(spark)
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_type", "value", F.col("ts").cast("timestamp").alias("ts"))
-    events.write.parquet(f"{base}/in")
+    daily = forward.observations(events).withColumn("part", F.dayofyear("session") % 4)
+    daily.unionByName(daily.where(F.dayofyear("session") % 3 == 0)).repartition("part").write.parquet(f"{base}/in")
     return forward.stream_to_table(spark, f"{base}/in", f"{base}/out", f"{base}/checkpoint", "2024-01-10").select("session", "event_type", F.round("ret", 6).alias("ret"), "n")
 
 
 M1_TWIN = "SELECT ts::DATE AS session, event_type, round(avg(value), 6) AS ret, count(*) AS n FROM events WHERE ts::DATE > DATE '2024-01-10' GROUP BY ALL"
 
 QUERIES = {
-    "a3_read_bars_long": (a3_read_bars_long, None),
-    "a6_read_memberships": (a6_read_memberships, None),
-    "a7_a10_universe_round_trip": (a7_universe_round_trip, A7_TWIN),
-    "a8_read_index": (a8_read_index, None),
+    "a3_read_bars_long": (a3_read_bars_long, twins.A3),
+    "a6_read_memberships": (a6_read_memberships, twins.A6),
+    "a7_a10_universe_round_trip": (a7_universe_round_trip, twins.A7),
+    "a8_read_index": (a8_read_index, twins.A8),
     "a11_snapshot": (a11_snapshot, None),
-    "a14_write_bundle": (a14_write_bundle, None),
+    "a14_write_bundle": (a14_write_bundle, twins.A14),
     "j12_deflated_sharpe": (j12_deflated_sharpe, None),
     "j16_ridge_residual": (j16_ridge_residual, None),
     "j17_component_and_cluster": (j17_component_and_cluster, None),

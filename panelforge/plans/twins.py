@@ -70,18 +70,6 @@ WITH m AS (SELECT factor_id, horizon, round(v, 4) AS v, round(fwd, 4) AS f, CASE
 k AS (SELECT *, rank() OVER (PARTITION BY factor_id, horizon, regime ORDER BY v) + (count(*) OVER (PARTITION BY factor_id, horizon, regime, v) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY factor_id, horizon, regime ORDER BY f) + (count(*) OVER (PARTITION BY factor_id, horizon, regime, f) - 1) / 2.0::DOUBLE AS rf FROM m)
 SELECT factor_id, horizon, regime, count(*) AS cells, {_r6('corr(rv, rf)')} AS rank_ic FROM k GROUP BY ALL"""
 
-#: Ranks kept as sorted lists by session; a repetition reads one of them in md5 order.
-PLACEBO = """
-WITH k AS (SELECT factor_id, horizon, session, instrument, v, fwd, count(*) OVER w AS n, rank() OVER (w ORDER BY v) + (count(*) OVER (PARTITION BY factor_id, horizon, session, v) - 1) / 2.0::DOUBLE AS rv, rank() OVER (w ORDER BY fwd) + (count(*) OVER (PARTITION BY factor_id, horizon, session, fwd) - 1) / 2.0::DOUBLE AS rf FROM obs WINDOW w AS (PARTITION BY factor_id, horizon, session)),
-s AS (SELECT factor_id, horizon, session, list(rv ORDER BY instrument) AS rv, list(rf ORDER BY instrument) AS rf, list(instrument ORDER BY instrument) AS names FROM k GROUP BY ALL),
-r AS (SELECT *, m AS method, p AS rep, list_transform(list_sort(list_transform(names, lambda x, i: {'h': md5(concat('7|', m, '|', p::VARCHAR, '|', session::VARCHAR, '|', x::VARCHAR)), 'x': x, 'i': i})), lambda z: z.i) AS dealt FROM s, unnest(['return', 'signal']) AS a(m), unnest(range(1, 200)) AS b(p)),
-c AS (SELECT factor_id, horizon, session, method, rep, CASE WHEN method = 'return' THEN rv ELSE rf END AS still, list_transform(dealt, lambda i: CASE WHEN method = 'return' THEN rf[i] ELSE rv[i] END) AS moved FROM r),
-d AS (SELECT *, list_aggregate(still, 'avg') AS mx, list_aggregate(moved, 'avg') AS my FROM c),
-e AS (SELECT factor_id, horizon, method, rep, list_sum(list_transform(still, lambda x, i: (x - mx) * (moved[i] - my))) / nullif(sqrt(list_sum(list_transform(still, lambda x: (x - mx) * (x - mx))) * list_sum(list_transform(moved, lambda y: (y - my) * (y - my)))), 0) AS ic FROM d),
-m AS (SELECT factor_id, horizon, method, rep, round(avg(ic), 9) AS ic FROM e GROUP BY ALL),
-o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM k GROUP BY ALL) GROUP BY ALL)
-SELECT o.factor_id, o.horizon, m.method, round(max(o.ic), 6) + 0.0 AS observed, round((1 + count(*) FILTER (m.ic >= o.ic)) / (count(*) + 1)::DOUBLE, 6) + 0.0 AS p_value FROM o JOIN m USING (factor_id, horizon) GROUP BY ALL"""
-
 #: Weights of a cohort and of the one before it meet in a full join.
 COHORTS = """
 WITH c0 AS (SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) / horizon AS market FROM obs GROUP BY factor_id, horizon, session),
@@ -104,7 +92,6 @@ TEXTS: dict[str, tuple[list[str], str]] = {
     "d4_interval_asof": (["ev"], INTERVALS),
     "j3_purge_embargo": (["p1", "obs"], PURGE),
     "h13_regime_evidence": (["p1", "obs"], REGIMES),
-    "j11_placebo": (["p1", "obs"], PLACEBO),
     "k3_cohort_events": (["p1", "obs"], COHORTS),
 }
 
@@ -118,5 +105,16 @@ def texts() -> dict[str, str]:
     return {name: with_panels(names, text) for name, (names, text) in TEXTS.items()}
 
 
-#: For queries that write files: what the files hold, from the panels alone.
-A7 = with_panels(["p1"], f"SELECT session, instrument, place FROM ({universe_text().replace('{bars}', 'p1')}) AS u WHERE place <= 10")
+#: For queries that write files or fit models: what must come back, from the panels alone.
+A3 = with_panels(["p2"], "SELECT instrument::VARCHAR AS instrument, session, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, volume, round(amount, 2) AS amount, FALSE AS bad FROM p2")
+A6 = "SELECT 'industry' AS kind, ts AS effective_at, ts + INTERVAL 1 HOUR AS available_at, ts + INTERVAL 1 DAY AS ingested_at, user_id::VARCHAR AS instrument, event_type AS group_id, event_type AS group_name, TRUE AS in_order FROM events"
+A7 = with_panels(["p1", "vendor"], f"SELECT session, instrument, place FROM ({universe_text().replace('{bars}', 'vendor')}) AS u WHERE place <= 10")
+A8 = with_panels(["p2"], "SELECT session, round(avg(open), 6) + 0.0 AS open, 1::BIGINT AS rows_seen, 0::BIGINT AS blank FROM p2 GROUP BY session")
+A14 = """SELECT concat('{"event_id":', event_id, ',"event_type":"', event_type, '","user_id":', user_id, '}') AS value FROM events"""
+#: Ridge of width on two controls by its normal equations, the penalty on the diagonal; Spark's solver
+#: agrees to about six digits, so a test compares the two and no rounded twin does.
+J16 = with_panels(["p1", "obs"], """
+WITH w AS (SELECT instrument, session, sx, max(v) FILTER (factor_id = 'rev5') AS a, max(v) FILTER (factor_id = 'strength') AS b, max(v) FILTER (factor_id = 'width') AS y FROM obs WHERE horizon = 1 GROUP BY ALL HAVING count(*) = 3),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM w WHERE sx <= 40),
+s AS (SELECT sum((a - ma) * (a - ma)) + 1 AS aa, sum((b - mb) * (b - mb)) + 1 AS bb, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS yb FROM w, m WHERE sx <= 40)
+SELECT instrument, session, sx, round(y - my - (ay * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma) - (yb * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb), 6) + 0.0 AS residual FROM w, m, s WHERE sx > 40""")

@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 ALIASES = {"instrument": ["code", "symbol", "ticker"], "session": ["date", "trade_date", "day"], "open": ["open_price"], "high": ["high_price"], "low": ["low_price"], "close": ["close_price", "last"], "volume": ["vol"], "amount": ["turnover"]}
 
 
+#: Times in delimited files, to the microsecond.
+STAMP = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+
+
 def _named(df: DataFrame) -> DataFrame:
     """Columns under their canonical names; unknown ones stay as they are."""
     known = {alias: name for name, aliases in ALIASES.items() for alias in [name, *aliases]}
@@ -28,7 +32,7 @@ def read_bars_long(spark: SparkSession, path: str) -> DataFrame:
 def read_memberships(spark: SparkSession, path: str) -> DataFrame:
     """Point-in-time memberships with a flag for rows whose times are out of order."""
     schema = "kind string, effective_at timestamp, available_at timestamp, ingested_at timestamp, instrument string, group_id string, group_name string"
-    d = spark.read.schema(schema).option("header", True).csv(path)
+    d = spark.read.schema(schema).option("header", True).option("timestampFormat", STAMP).csv(path)
     return d.withColumn("in_order", (F.col("effective_at") <= F.col("available_at")) & (F.col("available_at") <= F.col("ingested_at")))
 
 
@@ -50,8 +54,11 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return d.groupBy("session").agg(F.max("open").alias("open"), F.count("*").alias("rows_seen"), F.sum(F.col("open").isNull().cast("long")).alias("blank"))
 
 
-def snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """Name, length and SHA-256 of every file, and the hash of all of them in order of name."""
+def snapshot(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """Name, length and SHA-256 of every file, and the hash of all of them in order of name.
+
+    A file is hashed as one value, as its format demands; the list of names and hashes is one row.
+    """
     files = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
     whole = files.agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("name", "sha256")))), 256).alias("dataset_sha256"))
     return files.join(F.broadcast(whole), how="cross")

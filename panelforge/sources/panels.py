@@ -80,6 +80,30 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def revisions_text(source: str) -> str:
+    """The event revisions as a store keeps them, with what can be wrong with them: some rows name no
+    or a wrong predecessor, some are available before they were announced, some intervals end before
+    they start, run into the next one or are left open."""
+    hours = lambda x: f"INTERVAL {x} HOUR"
+    return f"""
+SELECT user_id, event_type, event_id, value, ts AS visible_at,
+  CASE WHEN event_id % 97 = 5 THEN NULL WHEN event_id % 101 = 7 THEN event_id ELSE prev_id END AS predecessor,
+  ts - {hours(2)} AS announced_at, ts - {hours(1)} AS published_at, CASE WHEN event_id % 89 = 3 THEN ts - {hours(3)} ELSE ts END AS available_at, event_id % 4 = 0 AS nominal,
+  ts AS effective_from, CASE WHEN event_id % 83 = 2 THEN ts - {hours(1)} WHEN event_id % 79 = 4 THEN ts_to + INTERVAL 3 DAY WHEN event_id % 103 = 6 THEN NULL ELSE ts_to END AS effective_to
+FROM {source}"""
+
+
+def vendor_text(source: str) -> str:
+    """Bars as a vendor delivers them: lots and thousands, an adjustment factor, a name of the file they
+    came in, gaps, flags, labels and adjustment ratios."""
+    return f"""
+SELECT instrument, session, sx, grp, cap, open, high, low, close, volume, amount,
+  CASE WHEN sx % 7 = 0 THEN NULL ELSE round(close, 0) END AS close_seen, CASE WHEN sx % 50 = 0 THEN NULL ELSE close END AS close_thin, CASE WHEN cap < 2000 THEN NULL ELSE cap END AS cap_thin,
+  CASE WHEN sx % 24 = 0 THEN 1.05e0 ELSE 1e0 END AS ratio, (instrument * 7 + sx) % 5 AS label, instrument % 10 = 7 AS flagged, CASE WHEN grp < 5 THEN 'growth' WHEN grp < 20 THEN 'main' ELSE 'other' END AS board,
+  1 + (instrument % 3) / 2e0 AS adjustment, CASE WHEN (instrument + sx) % 211 = 0 THEN sx + 1 ELSE sx END AS file_sx
+FROM {source}"""
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's events as a stored hash chain: seq, previous_hash and entry_hash as a writer leaves them."""
 
@@ -149,10 +173,12 @@ DUCK = {
     "ledger": f"""WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq FROM events),
 c AS (SELECT e.*, '{GENESIS}' AS previous_hash, sha256(concat(seq, '|', '{GENESIS}', '|', event_id, '|', event_type)) AS entry_hash FROM e WHERE seq = 1
 UNION ALL SELECT e.*, c.entry_hash, sha256(concat(e.seq, '|', c.entry_hash, '|', e.event_id, '|', e.event_type)) FROM e JOIN c ON e.user_id = c.user_id AND e.seq = c.seq + 1) SELECT * FROM c""",
+    "revs": revisions_text("ev"),
+    "vendor": vendor_text("p1"),
     "obs": observations_text(base.DUCK).replace("{bars}", "p1"),
     "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
 }
-NEEDS = {"obs": ["p1"], "obs2": ["p2"]}
+NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"]}
 SPARK = {
     "p1": monthly_bars,
     "p2": weekly_bars,
@@ -160,6 +186,8 @@ SPARK = {
     "p4": order_flow,
     "ev": raw_events,
     "ledger": ledger,
+    "revs": lambda spark, sf_dir: run(revisions_text("{ev}"), ev=raw_events(spark, sf_dir)),
+    "vendor": lambda spark, sf_dir: run(vendor_text("{bars}"), bars=monthly_bars(spark, sf_dir)),
     "obs": lambda spark, sf_dir: observations(monthly_bars(spark, sf_dir)),
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
 }

@@ -1,4 +1,4 @@
-"""The forward log as a stream: one observation for each source and session, repeated events included."""
+"""The forward log: one observation for each source and session after a freeze date, as a stream."""
 
 from __future__ import annotations
 
@@ -6,26 +6,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def forward_observations(events: DataFrame, freeze: str, watermark: str = "2 days") -> DataFrame:
-    """Sessions after the freeze with their mean value; works on a stream and on a table alike."""
-    d = events.where(F.to_date("ts") > F.lit(freeze).cast("date")).withColumn("ts", F.col("ts").cast("timestamp"))
-    if d.isStreaming:
-        d = d.withWatermark("ts", watermark)
-    return d.groupBy(F.window("ts", "1 day").alias("w"), "event_type").agg(F.avg("value").alias("ret"), F.count("*").alias("n")).select(F.to_date("w.start").alias("session"), "event_type", "ret", "n")
+def observations(events: DataFrame) -> DataFrame:
+    """(session, event_type, ret, n): the mean value of each source and day."""
+    return events.groupBy(F.to_date("ts").alias("session"), "event_type").agg(F.avg("value").alias("ret"), F.count("*").alias("n"))
+
+
+def forward_observations(daily: DataFrame, freeze: str, watermark: str = "40 days") -> DataFrame:
+    """Observations after the freeze, one for each source and session; works on a stream and a table alike.
+
+    A stream forgets a session when the watermark has passed it, so its state holds no more sessions
+    than the watermark is long; a repeat that comes later than that is not recognised.
+    """
+    d = daily.where(F.col("session") > F.lit(freeze).cast("date")).withColumn("at", F.col("session").cast("timestamp"))
+    if not d.isStreaming:
+        return d.dropDuplicates(["event_type", "session"]).drop("at")
+    return d.withWatermark("at", watermark).dropDuplicatesWithinWatermark(["event_type", "session"]).drop("at")
 
 
 def stream_to_table(spark: SparkSession, source: str, target: str, checkpoint: str, freeze: str) -> DataFrame:
-    """Runs the stream over the files in source until all are read and returns what it has written.
+    """Runs the stream over the files in source until all are read and returns the table it appended to.
 
-    Complete mode writes the state of all sessions at each trigger, so a restart from the checkpoint
-    gives the same table.
+    A batch writes its own folder, which a restart from the checkpoint overwrites: nothing is appended
+    twice, and what earlier batches wrote is never touched again.
     """
     schema = spark.read.parquet(source).schema
-    stream = spark.readStream.schema(schema).parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 8).parquet(source)
 
-    def store(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(target)
+    def store(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{target}/batch={number}")
 
-    query = forward_observations(stream, freeze).writeStream.outputMode("complete").option("checkpointLocation", checkpoint).foreachBatch(store).trigger(availableNow=True).start()
+    query = forward_observations(stream, freeze).writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(store).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.read.parquet(target)
+    return spark.read.schema(schema).parquet(target)

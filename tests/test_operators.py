@@ -2,18 +2,20 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pandas as pd
 import pytest
 
 from panelforge.functions import factors
-from panelforge.operators import panel, scores, validation, xs
-from panelforge.operators.base import DUCK, REGISTRY, SPARK, run
-from panelforge.plans import registry
+from panelforge.operators import panel, portfolio, scores, validation, xs
+from panelforge.operators.base import DUCK, REGISTRY, SPARK, duck_text, run
+from panelforge.plans import registry, twins
+from panelforge.sources import panels
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-TWINS = ["e1_period_return_5", "e24e_max_drawdown_10", "f5_normalise", "f8_residualise", "h1_daily_ic", "h3_rank_turnover", "d1_asof_strict", "d4_interval_asof", "g4_membership_turnover", "j3_purge_embargo", "j6_cpcv_scores", "k3_cohort_events", "l5_prune", "c10_confirm"]
+TWINS = ["e1_period_return_5", "e15_relative_strength_60", "e24e_max_drawdown_10", "f8_residualise_3", "h1_daily_ic", "h3_rank_turnover", "h12_diagnostics", "h14_objective", "h20_stability", "d1_asof_strict", "g4_membership_turnover", "j5_fit_transform", "j6_cpcv_scores", "j8_pbo_paths", "j11_placebo", "j18_marginal", "j19_duplicate_matrix", "l2_dedupe_quota", "l5_prune", "c10_confirm", "a3_read_bars_long", "a6_read_memberships", "a14_write_bundle", "m1_forward_stream"]
 
 
 @pytest.fixture(scope="module")
@@ -25,16 +27,30 @@ def duck(sf_dir):
 
 
 def _rows(pdf):
-    cells = lambda v: "null" if pd.isna(v) else f"{v:.4f}" if isinstance(v, float) else str(v)[:10]
-    return sorted(tuple(cells(v) for v in row) for row in pdf[sorted(pdf.columns)].itertuples(index=False))
+    """Whole rows, sorted; numbers to five places, so that an integer column may come back as doubles."""
 
+    def cell(v):
+        if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
+            return "null"
+        if isinstance(v, float):
+            return str(int(v)) if v.is_integer() else f"{v:.5f}"
+        return str(v).removesuffix(" 00:00:00")
 
-@pytest.mark.parametrize("name", TWINS)
+    return sorted(tuple(cell(v) for v in row) for row in pdf[sorted(pdf.columns)].itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", [*TWINS, *twins.TEXTS])
 def test_twin(spark, duck, sf_dir, name):
     ours, theirs = registry.queries()[name](spark, sf_dir).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
     assert sorted(ours.columns) == sorted(theirs.columns)
     assert len(ours) == len(theirs)
-    assert [r[0] for r in _rows(ours)] == [r[0] for r in _rows(theirs)]
+    assert _rows(ours) == _rows(theirs)
+
+
+@pytest.mark.parametrize("name", twins.TEXTS)
+def test_second_formulas_share_no_text_but_agree(duck, name):
+    theirs, own = registry.oracle_sql()[name], duck_text(REGISTRY[name], panels.DUCK, panels.NEEDS)
+    assert theirs != own and _rows(duck.execute(theirs).df()) == _rows(duck.execute(own).df())
 
 
 def test_every_operator_renders_for_both_engines():
@@ -139,6 +155,73 @@ def test_chain_audit_finds_broken_links_and_altered_entries(spark, sf_dir):
     assert found(chain.drop(index=2)) == (1, 1, 0, 0)
 
 
+def test_audits_count_planted_faults(spark, duck, sf_dir):
+    for name in ("b7_revision_violations", "b8_interval_overlaps", "b9_leakage_summary"):
+        ours, theirs = registry.queries()[name](spark, sf_dir).toPandas(), duck.execute(registry.oracle_sql()[name]).df()
+        assert _rows(ours) == _rows(theirs)
+    found = dict(registry.queries()["b9_leakage_summary"](spark, sf_dir).select("class", "violations").collect())
+    assert all(found[k] > 0 for k in ("unlinked", "mislinked", "early", "nominal_early", "empty", "overlapping"))
+
+
+def _chain(spark, rows):
+    columns = "user_id long, event_type string, event_id long, value double, visible_at timestamp, predecessor long, announced_at timestamp, published_at timestamp, available_at timestamp, nominal boolean, effective_from timestamp, effective_to timestamp"
+    t = lambda x: None if x is None else datetime(2024, 1, 1) + timedelta(hours=x)
+    return spark.createDataFrame([(1, "a", i, 1.0, t(v), p, t(an), t(an), t(av), nom, t(f), t(to)) for i, v, p, an, av, nom, f, to in rows], columns)
+
+
+def test_clean_chains_pass_and_each_fault_is_its_own_class(spark):
+    clean = [(1, 10, None, 5, 10, False, 10, 20), (2, 20, 1, 15, 20, False, 20, 40), (3, 60, 2, 30, 60, True, 40, None)]
+    rows = panel.revision_violations(revs=_chain(spark, clean)).first().asDict()
+    gaps = panel.interval_overlaps(revs=_chain(spark, clean)).first().asDict()
+    assert [rows[k] for k in ("false_start", "unlinked", "mislinked", "early", "nominal_early")] == [0] * 5 and [gaps[k] for k in ("empty", "overlapping", "open_inside")] == [0] * 3
+    bad = [(1, 10, 9, 5, 4, False, 10, 8), (2, 20, None, 15, 20, False, 20, 45), (3, 60, 1, 50, 60, True, 40, None), (4, 70, 3, 50, 70, False, 50, 60)]
+    rows = panel.revision_violations(revs=_chain(spark, bad)).first().asDict()
+    gaps = panel.interval_overlaps(revs=_chain(spark, bad)).first().asDict()
+    assert [rows[k] for k in ("false_start", "unlinked", "mislinked", "early", "nominal_early")] == [1] * 5 and [gaps[k] for k in ("empty", "overlapping", "open_inside")] == [1] * 3
+
+
+def test_fold_weights_sum_to_one_and_paths_differ_by_them(obs):
+    got = validation.fit_weights(obs=obs).toPandas()
+    sums = got[got.scheme != "signed"].groupby(["fold", "horizon", "members", "scheme"]).weight.sum()
+    assert sums.to_numpy() == pytest.approx(1.0, abs=1e-5)
+    assert (got[(got.scheme == "best") & (got.factor_id == "rev5")].weight == 1).all()
+    paths = validation.path_scores(obs=obs).toPandas()
+    spread = paths.groupby("config").score.agg(lambda x: x.max() - x.min())
+    # What learns nothing scores the same on every path: only weights learned in a fold set paths apart.
+    assert (spread[spread.index.str.endswith("equal") | spread.index.str.endswith("single")] < 1e-5).all()
+    row = validation.pbo_paths(obs=obs).first()
+    assert row["splits"] == 252 and 0 <= row["pbo"] <= 1
+
+
+def test_cohorts_by_hand(spark):
+    """Three names, two sessions apart: orders are clipped, turnover counts entries and exits."""
+    rows = [(i, s, s, 0, 1.0, 2020, 1.0, prior, "f", v, 1, r) for s, values in ((1, (3, 2, 1)), (2, (1, 3, 2)), (3, (1, 3, 2))) for i, (v, r, prior) in enumerate(zip(map(float, values), (0.1, 0.2, 0.3), (1e9, 1e9, 5e5), strict=True))]
+    obs = spark.createDataFrame(rows, "instrument long, session long, sx long, grp long, cap double, subperiod int, adv double, prior_amount double, factor_id string, v double, horizon long, fwd double")
+    got = [r.asDict() for r in portfolio.cohort_events(obs=obs, b=2).orderBy("seq").collect()]
+    # Best two are (0, 1), then (1, 2): name 2 may trade 5e5 * 0.1 of 1e6 only.
+    assert [round(r["turnover"], 6) for r in got] == [0.5, 0.275, 0.0]
+    assert [r["gross"] for r in got] == pytest.approx([0.15 - 0.2, 0.1 + 0.05 * 0.3 - 0.2, 0.1 + 0.05 * 0.3 - 0.2])
+    assert [r["clipped"] for r in got] == [0.0, 450_000.0, 450_000.0]
+    avoid = [r.asDict() for r in portfolio.cohort_events(obs=obs, b=2, mode="AVOID").orderBy("seq").collect()]
+    assert [r["turnover"] for r in avoid] == [0.5, 1.0, 0.0] and [r["gross"] for r in avoid] == pytest.approx([0.1 - 0.2, 0.2 - 0.2, 0.2 - 0.2])
+
+
+def test_ridge_residual_equals_its_normal_equations(spark, duck, sf_dir):
+    keys = ["instrument", "session", "sx"]
+    ours = registry.queries()["j16_ridge_residual"](spark, sf_dir).toPandas()
+    theirs = duck.execute(twins.J16).df()
+    for pdf in (ours, theirs):
+        pdf["session"] = pd.to_datetime(pdf["session"])
+    both = ours.merge(theirs, on=keys, suffixes=("", "_by_hand"))
+    assert len(both) == len(ours) == len(theirs)
+    assert both.residual.to_numpy() == pytest.approx(both.residual_by_hand.to_numpy(), rel=1e-4, abs=1e-4)
+
+
+def test_stream_appends_each_observation_once(spark, sf_dir):
+    got = registry.queries()["m1_forward_stream"](spark, sf_dir)
+    assert got.count() == got.select("session", "event_type").distinct().count() > 0
+
+
 def test_placebo_has_both_methods_and_horizons(obs):
     both = obs.unionByName(obs.withColumn("horizon", obs["horizon"] * 5))
     got = {(r["factor_id"], r["horizon"], r["method"]): r["p_value"] for r in validation.placebo(obs=both).collect()}
