@@ -1,9 +1,12 @@
 """The five stages from raw tables to read-back, each held against brute force on what it was given."""
 
+import re
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import corpus_pipeline
@@ -15,7 +18,7 @@ pytestmark = pytest.mark.filterwarnings("ignore")
 
 
 def _tables(path, docs):
-    docs.to_parquet(path / "documents.parquet")
+    pq.write_table(docs, path / "documents.parquet")
     for t in ("labels", "benchmark"):
         pd.read_parquet(f"/root/testdata/sf0.001/{t}.parquet").to_parquet(path / f"{t}.parquet")
     return str(path)
@@ -25,10 +28,26 @@ def _tables(path, docs):
 def raw(tmp_path_factory):
     docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet")
     odd = [(-1, None, "en", "a"), (-2, "", None, None), (-3, "word " * 20_000, "en", "b"), (-4, docs.text[3], "en", None), (-4, docs.text[3], "en", None), (-5, docs.text[5], None, "a")]
-    docs = pd.concat([docs, pd.DataFrame(odd, columns=["doc_id", "text", "lang", "source"])], ignore_index=True)
-    docs["size"], docs["component_id"], docs["n_tokens"] = 7, "x", None
-    docs["n_tokens"] = docs["n_tokens"].astype("float64")
-    return _tables(tmp_path_factory.mktemp("raw"), docs)
+    frame = pd.concat([docs, pd.DataFrame(odd, columns=["doc_id", "text", "lang", "source"])], ignore_index=True)
+    frame["size"], frame["component_id"], frame["n_tokens"] = 7, "x", 0.5
+    return _tables(tmp_path_factory.mktemp("raw"), pa.Table.from_pandas(frame, preserve_index=False))
+
+
+def _targets(sizes):
+    """Shares by weight, capped at twice a source's size, the excess reshared until none is above."""
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    targets, left, budget = {}, set(names), 1.5 * sum(sizes.values())
+    while left:
+        share = {s: budget * weight[s] / sum(weight[x] for x in left) for s in left}
+        over = {s for s in left if share[s] > 2 * sizes[s]}
+        if not over:
+            return targets | share
+        for s in over:
+            targets[s] = 2.0 * sizes[s]
+            budget -= targets[s]
+        left -= over
+    return targets
 
 
 def test_stages_against_brute_force(spark, raw, tmp_path):
@@ -73,8 +92,20 @@ def test_stages_against_brute_force(spark, raw, tmp_path):
     for r in mixed:
         times[r.doc_id] = times.get(r.doc_id, 0) + 1
     assert set(times) <= {r.doc_id for r in free} and max(times.values()) <= 2
-    words = sum(len((r.text or "").split()) for r in free)
-    assert sum(len((r.text or "").split()) for r in mixed) == pytest.approx(1.5 * words, rel=0.02)
+    size = lambda r: len(re.findall(r"[^\x20\x09-\x0D]+", r.text or ""))
+    sizes: dict = {}
+    for r in free:
+        sizes.setdefault(r.source, []).append(size(r))
+    taken = {s: 0 for s in sizes}
+    for r in mixed:
+        taken[r.source] += size(r)
+    for source, target in _targets({s: sum(n) for s, n in sizes.items()}).items():
+        total, reachable = sum(sizes[source]), 1
+        for n in sizes[source]:
+            reachable |= reachable << n
+        rest = round(target) - (int(target // total) if total else 0) * total
+        best = min(abs(x - rest) for x in range(total + 1) if reachable >> x & 1)
+        assert abs(taken[source] - target) <= best + 1
 
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -90,5 +121,5 @@ def test_stages_against_brute_force(spark, raw, tmp_path):
 
 
 def test_an_empty_table_runs_through(spark, tmp_path):
-    docs = pd.read_parquet("/root/testdata/sf0.001/documents.parquet").head(0)
+    docs = pq.read_table("/root/testdata/sf0.001/documents.parquet").slice(0, 0)
     assert corpus_pipeline.run(spark, _tables(tmp_path, docs)).count() == 0
