@@ -15,8 +15,8 @@ TOKENIZER = "byte_bpe_50k.json"
 
 
 def fold(modulus: int) -> F.Column:
-    """crc32 of doc_id as text, modulo."""
-    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+    """crc32 of doc_id as text, modulo; a null doc_id is an empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % modulus
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import written
+
 #: n-gram lengths in bytes, word boundaries included.
 LENGTHS = (3, 4, 5, 6)
 BUCKETS, DIMENSION = 1 << 18, 4
@@ -26,8 +28,9 @@ WINDOW = 2
 POS = 0.3
 #: n-grams of fewer training documents are not trained.
 MIN_DOCUMENTS = 5
-#: Bound on the labelled documents that training reads: of each label the first by hash.
-TRAIN_ROWS_PER_LABEL = 1500
+#: Bounds on what training reads: labelled documents of each label, by hash, and bytes of a document
+#: (a longer one is not trained on, but scored like any other).
+TRAIN_ROWS_PER_LABEL, TRAIN_BYTES = 1500, 100_000
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -108,6 +111,9 @@ class Linear:
     weight: np.ndarray
     bias: float
 
+    def linear(self) -> Linear:
+        return self
+
     def score(self, text: bytes) -> float:
         key, word, n = subwords(text)
         top = self.bias + (window_means(self.weight[key], word, n).max() if n and len(key) else 0.0)
@@ -143,18 +149,14 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 0, dimension: int
                 bags.append((np.unique(key), label, share[label]))
                 continue
             means = window_means(weight[key], word, n)
-            # A label that no window bears out after some epochs is taken for noise.
-            odds = means.max() + float(bias[1] - bias[0])
-            if epoch >= first + 3 and (odds < -2 if label else odds > 4):
-                continue
             # The deciding window of a toxic document, the four most suspect ones of a clean one.
             k = 1 if label else min(4, len(means))
             for at in np.argpartition(-means, k - 1)[:k]:
                 bags.append((key[(word >= at) & (word < at + WINDOW)], label, share[label] / k))
         rng.shuffle(bags)
         size = 64
-        for i in range(0, len(bags), size):
-            part = bags[i : i + size]
+        for begin in range(0, len(bags), size):
+            part = bags[begin : begin + size]
             length = np.array([max(len(b[0]), 1) for b in part])
             keys = np.concatenate([b[0] for b in part])
             y = np.array([b[1] for b in part])
@@ -187,7 +189,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROW
     """(text, toxic) of at most about per_label documents of each label, chosen by a hash of doc_id.
 
     Labels are counted first and a hash threshold is set from the counts, so there is no sort and no
-    group is gathered. Repeated labels of a doc_id count once each; null labels are left out.
+    group is gathered. Documents over TRAIN_BYTES are left out. Repeated labels of a doc_id count once each; null labels are left out.
     """
     lab = labels.select(F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("toxic")).where("toxic in (0, 1) and __id is not null")
     counts = {r["toxic"]: r["count"] for r in lab.groupBy("toxic").count().collect()}
@@ -195,15 +197,31 @@ def training_rows(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROW
     limit = {c: min(spread, -(-per_label * spread // max(n, 1))) for c, n in counts.items()}
     draw = F.pmod(F.xxhash64(F.lit("train"), "__id"), F.lit(spread))
     chosen = lab.where(F.when(F.col("toxic") == 1, draw < limit.get(1, 0)).otherwise(draw < limit.get(0, 0)))
-    text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("text is not null")
+    text = docs.select("doc_id", F.col("text").cast("binary").alias("text")).where(F.octet_length("text") <= TRAIN_BYTES)
     return text.join(F.broadcast(chosen), text["doc_id"] == chosen["__id"]).select("doc_id", "text", "toxic")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS_PER_LABEL, seed: int = 0) -> ToxicityModel:
-    """Trains on the bounded sample of training_rows (at most 2 * per_label rows, broadcast and read
-    by the driver). Pass only rows that may be learned from."""
-    rows = training_rows(docs, labels, per_label).toPandas().sort_values("doc_id", ignore_index=True)
-    return train([bytes(t) for t in rows["text"]], rows["toxic"].to_numpy(), seed)
+def _trained(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")], strict=True)]
+        rows.sort()
+        linear = train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.int64), seed).linear()
+        yield pa.RecordBatch.from_arrays([pa.array([linear.weight.astype("<f8").tobytes()], pa.binary()), pa.array([linear.bias])], names=["weight", "bias"])
+
+    return run
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_ROWS_PER_LABEL, seed: int = 0) -> Linear:
+    """Trains on the bounded sample of training_rows. Pass only rows that may be learned from.
+
+    The sample is written to the shared folder and trained on by one task; the driver gets only the
+    log odds of the buckets (2 MB). Without a label, or with one only, every score is the same.
+    """
+    sample = written(training_rows(docs, labels, per_label), "toxicity-sample", "parquet")
+    found = sample.coalesce(1).mapInArrow(_trained(seed), "weight binary, bias double").first()
+    if found is None:
+        return train([], np.zeros(0, np.int64), seed).linear()
+    return Linear(np.frombuffer(bytes(found["weight"]), "<f8"), found["bias"])
 
 
 def _score(shared):
@@ -217,7 +235,7 @@ def _score(shared):
     return run
 
 
-def toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def toxicity(docs: DataFrame, model: ToxicityModel | Linear) -> DataFrame:
     """(doc_id, score, predicted) of every whole text; null and empty texts get the bias alone.
 
     Only the text is read for a score. Repeated rows are scored alike, other columns are ignored, an
@@ -239,7 +257,7 @@ def _clean(shared, column: int):
     return run
 
 
-def clean(docs: DataFrame, model: ToxicityModel) -> DataFrame:
+def clean(docs: DataFrame, model: ToxicityModel | Linear) -> DataFrame:
     """docs without those predicted toxic, all columns as they are; judged where they lie, no shuffle."""
     sent = docs.sparkSession.sparkContext.broadcast(model.linear())
     return docs.mapInArrow(_clean(sent, docs.columns.index("text")), docs.schema)
