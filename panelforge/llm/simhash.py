@@ -14,10 +14,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from panelforge.llm.common import blocks_for, components, written
+from panelforge.llm.common import blocks_for, components, few, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that one comparison task holds at most for each side, on average.
@@ -211,9 +212,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS,
 def deduplicated(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
     """docs with one document of each component: the one whose doc_id names it.
 
-    Of repeated rows with that doc_id one is kept. Rows with a null doc_id can't be told apart and
-    are all kept.
+    Of rows that share that doc_id, the one with the fingerprint of its component and the smallest
+    text is kept. Rows with a null doc_id can't be told apart and are all kept. Whole texts are not
+    shuffled: the ids that go, and those of repeated rows, meet the documents in a broadcast of a
+    checked size (a join beyond it); only repeated rows are sorted.
     """
-    lead = near_duplicates(docs, size, radius, seed).where("doc_id = component_id").select(F.col("doc_id").alias("__lead")).distinct()
-    kept = docs.join(lead, docs["doc_id"] == lead["__lead"], "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    found = written(near_duplicates(docs, size, radius, seed).where("doc_id is not null"), "near")
+    leads = found.where("doc_id = component_id")
+    by_id = written(found.groupBy("doc_id").agg(F.count("*").alias("n"), F.bool_or(F.col("doc_id") == F.col("component_id")).alias("leads")), "decided")
+    gone = by_id.where("not leads").select(F.col("doc_id").alias("__id"))
+    twice = by_id.where("leads and n > 1").select(F.col("doc_id").alias("__id"))
+    once = by_id.where("not leads or n > 1").select(F.col("doc_id").alias("__id"))
+    single = docs.join(few(once), docs["doc_id"] == once["__id"], "left_anti") if not gone.isEmpty() or not twice.isEmpty() else docs
+    if twice.isEmpty():
+        return single
+    rows = docs.join(few(twice), docs["doc_id"] == twice["__id"], "left_semi")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    rows = rows.withColumn("__t", F.col("text").cast("binary")).mapInArrow(_fingerprints(size, seed), schema)
+    mark = leads.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__mark")).distinct()
+    hexed = F.lower(F.lpad(F.hex("__fp"), 16, "0"))
+    rows = rows.join(mark, (rows["doc_id"] == mark["__id"]) & (hexed == mark["__mark"]), "left_semi")
+    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    return single.unionByName(rows.withColumn("__rank", rank).where("__rank = 1").select(*docs.columns))
