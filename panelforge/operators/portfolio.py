@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelforge.operators.base import Dialect, operator
 from panelforge.operators.scores import REDUNDANCY
-from panelforge.operators.sqlkit import DAILY, RETURNS, XS, ordinal, r6, size
+from panelforge.operators.sqlkit import DAILY, XS, ordinal, r6, size
 from panelforge.operators.xs import bucket_text, winsor_z_text
 
 OBS, EV = {"obs": "obs"}, {"ev": "ev"}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelforge.operators.base import Dialect, operator
-from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, ordinal, performance, r6, series, size, unit
+from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, ordinal, performance, r6, size, unit
 from panelforge.operators.xs import bucket_text
 
 OBS = {"obs": "obs"}

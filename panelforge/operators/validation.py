@@ -6,7 +6,7 @@ import math
 
 from panelforge.operators.base import Dialect, operator
 from panelforge.operators.scores import REDUNDANCY
-from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, r6, size, unit
+from panelforge.operators.sqlkit import DAILY, RETURNS, avg_rank, r6, size, unit
 
 OBS = {"obs": "obs"}
 G, K = 6, 3
