@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import blocks_for
+from panelforge.llm.common import blocks_for, give_back
 
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 64
 #: Words: ASCII lower-cased runs of digits, letters and anything beyond ASCII.
@@ -237,6 +237,7 @@ def _search(shared):
             found = [(ids[k], *m) for k, *m in _found(index, [t or "" for t in batch.column("text").to_pylist()])]
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*found, strict=True)], names=["doc_id", "item_id", "n_shared", "n_item"])
+        give_back()
 
     return run
 
@@ -249,6 +250,7 @@ def _without(shared, column: int):
             for k, *_ in _found(index, [t or "" for t in batch.column(column).to_pylist()]):
                 keep[k] = False
             yield batch.filter(pa.array(keep))
+        give_back()
 
     return run
 

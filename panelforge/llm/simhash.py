@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from panelforge.llm.common import blocks_for, components, few, written
+from panelforge.llm.common import blocks_for, components, few, give_back, written
 
 SHINGLE, RADIUS, SEED = 4, 4, 42
 #: Fingerprints that one comparison task holds at most for each side, on average.
@@ -62,6 +62,7 @@ def _fingerprints(size: int, seed: int):
                 part = batch.slice(at, 64)
                 fp = fingerprint([t or b"" for t in part.column("__t").to_pylist()], size, seed)
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in part.schema.names if c != "__t"], pa.array(fp.view(np.int64))], names=[*[c for c in part.schema.names if c != "__t"], "__fp"])
+        give_back()
 
     return run
 
@@ -167,6 +168,8 @@ def _compare(radius: int):
                 (home if own else away).append((fps, ids))
         if home and (out := compared(home, away)) is not None:
             yield out
+        home, away = [], []
+        give_back()
 
     return run
 

@@ -26,10 +26,10 @@ END_ID = 0
 #: with any of it are encoded whole.
 RARE = re.compile("[\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: Bound on remembered chunks in a worker (about 40 bytes each); beyond it the memory starts afresh.
-REMEMBERED = 1_500_000
+REMEMBERED = 1_000_000
 #: Chunks over so many bytes are not remembered.
 LONGEST = 64
-BLOCK_BYTES, BLOCK_TEXTS, LEARN_AT_ONCE = 2_000_000, 1024, 20_000
+BLOCK_BYTES, BLOCK_TEXTS, LEARN_AT_ONCE = 1_000_000, 512, 20_000
 #: Bytes of text of a doc_id range, on average: a range is sorted, encoded and written by one task.
 RANGE_BYTES = 32_000_000
 ROW = "doc_id long, part int, row long, n_tokens long, ids array<int>"
@@ -73,7 +73,7 @@ def _byte_lengths(path: str) -> np.ndarray:
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd base and of its inverse modulo 2 ** 64."""
     if len(_state.get("up", ())) < n:
-        size = 1 << max(21, int(n).bit_length())
+        size = 1 << max(20, int(n).bit_length())
         for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
             x = np.full(size, base, np.uint64)
             x[0] = 1
@@ -272,6 +272,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
         crc = [zlib.crc32(flat[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
         yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "part", "row", "n_tokens")], pa.array(crc, pa.int64())], names=["doc_id", "part", "row", "n_tokens", "ids_crc32"])
+    give_back()
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

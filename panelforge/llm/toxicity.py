@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import written
+from panelforge.llm.common import give_back, written
 
 #: n-gram lengths in bytes, word boundaries included.
 LENGTHS = (3, 4, 5, 6)
@@ -206,6 +206,8 @@ def _trained(seed: int):
         rows = [r for b in batches for r in zip(*[b.column(c).to_pylist() for c in ("doc_id", "text", "toxic")], strict=True)]
         rows.sort()
         linear = train([t for _, t, _ in rows], np.array([y for *_, y in rows], np.int64), seed).linear()
+        rows.clear()
+        give_back()
         yield pa.RecordBatch.from_arrays([pa.array([linear.weight.astype("<f8").tobytes()], pa.binary()), pa.array([linear.bias])], names=["weight", "bias"])
 
     return run
@@ -231,6 +233,7 @@ def _score(shared):
             s = [model.score(t or b"") for t in batch.column("__t").to_pylist()]
             names = [c for c in batch.schema.names if c != "__t"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in names], pa.array(s, pa.float64())], names=[*names, "score"])
+        give_back()
 
     return run
 
@@ -253,6 +256,7 @@ def _clean(shared, column: int):
         for batch in batches:
             keep = [model.score((t or "").encode()) < 0.5 for t in batch.column(column).to_pylist()]
             yield batch.filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return run
 
