@@ -104,19 +104,31 @@ class Dialect:
 SPARK, DUCK = Dialect("spark"), Dialect("duckdb")
 
 
+@dataclass
+class Stage:
+    """A stage whose rows pass through a function of the DataFrame; DuckDB gets all of it as SQL."""
+
+    rows: Callable[..., str]
+    through: Callable[..., DataFrame]
+    duck: Callable[..., str]
+
+
 @dataclass
 class Entry:
     name: str
     text: Callable[..., str]
     frames: dict[str, str]
     params: dict = field(default_factory=dict)
-    stages: dict[str, Callable[[Dialect], str]] = field(default_factory=dict)
+    stages: dict[str, Callable[[Dialect], str] | Stage] = field(default_factory=dict)
 
     def run(self, frames: dict[str, DataFrame], **params: object) -> DataFrame:
         """The query over its frames; its stages are written first, each as one more frame."""
         frames = dict(frames)
-        for name, text in self.stages.items():
-            frames[name] = written(run(text(SPARK), **frames))
+        for name, stage in self.stages.items():
+            if isinstance(stage, Stage):
+                frames[name] = written(stage.through(run(stage.rows(SPARK), **frames), **params))
+            else:
+                frames[name] = written(run(stage(SPARK), **frames))
         return widened(run(self.text(SPARK, **params), **frames))
 
 
@@ -124,7 +136,7 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def operator(name: str, frames: dict[str, str] | None = None, stages: dict[str, Callable[[Dialect], str]] | None = None, **registered: object) -> Callable:
+def operator(name: str, frames: dict[str, str] | None = None, stages: dict[str, Callable[[Dialect], str] | Stage] | None = None, **registered: object) -> Callable:
     """Registers a query text builder; frames maps its frame names to the panels of its query, stages
     are smaller tables that its text names more than once."""
 
@@ -154,5 +166,5 @@ def duck_text(entry: Entry, panels: dict[str, str], needs: dict[str, list[str]])
     names = entry.frames | {s: s for s in entry.stages}
     named = lambda t: re.sub(r"\{(\w+)\}", lambda m: names[m[1]], t)
     text = named(entry.text(DUCK, **entry.params))
-    tables = ", ".join([f"{p} AS MATERIALIZED ({panels[p]})" for p in wanted if p in panels] + [f"{s} AS MATERIALIZED ({named(t(DUCK))})" for s, t in entry.stages.items()])
+    tables = ", ".join([f"{p} AS MATERIALIZED ({panels[p]})" for p in wanted if p in panels] + [f"{s} AS MATERIALIZED ({named(t.duck(DUCK, **entry.params) if isinstance(t, Stage) else t(DUCK))})" for s, t in entry.stages.items()])
     return f"WITH {tables} SELECT * FROM ({text}) AS result" if tables else text

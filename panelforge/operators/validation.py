@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 
-from panelforge.operators.base import Dialect, operator
+from panelforge.operators import models
+from panelforge.operators.base import Dialect, Stage, operator
 from panelforge.operators.scores import REDUNDANCY
 from panelforge.operators.sqlkit import DAILY, RETURNS, avg_rank, r6, size, unit
 
@@ -217,43 +218,37 @@ k AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY inside DESC, factor_i
 SELECT count(*) AS splits, {r6('avg(CASE WHEN r / (n + 1) <= 0.5 THEN 1e0 ELSE 0e0 END)')} AS pbo FROM k WHERE place = 1"""
 
 
-def _deal(instrument: str, rep: str, sx: str, method: str, seed: int) -> str:
-    """A number to shuffle by: squares modulo a prime, which every engine computes alike."""
-    prime = 2147483647
-    first = f"(({instrument} * 48271 + {rep} * 69621 + {sx} * 16807 + {method} * 7919 + {seed * 104729}) % {prime})"
-    second = f"(({first} * {first}) % {prime} + {rep})"
-    return f"(({second} * {second}) % {prime})"
+_RANKED = f"SELECT factor_id, horizon, session, sx, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf FROM {{obs}}"
 
 
-@operator("j11_placebo", OBS)
+def sections_text(d: Dialect) -> str:
+    """One row for each cross-section: its names in order and their ranks."""
+    return f"SELECT factor_id, horizon, session, sx, transform(z, x -> x.instrument) AS names, transform(z, x -> x.rv) AS rv, transform(z, x -> x.rf) AS rf FROM (SELECT factor_id, horizon, session, sx, array_sort(collect_list(struct(instrument, rv, rf))) AS z FROM ({_RANKED}) AS k GROUP BY factor_id, horizon, session, sx) AS g"
+
+
+def plain_placebo_text(d: Dialect, reps: int = 199, seed: int = 7) -> str:
+    """The same shuffles with one row for every name and repetition."""
+    first = f"((instrument * {models.BY_NAME} + rep * {models.BY_REP} + sx * {models.BY_SESSION} + method * {models.BY_METHOD} + {seed * models.BY_SEED}) % {models.PRIME})"
+    second = f"(({first} * {first}) % {models.PRIME} + rep)"
+    keys = "factor_id, horizon, session, method, rep"
+    return f"""
+SELECT {keys}, corr(CASE WHEN method = 0 THEN seat_rv ELSE rv END, CASE WHEN method = 0 THEN rf ELSE seat_rf END) AS ic FROM (
+  SELECT p.*, q.rv AS seat_rv, q.rf AS seat_rf FROM (
+    SELECT k.*, method, rep, row_number() OVER (PARTITION BY {keys} ORDER BY ({second} * {second}) % {models.PRIME}, instrument) AS seat FROM ({_RANKED}) AS k, unnest(generate_series(1, {reps})) AS a(rep), unnest([0, 1]) AS b(method)) AS p
+  JOIN (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, session ORDER BY instrument) AS seat FROM ({_RANKED}) AS k) AS q ON q.factor_id = p.factor_id AND q.horizon = p.horizon AND q.session = p.session AND q.seat = p.seat) AS x GROUP BY {keys}"""
+
+
+@operator("j11_placebo", OBS, {"ics": Stage(sections_text, models.shuffled_ics, plain_placebo_text)})
 def placebo(d: Dialect, reps: int = 199, seed: int = 7) -> str:
     """Returns shuffled against signals (return) and signals against returns (signal), within each session.
 
-    Ranks are taken once; a cross-section is one row with its ranks in arrays, and every repetition
-    shuffles them inside that row, so repetitions are never sorted or shuffled between tasks.
-    p = (1 + repetitions with a mean RankIC at least the observed one) / (repetitions + 1). DuckDB
-    gets the plain form: one row for every name and repetition.
+    Ranks are taken once; a cross-section is one row, and every repetition shuffles it inside that row
+    (a session's names bound it), so repetitions are never sorted or sent between tasks.
+    p = (1 + repetitions with a mean RankIC at least the observed one) / (repetitions + 1).
     """
-    ranked = f"SELECT factor_id, horizon, session, sx, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf FROM {{obs}}"
-    keys = "factor_id, horizon, method, rep"
-    if d.name == "spark":
-        deal = _deal("x.instrument", "rep", "sx", "method", seed)
-        shuffled = f"""
-SELECT factor_id, horizon, method, rep, (aggregate(transform(dealt, (y, i) -> CASE WHEN method = 0 THEN z[i].rv * z[y.i].rf ELSE z[i].rf * z[y.i].rv END), 0e0, (a, x) -> a + x) / n - mean * mean) / nullif(sqrt(vv * vf), 0) AS ic FROM (
-  SELECT *, sort_array(transform(z, (x, i) -> struct({deal} AS h, x.instrument AS name, i AS i))) AS dealt FROM (
-    SELECT *, (n + 1) / 2e0 AS mean FROM (
-      SELECT factor_id, horizon, session, max(sx) AS sx, CAST(count(*) AS DOUBLE) AS n, var_pop(rv) AS vv, var_pop(rf) AS vf, array_sort(collect_list(struct(instrument, rv, rf))) AS z FROM k GROUP BY factor_id, horizon, session) AS g
-  ) AS s LATERAL VIEW explode(sequence(1, {reps})) AS rep LATERAL VIEW explode(array(0, 1)) AS method) AS r"""
-    else:
-        deal = _deal("instrument", "rep", "sx", "method", seed)
-        shuffled = f"""
-SELECT {keys}, corr(CASE WHEN method = 0 THEN seat_rv ELSE rv END, CASE WHEN method = 0 THEN rf ELSE seat_rf END) AS ic FROM (
-  SELECT p.*, q.rv AS seat_rv, q.rf AS seat_rf FROM (
-    SELECT k.*, method, rep, row_number() OVER (PARTITION BY factor_id, horizon, session, method, rep ORDER BY {deal}, instrument) AS seat FROM k, unnest(generate_series(1, {reps})) AS a(rep), unnest([0, 1]) AS b(method)) AS p
-  JOIN (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, session ORDER BY instrument) AS seat FROM k) AS q ON q.factor_id = p.factor_id AND q.horizon = p.horizon AND q.session = p.session AND q.seat = p.seat) AS x GROUP BY {keys}, session"""
     return f"""
-WITH k AS ({ranked}), m AS (SELECT {keys}, round(avg(ic), 9) AS ic FROM ({shuffled}) AS s GROUP BY {keys}),
-o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM k GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon)
+WITH m AS (SELECT factor_id, horizon, method, rep, round(avg(ic), 9) AS ic FROM {{ics}} GROUP BY factor_id, horizon, method, rep),
+o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM ({_RANKED}) AS k GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon)
 SELECT o.factor_id, o.horizon, CASE m.method WHEN 0 THEN 'return' ELSE 'signal' END AS method, {r6('max(o.ic)')} AS observed, {r6('(1 + sum(CASE WHEN m.ic >= o.ic THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE)')} AS p_value FROM o JOIN m ON m.factor_id = o.factor_id AND m.horizon = o.horizon GROUP BY o.factor_id, o.horizon, m.method"""
 
 
