@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, wrappers
+from panelforge.llm import alignment, decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, suffix_dedup, token_counts, token_files, toxicity, vector_codes, wrappers
 from panelforge.llm.common import table
 
-TOKENIZER = "byte_bpe_50k.json"
+TOKENIZER, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def fold(modulus: int) -> F.Column:
@@ -76,6 +76,22 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_digests(spark, path)
 
 
+def op11_align_tokenizers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of every document between two tokenizers; null texts have none."""
+    a, b = public_tokenizers.path(TOKENIZER), public_tokenizers.path(PIECES)
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, digests=True)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Code and error of every embedding with finite components, and the error of its label."""
+    return vector_codes.codes(table(spark, sf_dir, "embeddings"))
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document, and whether it has over 512 tokens; null texts have none."""
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five stages of corpus_pipeline on the whole documents table."""
     import corpus_pipeline
@@ -95,9 +111,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_wrappers": op8_wrappers,
         "op9_language_id": op9_language_id,
         "op10_token_files": op10_token_files,
+        "op11_align_tokenizers": op11_align_tokenizers,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_token_counts": op13_token_counts,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": decontaminate.oracle(), "op7_quality_rules": quality_rules.oracle()}
+    return {"op4_decontaminate": decontaminate.oracle(), "op7_quality_rules": quality_rules.oracle(), "op12_vector_codes": vector_codes.oracle()}

@@ -48,15 +48,24 @@ _SUSPECT = np.zeros(256, bool)
 _SUSPECT[[0x0B, 0x0C, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
 
 
-def _tokenizer(path: str):
-    if path not in _state:
+def _tokenizer(path: str, plain: bool = True):
+    """The tokenizer; plain takes the strings of special tokens inside texts for ordinary text."""
+    if (path, plain) not in _state:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True
-        _state[path] = tokenizer
-    return _state[path]
+        tokenizer.encode_special_tokens = plain
+        _state[path, plain] = tokenizer
+    return _state[path, plain]
+
+
+def _special(path: str) -> re.Pattern | None:
+    """The strings of added tokens, which the library finds inside texts by default."""
+    if (path, "special") not in _state:
+        added = [t.content for t in _tokenizer(path).get_added_tokens_decoder().values()]
+        _state[path, "special"] = re.compile(b"|".join(re.escape(t.encode()) for t in added)) if added else None
+    return _state[path, "special"]
 
 
 def _byte_lengths(path: str) -> np.ndarray:
@@ -154,8 +163,11 @@ def _gather(first: np.ndarray, count: np.ndarray, flat: np.ndarray) -> np.ndarra
     return flat[np.repeat(first - (np.cumsum(count) - count), count) + np.arange(count.sum())]
 
 
-def encode_texts(texts: list[bytes], path: str) -> list[np.ndarray]:
-    """Ids of whole texts (UTF-8), equal to encoding each at once.
+def encode_texts(texts: list[bytes], path: str, plain: bool = False) -> list[np.ndarray]:
+    """Ids of whole texts (UTF-8), equal to encoding each at once without begin and end tokens.
+
+    The strings of special tokens inside texts become these tokens, as is the library's default, or
+    ordinary text if plain is set; texts that hold any are encoded whole.
 
     Byte-level pre-tokens do not cross cut_places, so chunks can be encoded on their own; a chunk seen
     before is looked up by its 64-bit hash, and only new ones go to the tokenizer, many at a time.
@@ -164,8 +176,11 @@ def encode_texts(texts: list[bytes], path: str) -> list[np.ndarray]:
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum([len(x) for x in texts])
     suspect = np.unique(np.searchsorted(ends, np.flatnonzero(_SUSPECT[data]), "right")).tolist()
-    rare = [i for i in suspect if RARE.search(texts[i].decode())]
-    for i, e in zip(rare, _tokenizer(path).encode_batch_fast([texts[i].decode() for i in rare], add_special_tokens=False), strict=True):
+    rare = {i for i in suspect if RARE.search(texts[i].decode())}
+    if not plain and (special := _special(path)):
+        rare |= {i for i, x in enumerate(texts) if special.search(x)}
+    rare = sorted(rare)
+    for i, e in zip(rare, _tokenizer(path, plain).encode_batch_fast([texts[i].decode() for i in rare], add_special_tokens=False), strict=True):
         out[i] = np.array(e.ids, np.int32)
     whole = sorted({i for i, x in enumerate(texts) if x} - set(rare))
     if not whole:
@@ -212,7 +227,7 @@ def encode_texts(texts: list[bytes], path: str) -> list[np.ndarray]:
     return out
 
 
-def _blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def row_blocks(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """(first row, rows) of blocks of bounded size; a longer text is a block of its own."""
     sizes = [n or 0 for n in pc.binary_length(texts).to_pylist()]
     a = 0
@@ -229,7 +244,7 @@ def _encode(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end, row = np.array([end_id], "<i4"), 0
         for batch in batches:
-            for at, n in _blocks(batch.column("text")):
+            for at, n in row_blocks(batch.column("text")):
                 part = batch.slice(at, n)
                 ids = [x for e in encode_texts([t or b"" for t in part.column("text").to_pylist()], path) for x in (e, end)]
                 lengths = np.array([len(ids[i]) + 1 for i in range(0, len(ids), 2)], np.int64)
