@@ -71,6 +71,10 @@ class Dialect:
         inner = ", ".join(f"'{x}'" if isinstance(x, str) else str(x) for x in items)
         return f"array({inner})" if self.name == "spark" else f"[{inner}]"
 
+    def array_of(self, *items: str) -> str:
+        """An array of expressions."""
+        return f"array({', '.join(items)})" if self.name == "spark" else f"[{', '.join(items)}]"
+
     def doubles(self, items: tuple) -> str:
         return self.array([f"{float(x)!r}e0" for x in items]).replace("'", "")
 

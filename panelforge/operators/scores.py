@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from panelforge.operators.base import Dialect, operator
+from pyspark.sql import DataFrame
+
+from panelforge.operators import order
+from panelforge.operators.base import Dialect, Stage, operator
 from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, ordinal, performance, r6, size, unit
 from panelforge.operators.xs import bucket_text
 
@@ -142,23 +145,54 @@ SELECT c.factor_id, c.horizon, cells, sessions, instruments, {r6('cells / CAST(s
 FROM c JOIN g ON g.factor_id = c.factor_id AND g.horizon = c.horizon JOIN t ON t.factor_id = c.factor_id AND t.horizon = c.horizon"""
 
 
-@operator("h13_regime_evidence", OBS)
-def regime_evidence(d: Dialect) -> str:
-    """Pooled RankIC in sessions that the market rose and fell in.
+def cells_text(d: Dialect) -> str:
+    """Every observation in the regime of its session."""
+    regime = f"CASE WHEN avg(fwd) OVER (PARTITION BY {XS}) >= 0 THEN 'up' ELSE 'down' END"
+    return f"SELECT factor_id, horizon, session, v, fwd, {regime} AS regime FROM {{obs}}"
 
-    Values are ranked on a grid of 1e-4: the counts of each grid value are ranked, not the rows, so
-    a regime is never sorted by one task as a whole.
-    """
-    key = "factor_id, horizon, regime"
 
-    def ranks(x: str) -> str:
-        return f"SELECT {key}, {x}, sum(c) OVER (PARTITION BY {key} ORDER BY {x} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - (c - 1) / 2e0 AS r FROM (SELECT {key}, {x}, count(*) AS c FROM m GROUP BY {key}, {x}) AS h_{x}"
+#: What ranks are pooled over.
+_POOL = ["factor_id", "horizon", "regime"]
+
+
+def _pooled(cells: DataFrame) -> DataFrame:
+    for values, name in ((["v"], "v"), (["fwd"], "fwd"), (["v", "fwd"], "both")):
+        cells = order.places(cells, _POOL, values, name)
+    return cells
+
 
-    on = lambda t, x: f"{t}.factor_id = m.factor_id AND {t}.horizon = m.horizon AND {t}.regime = m.regime AND {t}.{x} = m.{x}"
+def pooled_text(d: Dialect) -> str:
+    """The same places by plain windows."""
+    part = ", ".join(_POOL)
+    places = [
+        f"rank() OVER (PARTITION BY {part} ORDER BY {x}) - 1 AS {name}_before, count(*) OVER (PARTITION BY {part}, {x}) AS {name}_ties"
+        for x, name in (("v", "v"), ("fwd", "fwd"), ("v, fwd", "both"))
+    ]
+    return f"SELECT *, {', '.join(places)} FROM {{cells}} AS c"
+
+
+@operator("h13_regime_evidence", OBS, {"cells": cells_text, "pooled": Stage(lambda d: "SELECT * FROM {cells}", _pooled, pooled_text)})
+def regime_evidence(d: Dialect, least_cells: int = 10) -> str:
+    """Pooled RankIC and excess of the top fifth in sessions that the market rose and fell in.
+
+    A regime with fewer than least_cells observations is left out, and one of constant signals has no
+    RankIC; it counts as positive if both figures are. Ranks are exact and never gather a regime in one
+    task; the top fifth is taken by signal, then by return.
+    """
+    rank = lambda x: f"{x}_before + ({x}_ties + 1) / 2e0"
+    chosen = "greatest(0, least(both_ties, both_before + both_ties - n + greatest(1, floor(n / 5e0)))) / CAST(both_ties AS DOUBLE)"
     return f"""
-WITH m AS (SELECT factor_id, horizon, round(v, 4) AS gv, round(fwd, 4) AS gf, CASE WHEN avg(fwd) OVER (PARTITION BY {XS}) >= 0 THEN 'up' ELSE 'down' END AS regime FROM {{obs}}),
-rv AS ({ranks('gv')}), rf AS ({ranks('gf')})
-SELECT m.factor_id, m.horizon, m.regime, count(*) AS cells, {r6('corr(rv.r, rf.r)')} AS rank_ic FROM m JOIN rv ON {on('rv', 'gv')} JOIN rf ON {on('rf', 'gf')} GROUP BY m.factor_id, m.horizon, m.regime"""
+WITH sized AS (
+  SELECT p.*, s.n, s.mid FROM {{pooled}} AS p
+  JOIN (SELECT factor_id, horizon, regime, count(*) AS n, avg(fwd) AS mid FROM {{cells}} GROUP BY factor_id, horizon, regime) AS s
+    ON s.factor_id = p.factor_id AND s.horizon = p.horizon AND s.regime = p.regime),
+e AS (
+  SELECT factor_id, horizon, regime, count(*) AS cells, count(DISTINCT session) AS sessions,
+    CASE WHEN min(v) < max(v) AND min(fwd) < max(fwd) THEN corr({rank('v')}, {rank('fwd')}) END AS rank_ic, sum(fwd * {chosen}) / sum({chosen}) - max(mid) AS top_excess
+  FROM sized GROUP BY factor_id, horizon, regime HAVING count(*) >= {least_cells})
+SELECT factor_id, horizon, regime, cells, sessions, {r6('rank_ic')} AS rank_ic, {r6('top_excess')} AS top_excess, coalesce(rank_ic > 0 AND top_excess > 0, FALSE) AS positive,
+  {r6("avg(CASE WHEN rank_ic > 0 AND top_excess > 0 THEN 1e0 ELSE 0e0 END) OVER (PARTITION BY factor_id, horizon)")} AS positive_share
+FROM e"""
 
 
 @operator("h14_objective", OBS)

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
-from panelforge.operators import models
+from pyspark.sql import DataFrame
+
+from panelforge.operators import models, order, splits
 from panelforge.operators.base import Dialect, Stage, operator
 from panelforge.operators.scores import REDUNDANCY
 from panelforge.operators.sqlkit import DAILY, RETURNS, avg_rank, r6, size, unit
@@ -48,8 +51,8 @@ SELECT fold, sx, CASE WHEN is_test THEN 'test' WHEN latest_end >= sx THEN 'purge
         SELECT fold, sx, sx + {h} AS moment, 0 AS kind FROM member WHERE is_test UNION ALL SELECT fold, sx, sx - 1, 1 FROM member) AS u) AS w WHERE kind = 1) AS e ON e.fold = p.fold AND e.sx = p.sx) AS x"""
 
 
-def members_text(d: Dialect) -> str:
-    return f"g AS ({groups_text()}), f AS ({folds_text(d)}), member AS (SELECT n.fold, g.sx, t.grp_no IS NOT NULL AS is_test FROM (SELECT DISTINCT fold FROM f) AS n CROSS JOIN g LEFT JOIN f AS t ON t.fold = n.fold AND t.grp_no = g.grp_no)"
+def members_text(d: Dialect, g: int = G, k: int = K) -> str:
+    return f"g AS ({groups_text(g)}), f AS ({folds_text(d, g, k)}), member AS (SELECT n.fold, g.sx, t.grp_no IS NOT NULL AS is_test FROM (SELECT DISTINCT fold FROM f) AS n CROSS JOIN g LEFT JOIN f AS t ON t.fold = n.fold AND t.grp_no = g.grp_no)"
 
 
 @operator("j3_purge_embargo", OBS)
@@ -77,15 +80,11 @@ def paths_text(d: Dialect, g: int = G, k: int = K) -> str:
     return f"SELECT row_number() OVER (PARTITION BY grp_no ORDER BY fold) - 1 AS path, grp_no, fold FROM ({folds_text(d, g, k)}) AS pf"
 
 
-#: Percentiles of a whole factor are taken on a grid, so that what one of them gathers is bounded.
-GRID = 5
-
-
 # --- stages: small tables that the fold operators name more than once -------------------------------
 
 
-def role_text(d: Dialect) -> str:
-    return f"WITH {members_text(d)} SELECT fold, sx, role FROM ({roles_text(d)}) AS r"
+def role_text(d: Dialect, g: int = G, k: int = K) -> str:
+    return f"WITH {members_text(d, g, k)} SELECT fold, sx, role FROM ({roles_text(d)}) AS r"
 
 
 def daily_text(d: Dialect) -> str:
@@ -100,18 +99,25 @@ def scores_text(d: Dialect) -> str:
 def weights_text(d: Dialect) -> str:
     """Weights of every candidate in every fold, learned on its train sessions.
 
-    A candidate is a set of factors under a scheme: single (one factor), equal, positive (mean train
-    RankIC where positive, equal if none is), best (the one with the highest) and signed (equal, each
-    in the direction of its train RankIC). A fold without train sessions learns nothing: scores of 0.
+    Candidates are rows of {cands}: (candidate, scheme, factor_id), one for each factor of each, however
+    many there are. Schemes: single (one factor), equal, positive (mean train RankIC where positive,
+    equal if none is), best (the one with the highest) and signed (equal, each in the direction of its
+    train RankIC). A fold without train sessions learns nothing: scores of 0.
     """
+    part = "c.candidate, c.scheme, s.fold, s.horizon"
     return f"""
-WITH fac AS (SELECT factor_id, row_number() OVER (ORDER BY factor_id) - 1 AS k, count(*) OVER () AS n_factors FROM (SELECT DISTINCT factor_id FROM {{scores}}) AS x),
-s AS (SELECT n.fold, x.horizon, x.factor_id, coalesce(t.score, 0e0) AS score FROM (SELECT DISTINCT fold FROM {{roles}}) AS n CROSS JOIN (SELECT DISTINCT factor_id, horizon FROM {{scores}}) AS x LEFT JOIN {{scores}} AS t ON t.fold = n.fold AND t.factor_id = x.factor_id AND t.horizon = x.horizon AND t.role = 'train'),
-sets AS (SELECT m AS members, fac.factor_id, count(*) OVER (PARTITION BY m) AS n FROM fac {d.explode(d.sequence('1', '127'), 'm')} WHERE m < {d.shift_left('n_factors')} AND (m & {d.shift_left('k')}) > 0),
-ts AS (SELECT sets.members, sets.n, s.fold, s.horizon, s.factor_id, s.score, greatest(s.score, 0) AS gain, row_number() OVER (PARTITION BY sets.members, s.fold, s.horizon ORDER BY round(s.score, 9) DESC, s.factor_id) AS place FROM s JOIN sets ON sets.factor_id = s.factor_id),
-tt AS (SELECT *, sum(gain) OVER (PARTITION BY members, fold, horizon) AS total FROM ts)
-SELECT fold, horizon, members, scheme, factor_id, CASE scheme WHEN 'positive' THEN CASE WHEN total > 0 THEN gain / total ELSE 1e0 / n END WHEN 'best' THEN CASE WHEN place = 1 THEN 1e0 ELSE 0e0 END WHEN 'signed' THEN CASE WHEN score < 0 THEN -1e0 ELSE 1e0 END / n ELSE 1e0 / n END AS weight
-FROM tt {d.explode(d.array(['single', 'equal', 'positive', 'best', 'signed']), 'scheme')} WHERE (n = 1) = (scheme = 'single')"""
+WITH s AS (
+  SELECT n.fold, x.horizon, x.factor_id, coalesce(t.score, 0e0) AS score
+  FROM (SELECT DISTINCT fold FROM {{roles}}) AS n CROSS JOIN (SELECT DISTINCT factor_id, horizon FROM {{scores}}) AS x
+  LEFT JOIN {{scores}} AS t ON t.fold = n.fold AND t.factor_id = x.factor_id AND t.horizon = x.horizon AND t.role = 'train'),
+t AS (
+  SELECT c.candidate, c.scheme, s.fold, s.horizon, s.factor_id, s.score, greatest(s.score, 0) AS gain, count(*) OVER (PARTITION BY {part}) AS n,
+    row_number() OVER (PARTITION BY {part} ORDER BY round(s.score, 9) DESC, s.factor_id) AS place, sum(greatest(s.score, 0)) OVER (PARTITION BY {part}) AS total
+  FROM s JOIN {{cands}} AS c ON c.factor_id = s.factor_id)
+SELECT fold, horizon, candidate, scheme, factor_id,
+  CASE scheme WHEN 'positive' THEN CASE WHEN total > 0 THEN gain / total ELSE 1e0 / n END WHEN 'best' THEN CASE WHEN place = 1 THEN 1e0 ELSE 0e0 END
+    WHEN 'signed' THEN CASE WHEN score < 0 THEN -1e0 ELSE 1e0 END / n ELSE 1e0 / n END AS weight
+FROM t"""
 
 
 def blends_text(d: Dialect) -> str:
@@ -119,52 +125,105 @@ def blends_text(d: Dialect) -> str:
     t = "STRING" if d.name == "spark" else "VARCHAR"
     name = d.collect(f"concat(factor_id, '=', CAST(round(weight, 9) AS {t}))", "factor_id")
     joined = f"array_join({name}, ',')" if d.name == "spark" else f"array_to_string({name}, ',')"
-    return f"SELECT fold, horizon, members, scheme, {joined} AS blend FROM {{weights}} WHERE weight <> 0 GROUP BY fold, horizon, members, scheme"
+    return f"SELECT fold, horizon, candidate, scheme, {joined} AS blend FROM {{weights}} WHERE weight <> 0 GROUP BY fold, horizon, candidate, scheme"
 
 
 def blend_ics_text(d: Dialect) -> str:
     """RankIC of every blend on each session that any of its folds tests."""
-    on = "b.fold = w.fold AND b.horizon = w.horizon AND b.members = w.members AND b.scheme = w.scheme"
+    on = "b.fold = w.fold AND b.horizon = w.horizon AND b.candidate = w.candidate AND b.scheme = w.scheme"
     return f"""
 WITH parts AS (SELECT b.blend, b.horizon, w.factor_id, max(w.weight) AS weight FROM {{blends}} AS b JOIN {{weights}} AS w ON {on} WHERE w.weight <> 0 GROUP BY b.blend, b.horizon, w.factor_id),
 asked AS (SELECT DISTINCT b.blend, b.horizon, r.sx FROM {{blends}} AS b JOIN {{roles}} AS r ON r.fold = b.fold WHERE r.role = 'test'),
 need AS (SELECT a.blend, a.horizon, a.sx, p.factor_id, p.weight, count(*) OVER (PARTITION BY a.blend, a.horizon, a.sx) AS n FROM asked AS a JOIN parts AS p ON p.blend = a.blend AND p.horizon = a.horizon),
 u AS (SELECT factor_id, horizon, sx, instrument, fwd, {unit(avg_rank('v'), size())} AS u FROM {{obs}}),
-x AS (SELECT need.blend, u.horizon, u.sx, u.instrument, round(sum(need.weight * u.u), 9) AS value, max(u.fwd) AS fwd FROM u JOIN need ON need.factor_id = u.factor_id AND need.horizon = u.horizon AND need.sx = u.sx GROUP BY need.blend, u.horizon, u.sx, u.instrument HAVING count(*) = max(need.n)),
+x AS (
+  SELECT need.blend, u.horizon, u.sx, u.instrument, round(sum(need.weight * u.u), 9) AS value, max(u.fwd) AS fwd
+  FROM u JOIN need ON need.factor_id = u.factor_id AND need.horizon = u.horizon AND need.sx = u.sx GROUP BY need.blend, u.horizon, u.sx, u.instrument HAVING count(*) = max(need.n)),
 k AS (SELECT blend, horizon, sx, {avg_rank('value', 'blend, horizon, sx')} AS rv, {avg_rank('fwd', 'blend, horizon, sx')} AS rf FROM x)
 SELECT blend, horizon, sx, corr(rv, rf) AS ic FROM k GROUP BY blend, horizon, sx HAVING count(*) >= 3"""
 
 
 def tests_text(d: Dialect) -> str:
     """RankIC of every candidate on every test session of every fold, with that fold's weights."""
-    return "SELECT b.fold, b.horizon, b.members, b.scheme, r.sx, i.ic FROM {blends} AS b JOIN {roles} AS r ON r.fold = b.fold AND r.role = 'test' JOIN {blend_ics} AS i ON i.blend = b.blend AND i.horizon = b.horizon AND i.sx = r.sx WHERE i.ic IS NOT NULL"
+    return """
+SELECT b.fold, b.horizon, b.candidate, b.scheme, r.sx, i.ic FROM {blends} AS b JOIN {roles} AS r ON r.fold = b.fold AND r.role = 'test'
+JOIN {blend_ics} AS i ON i.blend = b.blend AND i.horizon = b.horizon AND i.sx = r.sx WHERE i.ic IS NOT NULL"""
 
 
-def path_scores_text(d: Dialect) -> str:
+def path_scores_text(d: Dialect, g: int = G, k: int = K) -> str:
     """Mean out-of-sample RankIC of every candidate on every path, each group by the path's own fold."""
-    return f"SELECT p.path, concat(t.horizon, ':', t.members, ':', t.scheme) AS config, avg(t.ic) AS score FROM ({paths_text(d)}) AS p JOIN ({groups_text()}) AS g ON g.grp_no = p.grp_no JOIN ({tests_text(d)}) AS t ON t.fold = p.fold AND t.sx = g.sx GROUP BY p.path, t.horizon, t.members, t.scheme"
+    return f"""
+SELECT p.path, concat(t.horizon, ':', t.candidate, ':', t.scheme) AS config, avg(t.ic) AS score
+FROM ({paths_text(d, g, k)}) AS p JOIN ({groups_text(g)}) AS g ON g.grp_no = p.grp_no JOIN ({tests_text(d)}) AS t ON t.fold = p.fold AND t.sx = g.sx
+GROUP BY p.path, t.horizon, t.candidate, t.scheme"""
+
+
+def fold_stages(g: int = G, k: int = K) -> dict[str, dict]:
+    """The stages of the fold operators for g groups of which k are tested; each set builds on the one before."""
+    roles = {"roles": functools.partial(role_text, g=g, k=k)}
+    scores = roles | {"daily": daily_text, "scores": scores_text}
+    weights = scores | {"weights": weights_text}
+    blends = weights | {"blends": blends_text, "blend_ics": blend_ics_text}
+    paths = blends | {"path_scores": functools.partial(path_scores_text, g=g, k=k)}
+    halves = paths | {"splits": Stage(lambda d: "SELECT * FROM {path_scores}", functools.partial(splits.half_splits, paths=math.comb(g - 1, k - 1)), functools.partial(half_splits_text, g=g, k=k))}
+    return {"roles": roles, "scores": scores, "weights": weights, "blends": blends, "splits": halves}
+
+
+def half_splits_text(d: Dialect, g: int = G, k: int = K) -> str:
+    """All half-splits for DuckDB: a split is one half of its lower and one of its upper paths, whose sums are added."""
+    paths, low = math.comb(g - 1, k - 1), math.comb(g - 1, k - 1) // 2
+    logit = "ln((r / (n + 1)) / (1 - r / (n + 1)))"
+    half = lambda a, b: f"SELECT m, bit_count(m) AS taken, config, sum(CASE WHEN (m & (1 << (path - {a}))) > 0 THEN x ELSE 0 END) AS inside, sum(x) AS whole FROM unnest(generate_series(0, {2 ** (b - a) - 1})) AS _(m), x WHERE path >= {a} AND path < {b} GROUP BY m, config"
+    return f"""
+SELECT count(*) AS splits, max(n) AS configs, (SELECT count(DISTINCT config) FROM {{path_scores}}) - max(n) AS dropped, sum(CASE WHEN {logit} <= 0 THEN 1 ELSE 0 END) AS lost, sum({logit}) AS logits FROM (
+  SELECT *, row_number() OVER (PARTITION BY a, b ORDER BY inside DESC, config DESC) AS place, {avg_rank('outside', 'a, b')} AS r, count(*) OVER (PARTITION BY a, b) AS n FROM (
+    WITH whole AS (SELECT config FROM {{path_scores}} GROUP BY config HAVING count(*) = {paths}),
+    x AS (SELECT path, config, CAST(round_even(score * power(2, {splits.BITS} - floor(log2((SELECT max(abs(score)) FROM {{path_scores}} WHERE config IN (SELECT config FROM whole))))), 0) AS BIGINT) AS x FROM {{path_scores}} WHERE config IN (SELECT config FROM whole)),
+    lower AS MATERIALIZED ({half(0, low)}), upper AS MATERIALIZED ({half(low, paths)})
+    SELECT l.m AS a, u.m AS b, l.config, CAST(l.inside + u.inside AS BIGINT) >> {splits.LOW_BITS} AS inside, CAST(l.whole + u.whole - l.inside - u.inside AS BIGINT) >> {splits.LOW_BITS} AS outside FROM lower AS l JOIN upper AS u ON u.config = l.config AND l.taken + u.taken = {paths // 2}) AS sc) AS pk WHERE place = 1"""
+
+
+STAGES = fold_stages()
+ROLES, SCORES = STAGES["roles"], STAGES["scores"]
+CANDIDATES = OBS | {"cands": "cands"}
+
+#: What a fold fits for each factor.
+_FIT = ["fold", "factor_id", "horizon"]
+
+
+def slim_text(d: Dialect) -> str:
+    return "SELECT factor_id, horizon, sx, v FROM {obs}"
+
+
+def train_text(d: Dialect) -> str:
+    return "SELECT r.fold, o.factor_id, o.horizon, o.v FROM {slim} AS o JOIN {roles} AS r ON r.sx = o.sx WHERE r.role = 'train'"
+
 
+def _limits(train: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+    return order.quantiles(train, _FIT, "v", {"lo": lower, "hi": upper})
 
-ROLES = {"roles": role_text}
-SCORES = ROLES | {"daily": daily_text, "scores": scores_text}
-WEIGHTS = SCORES | {"weights": weights_text}
-BLENDS = WEIGHTS | {"blends": blends_text, "blend_ics": blend_ics_text}
 
-#: Percentiles of a whole factor are taken on a grid, so that what one of them gathers is bounded.
-GRID = 5
+def limits_text(d: Dialect, lower: float = 0.01, upper: float = 0.99) -> str:
+    return f"SELECT fold, factor_id, horizon, {d.percentile('v', lower)} AS lo, {d.percentile('v', upper)} AS hi FROM ({train_text(d)}) AS t GROUP BY fold, factor_id, horizon"
 
 
-@operator("j5_fit_transform", OBS, ROLES)
-def fit_transform(d: Dialect) -> str:
-    """Winsor limits, mean and population scale learned on train sessions, used on both sides."""
-    limit = lambda q: d.percentile(f"round(v, {GRID})", q)
-    clipped = "least(greatest(v, lo), hi)"
+@operator("j5_fit_transform", OBS, ROLES | {"slim": slim_text, "limits": Stage(train_text, _limits, limits_text)})
+def fit_transform(d: Dialect, lower: float = 0.01, upper: float = 0.99) -> str:
+    """Winsor limits, mean and population scale learned on train sessions, used on both sides.
+
+    Limits are exact quantiles whatever the unit of a factor; a fold whose clipped train values are all
+    equal gives 0.
+    """
+    clipped = "least(greatest(v.v, q.lo), q.hi)"
+    z = "CASE WHEN m.lo < m.hi THEN (least(greatest(v.v, m.lo), m.hi) - m.mu) / m.sd ELSE 0e0 END"
+    on = lambda a, b: f"{a}.fold = {b}.fold AND {a}.factor_id = {b}.factor_id AND {a}.horizon = {b}.horizon"
     return f"""
-WITH v AS (SELECT r.fold, r.role, o.factor_id, o.horizon, o.v FROM {{roles}} AS r JOIN {{obs}} AS o ON o.sx = r.sx WHERE role IN ('train', 'test')),
-q AS (SELECT fold, factor_id, horizon, {limit(0.05)} AS lo, {limit(0.95)} AS hi FROM v WHERE role = 'train' GROUP BY fold, factor_id, horizon),
-m AS (SELECT v.fold, v.factor_id, v.horizon, avg({clipped}) AS mu, stddev_pop({clipped}) AS sd FROM v JOIN q ON q.fold = v.fold AND q.factor_id = v.factor_id AND q.horizon = v.horizon WHERE role = 'train' GROUP BY v.fold, v.factor_id, v.horizon)
-SELECT v.fold, v.factor_id, v.horizon, role, count(*) AS cells, {r6(f'avg(({clipped} - mu) / sd)')} AS mean_z, {r6(f'stddev_pop(({clipped} - mu) / sd)')} AS scale_z
-FROM v JOIN q ON q.fold = v.fold AND q.factor_id = v.factor_id AND q.horizon = v.horizon JOIN m ON m.fold = v.fold AND m.factor_id = v.factor_id AND m.horizon = v.horizon GROUP BY v.fold, v.factor_id, v.horizon, role"""
+WITH v AS (SELECT r.fold, r.role, o.factor_id, o.horizon, o.v FROM {{roles}} AS r JOIN {{slim}} AS o ON o.sx = r.sx WHERE role IN ('train', 'test')),
+m AS (
+  SELECT v.fold, v.factor_id, v.horizon, max(q.lo) AS lo, max(q.hi) AS hi, avg({clipped}) AS mu, stddev_pop({clipped}) AS sd
+  FROM v JOIN {{limits}} AS q ON {on('q', 'v')} WHERE role = 'train' GROUP BY v.fold, v.factor_id, v.horizon)
+SELECT v.fold, v.factor_id, v.horizon, role, count(*) AS cells, {r6(f'avg({z})')} AS mean_z, {r6(f'stddev_pop({z})')} AS scale_z
+FROM v JOIN m ON {on('m', 'v')} GROUP BY v.fold, v.factor_id, v.horizon, role"""
 
 
 @operator("j6_cpcv_scores", OBS, SCORES)
@@ -172,31 +231,32 @@ def cpcv_scores(d: Dialect) -> str:
     return f"SELECT factor_id, horizon, fold, role, days, {r6('score')} AS score FROM {{scores}}"
 
 
-@operator("j7_fit_weights", OBS, WEIGHTS)
+@operator("j7_fit_weights", CANDIDATES, STAGES["weights"])
 def fit_weights(d: Dialect) -> str:
-    return f"SELECT fold, horizon, CAST(members AS BIGINT) AS members, scheme, factor_id, {r6('weight')} AS weight FROM {{weights}}"
+    return f"SELECT fold, horizon, candidate, scheme, factor_id, {r6('weight')} AS weight FROM {{weights}}"
 
 
-@operator("j8_path_scores", OBS, BLENDS)
+@operator("j8_path_scores", CANDIDATES, STAGES["blends"])
 def path_scores(d: Dialect) -> str:
     return f"SELECT path, config, {r6('score')} AS score FROM ({path_scores_text(d)}) AS ps"
 
 
-@operator("j8_pbo_paths", OBS, BLENDS | {"path_scores": path_scores_text})
-def pbo_paths(d: Dialect, g: int = G, k: int = K) -> str:
+#: Seven groups of which four are tested: 35 folds and 20 paths.
+WIDE = fold_stages(7, 4)["splits"]
+
+
+@operator("j8_pbo_paths", CANDIDATES, STAGES["splits"])
+@operator("j8_pbo_twenty_paths", CANDIDATES, WIDE)
+def pbo_paths(d: Dialect) -> str:
     """Overfitting probability over all half-splits of the paths: logit of the winner's rank out of sample.
 
     Scores are those of candidates that learn their weights in each fold, so paths differ by what was
-    learned and by nothing else.
+    learned and by nothing else. Candidates without a finite score on every path are dropped and
+    counted; an odd number of paths, or fewer than four, is refused.
     """
-    paths = math.comb(g - 1, k - 1)
-    bit = f"((m & {d.shift_left('path')}) > 0)"
-    logit = "ln((r / (n + 1)) / (1 - r / (n + 1)))"
     return f"""
-WITH ms AS (SELECT m FROM (SELECT 1 AS one) AS o {d.explode(d.sequence('0', str(2**paths - 1)), 'm')} WHERE bit_count(m) = {paths // 2}),
-sc AS (SELECT m, config, round(avg(CASE WHEN {bit} THEN score END), 9) AS inside, round(avg(CASE WHEN NOT {bit} THEN score END), 9) AS outside FROM ms CROSS JOIN {{path_scores}} AS ps GROUP BY m, config),
-pk AS (SELECT *, row_number() OVER (PARTITION BY m ORDER BY inside DESC, config DESC) AS place, {avg_rank('outside', 'm')} AS r, count(*) OVER (PARTITION BY m) AS n FROM sc)
-SELECT count(*) AS splits, max(n) AS configs, {r6(f'avg(CASE WHEN {logit} <= 0 THEN 1e0 ELSE 0e0 END)')} AS pbo, {r6(f'avg({logit})')} AS mean_logit FROM pk WHERE place = 1"""
+SELECT CAST(sum(splits) AS BIGINT) AS splits, CAST(max(configs) AS BIGINT) AS configs, CAST(max(dropped) AS BIGINT) AS dropped,
+  {r6('sum(lost) / CAST(sum(splits) AS DOUBLE)')} AS pbo, {r6('sum(logits) / sum(splits)')} AS mean_logit FROM {{splits}}"""
 
 
 @operator("j9_pbo_folds", OBS, SCORES)
@@ -277,16 +337,42 @@ SELECT factor_id, horizon, days, {r6('ic')} AS mean_rank_ic, {r6('positive')} AS
   SELECT factor_id, horizon, sum(n) AS days, sum(s) / sum(n) AS ic, avg(CASE WHEN s > 0 THEN 1e0 ELSE 0e0 END) AS positive FROM (SELECT factor_id, horizon, year(session) AS y, CAST(count(*) AS DOUBLE) AS n, sum(rank_ic) AS s FROM ({DAILY}) AS a GROUP BY factor_id, horizon, year(session)) AS b GROUP BY factor_id, horizon) AS c"""
 
 
-@operator("j15_robust_scale", OBS)
-def robust_scale(d: Dialect, split: int = 40) -> str:
-    """Median and scaled MAD of the train part, applied to later sessions, clipped at train quantiles
-    (all of them on a grid, see GRID)."""
-    at = lambda x, q: d.percentile(f"round({x}, {GRID})", q)
-    key = lambda a, b: f"{a}.factor_id = {b}.factor_id AND {a}.horizon = {b}.horizon"
+#: The last train session of the single split that J15 is registered with.
+SPLIT = 40
+
+
+def early_text(d: Dialect) -> str:
+    return f"SELECT factor_id, horizon, v FROM {{obs}} WHERE sx <= {SPLIT}"
+
+
+def _centre(train: DataFrame, lower: float = 0.01, upper: float = 0.99) -> DataFrame:
+    return order.quantiles(train, ["factor_id", "horizon"], "v", {"mid": 0.5, "lo": lower, "hi": upper})
+
+
+def centre_text(d: Dialect, lower: float = 0.01, upper: float = 0.99) -> str:
+    at = lambda p: d.percentile("v", p)
+    return f"SELECT factor_id, horizon, {at(0.5)} AS mid, {at(lower)} AS lo, {at(upper)} AS hi FROM {{early}} AS t GROUP BY factor_id, horizon"
+
+
+def away_text(d: Dialect) -> str:
+    return "SELECT t.factor_id, t.horizon, abs(t.v - q.mid) AS away FROM {early} AS t JOIN {centre} AS q ON q.factor_id = t.factor_id AND q.horizon = t.horizon"
+
+
+def _spread(away: DataFrame, **_: object) -> DataFrame:
+    return order.quantiles(away, ["factor_id", "horizon"], "away", {"mad": 0.5})
+
+
+def spread_text(d: Dialect, **_: object) -> str:
+    return f"SELECT factor_id, horizon, {d.percentile('away', 0.5)} AS mad FROM ({away_text(d)}) AS t GROUP BY factor_id, horizon"
+
+
+@operator("j15_robust_scale", OBS, {"early": early_text, "centre": Stage(lambda d: "SELECT * FROM {early}", _centre, centre_text), "spread": Stage(away_text, _spread, spread_text)})
+def robust_scale(d: Dialect, lower: float = 0.01, upper: float = 0.99) -> str:
+    """Median and scaled MAD of the train part, applied to later sessions, clipped at train quantiles."""
+    on = lambda a: f"{a}.factor_id = o.factor_id AND {a}.horizon = o.horizon"
     return f"""
-WITH t AS (SELECT factor_id, horizon, v FROM {{obs}} WHERE sx <= {split}), q AS (SELECT factor_id, horizon, {at('v', 0.5)} AS mid, {at('v', 0.01)} AS lo, {at('v', 0.99)} AS hi FROM t GROUP BY factor_id, horizon),
-m AS (SELECT t.factor_id, t.horizon, {at('abs(v - mid)', 0.5)} * 1.4826e0 AS mad FROM t JOIN q ON {key('q', 't')} GROUP BY t.factor_id, t.horizon)
-SELECT o.factor_id, o.horizon, session, instrument, {r6('(least(greatest(v, lo), hi) - mid) / nullif(mad, 0)')} AS value FROM {{obs}} AS o JOIN q ON {key('q', 'o')} JOIN m ON {key('m', 'o')} WHERE sx > {split}"""
+SELECT o.factor_id, o.horizon, session, instrument, {r6('(least(greatest(v, lo), hi) - mid) / nullif(mad * 1.4826e0, 0)')} AS value
+FROM {{obs}} AS o JOIN {{centre}} AS q ON {on('q')} JOIN {{spread}} AS m ON {on('m')} WHERE sx > {SPLIT}"""
 
 
 @operator("j18_marginal", OBS, ROLES)
@@ -355,7 +441,7 @@ WITH f AS ({flat}), m AS (SELECT label, i, avg(x) AS x FROM f GROUP BY label, i)
 SELECT a.label AS la, b.label AS lb, {r6('sum(a.x * b.x) / max(na.norm * nb.norm)')} AS cosine, CASE WHEN sum(a.x * b.x) / max(na.norm * nb.norm) > 0.9 THEN 'duplicate' ELSE 'novel' END AS priority FROM m AS a JOIN m AS b ON a.i = b.i AND a.label < b.label JOIN n AS na ON na.label = a.label JOIN n AS nb ON nb.label = b.label GROUP BY a.label, b.label"""
 
 
-@operator("j20_composite_scores", OBS, BLENDS)
+@operator("j20_composite_scores", CANDIDATES, STAGES["blends"])
 def composite_scores(d: Dialect) -> str:
     """Every candidate scored on each fold's test sessions with that fold's weights."""
-    return f"SELECT fold, horizon, CAST(members AS BIGINT) AS members, scheme, count(*) AS days, {r6('avg(ic)')} AS score FROM ({tests_text(d)}) AS t GROUP BY fold, horizon, members, scheme"
+    return f"SELECT fold, horizon, candidate, scheme, count(*) AS days, {r6('avg(ic)')} AS score FROM ({tests_text(d)}) AS t GROUP BY fold, horizon, candidate, scheme"

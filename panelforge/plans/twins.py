@@ -65,10 +65,13 @@ SELECT m.fold, m.sx, CASE WHEN is_test THEN 'test'
   WHEN EXISTS (SELECT 1 FROM member t WHERE t.fold = m.fold AND t.is_test AND t.sx <= m.sx + 5 AND t.sx + 5 >= m.sx) THEN 'purged'
   WHEN EXISTS (SELECT 1 FROM member t WHERE t.fold = m.fold AND t.is_test AND t.sx + 5 < m.sx - 1 AND t.sx + 5 >= m.sx - 1 - 3) THEN 'embargoed' ELSE 'train' END AS role FROM member m"""
 
+#: Regimes from ranked lists: the top fifth is the end of the sorted list of (signal, return).
 REGIMES = f"""
-WITH m AS (SELECT factor_id, horizon, round(v, 4) AS v, round(fwd, 4) AS f, CASE WHEN avg(fwd) OVER (PARTITION BY factor_id, horizon, session) >= 0 THEN 'up' ELSE 'down' END AS regime FROM obs),
-k AS (SELECT *, rank() OVER (PARTITION BY factor_id, horizon, regime ORDER BY v) + (count(*) OVER (PARTITION BY factor_id, horizon, regime, v) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY factor_id, horizon, regime ORDER BY f) + (count(*) OVER (PARTITION BY factor_id, horizon, regime, f) - 1) / 2.0::DOUBLE AS rf FROM m)
-SELECT factor_id, horizon, regime, count(*) AS cells, {_r6('corr(rv, rf)')} AS rank_ic FROM k GROUP BY ALL"""
+WITH m AS (SELECT o.*, CASE WHEN d.mid >= 0 THEN 'up' ELSE 'down' END AS regime FROM obs o JOIN (SELECT factor_id, horizon, session, avg(fwd) AS mid FROM obs GROUP BY ALL) d USING (factor_id, horizon, session)),
+k AS (SELECT factor_id, horizon, regime, session, v, fwd, rank() OVER (PARTITION BY factor_id, horizon, regime ORDER BY v) + (count(*) OVER (PARTITION BY factor_id, horizon, regime, v) - 1) / 2.0::DOUBLE AS rv, rank() OVER (PARTITION BY factor_id, horizon, regime ORDER BY fwd) + (count(*) OVER (PARTITION BY factor_id, horizon, regime, fwd) - 1) / 2.0::DOUBLE AS rf FROM m),
+g AS (SELECT factor_id, horizon, regime, count(*) AS cells, count(DISTINCT session) AS sessions, corr(rv, rf) AS ic, list(fwd ORDER BY v, fwd) AS ends, avg(fwd) AS mid FROM k GROUP BY ALL HAVING cells >= 10),
+e AS (SELECT *, list_avg(ends[cells - greatest(1, cells // 5) + 1 : cells]) - mid AS top FROM g)
+SELECT factor_id, horizon, regime, cells, sessions, {_r6('ic')} AS rank_ic, {_r6('top')} AS top_excess, ic > 0 AND top > 0 AS positive, {_r6('avg(CASE WHEN ic > 0 AND top > 0 THEN 1.0::DOUBLE ELSE 0 END) OVER (PARTITION BY factor_id, horizon)')} AS positive_share FROM e"""
 
 #: Weights of a cohort and of the one before it meet in a full join.
 COHORTS = """

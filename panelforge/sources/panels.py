@@ -142,6 +142,20 @@ f AS (
 SELECT * FROM f WHERE v IS NOT NULL AND fwd IS NOT NULL AND adv IS NOT NULL"""
 
 
+def candidates_text(d: Dialect) -> str:
+    """Every set of one to three factors under each scheme that fits it, a row for each factor."""
+    fac = "SELECT DISTINCT factor_id AS f FROM {obs}"
+    name = lambda *x: "concat(" + ", '+', ".join(x) + ")" if len(x) > 1 else x[0]
+    sets = [
+        f"SELECT {name('a.f')} AS candidate, {d.array_of('a.f')} AS fs FROM ({fac}) AS a",
+        f"SELECT {name('a.f', 'b.f')} AS candidate, {d.array_of('a.f', 'b.f')} AS fs FROM ({fac}) AS a JOIN ({fac}) AS b ON a.f < b.f",
+        f"SELECT {name('a.f', 'b.f', 'c.f')}, {d.array_of('a.f', 'b.f', 'c.f')} FROM ({fac}) AS a JOIN ({fac}) AS b ON a.f < b.f JOIN ({fac}) AS c ON b.f < c.f",
+    ]
+    single = f"SELECT candidate, fs, 'single' AS scheme FROM ({sets[0]}) AS s"
+    more = f"SELECT candidate, fs, scheme FROM ({sets[1]} UNION ALL {sets[2]}) AS m {d.explode(d.array(['equal', 'positive', 'best', 'signed']), 'scheme')}"
+    return f"SELECT candidate, scheme, factor_id FROM (SELECT * FROM ({single}) AS x UNION ALL SELECT * FROM ({more}) AS y) AS z {d.explode('fs', 'factor_id')}"
+
+
 def observations(bars: DataFrame) -> DataFrame:
     """The evaluation panel: factor values known before a session and the returns that follow it."""
     return run(observations_text(base.SPARK), bars=bars)
@@ -177,8 +191,9 @@ UNION ALL SELECT e.*, c.entry_hash, sha256(concat(e.seq, '|', c.entry_hash, '|',
     "vendor": vendor_text("p1"),
     "obs": observations_text(base.DUCK).replace("{bars}", "p1"),
     "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
+    "cands": candidates_text(base.DUCK).replace("{obs}", "obs"),
 }
-NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"]}
+NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"], "cands": ["p1", "obs"]}
 SPARK = {
     "p1": monthly_bars,
     "p2": weekly_bars,
@@ -190,4 +205,5 @@ SPARK = {
     "vendor": lambda spark, sf_dir: run(vendor_text("{bars}"), bars=monthly_bars(spark, sf_dir)),
     "obs": lambda spark, sf_dir: observations(monthly_bars(spark, sf_dir)),
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
+    "cands": lambda spark, sf_dir: run(candidates_text(base.SPARK), obs=observations(monthly_bars(spark, sf_dir))),
 }
