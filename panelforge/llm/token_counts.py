@@ -33,19 +33,16 @@ REMEMBERED, LONGEST = 500_000, 64
 _state: dict = {}
 
 
-def _unsure() -> regex.Pattern:
-    """Characters that Unicode 3.2 had not assigned: two libraries may class later ones differently.
+class _Letters(dict):
+    """Whether a character is one that Unicode 3.2 had not assigned, asked once for each.
 
-    Texts with any of them go to the tokenizer whole. A test compares all code points.
+    Two libraries may class later characters differently, so texts with any go to the tokenizer whole.
+    A test compares all code points.
     """
-    old, spans = unicodedata.ucd_3_2_0, []
-    for c in range(0x110000):
-        if old.category(chr(c)) == "Cn":
-            if spans and spans[-1][1] == c - 1:
-                spans[-1][1] = c
-            else:
-                spans.append([c, c])
-    return regex.compile("[" + "".join(f"\\U{a:08X}-\\U{b:08X}" for a, b in spans) + "]")
+
+    def __missing__(self, c: str) -> bool:
+        self[c] = unsure = unicodedata.ucd_3_2_0.category(c) == "Cn"
+        return unsure
 
 
 class _Counter:
@@ -62,7 +59,7 @@ class _Counter:
             raise ValueError(f"{path} is no byte-level BPE without a normalizer")
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] for t in added):
             raise ValueError(f"{path} has added tokens that look at their neighbours")
-        self.pattern, self.unsure, self.remembered = regex.compile(PRE_TOKEN), _unsure(), {}
+        self.pattern, self.unsure, self.remembered = regex.compile(PRE_TOKEN), _Letters(), {}
         special = sorted((t["content"] for t in added), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.whole = self.proven()
@@ -83,7 +80,7 @@ class _Counter:
 
     def count(self, text: str) -> int:
         """As many tokens as the library gives for the whole text, without begin or end tokens."""
-        if self.unsure.search(text):
+        if not text.isascii() and any(map(self.unsure.__getitem__, set(text))):
             return len(self.library.encode(text, add_special_tokens=False).ids)
         parts = self.special.split(text) if self.special else [text]
         n = len(parts) - 1
