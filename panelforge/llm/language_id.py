@@ -7,7 +7,7 @@ language is the one with the highest mean log probability over the windows.
 
 from __future__ import annotations
 
-import re
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -16,11 +16,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from panelforge.llm.common import give_back, written
+
 WIDTHS, FILTERS, EMBEDDING, LENGTH = (2, 3, 4, 5), 12, 8, 128
 UNKNOWN = "und"
 #: Bounds of the training sample: documents of each language, windows of each document.
 TRAIN_DOCS_PER_LANG, TRAIN_WINDOWS_PER_DOC = 400, 6
-_LETTER = re.compile(r"[^\W\d_]")
+#: Languages that are learned at most: the most frequent ones, ties by name.
+MOST_LANGS = 512
 
 
 def encoded(text: str) -> bytes:
@@ -75,7 +78,7 @@ class ByteNet:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """(language, probability) of each text; no letter: und with probability zero."""
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
-        lettered = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        lettered = [i for i, t in enumerate(texts) if t and any(map(str.isalpha, t))]
         if not lettered or not self.langs:
             return out
         parts = [windows(encoded(texts[i])) for i in lettered]
@@ -153,35 +156,43 @@ def train(texts: list[str], langs: list[str], seed: int = 0, epochs: int = 12, r
     return net
 
 
-def training_rows(docs: DataFrame, per_lang: int = TRAIN_DOCS_PER_LANG) -> DataFrame:
-    """(doc_id, text, lang) of about per_lang documents of each language, by a hash of doc_id.
-
-    Languages are counted over all documents first (one row per language reaches the driver).
-    """
+def training_rows(docs: DataFrame, per_lang: int = TRAIN_DOCS_PER_LANG, most_langs: int = MOST_LANGS) -> DataFrame:
+    """(doc_id, text, lang) of about per_lang documents of each of the most_langs most frequent languages,
+    by a hash of doc_id. Languages are counted over all documents first."""
     d = docs.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    counts = {r["lang"]: r["count"] for r in d.groupBy("lang").count().collect()}
-    if not counts:
-        return d
     spread = 1 << 20
-    limits = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(spread, -(-per_lang * spread // n)))])
-    return d.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(spread)) < F.element_at(limits, F.col("lang")))
+    counts = d.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_langs)
+    shares = counts.select(F.col("lang").alias("__lang"), F.least(F.lit(spread), F.ceil(F.lit(per_lang * spread) / F.col("count"))).alias("__share"))
+    chosen = d.join(F.broadcast(shares), F.col("lang") == F.col("__lang"))
+    return chosen.where(F.pmod(F.xxhash64(F.lit("train"), "doc_id"), F.lit(spread)) < F.col("__share")).select("doc_id", "text", "lang")
+
+
+def _trained(seed: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in b.to_pylist()]
+        if rows:
+            rows.sort(key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["pieces"]))
+            net = train([t for r in rows for t in r["pieces"]], [r["lang"] for r in rows for _ in r["pieces"]], seed, per_doc=2)
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(net)], pa.binary())], names=["net"])
+        give_back()
+
+    return run
 
 
 def fit(docs: DataFrame, per_lang: int = TRAIN_DOCS_PER_LANG, seed: int = 0) -> ByteNet:
     """Trains on the bounded sample of training_rows. Pass only rows that may be learned from.
 
-    Rows with null text or null lang teach nothing. Without two languages the net is untrained and
-    names the only one, or und if there is none.
+    The sample (windows of long documents, not their texts) is written to the shared folder and trained
+    on by one task; the driver gets the network alone. Rows with null text or null lang teach nothing.
+    Without two languages the net is untrained and names the only one, or und if there is none.
     """
-    cut = F.substring  # long documents reach the driver as sampled windows only
+    cut = F.substring
     rows = training_rows(docs, per_lang)
     n = F.octet_length("text")
     pieces = F.array(*[cut("text", F.pmod(F.xxhash64(F.lit(i), "doc_id"), F.greatest(F.length("text") - LENGTH, F.lit(1))).cast("int") + 1, F.lit(LENGTH)) for i in range(TRAIN_WINDOWS_PER_DOC)])
-    rows = rows.select("doc_id", "lang", F.when(n <= 4 * LENGTH, F.array("text")).otherwise(pieces).alias("pieces"))
-    pdf = rows.toPandas().sort_values("doc_id", ignore_index=True)
-    texts = [t for p in pdf["pieces"] for t in p]
-    langs = [lang for lang, p in zip(pdf["lang"], pdf["pieces"], strict=True) for _ in p]
-    return train(texts, langs, seed, per_doc=2)
+    rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", F.when(n <= 4 * LENGTH, F.array("text")).otherwise(pieces).alias("pieces"))
+    found = written(rows, "language-sample").coalesce(1).mapInArrow(_trained(seed), "net binary").first()
+    return pickle.loads(bytes(found["net"])) if found else train([], [], seed)
 
 
 def _predict(shared):
@@ -199,7 +210,7 @@ def _predict(shared):
 def identify(docs: DataFrame, net: ByteNet) -> DataFrame:
     """(doc_id, lang_pred, score) of every whole text.
 
-    Null texts and texts without a letter are und with score 0. Only the text is read; repeated rows
+    Null texts and texts without a letter (a code point that Unicode calls one) are und with score 0. Only the text is read; repeated rows
     are predicted alike, a null doc_id is carried along, an empty table gives no rows. The net (some
     kilobytes) is broadcast; there is no shuffle.
     """

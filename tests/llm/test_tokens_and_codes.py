@@ -10,7 +10,7 @@ import pytest
 import sentencepiece
 from tokenizers import Tokenizer
 
-from panelforge.llm import alignment, token_counts, token_files, vector_codes
+from panelforge.llm import alignment, language_id, token_counts, token_files, vector_codes
 from panelforge.llm.queries import oracle_sql
 
 A, B = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
@@ -181,3 +181,9 @@ def test_vector_codes_at_the_edges(spark):
     assert vector_codes.codes(df.limit(0)).count() == 0 and vector_codes.codes(spark.createDataFrame(bad[:5], schema)).count() == 0
     with pytest.raises(ValueError):
         vector_codes.whole_numbers(np.array([[1e9] * 16]))
+
+
+def test_a_language_needs_a_letter():
+    net = language_id.train(["the cat sat " * 20, "die katze sass " * 20], ["en", "de"])
+    names = [name for name, _ in net.predict(["½ ²", "Ⅷ", "12 _ -- 漢".replace("漢", ""), "a", "漢", None, ""])]
+    assert names[:3] == ["und"] * 3 and "und" not in names[3:5] and names[5:] == ["und"] * 2
