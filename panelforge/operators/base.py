@@ -110,11 +110,15 @@ SPARK, DUCK = Dialect("spark"), Dialect("duckdb")
 
 @dataclass
 class Stage:
-    """A stage whose rows pass through a function of the DataFrame; DuckDB gets all of it as SQL."""
+    """A stage whose rows pass through a function of the DataFrame; DuckDB gets all of it as SQL.
+
+    more names frames and earlier stages that the function takes as well, by these names.
+    """
 
     rows: Callable[..., str]
     through: Callable[..., DataFrame]
     duck: Callable[..., str]
+    more: tuple[str, ...] = ()
 
 
 @dataclass
@@ -130,7 +134,7 @@ class Entry:
         frames = dict(frames)
         for name, stage in self.stages.items():
             if isinstance(stage, Stage):
-                frames[name] = written(stage.through(run(stage.rows(SPARK), **frames), **params))
+                frames[name] = written(stage.through(run(stage.rows(SPARK), **frames), **{m: frames[m] for m in stage.more}, **params))
             else:
                 frames[name] = written(run(stage(SPARK), **frames))
         return widened(run(self.text(SPARK, **params), **frames))

@@ -1,4 +1,4 @@
-"""Operators that need more than SQL: normal quantiles, ridge residuals, components and clusters."""
+"""Operators that need more than SQL: normal quantiles and shuffled cross-sections."""
 
 from __future__ import annotations
 
@@ -9,10 +9,6 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,22 +35,6 @@ def deflated_sharpe(inputs: DataFrame) -> DataFrame:
     return inputs.withColumn("dsr", F.round(deflated_probability("sharpe", "sharpe_spread", F.col("trials").cast("double"), "sharpe_error"), 6))
 
 
-def ridge_residual(rows: DataFrame, target: str, controls: list[str], split: F.Column, penalty: float = 1.0) -> DataFrame:
-    """target less a ridge fit learned where split holds, for the other rows (intercept unpenalised)."""
-    data = VectorAssembler(inputCols=controls, outputCol="__x", handleInvalid="skip").transform(rows)
-    train = data.where(split)
-    model = LinearRegression(featuresCol="__x", labelCol=target, elasticNetParam=0.0, standardization=False, regParam=penalty / max(train.count(), 1)).fit(train)
-    return model.transform(data.where(~split)).withColumn("residual", F.round(F.col(target) - F.col("prediction"), 6)).drop("__x", "prediction")
-
-
-def component_and_cluster(rows: DataFrame, columns: list[str], split: F.Column, k: int = 3, seed: int = 1) -> DataFrame:
-    """First principal component score and k-means group, both fitted where split holds."""
-    data = VectorAssembler(inputCols=columns, outputCol="__x", handleInvalid="skip").transform(rows)
-    train = data.where(split)
-    scored = PCA(k=1, inputCol="__x", outputCol="__c").fit(train).transform(KMeans(k=k, seed=seed, featuresCol="__x", predictionCol="cluster").fit(train).transform(data))
-    return scored.withColumn("pc1", F.round(vector_to_array("__c")[0], 6)).drop("__x", "__c")
-
-
 #: Fixed values of the shuffle: a prime, and what the parts of its seed are multiplied by.
 PRIME, BY_NAME, BY_REP, BY_SESSION, BY_METHOD, BY_SEED = 2147483647, 48271, 69621, 16807, 7919, 104729
 

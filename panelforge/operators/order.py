@@ -23,7 +23,7 @@ BINS, FITS = 1024, 10_000
 FEW = 500_000
 
 
-def _joined(a: DataFrame, b: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
+def joined(a: DataFrame, b: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
     """a with the other columns of b where the columns on are the same, nulls included."""
     right = b.select(*[F.col(c).alias(f"__{c}") for c in on], *[c for c in b.columns if c not in on])
     same = functools.reduce(operator.and_, [F.col(c).eqNullSafe(F.col(f"__{c}")) for c in on])
@@ -46,9 +46,9 @@ def places(df: DataFrame, by: list[str], values: list[str], name: str) -> DataFr
     offsets = sums.select(*by, "range_no", F.coalesce(F.sum("rows_here").over(earlier), F.lit(0)).alias("offset"))
     within = Window.partitionBy("range_no", *by).orderBy(*values).rowsBetween(Window.unboundedPreceding, -1)
     local = ranged.withColumn("local", F.coalesce(F.sum("ties").over(within), F.lit(0)))
-    moved = _joined(local, offsets, [*by, "range_no"])
+    moved = joined(local, offsets, [*by, "range_no"])
     found = moved.select(*by, *values, (F.col("local") + F.col("offset")).alias(f"{name}_before"), F.col("ties").alias(f"{name}_ties"))
-    return _joined(df, written(found), [*by, *values])
+    return joined(df, written(found), [*by, *values])
 
 
 def kth_values(rows: DataFrame, by: list[str], value: str, wanted: DataFrame) -> DataFrame:
@@ -60,7 +60,7 @@ def kth_values(rows: DataFrame, by: list[str], value: str, wanted: DataFrame) ->
     """
     x = rows.where(F.abs(value) < float("inf")).select(*by, F.col(value).cast("double").alias("x"))
     ends = written(x.groupBy(*by).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")))
-    both = _joined(wanted, ends, by)
+    both = joined(wanted, ends, by)
     now = written(both.where("k >= 0 AND k < n").select(*by, "k", F.lit(0).cast("long").alias("before"), "n", "lo", "hi").distinct())
     found = now.where("lo = hi").select(*by, "k", F.col("lo").alias("value"))
     while True:
@@ -78,7 +78,7 @@ def kth_values(rows: DataFrame, by: list[str], value: str, wanted: DataFrame) ->
 
 
 def _inside(x: DataFrame, open_places: DataFrame, by: list[str]) -> DataFrame:
-    return _joined(x, open_places, by, (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
+    return joined(x, open_places, by, (F.col("x") >= F.col("lo")) & (F.col("x") <= F.col("hi")))
 
 
 def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
@@ -90,6 +90,6 @@ def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float])
     wanted = ends.select(*by, F.explode(F.array("low", "high")).alias("k")).distinct()
     got = written(kth_values(rows, by, value, wanted))
     lows, highs = (got.select(*by, F.col("k").alias(k), F.col("value").alias(f"{k}_value")) for k in ("low", "high"))
-    both = _joined(_joined(ends, lows, [*by, "low"]), highs, [*by, "high"])
+    both = joined(joined(ends, lows, [*by, "low"]), highs, [*by, "high"])
     exact = F.col("low_value") + F.col("weight") * (F.col("high_value") - F.col("low_value"))
     return both.groupBy(*by).agg(*[F.max(F.when(F.col("name") == name, exact)).alias(name) for name in at])

@@ -452,7 +452,7 @@ SELECT c.sx, count(*) AS exits FROM cal AS c JOIN f ON f.first_sx < c.sx LEFT JO
 
 # --- regimes ---------------------------------------------------------------------------------------
 
-_REGIME = f"""
+REGIME = f"""
 SELECT sx, session, CASE WHEN c < 20 THEN 'warmup' WHEN liq < 0.8 THEN 'liquidity_shock' WHEN trend < 0 AND breadth < 0.5 THEN 'risk_off' WHEN trend > 0 AND breadth > 0.5 THEN 'risk_on' ELSE 'mixed' END AS regime FROM (
   SELECT sx, session, count(*) OVER k AS c, avg(mret) OVER k AS trend, avg(up) OVER k AS breadth, (avg(amt) OVER (ORDER BY sx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) / (avg(amt) OVER k) AS liq FROM (
     SELECT sx, session, avg(r) AS mret, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS up, sum(amount) AS amt FROM (SELECT *, close / nullif(lag(close, 1) OVER ({W}), 0) - 1 AS r FROM {{bars}}) AS q GROUP BY sx, session) AS a
@@ -461,7 +461,7 @@ SELECT sx, session, CASE WHEN c < 20 THEN 'warmup' WHEN liq < 0.8 THEN 'liquidit
 
 @operator("i1_prior_regimes", P2)
 def prior_regimes(d: Dialect) -> str:
-    return f"SELECT session, regime FROM ({_REGIME}) AS x"
+    return f"SELECT session, regime FROM ({REGIME}) AS x"
 
 
 @operator("i2_trend_vol_regimes", P2)
@@ -489,4 +489,4 @@ SELECT k.horizon, k.session, k.instrument, {r6('CASE WHEN g.mid >= 0 THEN a ELSE
 
 @operator("i5_performance_by_regime", {"obs": "obs2", "bars": "p2"})
 def performance_by_regime(d: Dialect) -> str:
-    return f"SELECT factor_id, regime, count(*) AS periods, {r6('avg(ret)')} AS mean_return, {r6('avg(ret) / nullif(stddev_samp(ret), 0)')} AS sharpe FROM ({RETURNS}) AS r JOIN ({_REGIME}) AS g ON g.session = r.session GROUP BY factor_id, regime"
+    return f"SELECT factor_id, regime, count(*) AS periods, {r6('avg(ret)')} AS mean_return, {r6('avg(ret) / nullif(stddev_samp(ret), 0)')} AS sharpe FROM ({RETURNS}) AS r JOIN ({REGIME}) AS g ON g.session = r.session GROUP BY factor_id, regime"

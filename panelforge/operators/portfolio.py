@@ -32,35 +32,58 @@ COST = 0.002
 EVENT_KEYS = "factor_id, horizon, b, nav, part"
 
 
-def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tuple = (1e6,), parts: tuple = (0.1,), gate: str = "TRUE", hold: bool = False, base: str = "rev5", cost: float = COST) -> str:
+def states_text() -> str:
+    """The regime of every session of {obs}: that of the interval between two changes of state it lies in.
+
+    {regimes} has (session, regime), each known by its session; sessions without a row carry the state on.
+    """
+    return """
+SELECT s.session, i.regime FROM (SELECT DISTINCT session FROM {obs}) AS s
+JOIN (
+  SELECT since, regime, lead(since, 1) OVER (ORDER BY since) AS until FROM (
+    SELECT session AS since, regime, lag(regime, 1) OVER (ORDER BY session) AS regime_before FROM {regimes}) AS r WHERE regime_before IS NULL OR regime_before <> regime) AS i
+  ON s.session >= i.since AND (i.until IS NULL OR s.session < i.until)"""
+
+
+def money(x: str, places: int = 2) -> str:
+    """Sums of millionths as amounts, half up: whole numbers, so that no order of summing changes them."""
+    unit = 10 ** (6 - places)
+    return f"floor(({x} + {unit // 2}) / {unit}e0) / {10**places}e0 + 0.0"
+
+
+def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tuple = (1e6,), parts: tuple = (0.1,), gate: tuple | None = None, hold: bool = False, base: str = "rev5", cost: float = COST) -> str:
     """Cohorts of every factor and horizon over a grid of breadths, NAVs and participations, in one plan.
 
     A factor with labels over h sessions has h staggered offsets; each cohort puts 1 / h of the NAV into
     its names, each order at most part of the name's prior amount. BUY holds the best b, AVOID all but
     the worst b (b = 0: everything, the control), TIMING those of the best b of the base factor whose
     own signal is at least the upper median, at 1 / b each. A cohort of b names or fewer is skipped; one
-    that the gate closes is flat, or holds everything alike. Turnover is half the sum of weight changes
+    whose session's regime is not one of gate (or not known) is flat, or holds everything alike. What could
+    not be placed (clipped) is counted in millionths, see money. Turnover is half the sum of weight changes
     against the offset's last cohort: a name that is held again changes by the difference, one that is
     not held again leaves in the next cohort; a window over the name's own rows tells which.
     """
     raw = {"BUY": "CASE WHEN down <= b THEN 1e0 / b END", "AVOID": "CASE WHEN up > b THEN 1e0 / (n - b) END", "TIMING": "CASE WHEN base_down <= b AND v >= threshold THEN 1e0 / b END"}[mode]
-    timing = ""
+    timing, joined, active = "", "", "TRUE"
+    if gate is not None:
+        active = f"coalesce(st.regime IN ({', '.join(repr(g) for g in gate)}), FALSE)"
+        joined = f"LEFT JOIN ({states_text()}) AS st ON st.session = c.session"
     if mode == "TIMING":
         timing = f", max(CASE WHEN factor_id = '{base}' THEN down END) OVER (PARTITION BY horizon, session, instrument) AS base_down, max(CASE WHEN up = floor(n_own / 2e0) + 1 THEN v END) OVER (PARTITION BY {XS}) AS threshold"
     return f"""
 SELECT {EVENT_KEYS}, offset_no, seq, max(session) AS session, max(CASE WHEN active THEN 1 ELSE 0 END) = 1 AS active, sum(ret) - max(market) AS gross, sum(abs(dw)) / 2 AS turnover, sum(ret) - max(market) - {cost}e0 * sum(abs(dw)) / 2 AS net,
   sum(clipped) AS clipped, CAST(sum(CASE WHEN clipped > 0 THEN 1 ELSE 0 END) AS BIGINT) AS clipped_orders FROM (
-  SELECT {EVENT_KEYS}, offset_no, seq + k AS seq, CASE WHEN k = 0 THEN session END AS session, k = 0 AND active AS active, CASE WHEN k = 0 THEN market END AS market, CASE WHEN k = 0 THEN w * fwd ELSE 0e0 END AS ret, CASE WHEN k = 0 THEN clipped ELSE 0e0 END AS clipped,
+  SELECT {EVENT_KEYS}, offset_no, seq + k AS seq, CASE WHEN k = 0 THEN session END AS session, k = 0 AND active AS active, CASE WHEN k = 0 THEN market END AS market, CASE WHEN k = 0 THEN w * fwd ELSE 0e0 END AS ret, CASE WHEN k = 0 THEN clipped ELSE 0 END AS clipped,
     CASE WHEN k = 1 THEN -w WHEN seq_before = seq - 1 THEN w - w_before ELSE w END AS dw FROM (
     SELECT *, lag(seq, 1) OVER kept AS seq_before, lag(w, 1) OVER kept AS w_before, lead(seq, 1) OVER kept AS seq_after FROM (
-      SELECT *, least(nav / horizon * w0, coalesce(prior_amount, 0) * part) / nav AS w, greatest(nav / horizon * w0 - coalesce(prior_amount, 0) * part, 0e0) AS clipped FROM (
+      SELECT *, least(nav / horizon * w0, coalesce(prior_amount, 0) * part) / nav AS w, CAST(round(greatest(nav / horizon * w0 - coalesce(prior_amount, 0) * part, 0e0) * 1e6) AS BIGINT) AS clipped FROM (
         SELECT o.factor_id, o.horizon, o.session, o.instrument, o.fwd, o.prior_amount, o.down, c.b, c.offset_no, c.seq, c.active, c.market / o.horizon AS market,
           coalesce(CASE WHEN c.active THEN {raw} WHEN {str(hold).upper()} THEN 1e0 / n END, 0e0) AS w0 FROM (
           SELECT *{timing} FROM (SELECT *, {ordinal('v', desc=True)} AS down, {ordinal('v')} AS up, {size()} AS n_own FROM {{obs}}) AS x) AS o
         JOIN (
           SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, offset_no, b ORDER BY session) - 1 AS seq FROM (
             SELECT *, (row_number() OVER (PARTITION BY factor_id, horizon ORDER BY session) - 1) % horizon AS offset_no FROM (
-              SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) AS market, {gate} AS active FROM {{obs}} GROUP BY factor_id, horizon, session) AS c0) AS c1 {d.explode(d.array(list(breadths)), 'b')} WHERE n > b) AS c
+              SELECT c.*, {active} AS active FROM (SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) AS market FROM {{obs}} GROUP BY factor_id, horizon, session) AS c {joined}) AS c0) AS c1 {d.explode(d.array(list(breadths)), 'b')} WHERE n > b) AS c
         ON c.factor_id = o.factor_id AND c.horizon = o.horizon AND c.session = o.session) AS weighted {d.explode(d.doubles(navs), 'nav')} {d.explode(d.doubles(parts), 'part')} WHERE w0 > 0 OR down = 1) AS executed
     WINDOW kept AS (PARTITION BY {EVENT_KEYS}, offset_no, instrument ORDER BY seq)) AS walked {d.explode(d.array([0, 1]), 'k')} WHERE k = 0 OR (w > 0 AND seq_after IS DISTINCT FROM seq + 1)) AS moved
 GROUP BY {EVENT_KEYS}, offset_no, seq HAVING max(session) IS NOT NULL"""
@@ -74,10 +97,11 @@ def control_text(d: Dialect) -> str:
 @operator("k3_cohort_events", OBS)
 @operator("k3_cohort_avoid", OBS, mode="AVOID")
 @operator("k3_cohort_timing", OBS, mode="TIMING")
-@operator("k3_cohort_gated", OBS, gate="avg(v) >= 0", hold=True)
-def cohort_events(d: Dialect, b: int = 10, mode: str = "BUY", gate: str = "TRUE", hold: bool = False) -> str:
-    """Dated cohorts: gate is an aggregate condition on the cross-section's rows."""
-    return f"SELECT factor_id, horizon, offset_no, CAST(seq AS BIGINT) AS seq, session, active, {r6('gross')} AS gross, {r6('turnover')} AS turnover, {r6('net')} AS net, round(clipped, 2) + 0.0 AS clipped FROM ({events_text(d, (b,), mode, gate=gate, hold=hold)}) AS e"
+@operator("k3_cohort_gated", OBS | {"regimes": "regimes"}, gate=("risk_on", "mixed"), hold=True)
+@operator("k3_cohort_gated_flat", OBS | {"regimes": "regimes"}, gate=("risk_on", "mixed"))
+def cohort_events(d: Dialect, b: int = 10, mode: str = "BUY", gate: tuple | None = None, hold: bool = False) -> str:
+    """Dated cohorts; gate names the regimes of the frame regimes in which they are open."""
+    return f"SELECT factor_id, horizon, offset_no, CAST(seq AS BIGINT) AS seq, session, active, {r6('gross')} AS gross, {r6('turnover')} AS turnover, {r6('net')} AS net, {money('clipped')} AS clipped FROM ({events_text(d, (b,), mode, gate=gate, hold=hold)}) AS e"
 
 
 @operator("k4_weighting", OBS)
@@ -113,7 +137,7 @@ SELECT n.factor_id, {r6('avg(1 - coalesce(shared, 0) / CAST(n.c + p.c - coalesce
 @operator("k7_stress", OBS)
 def stress(d: Dialect, navs: tuple = (1e5, 1e6, 1e7), parts: tuple = (0.05, 0.1), multipliers: tuple = (1.0, 2.0, 4.0)) -> str:
     """Net results, clipped notional and turnover over NAV by participation by cost multiplier, in one plan."""
-    return f"SELECT factor_id, horizon, nav, part, multiplier, count(*) AS cohorts, {r6(f'avg(gross - {COST}e0 * multiplier * turnover)')} AS mean_net, {r6(f'avg(gross - {COST}e0 * multiplier * turnover) / nullif(stddev_samp(gross - {COST}e0 * multiplier * turnover), 0)')} AS sharpe, {r6('avg(turnover)')} AS turnover, round(sum(clipped), 0) + 0.0 AS clipped FROM ({events_text(d, navs=navs, parts=parts)}) AS g {d.explode(d.doubles(multipliers), 'multiplier')} GROUP BY factor_id, horizon, nav, part, multiplier"
+    return f"SELECT factor_id, horizon, nav, part, multiplier, count(*) AS cohorts, {r6(f'avg(gross - {COST}e0 * multiplier * turnover)')} AS mean_net, {r6(f'avg(gross - {COST}e0 * multiplier * turnover) / nullif(stddev_samp(gross - {COST}e0 * multiplier * turnover), 0)')} AS sharpe, {r6('avg(turnover)')} AS turnover, {money('sum(clipped)', 0)} AS clipped FROM ({events_text(d, navs=navs, parts=parts)}) AS g {d.explode(d.doubles(multipliers), 'multiplier')} GROUP BY factor_id, horizon, nav, part, multiplier"
 
 
 @operator("h22_accounting", OBS)
@@ -130,7 +154,7 @@ def conversion(d: Dialect, breadths: tuple = (5, 10)) -> str:
 @operator("h26_run_totals", OBS)
 def run_totals(d: Dialect, nav: float = 1e7) -> str:
     """Turnover, cost, notional that could not be placed, and how many orders were cut."""
-    return f"SELECT factor_id, horizon, count(*) AS cohorts, {r6('sum(turnover)')} AS turnover, {r6('sum(gross - net)')} AS cost, round(sum(clipped), 0) + 0.0 AS clipped_notional, CAST(sum(clipped_orders) AS BIGINT) AS clipped_orders FROM ({events_text(d, navs=(nav,))}) AS e GROUP BY factor_id, horizon"
+    return f"SELECT factor_id, horizon, count(*) AS cohorts, {r6('sum(turnover)')} AS turnover, {r6('sum(gross - net)')} AS cost, {money('sum(clipped)', 0)} AS clipped_notional, CAST(sum(clipped_orders) AS BIGINT) AS clipped_orders FROM ({events_text(d, navs=(nav,))}) AS e GROUP BY factor_id, horizon"
 
 
 @operator("k8_hysteresis", OBS)

@@ -55,20 +55,6 @@ def j12_deflated_sharpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.deflated_sharpe(run(validation.deflated_sharpe_inputs.text(SPARK), obs=obs))
 
 
-def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = panels.observations(panels.monthly_bars(spark, sf_dir)).where("horizon = 1")
-    wide = obs.groupBy("instrument", "session", "sx").pivot("factor_id", ["rev5", "strength", "width"]).agg(F.first("v"))
-    return wide.where("rev5 IS NOT NULL AND strength IS NOT NULL AND width IS NOT NULL")
-
-
-def j16_ridge_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.ridge_residual(_wide(spark, sf_dir), "width", ["rev5", "strength"], F.col("sx") <= 40).select("instrument", "session", "sx", "residual")
-
-
-def j17_component_and_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return models.component_and_cluster(_wide(spark, sf_dir), ["rev5", "strength", "width"], F.col("sx") <= 40)
-
-
 def m1_forward_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily observations arrive as files, every third one twice; the stream appends each once."""
     base = scratch(spark)
@@ -88,7 +74,5 @@ QUERIES = {
     "a11_snapshot": (a11_snapshot, None),
     "a14_write_bundle": (a14_write_bundle, twins.A14),
     "j12_deflated_sharpe": (j12_deflated_sharpe, None),
-    "j16_ridge_residual": (j16_ridge_residual, None),
-    "j17_component_and_cluster": (j17_component_and_cluster, None),
     "m1_forward_stream": (m1_forward_stream, M1_TWIN),
 }

@@ -78,12 +78,12 @@ COHORTS = """
 WITH c0 AS (SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) / horizon AS market FROM obs GROUP BY factor_id, horizon, session),
 c1 AS (SELECT *, (dense_rank() OVER (PARTITION BY factor_id, horizon ORDER BY session) - 1) % horizon AS offset_no FROM c0),
 c AS (SELECT *, dense_rank() OVER (PARTITION BY factor_id, horizon, offset_no ORDER BY session) - 1 AS seq FROM c1 WHERE n > 10),
-w AS (SELECT factor_id, horizon, offset_no, seq, instrument, fwd, least(1e6 / horizon / 10, coalesce(prior_amount, 0) * 0.1) / 1e6 AS w, greatest(1e6 / horizon / 10 - coalesce(prior_amount, 0) * 0.1, 0) AS cut
+w AS (SELECT factor_id, horizon, offset_no, seq, instrument, fwd, least(1e6 / horizon / 10, coalesce(prior_amount, 0) * 0.1) / 1e6 AS w, round(greatest(1e6 / horizon / 10 - coalesce(prior_amount, 0) * 0.1, 0) * 1e6)::BIGINT AS cut
   FROM (SELECT o.*, c.offset_no, c.seq FROM obs o JOIN c USING (factor_id, horizon, session)) QUALIFY row_number() OVER (PARTITION BY factor_id, horizon, seq, offset_no ORDER BY v DESC, instrument) <= 10),
 t AS (SELECT coalesce(a.factor_id, b.factor_id) AS factor_id, coalesce(a.horizon, b.horizon) AS horizon, coalesce(a.offset_no, b.offset_no) AS offset_no, coalesce(a.seq, b.seq + 1) AS seq, sum(abs(coalesce(a.w, 0) - coalesce(b.w, 0))) / 2 AS turnover
   FROM w a FULL JOIN w b ON b.factor_id = a.factor_id AND b.horizon = a.horizon AND b.offset_no = a.offset_no AND b.seq = a.seq - 1 AND b.instrument = a.instrument GROUP BY ALL),
 g AS (SELECT factor_id, horizon, offset_no, seq, sum(w * fwd) AS ret, sum(cut) AS cut FROM w GROUP BY ALL)
-SELECT c.factor_id, c.horizon, c.offset_no, c.seq, c.session, TRUE AS active, round(ret - market, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(ret - market - 0.002 * turnover, 6) + 0.0 AS net, round(cut, 2) + 0.0 AS clipped
+SELECT c.factor_id, c.horizon, c.offset_no, c.seq, c.session, TRUE AS active, round(ret - market, 6) + 0.0 AS gross, round(turnover, 6) + 0.0 AS turnover, round(ret - market - 0.002 * turnover, 6) + 0.0 AS net, ((cut + 5000) // 10000) / 100.0::DOUBLE + 0.0 AS clipped
 FROM c JOIN g USING (factor_id, horizon, offset_no, seq) JOIN t USING (factor_id, horizon, offset_no, seq)"""
 
 #: name -> (panels that the text names, text)
@@ -114,10 +114,3 @@ A6 = "SELECT 'industry' AS kind, ts AS effective_at, ts + INTERVAL 1 HOUR AS ava
 A7 = with_panels(["p1", "vendor"], f"SELECT session, instrument, place FROM ({universe_text().replace('{bars}', 'vendor')}) AS u WHERE place <= 10")
 A8 = with_panels(["p2"], "SELECT session, round(avg(open), 6) + 0.0 AS open, 1::BIGINT AS rows_seen, 0::BIGINT AS blank FROM p2 GROUP BY session")
 A14 = """SELECT concat('{"event_id":', event_id, ',"event_type":"', event_type, '","user_id":', user_id, '}') AS value FROM events"""
-#: Ridge of width on two controls by its normal equations, the penalty on the diagonal; Spark's solver
-#: agrees to about six digits, so a test compares the two and no rounded twin does.
-J16 = with_panels(["p1", "obs"], """
-WITH w AS (SELECT instrument, session, sx, max(v) FILTER (factor_id = 'rev5') AS a, max(v) FILTER (factor_id = 'strength') AS b, max(v) FILTER (factor_id = 'width') AS y FROM obs WHERE horizon = 1 GROUP BY ALL HAVING count(*) = 3),
-m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM w WHERE sx <= 40),
-s AS (SELECT sum((a - ma) * (a - ma)) + 1 AS aa, sum((b - mb) * (b - mb)) + 1 AS bb, sum((a - ma) * (b - mb)) AS ab, sum((a - ma) * (y - my)) AS ay, sum((b - mb) * (y - my)) AS yb FROM w, m WHERE sx <= 40)
-SELECT instrument, session, sx, round(y - my - (ay * bb - yb * ab) / (aa * bb - ab * ab) * (a - ma) - (yb * aa - ay * ab) / (aa * bb - ab * ab) * (b - mb), 6) + 0.0 AS residual FROM w, m, s WHERE sx > 40""")

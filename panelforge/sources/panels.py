@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from panelforge.operators import base
 from panelforge.operators.base import Dialect, run
-from panelforge.operators.panel import GENESIS
+from panelforge.operators.panel import GENESIS, REGIME
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -192,8 +192,9 @@ UNION ALL SELECT e.*, c.entry_hash, sha256(concat(e.seq, '|', c.entry_hash, '|',
     "obs": observations_text(base.DUCK).replace("{bars}", "p1"),
     "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
     "cands": candidates_text(base.DUCK).replace("{obs}", "obs"),
+    "regimes": f"SELECT session, regime FROM ({REGIME.replace('{bars}', 'p1')}) AS r",
 }
-NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"], "cands": ["p1", "obs"]}
+NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"], "cands": ["p1", "obs"], "regimes": ["p1"]}
 SPARK = {
     "p1": monthly_bars,
     "p2": weekly_bars,
@@ -205,5 +206,6 @@ SPARK = {
     "vendor": lambda spark, sf_dir: run(vendor_text("{bars}"), bars=monthly_bars(spark, sf_dir)),
     "obs": lambda spark, sf_dir: observations(monthly_bars(spark, sf_dir)),
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
+    "regimes": lambda spark, sf_dir: run(f"SELECT session, regime FROM ({REGIME}) AS r", bars=monthly_bars(spark, sf_dir)),
     "cands": lambda spark, sf_dir: run(candidates_text(base.SPARK), obs=observations(monthly_bars(spark, sf_dir))),
 }

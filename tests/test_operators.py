@@ -181,15 +181,16 @@ def test_clean_chains_pass_and_each_fault_is_its_own_class(spark):
 
 
 def test_fold_weights_sum_to_one_and_paths_differ_by_them(obs):
-    got = validation.fit_weights(obs=obs).toPandas()
-    sums = got[got.scheme != "signed"].groupby(["fold", "horizon", "members", "scheme"]).weight.sum()
+    cands = run(panels.candidates_text(SPARK), obs=obs)
+    got = validation.fit_weights(obs=obs, cands=cands).toPandas()
+    sums = got[got.scheme != "signed"].groupby(["fold", "horizon", "candidate", "scheme"]).weight.sum()
     assert sums.to_numpy() == pytest.approx(1.0, abs=1e-5)
     assert (got[(got.scheme == "best") & (got.factor_id == "rev5")].weight == 1).all()
-    paths = validation.path_scores(obs=obs).toPandas()
+    paths = validation.path_scores(obs=obs, cands=cands).toPandas()
     spread = paths.groupby("config").score.agg(lambda x: x.max() - x.min())
     # What learns nothing scores the same on every path: only weights learned in a fold set paths apart.
     assert (spread[spread.index.str.endswith("equal") | spread.index.str.endswith("single")] < 1e-5).all()
-    row = validation.pbo_paths(obs=obs).first()
+    row = validation.pbo_paths(obs=obs, cands=cands).first()
     assert row["splits"] == 252 and 0 <= row["pbo"] <= 1
 
 
@@ -206,17 +207,6 @@ def test_cohorts_by_hand(spark):
     assert [r["turnover"] for r in avoid] == [0.5, 1.0, 0.0] and [r["gross"] for r in avoid] == pytest.approx([0.1 - 0.2, 0.2 - 0.2, 0.2 - 0.2])
 
 
-def test_ridge_residual_equals_its_normal_equations(spark, duck, sf_dir):
-    keys = ["instrument", "session", "sx"]
-    ours = registry.queries()["j16_ridge_residual"](spark, sf_dir).toPandas()
-    theirs = duck.execute(twins.J16).df()
-    for pdf in (ours, theirs):
-        pdf["session"] = pd.to_datetime(pdf["session"])
-    both = ours.merge(theirs, on=keys, suffixes=("", "_by_hand"))
-    assert len(both) == len(ours) == len(theirs)
-    assert both.residual.to_numpy() == pytest.approx(both.residual_by_hand.to_numpy(), rel=1e-4, abs=1e-4)
-
-
 def test_stream_appends_each_observation_once(spark, sf_dir):
     got = registry.queries()["m1_forward_stream"](spark, sf_dir)
     assert got.count() == got.select("session", "event_type").distinct().count() > 0
