@@ -114,3 +114,36 @@ A6 = "SELECT 'industry' AS kind, ts AS effective_at, ts + INTERVAL 1 HOUR AS ava
 A7 = with_panels(["p1", "vendor"], f"SELECT session, instrument, place FROM ({universe_text().replace('{bars}', 'vendor')}) AS u WHERE place <= 10")
 A8 = with_panels(["p2"], "SELECT session, round(avg(open), 6) + 0.0 AS open, 1::BIGINT AS rows_seen, 0::BIGINT AS blank FROM p2 GROUP BY session")
 A14 = """SELECT concat('{"event_id":', event_id, ',"event_type":"', event_type, '","user_id":', user_id, '}') AS value FROM events"""
+A1 = with_panels(["p1", "vendor"], "SELECT instrument::VARCHAR AS instrument, session, "
+    + ", ".join(f"CASE WHEN sx = file_sx THEN round({c} * adjustment, 6) + 0.0 END AS {c}" for c in ("open", "high", "low", "close"))
+    + ", CASE WHEN sx = file_sx THEN round(volume * 100, 2) END AS volume, CASE WHEN sx = file_sx THEN round(amount * 1000, 0) END AS amount, CASE WHEN sx = file_sx THEN adjustment END AS adjustment_factor, CASE WHEN sx <> file_sx THEN 'date_differs_from_file' END AS reason FROM vendor")
+
+
+def alternative(fields: dict[str, tuple[str, float]], standins: dict[str, str]) -> str:
+    """Every user and day with all fields of a source, those without an event null; China's clock in UTC, a day late."""
+    rows = ", ".join(f"('{f}', '{standins.get(f, '-')}', {scale}::DOUBLE)" for f, (_, scale) in fields.items())
+    return with_panels(["p3"], f"""
+SELECT k.instrument::VARCHAR AS instrument, k.session, f.field, round(p.value * f.scale, 2) AS value, k.session + INTERVAL 7 HOUR AS effective_at, k.session + INTERVAL 34 HOUR AS available_at, NULL::VARCHAR AS reason
+FROM (SELECT DISTINCT instrument, session FROM p3) AS k CROSS JOIN (VALUES {rows}) AS f(field, kind, scale) LEFT JOIN p3 AS p ON p.instrument = k.instrument AND p.session = k.session AND p.event_type = f.kind""")
+
+
+#: Announcements by what each event stands for: letters e (twice where 11 divides), f and d as a13_lines makes them.
+_SENT = """
+base AS (SELECT *, strftime(ts, '%Y-%m-%d %H:%M:%S') AS said, CASE WHEN event_id % 3 > 0 THEN strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') END AS actual, date_trunc('month', ts)::DATE AS period, CASE event_type WHEN 'purchase' THEN '业绩预告' WHEN 'signup' THEN '业绩快报' WHEN 'error' THEN 'notice' ELSE 'report' END AS word FROM events),
+sent AS (
+  SELECT *, 'e' AS letter, 1 AS turn FROM base UNION ALL SELECT *, 'e', 2 FROM base WHERE event_id % 11 = 0 UNION ALL SELECT *, 'f', 1 FROM base WHERE event_id % 13 = 0 UNION ALL SELECT *, 'd', 1 FROM base WHERE event_id % 17 = 0),
+outcome AS (
+  SELECT *, CASE WHEN turn = 2 THEN 'duplicate' WHEN event_id % 23 = 0 THEN 'quarantined' WHEN event_type = 'error' THEN 'not_periodic' WHEN letter <> 'd' AND (event_id % 13 = 0 OR event_id % 17 = 0) THEN 'quarantined' ELSE 'admitted' END AS outcome FROM sent)"""
+A13_LEDGER = f"""
+WITH {_SENT}, bad AS (SELECT count(*) AS n FROM sent WHERE event_id % 19 = 0)
+SELECT count(*) + any_value(bad.n) AS received, {", ".join(f"count(*) FILTER (outcome = '{o}') AS {o}" for o in ("admitted", "duplicate", "quarantined", "incomplete", "not_periodic"))}, any_value(bad.n) AS corrupt, count(*) FILTER (outcome = 'admitted' AND actual IS NULL) AS delayed FROM outcome, bad"""
+A13_REVISIONS = f"""
+WITH {_SENT},
+stable AS (SELECT *, concat('{{"actualPublishTime":', coalesce('"' || actual || '"', 'null'), ',"announcementType":"年度报告","announcementTypeCode":"', event_type, '","endDate":"', period, ' 00:00:00","hasPdf":', CASE WHEN event_id % 2 = 0 THEN 'true' ELSE 'false' END, ',"industryTag":[],"market":"A","publishTime":"', said, '",') AS head,
+  concat('"stockTag":[{{"code":"u', user_id, '","name":"n"}}', CASE WHEN event_id % 5 = 0 THEN concat(',{{"code":"g', user_id % 10, '","name":"m"}}') ELSE '' END, '],"title":"', word, ' ', event_id, '"}}') AS tail FROM outcome WHERE outcome = 'admitted'),
+h AS (SELECT *, sha256(head || CASE WHEN letter = 'd' THEN concat('"sourceDocumentHash":"', sha256(event_id::VARCHAR), '",') ELSE '' END || tail) AS source_hash FROM stable),
+c AS (SELECT *, 'U' || user_id AS code FROM h UNION ALL SELECT *, 'G' || (user_id % 10) FROM h WHERE event_id % 5 = 0),
+r AS (SELECT code, period AS report_period, event_type AS report_type, left(sha256(concat(period, '|', event_type, '|', coalesce(replace(actual, ' ', 'T') || '+08:00', 'None'), '|', source_hash)), 24) AS revision_id, sha256('announcement|' || source_hash) AS document_id,
+  CASE word WHEN '业绩预告' THEN 'earnings_forecast' WHEN '业绩快报' THEN 'earnings_flash' ELSE 'periodic_report' END AS source_type, CASE WHEN actual IS NULL THEN 'nominal_plus_delay' ELSE 'actual' END AS time_quality,
+  date_trunc('second', ts) + CASE WHEN actual IS NULL THEN INTERVAL 24 HOUR ELSE INTERVAL 1 HOUR END - INTERVAL 8 HOUR AS available_at FROM c)
+SELECT *, CASE WHEN source_type = 'periodic_report' THEN report_period + INTERVAL 1 DAY - INTERVAL 1 SECOND - INTERVAL 8 HOUR ELSE available_at END AS effective_at, lag(revision_id) OVER (PARTITION BY code, report_period, report_type ORDER BY available_at, revision_id) AS supersedes FROM r"""
