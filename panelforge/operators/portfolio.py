@@ -171,6 +171,26 @@ def by_slice(d: Dialect) -> str:
     return f"SELECT factor_id, size_slice, count(*) AS sections, {r6('avg(ret)')} AS mean_excess FROM (SELECT factor_id, session, size_slice, avg(CASE WHEN place <= greatest(1, floor(m / 5e0)) THEN fwd END) - avg(fwd) AS ret FROM (SELECT *, row_number() OVER (PARTITION BY {XS}, size_slice ORDER BY v DESC, instrument) AS place, count(*) OVER (PARTITION BY {XS}, size_slice) AS m FROM (SELECT *, {bucket_text(3, 'cap')} AS size_slice FROM ({ONE}) AS o) AS a) AS b GROUP BY factor_id, session, size_slice) AS c GROUP BY factor_id, size_slice"
 
 
+def sliced_text() -> str:
+    """Observations under a factor of their own for each third of size and of liquidity in their cross-section."""
+    kinds = " UNION ALL ".join(f"SELECT concat(factor_id, '|{kind}|', {bucket_text(3, x)}) AS factor_id, horizon, session, instrument, v, fwd, prior_amount FROM {{obs}}" for kind, x in (("size", "cap"), ("liquidity", "adv")))
+    return f"SELECT * FROM ({kinds}) AS u"
+
+
+@operator("k9_cohorts_by_slice", OBS)
+def cohorts_by_slice(d: Dialect, b: int = 3) -> str:
+    """Cohorts (K3), their offset paths against the control (K5) and RankIC (H1) in each third of size and liquidity."""
+    within = lambda text: text.replace("{obs}", f"({sliced_text()})")
+    return f"""
+WITH e AS ({within(events_text(d, (b,)))}), c AS ({within(control_text(d))}),
+p AS (SELECT e.factor_id, e.horizon, e.offset_no, avg(e.net - c.net) / nullif(stddev_samp(e.net - c.net), 0) AS sharpe FROM e JOIN c ON c.factor_id = e.factor_id AND c.horizon = e.horizon AND c.session = e.session GROUP BY e.factor_id, e.horizon, e.offset_no),
+k AS (SELECT factor_id, horizon, count(*) AS cohorts, avg(net) AS net, avg(turnover) AS turnover FROM e GROUP BY factor_id, horizon),
+q AS (SELECT factor_id, horizon, {d.percentile('sharpe', 0.5)} AS median_path, CAST(sum(CASE WHEN sharpe > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_paths FROM p GROUP BY factor_id, horizon),
+i AS (SELECT factor_id, horizon, avg(rank_ic) AS rank_ic FROM ({within(DAILY)}) AS d GROUP BY factor_id, horizon)
+SELECT k.factor_id, k.horizon, cohorts, {r6('net')} AS mean_net, {r6('turnover')} AS turnover, {r6('median_path')} AS median_path_sharpe, positive_paths, {r6('rank_ic')} AS mean_rank_ic
+FROM k JOIN q ON q.factor_id = k.factor_id AND q.horizon = k.horizon JOIN i ON i.factor_id = k.factor_id AND i.horizon = k.horizon"""
+
+
 @operator("k10_sleeves", OBS)
 def sleeves(d: Dialect, b: int = 10) -> str:
     """Sharpe of each offset's sleeve under the cost of a full turn."""

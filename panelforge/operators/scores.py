@@ -145,6 +145,40 @@ SELECT c.factor_id, c.horizon, cells, sessions, instruments, {r6('cells / CAST(s
 FROM c JOIN g ON g.factor_id = c.factor_id AND g.horizon = c.horizon JOIN t ON t.factor_id = c.factor_id AND t.horizon = c.horizon"""
 
 
+@operator("h12_diagnostic_codes", OBS)
+def diagnostic_codes(d: Dialect, coverage: float = 0.8, stale: float = 0.05, turnover: float = 0.35, date_share: float = 0.1, regime_share: float = 0.8, cost_bps: float = 10.0) -> str:
+    """What speaks against a factor before it is tested at length, with the figures behind it.
+
+    Quintiles are pooled over sessions with five names or more; turnover is the mean change of a name's
+    unit rank to the next session it shares; shares are those of the largest session in the absolute
+    spread and of the larger regime (rising or falling sessions) in the absolute sum of v * fwd.
+    """
+    part = "factor_id, horizon"
+    code = lambda test, name: f"CASE WHEN {test} THEN '{name}' END"
+    codes = ", ".join([
+        code(f"coverage < {coverage}e0", "LOW_COVERAGE"), code(f"stale > {stale}e0", "STALE_SIGNAL"), code("q5 <= q1", "FLAT_QUANTILES"), code(f"turnover > {turnover}e0", "EXCESS_TURNOVER"),
+        code(f"date_share > {date_share}e0", "DATE_CONCENTRATION"), code(f"regime_share > {regime_share}e0", "REGIME_CONCENTRATION"), code(f"q5 - q1 - turnover * {cost_bps / 1e4}e0 <= 0", "COST_ERASED"),
+    ])
+    last = f"OVER (PARTITION BY {part}, instrument ORDER BY session)"
+    return f"""
+WITH x AS (
+  SELECT *, {ordinal('v')} AS k, {size()} AS n, {unit(avg_rank('v'), size())} AS u, avg(fwd) OVER (PARTITION BY {XS}) AS market FROM {{obs}}),
+m AS (
+  SELECT *, lag(v, 1) {last} AS v_before, lag(u, 1) {last} AS u_before, lag(place, 1) {last} AS place_before FROM (SELECT *, dense_rank() OVER (PARTITION BY {part} ORDER BY session) AS place FROM x) AS y),
+g AS (
+  SELECT {part}, count(*) / CAST({d.distinct('session')} * {d.distinct('instrument')} AS DOUBLE) AS coverage, avg(CASE WHEN v = v_before THEN 1e0 ELSE 0e0 END) AS stale,
+    {', '.join(f'avg(CASE WHEN n >= 5 AND floor((k - 1) * 5 / CAST(n AS DOUBLE)) = {q} THEN fwd END) AS q{q + 1}' for q in range(5))},
+    coalesce(avg(CASE WHEN place_before = place - 1 THEN abs(u - u_before) END), 0) AS turnover, sum(CASE WHEN market >= 0 THEN fwd * v END) AS up, sum(CASE WHEN market < 0 THEN fwd * v END) AS down FROM m GROUP BY {part}),
+s AS (
+  SELECT {part}, max(abs(spread)) / nullif(sum(abs(spread)), 0) AS date_share FROM (
+    SELECT {XS}, avg(CASE WHEN k > n - greatest(1, floor(n / 5e0)) THEN fwd END) - avg(CASE WHEN k <= greatest(1, floor(n / 5e0)) THEN fwd END) AS spread FROM x WHERE n >= 5 GROUP BY {XS}) AS d GROUP BY {part}),
+f AS (
+  SELECT g.*, coalesce(s.date_share, 1) AS date_share, coalesce(greatest(abs(coalesce(up, 0)), abs(coalesce(down, 0))) / nullif(abs(coalesce(up, 0)) + abs(coalesce(down, 0)), 0), 1) AS regime_share
+  FROM g JOIN s ON s.factor_id = g.factor_id AND s.horizon = g.horizon)
+SELECT {part}, {', '.join(f'{r6(c)} AS {c}' for c in ('coverage', 'stale', 'q1', 'q2', 'q3', 'q4', 'q5', 'turnover', 'date_share', 'regime_share'))}, {r6(f'q5 - q1 - turnover * {cost_bps / 1e4}e0')} AS net_spread,
+  CASE WHEN concat_ws('+', {codes}) = '' THEN 'PASS' ELSE concat_ws('+', {codes}) END AS codes FROM f"""
+
+
 def cells_text(d: Dialect) -> str:
     """Every observation in the regime of its session."""
     regime = f"CASE WHEN avg(fwd) OVER (PARTITION BY {XS}) >= 0 THEN 'up' ELSE 'down' END"

@@ -320,14 +320,36 @@ WITH m AS (SELECT factor_id, count(*) AS n, avg(ret) / stddev_samp(ret) AS sharp
 SELECT factor_id, n, {r6('sharpe')} AS sharpe, {r6('skew')} AS skew, {r6('kurt')} AS kurtosis, count(*) OVER () AS trials, {r6('stddev_samp(sharpe) OVER ()')} AS sharpe_spread, {r6('sqrt((1 - skew * sharpe + (kurt - 1) / 4 * sharpe * sharpe) / (n - 1))')} AS sharpe_error FROM m"""
 
 
+def chosen_text(blocks: int) -> str:
+    """The factor of every horizon and block of time: the best mean RankIC on all blocks before it, ties by id."""
+    before = "OVER (PARTITION BY factor_id, horizon ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"""
+SELECT horizon, block, factor_id, past, here FROM (SELECT *, row_number() OVER (PARTITION BY horizon, block ORDER BY round(past, 9) DESC, factor_id) AS k FROM (
+  SELECT factor_id, horizon, block, sum(s) {before} / sum(n) {before} AS past, s / n AS here FROM (
+    SELECT a.factor_id, a.horizon, c.block, sum(a.rank_ic) AS s, count(*) AS n FROM ({DAILY}) AS a JOIN ({calendar_text(blocks)}) AS c ON c.horizon = a.horizon AND c.session = a.session GROUP BY a.factor_id, a.horizon, c.block) AS b) AS p
+  WHERE past IS NOT NULL) AS x WHERE k = 1"""
+
+
+def calendar_text(blocks: int) -> str:
+    """The sessions of each horizon in blocks of time, larger blocks first."""
+    return f"SELECT horizon, session, ntile({blocks}) OVER (PARTITION BY horizon ORDER BY session) AS block FROM (SELECT DISTINCT horizon, session FROM {{obs}}) AS s"
+
+
 @operator("j13_walk_forward", OBS)
 def walk_forward(d: Dialect, blocks: int = 6) -> str:
     """For each horizon and block of time the factor with the best mean RankIC on all blocks before it."""
-    before = "OVER (PARTITION BY factor_id, horizon ORDER BY block ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    return f"SELECT horizon, block, factor_id, {r6('past')} AS past, {r6('here')} AS realised FROM ({chosen_text(blocks)}) AS c"
+
+
+@operator("j13_walk_forward_signals", OBS)
+def walk_forward_signals(d: Dialect, blocks: int = 6) -> str:
+    """What the selection trades: on every session of a block the signals of the block's factor, for the
+    names that have all factors there."""
     return f"""
-WITH ic AS (SELECT factor_id, horizon, session, rank_ic, ntile({blocks}) OVER (PARTITION BY factor_id, horizon ORDER BY session) AS block FROM ({DAILY}) AS a), b AS (SELECT factor_id, horizon, block, sum(rank_ic) AS s, count(*) AS n FROM ic GROUP BY factor_id, horizon, block),
-c AS (SELECT factor_id, horizon, block, sum(s) {before} / sum(n) {before} AS past, s / n AS here FROM b)
-SELECT horizon, block, factor_id, {r6('past')} AS past, {r6('here')} AS realised FROM (SELECT *, row_number() OVER (PARTITION BY horizon, block ORDER BY round(past, 9) DESC, factor_id) AS k FROM c WHERE past IS NOT NULL) AS x WHERE k = 1"""
+SELECT o.horizon, CAST(c.block AS BIGINT) AS block, o.factor_id, o.session, o.instrument, {r6('o.v')} AS signal, {r6('o.fwd')} AS fwd FROM (
+  SELECT n.*, count(*) OVER (PARTITION BY horizon, session, instrument) AS factors, w.wanted FROM {{obs}} AS n JOIN (SELECT horizon AS h, count(DISTINCT factor_id) AS wanted FROM {{obs}} GROUP BY horizon) AS w ON w.h = n.horizon) AS o
+JOIN ({calendar_text(blocks)}) AS t ON t.horizon = o.horizon AND t.session = o.session
+JOIN ({chosen_text(blocks)}) AS c ON c.horizon = o.horizon AND c.block = t.block AND c.factor_id = o.factor_id WHERE o.factors = o.wanted"""
 
 
 @operator("j14_screen", OBS)

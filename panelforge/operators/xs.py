@@ -99,24 +99,40 @@ SELECT {KEYS}, {r6(f'v - avg(v) OVER (PARTITION BY {XS}, label)')} AS value FROM
     SELECT o.*, b.{label} AS label FROM {{obs}} AS o JOIN {{bars}} AS b ON b.instrument = o.instrument AND b.sx = o.sx - 1) AS a) AS c WHERE peers >= 2"""
 
 
+#: Registered ensembles: factors with their weights (and directions).
+BLEND = {"rev5": (0.5, 1), "strength": (0.3, -1), "width": (0.2, 1)}
+WEIGHTED = {"rev5": 0.6, "strength": 0.25, "width": 0.15}
+
+
+def _by_factor(values: dict[str, float]) -> str:
+    return "CASE factor_id " + " ".join(f"WHEN '{f}' THEN {float(x)!r}e0" for f, x in values.items()) + " END"
+
+
+def _members(factors: object) -> str:
+    return "factor_id IN (" + ", ".join(f"'{f}'" for f in factors) + ")"
+
+
 @operator("f11_blend_ranks", OBS)
-def blend_ranks(d: Dialect) -> str:
-    """Weighted sum of direction-adjusted unit ranks; weights are divided by their sum."""
-    weight = "CASE factor_id WHEN 'rev5' THEN 0.5e0 WHEN 'strength' THEN 0.3e0 ELSE 0.2e0 END"
+def blend_ranks(d: Dialect, parts: dict = BLEND) -> str:
+    """Weighted sum of direction-adjusted unit ranks of the factors in parts, {factor: (weight, 1 or -1)};
+    weights are divided by their sum, and a name needs every factor."""
+    weight = _by_factor({f: w for f, (w, _) in parts.items()})
+    turned = f"{_by_factor({f: sign for f, (_, sign) in parts.items()})} * v"
     return f"""
 SELECT horizon, session, instrument, {r6(f'sum(({weight}) * u) / sum({weight})')} AS value FROM (
-  SELECT {KEYS}, {unit(avg_rank("CASE WHEN factor_id = 'strength' THEN -v ELSE v END"), size())} AS u FROM {{obs}}) AS a GROUP BY horizon, session, instrument HAVING count(*) = 3"""
+  SELECT {KEYS}, {unit(avg_rank(turned), size())} AS u FROM {{obs}} WHERE {_members(parts)}) AS a GROUP BY horizon, session, instrument HAVING count(*) = {len(parts)}"""
 
 
 @operator("f12_ensemble_mean_rank", OBS)
-def ensemble_mean_rank(d: Dialect) -> str:
-    return f"SELECT horizon, session, instrument, {r6('avg(u)')} AS value FROM (SELECT {KEYS}, {unit(ordinal('v'), size())} AS u FROM {{obs}}) AS a GROUP BY horizon, session, instrument HAVING count(*) = 3"
+def ensemble_mean_rank(d: Dialect, factors: tuple = tuple(BLEND)) -> str:
+    """Mean ordinal unit rank over the factors; a name needs every one."""
+    return f"SELECT horizon, session, instrument, {r6('avg(u)')} AS value FROM (SELECT {KEYS}, {unit(ordinal('v'), size())} AS u FROM {{obs}} WHERE {_members(factors)}) AS a GROUP BY horizon, session, instrument HAVING count(*) = {len(factors)}"
 
 
 @operator("f13_ensemble_z", OBS)
-def ensemble_z(d: Dialect) -> str:
-    weight = "CASE factor_id WHEN 'rev5' THEN 0.6e0 WHEN 'strength' THEN 0.25e0 ELSE 0.15e0 END"
-    return f"SELECT horizon, session, instrument, {r6(f'sum(({weight}) * z)')} AS value FROM ({winsor_z_text('{obs}')}) AS z GROUP BY horizon, session, instrument HAVING count(*) = 3"
+def ensemble_z(d: Dialect, weights: dict = WEIGHTED) -> str:
+    """Weighted sum of winsorised z-scores over the factors in weights; a name needs every one."""
+    return f"SELECT horizon, session, instrument, {r6(f'sum(({_by_factor(weights)}) * z)')} AS value FROM ({winsor_z_text('{obs}')}) AS z WHERE {_members(weights)} GROUP BY horizon, session, instrument HAVING count(*) = {len(weights)}"
 
 
 @operator("f14_percentile_score", OBS)

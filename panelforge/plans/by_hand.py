@@ -92,6 +92,16 @@ def a7_universe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_universe(spark, path, 10)
 
 
+def a10_universe_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A first version, a second one with all members, and a third that never gets its manifest."""
+    path = scratch(spark)
+    members = run(panel.universe_text(), bars=panels.SPARK["vendor"](spark, sf_dir)).select("session", "instrument", "place")
+    files.write_tiers(members.where("place <= 5"), path)
+    files.write_tiers(members, path)
+    files.write_tiers(members.where("place = 1"), path, finish=False)
+    return files.read_tiers(spark, path)
+
+
 def a8_read_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     panels.weekly_bars(spark, sf_dir).groupBy("session").agg(F.avg("open").alias("open")).write.option("header", True).csv(path)
@@ -133,6 +143,7 @@ QUERIES = {
     "a3_read_bars_long": (a3_read_bars_long, twins.A3),
     "a6_read_memberships": (a6_read_memberships, twins.A6),
     "a7_a10_universe_round_trip": (a7_universe_round_trip, twins.A7),
+    "a10_universe_tiers": (a10_universe_tiers, twins.A10),
     "a8_read_index": (a8_read_index, twins.A8),
     "a11_snapshot": (a11_snapshot, None),
     "a14_write_bundle": (a14_write_bundle, twins.A14),

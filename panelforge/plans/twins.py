@@ -112,6 +112,7 @@ def texts() -> dict[str, str]:
 A3 = with_panels(["p2"], "SELECT instrument::VARCHAR AS instrument, session, round(open, 6) + 0.0 AS open, round(high, 6) + 0.0 AS high, round(low, 6) + 0.0 AS low, round(close, 6) + 0.0 AS close, volume, round(amount, 2) AS amount, FALSE AS bad FROM p2")
 A6 = "SELECT 'industry' AS kind, ts AS effective_at, ts + INTERVAL 1 HOUR AS available_at, ts + INTERVAL 1 DAY AS ingested_at, user_id::VARCHAR AS instrument, event_type AS group_id, event_type AS group_name, TRUE AS in_order FROM events"
 A7 = with_panels(["p1", "vendor"], f"SELECT session, instrument, place FROM ({universe_text().replace('{bars}', 'vendor')}) AS u WHERE place <= 10")
+A10 = with_panels(["p1", "vendor"], f"SELECT session, instrument, place, place <= 10 AS top10, place <= 50 AS top50 FROM ({universe_text().replace('{bars}', 'vendor')}) AS u")
 A8 = with_panels(["p2"], "SELECT session, round(avg(open), 6) + 0.0 AS open, 1::BIGINT AS rows_seen, 0::BIGINT AS blank FROM p2 GROUP BY session")
 A14 = """SELECT concat('{"event_id":', event_id, ',"event_type":"', event_type, '","user_id":', user_id, '}') AS value FROM events"""
 A1 = with_panels(["p1", "vendor"], "SELECT instrument::VARCHAR AS instrument, session, "

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,42 @@ def read_universe(spark: SparkSession, path: str, top_n: int) -> DataFrame:
     return d.select("session", F.posexplode("members").alias("pos", "instrument")).where(F.col("pos") < top_n).select("session", "instrument", (F.col("pos") + 1).cast("bigint").alias("place"))
 
 
+def write_tiers(universe: DataFrame, path: str, tops: tuple[int, ...] = (10, 50), finish: bool = True) -> int:
+    """A new version of a universe (session, instrument, place), partitioned by session; returns its number.
+
+    Tiers are nested: a member stands in every tier whose size is at least its place. Rows are written
+    first, below a version of their own; the manifest that names the version and its rows comes last, and
+    readers go by manifests alone: a write that was interrupted (finish = False stops before the
+    manifest) leaves the old version as it was.
+    """
+    spark = universe.sparkSession
+    version = 1 + max(_versions(spark, path), default=0)
+    rows = universe.select("session", "instrument", F.col("place").cast("bigint").alias("place"), *[(F.col("place") <= n).alias(f"top{n}") for n in tops])
+    rows.repartition("session").sortWithinPartitions("session", "place").write.mode("overwrite").partitionBy("session").parquet(f"{path}/data/version={version}")
+    if finish:
+        stored = spark.read.parquet(f"{path}/data/version={version}")
+        digest = F.sum(F.xxhash64("session", "instrument", "place").cast("decimal(38,0)")).cast("string")
+        manifest = stored.agg(F.lit(version).alias("number"), F.count("*").alias("rows"), F.countDistinct("session").alias("sessions"), digest.alias("digest"))
+        manifest.coalesce(1).write.json(f"{path}/manifest/version={version}")
+    return version
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The finished versions of a path; none if there is no manifest yet."""
+    try:
+        return [r.number for r in spark.read.schema("number int, rows long, sessions long, digest string").json(f"{path}/manifest/*").collect()]
+    except AnalysisException:
+        return []
+
+
+def read_tiers(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """The rows of the last finished version, or of a given finished one."""
+    found = _versions(spark, path)
+    if not found or (version is not None and version not in found):
+        raise ValueError(f"no finished version of {path}")
+    return spark.read.parquet(f"{path}/data/version={version or max(found)}")
+
+
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """Index levels; blank opens and repeated dates are counted by session rather than refused."""
     d = spark.read.schema("session date, open double").option("header", True).csv(path)

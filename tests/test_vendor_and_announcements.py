@@ -2,10 +2,12 @@
 
 import hashlib
 import json
+import math
 
 import pytest
 
-from panelforge.sources import announcements, vendor
+from panelforge.operators import models
+from panelforge.sources import announcements, files, vendor
 
 
 def _put(folder, name, text):
@@ -111,3 +113,33 @@ def test_revisions_supersede_in_order_of_availability(spark):
     assert [r.supersedes for r in rows] == [None, rows[0].revision_id, rows[1].revision_id]
     forecast = announcements.revisions(_found(spark, {**ITEM, "title": "业绩预告"})).first()
     assert forecast.source_type == "earnings_forecast" and forecast.effective_at == forecast.available_at
+
+
+def test_an_interrupted_write_leaves_the_old_version(spark, tmp_path):
+    members = spark.createDataFrame([("2024-01-02", i, i) for i in range(1, 61)], "session string, instrument long, place int").selectExpr("to_date(session) AS session", "instrument", "place")
+    path = str(tmp_path / "u")
+    with pytest.raises(ValueError):
+        files.read_tiers(spark, path)
+    assert files.write_tiers(members, path) == 1
+    assert files.write_tiers(members.where("place = 1"), path, finish=False) == 2
+    rows = files.read_tiers(spark, path).collect()
+    assert len(rows) == 60 and sum(r.top10 for r in rows) == 10 and all(r.top50 for r in rows if r.top10) and sum(r.top50 for r in rows) == 50
+    assert files.write_tiers(members.where("place < 4"), path) == 2
+    assert files.read_tiers(spark, path).count() == 3 and files.read_tiers(spark, path, 1).count() == 60
+
+
+@pytest.mark.parametrize("sharpe,spread,trials,error", [(0.2, 0.1, 10, 0.05), (0.1, 0.05, 54, 0.08), (0.05, 0.02, 2, 0.03)])
+def test_deflated_sharpe_by_its_closed_form(spark, sharpe, spread, trials, error):
+    """The normal distribution by the error function, its quantile by bisection."""
+    below = lambda z: (1 + math.erf(z / math.sqrt(2))) / 2
+
+    def quantile(p):
+        lo, hi = -10.0, 10.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if below((lo + hi) / 2) < p else (lo, (lo + hi) / 2)
+        return lo
+
+    best = spread * ((1 - 0.5772156649015329) * quantile(1 - 1 / trials) + 0.5772156649015329 * quantile(1 - 1 / (trials * math.e)))
+    df = spark.createDataFrame([(sharpe, spread, trials, error), (sharpe, spread, 1, error)], "sharpe double, sharpe_spread double, trials long, sharpe_error double")
+    found = [r.dsr for r in models.deflated_sharpe(df).orderBy("trials").collect()]
+    assert found == [None, pytest.approx(below((sharpe - best) / error), abs=1e-6)]
