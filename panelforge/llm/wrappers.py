@@ -31,8 +31,9 @@ from panelforge.llm.common import few, written
 MIN_PAGES = 3
 #: if its node stands on so large a share of the host's distinct pages,
 MIN_SHARE = 0.5
-#: and if no more than this share of an article would go: near copies of one article are no template.
-MAX_TEMPLATE = 0.3
+#: and if at least this share of an article's blocks says something of its own: pages whose articles are
+#: near copies of each other are no template.
+MIN_OWN = 0.5
 #: The share of the page's text that a node must hold to be a layout wrapper whatever its name says.
 DOMINANT = 0.9
 #: Nodes of all templates that a task holds before it sends them on, and of one template before its
@@ -43,13 +44,15 @@ TABLE = 250_000
 #: Templates are sent to all tasks up to so many bytes; beyond, pages meet them in a salted join.
 BROADCAST_BYTES = 32_000_000
 _SALTS = 64
+#: Partial templates of a host that are folded in one group, on average.
+FAN = 16
 
 #: Elements of HTML by their role.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var"}
+INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label", "object", "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "mfenced", "menclose", "msub", "msup", "msubsup", "munder", "mover", "munderover", "mmultiscripts", "mprescripts", "none", "mtable", "mtr", "mtd", "maction", "semantics"}
 DROPPED = {"head", "nav", "footer", "aside", "form", "dialog", "menu", "fieldset"}
 #: Dropped without an end to the block they stand in.
-SUNK = {"button", "select", "option", "optgroup", "template", "noscript", "svg", "object", "canvas", "audio", "video", "label", "datalist", "map", "math"}
+SUNK = {"button", "select", "option", "optgroup", "template", "noscript", "svg", "canvas", "audio", "video", "datalist", "map", "annotation", "annotation-xml"}
 RAW = "script|style|textarea|title|iframe|xmp|noembed|noframes"
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul", "li", "dd", "dt"}
 ITEMS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -57,7 +60,14 @@ ITEMS = {"li": {"ul", "ol", "menu"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table"}
 BOILERPLATE = set(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer gdpr login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup promo related recommended replies reply search share sharing sidebar signup social sponsored sponsor subscribe toolbar widget complementary contentinfo".split()
 )
-#: Of these, what says the same of an article element itself, as a whole class name.
+#: Of these, words that mean many things: within an article they count on elements that hold blocks only.
+AMBIGUOUS = {"banner", "notice", "notices", "notification", "recommended", "related", "replies", "reply", "search", "share", "sharing", "social", "sponsor", "widget", "complementary"}
+#: Words that stand beside them in the names of boilerplate, and elements that hold blocks.
+BESIDE = set("actions area articles bar block bottom box btn button buttons container content form group icon icons inner item items left link links list more news outer panel posts post right section site slot stories tag tags title tools top unit wrap wrapper".split())
+HOLDERS = {"div", "section", "ul", "ol", "aside", "nav", "dl", "details", "footer", "header"}
+#: Elements that a form must hold to be the wrapper of a page and no form to fill in.
+PROSE = {"p", "h1", "h2", "h3", "article", "main", "section", "blockquote", "table", "ul", "ol"}
+#: Of the words above, what says the same of an article element itself, as a whole class name.
 _NO_ARTICLE = {"ad", "advert", "advertisement", "comment", "promo", "related", "reply", "sponsored", "teaser", "widget"}
 #: A class name that begins so tells how a page is laid out, not what stands in it.
 _LAYOUT = {"has", "is", "js", "no", "non", "not", "with", "without"}
@@ -85,6 +95,17 @@ def _named(tokens: list[str]) -> bool:
     return False
 
 
+def _named_within(tokens: list[str], tag: str) -> bool:
+    """Whether a block of an article is boilerplate by its name: every word of one class name must say so,
+    ambiguous words on elements that hold blocks only."""
+    for token in tokens:
+        words = [w for w in re.split(r"[-_]+", _DIGITS.sub("", _HUMP.sub("-", token)).lower()) if w]
+        telling = [w for w in words if w in BOILERPLATE]
+        if telling and all(w in BOILERPLATE or w in BESIDE for w in words) and (tag in HOLDERS or any(w not in AMBIGUOUS for w in telling)):
+            return True
+    return False
+
+
 class Node:
     """A block of the page: content holds buffers (_Text) and child nodes in page order.
 
@@ -94,7 +115,7 @@ class Node:
 
     __slots__ = ("tag", "label", "gone", "doubtful", "main", "content", "size", "wraps")
 
-    def __init__(self, tag: str, found: dict[str, str] | None = None, outside_article: bool = True) -> None:
+    def __init__(self, tag: str, found: dict[str, str] | None = None, outside_article: bool = True, within: bool = False) -> None:
         self.tag, self.label, self.content, self.size, self.wraps = tag, tag, [], 0, False
         self.main, self.gone, self.doubtful = tag in ("article", "main"), tag in DROPPED and tag not in ("form", "fieldset"), tag in ("form", "fieldset")
         heads = tag == "header"
@@ -108,7 +129,7 @@ class Node:
                 self.main = not _NO_ARTICLE & {t.lower() for t in tokens}
                 self.gone = self.gone or not self.main
             elif tag not in ("html", "body"):
-                self.doubtful = self.doubtful or _named(tokens)
+                self.doubtful = self.doubtful or (_named_within(tokens, tag) if within else _named(tokens))
             self.gone = self.gone or "hidden" in found
         self.gone = self.gone or (heads and outside_article)
 
@@ -128,7 +149,7 @@ def parse(page: str) -> Node:
     root = Node("#page")
     #: Open elements: (tag, node that takes their content, inline, named as boilerplate).
     stack: list[tuple[str, Node, bool, bool]] = [("#page", root, False, False)]
-    at, articles = 0, 0
+    at, articles, mains = 0, 0, 0
 
     def put(text: str) -> None:
         _, node, _, named = stack[-1]
@@ -140,8 +161,9 @@ def parse(page: str) -> Node:
             last.plain = True
 
     def close(index: int) -> None:
-        nonlocal articles
+        nonlocal articles, mains
         articles -= sum(1 for tag, *_ in stack[index:] if tag == "article")
+        mains -= sum(1 for _, node, inline, _ in stack[index:] if node.main and not inline)
         del stack[index:]
 
     # No tag ends behind the last >, so every tag that begins before it is matched at its first try.
@@ -190,11 +212,12 @@ def parse(page: str) -> Node:
                     break
                 if stack[i][0] in ITEMS[tag]:
                     break
-        node = Node(tag, _attributes(m[4]) if m[4] else None, not articles)
+        node = Node(tag, _attributes(m[4]) if m[4] else None, not articles, mains > 0)
         stack[-1][1].content.append(node)
         if tag != "hr":
             stack.append((tag, node, False, False))
             articles += tag == "article"
+            mains += node.main
     if at < len(page) and not cut_off:
         put(re.split(r"<[a-zA-Z/!?]", page[at:], maxsplit=1)[0])
     for node in _walk(root):
@@ -446,6 +469,17 @@ def _measure(nodes: list[Node]) -> None:
         node.size, node.wraps = 0 if node.gone else size, wraps
 
 
+def _holds_prose(form: Node) -> bool:
+    todo = [form]
+    while todo:
+        for part in todo.pop().content:
+            if type(part) is Node:
+                if part.tag in PROSE and part.size:
+                    return True
+                todo.append(part)
+    return False
+
+
 def _settle(root: Node, nodes: list[Node]) -> None:
     """Decides what is doubtful: a form or a named node that wraps most of the page's text and parts
     of its layout, or the only articles there are, is no boilerplate."""
@@ -454,7 +488,7 @@ def _settle(root: Node, nodes: list[Node]) -> None:
     if not doubtful:
         return
     for node in doubtful:
-        if node.wraps and node.size >= DOMINANT * max(root.size, 1):
+        if node.size >= DOMINANT * max(root.size, 1) and (node.wraps or (node.tag in ("form", "fieldset") and _holds_prose(node))):
             node.doubtful = False
     # Articles by how many doubtful nodes are around them: the fewest count, and those nodes are wrappers.
     least, found, todo = None, [], [(root, ())]
@@ -522,7 +556,7 @@ def main_text(page: str, template: Tree | None = None, min_pages: int = MIN_PAGE
         return "\n".join(_blocks(root, constant))
     whole = [block for top in mains for block in _blocks(top, {})]
     slots = [block for top in mains for block in _blocks(top, constant)] if constant else whole
-    if sum(map(len, slots)) < (1 - MAX_TEMPLATE) * sum(map(len, whole)):
+    if len(slots) < MIN_OWN * len(whole):
         slots = whole
     return "\n".join(slots)
 
@@ -594,9 +628,15 @@ def induce(pages: DataFrame) -> DataFrame:
     alone = rows.join(known, rows["__digest"] == known["__copied"], "left_anti")
     copies = rows.join(known, rows["__digest"] == known["__copied"], "left_semi").mapInArrow(_distinct, schema)
     once = alone.unionByName(copies.repartition("__host", "__digest").mapInArrow(_distinct, schema))
-    partial = once.select("__host", "__html").mapInArrow(_induce, "host string, salt int, template string")
-    salted = partial.groupBy("host", "salt").applyInPandas(_fold_rows, "host string, template string")
-    return salted.groupBy("host").applyInPandas(_fold_rows, "host string, template string")
+    partial = once.select("__host", "__html").mapInArrow(_induce, "host string, salt int, template string").select("host", "template")
+    while True:
+        # A host's partial templates meet FAN at a time, in as many rounds as their number takes.
+        partial = written(partial, "partial")
+        most = partial.groupBy("host").count().agg(F.max("count")).first()[0] or 1
+        if most == 1:
+            return partial
+        salt = F.pmod(F.xxhash64("template"), F.lit(-(-most // FAN)))
+        partial = partial.withColumn("salt", salt).groupBy("host", "salt").applyInPandas(_fold_rows, "host string, template string")
 
 
 _known: dict[str, Tree] = {}

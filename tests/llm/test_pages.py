@@ -20,7 +20,12 @@ CASES = [
     ("<article><p>before</p><article><p>quoted</p></article><div class='ad'>buy</div><p>after</p></article>", "before\nquoted\nafter"),
     ("<nav>menu</nav><main><h1>Head</h1><p>lead</p><article><p>story</p></article></main>", "Head\nlead\nstory"),
     ("<form id='aspnetForm'><nav>m</nav><div><h1>T</h1><p>story text is here and long</p></div></form>", "T\nstory text is here and long"),
-    ("<article>text <button>go</button>more<svg><text>x</text></svg> <label>l</label>end</article>", "text more end"),
+    ("<article>text <button>go</button>more<svg><text>x</text></svg> <label>l</label> end</article>", "text more l end"),
+    ('<article><h2 id="search-results">Found</h2><section id="social-impact"><p>Impact</p></section><table class="data share"><tr><td>cell</table><p id="notice">Notice</p><p>last</p></article>', "Found\nImpact\ncell\nNotice\nlast"),
+    ('<article><p>a</p><div class="share">s</div><div class="notice">n</div><div id="comment-list">c</div><ul class="related-posts"><li>r</ul><p class="advert">b</p><div class="newsletter-signup">w</div><div class="ad-slot-12">x</div><p>z</p></article>', "a\nz"),
+    ("<article><p>The area is <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>tex</annotation></math> <object data='u'>square</object> units.</p></article>", "The area is x=2 square units."),
+    ("<form id='aspnetForm'><div><h1>T</h1><p>story text is here and long</p></div></form>", "T\nstory text is here and long"),
+    ("<form><label>Name</label><input><label>Password</label><button>go</button></form>", ""),
     ("<article>a<hr>b<br>c</article>", "a\nb c"),
     ("<article>x</article><article class='comment'>c</article>", "x"),
     ("<header><h1>Site</h1></header><article><header><h1>Story</h1></header><p>x</p><footer>by</footer></article>", "Story\nx"),
@@ -58,6 +63,19 @@ def test_constant_nodes_are_template_and_slots_content():
     assert main_text(near[2], _folded(near)) == "Story\nA long paragraph that all copies share\nv2"
 
 
+def test_short_articles_lose_what_all_pages_end_with():
+    pages = [f"<article><h1>Story {i}</h1><p>short {i}</p><p>Follow us for more stories every day of the week</p></article>" for i in range(20)]
+    assert main_text(pages[7], _folded(pages)) == "Story 7\nshort 7"
+
+
+def test_templates_of_a_host_are_folded_in_rounds(spark, monkeypatch):
+    pages = [(i, "http://one.example/p", f"<body><div><p>Read our magazine</p></div><div><p>story {i} goes on</p><p>end {i}</p></div>") for i in range(60)]
+    rows = spark.createDataFrame(pages, "page_id long, url string, html string").repartition(30)
+    monkeypatch.setattr(wrappers, "FAN", 3)
+    found = {r.page_id: r.text for r in wrappers.extract(rows).collect()}
+    assert found == {i: f"story {i} goes on\nend {i}" for i in range(60)}
+
+
 def test_deep_and_wide_pages_take_no_long_time():
     began = time.perf_counter()
     assert main_text("<div>" * 5000 + "<p>deep</p>" + "</div>" * 5000) == "deep"
