@@ -20,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from panelforge.llm.common import blocks_for, give_back
+from panelforge.llm.common import blocks_for, give_back, written
 
 SHINGLE, THRESHOLD, HASHES = 5, 0.8, 64
 #: Words: ASCII lower-cased runs of digits, letters and anything beyond ASCII.
 _WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 _UPPER = {c: c + 32 for c in range(65, 91)}
 #: Items compared at once; more items are taken block by block, each against all documents.
-ITEMS_PER_BLOCK = 50_000
+ITEMS_PER_BLOCK, BYTES_PER_BLOCK = 50_000, 16_000_000
 _SMALLEST = 8
 
 
@@ -255,16 +255,18 @@ def _without(shared, column: int):
     return run
 
 
-def _item_blocks(items: DataFrame, size: int, threshold: float, n_hashes: int) -> list:
-    """Broadcasts of the items, in blocks of bounded size."""
-    spark = items.sparkSession
+def _item_blocks(items: DataFrame, size: int, threshold: float, n_hashes: int) -> tuple[int, Iterator]:
+    """(number of blocks, the items in blocks of bounded rows and bytes): one block at the driver at a time."""
     i = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
-    blocks = blocks_for(i.count(), ITEMS_PER_BLOCK)
-    out = []
-    for block in range(blocks):
-        rows = [tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
-        out.append(spark.sparkContext.broadcast((uuid.uuid4().hex, rows, size, threshold, n_hashes)))
-    return out
+    amount = i.agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    blocks = max(blocks_for(amount["n"], ITEMS_PER_BLOCK), blocks_for(amount["bytes"], BYTES_PER_BLOCK))
+
+    def sent() -> Iterator:
+        for block in range(blocks):
+            rows = [tuple(r) for r in i.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()]
+            yield items.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, rows, size, threshold, n_hashes))
+
+    return blocks, sent()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, n_hashes: int = HASHES) -> DataFrame:
@@ -274,21 +276,33 @@ def contaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, thresho
     item of fewer words than a shingle is contained where its words stand in a row. Items without a
     word match nothing, and neither do null texts. Repeated rows give repeated matches; a null id is
     carried along; empty tables give no rows; other columns are ignored. Items go to the tasks in
-    blocks of bounded size, documents stay where they are: there is no shuffle.
+    blocks of bounded rows and bytes, one at a time, documents stay where they are: there is no shuffle.
     """
     d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     out = None
-    for sent in _item_blocks(items, size, threshold, n_hashes):
+    blocks, each = _item_blocks(items, size, threshold, n_hashes)
+    for sent in each:
         found = d.mapInArrow(_search(sent), "doc_id long, item_id long, n_shared long, n_item long")
+        if blocks > 1:
+            found = written(found, "contaminated")
+            sent.destroy()
         out = found if out is None else out.unionByName(found)
     return out.withColumn("containment", F.col("n_shared") / F.col("n_item"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, n_hashes: int = HASHES) -> DataFrame:
-    """docs without those that contain an item, all columns as they are; judged where they lie."""
+    """docs without those that contain an item, all columns as they are; judged where they lie.
+
+    Null texts stay, repeated rows go or stay together, an empty table gives no rows, and without items
+    all stay. Beyond one block of items what is left is written after each.
+    """
     out = docs
-    for sent in _item_blocks(items, size, threshold, n_hashes):
+    blocks, each = _item_blocks(items, size, threshold, n_hashes)
+    for sent in each:
         out = out.mapInArrow(_without(sent, docs.columns.index("text")), docs.schema)
+        if blocks > 1:
+            out = written(out, "decontaminated")
+            sent.destroy()
     return out
 
 

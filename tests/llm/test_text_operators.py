@@ -358,3 +358,14 @@ def test_values_at_the_edges(spark, docs):
     assert by(language_id.identify(docs, language_id.fit(docs.limit(0))), "lang_pred", "score") == {("und", 0.0)}
     flat = toxicity.toxicity(docs, toxicity.fit(docs, spark.createDataFrame([], "doc_id long, toxic int")))
     assert len(by(flat, "score", "predicted")) == 1 and by(flat, "predicted") == {(0,)}
+
+
+def test_item_blocks_change_nothing(spark, small, sf_dir, monkeypatch):
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    whole = sorted(map(tuple, decontaminate.contaminated(small, items).collect()))
+    kept = sorted(r.doc_id for r in decontaminate.decontaminated(small, items).collect())
+    assert whole and len(kept) < small.count()
+    for name, size in (("ITEMS_PER_BLOCK", -(-items.count() // 3)), ("BYTES_PER_BLOCK", 20_000)):
+        monkeypatch.setattr(decontaminate, name, size)
+        assert sorted(map(tuple, decontaminate.contaminated(small, items).collect())) == whole
+        assert sorted(r.doc_id for r in decontaminate.decontaminated(small, items).collect()) == kept
