@@ -31,7 +31,7 @@ def test_walk_forward_emits_the_signals_of_the_chosen_factor(obs):
 
 
 def test_codes_name_what_is_wrong(spark, obs):
-    rows = {r.factor_id: r for r in scores.diagnostic_codes(obs=obs.where("instrument < 7")).collect()}
+    rows = {r.factor_id: r for r in scores.diagnostic_codes(obs=obs.where("instrument < 7"), turnover=0.2).collect()}
     assert all("EXCESS_TURNOVER" in r.codes for r in rows.values())
     steady = spark.createDataFrame([(i, s, "x", 1, i + s / 1000, 0.01 * i * (1 if s % 2 else -0.5)) for s in range(40) for i in range(10)], "instrument long, sx long, factor_id string, horizon long, v double, fwd double")
     row = scores.diagnostic_codes(obs=steady.selectExpr("*", "date_add(DATE '2020-01-01', CAST(sx AS INT)) AS session")).first()
