@@ -38,6 +38,9 @@ def deflated_sharpe(inputs: DataFrame) -> DataFrame:
 #: Fixed values of the shuffle: a prime, and what the parts of its seed are multiplied by.
 PRIME, BY_NAME, BY_REP, BY_SESSION, BY_METHOD, BY_SEED = 2147483647, 48271, 69621, 16807, 7919, 104729
 
+#: Bits that a name's place in its cross-section may take.
+PLACE_BITS = 24
+
 
 def shuffled_ics(sections: DataFrame, reps: int = 199, seed: int = 7) -> DataFrame:
     """(factor_id, horizon, session, method, rep, ic): RankICs of cross-sections with one side shuffled.
@@ -49,16 +52,21 @@ def shuffled_ics(sections: DataFrame, reps: int = 199, seed: int = 7) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rep = np.arange(1, reps + 1, dtype=np.int64)[:, None]
         for batch in batches:
-            for row in batch.to_pylist():
-                names, rv, rf = np.array(row["names"], np.int64), np.array(row["rv"]), np.array(row["rf"])
+            sides = {c: batch.column(c) for c in ("names", "rv", "rf")}
+            flat = {c: x.values.to_numpy(zero_copy_only=False) for c, x in sides.items()}
+            cuts, sx = {c: x.offsets.to_numpy() for c, x in sides.items()}, batch.column("sx").to_pylist()
+            for i in range(batch.num_rows):
+                names, rv, rf = (flat[c][cuts[c][i] : cuts[c][i + 1]] for c in sides)
+                if len(names) >> PLACE_BITS:
+                    raise ValueError(f"a cross-section of {len(names)} names is too large to be shuffled in one row")
                 place, spread = np.arange(len(names)), math.sqrt(rv.var() * rf.var())
                 for method, still, moved in ((0, rv, rf), (1, rf, rv)):
-                    first = (names * BY_NAME + rep * BY_REP + row["sx"] * BY_SESSION + method * BY_METHOD + seed * BY_SEED) % PRIME
+                    first = (names * BY_NAME + rep * BY_REP + sx[i] * BY_SESSION + method * BY_METHOD + seed * BY_SEED) % PRIME
                     second = first * first % PRIME + rep
                     # The place stands in the low bits: one sort gives the order, ties by name.
-                    order = np.sort((second * second % PRIME) << 24 | place, axis=1) & 0xFFFFFF
+                    order = np.sort((second * second % PRIME) << PLACE_BITS | place, axis=1) & ((1 << PLACE_BITS) - 1)
                     ic = (moved[order] @ still / len(names) - rv.mean() * rf.mean()) / spread if spread else np.full(reps, np.nan)
-                    keys = [pa.array([row[c]] * reps, batch.schema.field(c).type) for c in ("factor_id", "horizon", "session")]
+                    keys = [pa.repeat(batch.column(c)[i], reps) for c in ("factor_id", "horizon", "session")]
                     yield pa.RecordBatch.from_arrays([*keys, pa.array([method] * reps, pa.int32()), pa.array(rep[:, 0].astype(np.int32)), pa.array(ic, from_pandas=True)], names=["factor_id", "horizon", "session", "method", "rep", "ic"])
 
     kinds = dict(sections.dtypes)

@@ -184,7 +184,7 @@ SELECT count(*) AS splits, max(n) AS configs, (SELECT count(DISTINCT config) FRO
 
 
 STAGES = fold_stages()
-ROLES, SCORES = STAGES["roles"], STAGES["scores"]
+ROLES = STAGES["roles"]
 CANDIDATES = OBS | {"cands": "cands"}
 
 #: What a fold fits for each factor.
@@ -226,9 +226,14 @@ SELECT v.fold, v.factor_id, v.horizon, role, count(*) AS cells, {r6(f'avg({z})')
 FROM v JOIN m ON {on('m', 'v')} GROUP BY v.fold, v.factor_id, v.horizon, role"""
 
 
-@operator("j6_cpcv_scores", OBS, SCORES)
+def plain_scores_text(d: Dialect) -> str:
+    """scores_text without stages: it names its tables once."""
+    return scores_text(d).replace("{daily}", f"({daily_text(d)})").replace("{roles}", f"({role_text(d)})")
+
+
+@operator("j6_cpcv_scores", OBS)
 def cpcv_scores(d: Dialect) -> str:
-    return f"SELECT factor_id, horizon, fold, role, days, {r6('score')} AS score FROM {{scores}}"
+    return f"SELECT factor_id, horizon, fold, role, days, {r6('score')} AS score FROM ({plain_scores_text(d)}) AS s"
 
 
 @operator("j7_fit_weights", CANDIDATES, STAGES["weights"])
@@ -259,11 +264,11 @@ SELECT CAST(sum(splits) AS BIGINT) AS splits, CAST(max(configs) AS BIGINT) AS co
   {r6('sum(lost) / CAST(sum(splits) AS DOUBLE)')} AS pbo, {r6('sum(logits) / sum(splits)')} AS mean_logit FROM {{splits}}"""
 
 
-@operator("j9_pbo_folds", OBS, SCORES)
+@operator("j9_pbo_folds", OBS)
 def pbo_folds(d: Dialect) -> str:
     """The train winner of every fold and horizon and its rank on that fold's test sessions."""
     return f"""
-WITH w AS (SELECT fold, horizon, factor_id, max(CASE WHEN role = 'train' THEN score END) AS a, max(CASE WHEN role = 'test' THEN score END) AS b FROM {{scores}} GROUP BY fold, horizon, factor_id),
+WITH w AS (SELECT fold, horizon, factor_id, max(CASE WHEN role = 'train' THEN score END) AS a, max(CASE WHEN role = 'test' THEN score END) AS b FROM ({plain_scores_text(d)}) AS s GROUP BY fold, horizon, factor_id),
 k AS (SELECT *, row_number() OVER (PARTITION BY fold, horizon ORDER BY round(a, 9) DESC, factor_id DESC) AS place, {avg_rank('b', 'fold, horizon')} AS r, count(*) OVER (PARTITION BY fold, horizon) AS n FROM w WHERE a IS NOT NULL AND b IS NOT NULL)
 SELECT fold, horizon, factor_id AS winner, {r6('r / (n + 1)')} AS relative_rank, {r6('ln((r / (n + 1)) / (1 - r / (n + 1)))')} AS logit FROM k WHERE place = 1"""
 
