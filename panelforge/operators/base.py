@@ -75,6 +75,13 @@ class Dialect:
         """An array of expressions."""
         return f"array({', '.join(items)})" if self.name == "spark" else f"[{', '.join(items)}]"
 
+    def shared(self, a: str, b: str) -> str:
+        """How many items two arrays of different items share."""
+        return f"size(array_intersect({a}, {b}))" if self.name == "spark" else f"len(list_intersect({a}, {b}))"
+
+    def length(self, x: str) -> str:
+        return f"size({x})" if self.name == "spark" else f"len({x})"
+
     def doubles(self, items: tuple) -> str:
         return self.array([f"{float(x)!r}e0" for x in items]).replace("'", "")
 

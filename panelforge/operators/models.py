@@ -72,3 +72,54 @@ def shuffled_ics(sections: DataFrame, reps: int = 199, seed: int = 7) -> DataFra
     kinds = dict(sections.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("factor_id", "horizon", "session")) + ", method int, rep int, ic double"
     return sections.mapInArrow(run, schema)
+
+
+def marginal_sections(sections: DataFrame, roles: DataFrame, betas: DataFrame, fraction: float = 0.2, added: float = 0.5) -> DataFrame:
+    """Figures of a candidate's residual on every fold's test sessions: a row for each fold and session.
+
+    A section is one row with its names in order, the reference x, the candidate y and the returns. Its
+    residual under each fold that tests the session is one line of a matrix; sums for correlations, the
+    long and long-short returns of the reference and of both together, and the names held come out. What
+    the tasks get beside the rows are the folds' regressions and which sessions they test.
+    """
+    tested: dict[int, list[int]] = {}
+    for r in roles.where("role = 'test'").select("fold", "sx").collect():
+        tested.setdefault(r.sx, []).append(r.fold)
+    fits = {(r.fold, r.factor_id, r.horizon): (r.beta, r.mx, r.my) for r in betas.collect()}
+    sums = ("se", "sf", "sx1", "see", "sff", "sxx", "sef", "sxf")
+    names = ["fold", "factor_id", "horizon", "session", "n", *sums, "ret_ref", "ret_aug", "ls_ref", "ls_aug", "held_ref", "held_aug"]
+
+    def standard(v: np.ndarray) -> np.ndarray:
+        spread = v.std(axis=-1, keepdims=True)
+        return np.divide(v - v.mean(axis=-1, keepdims=True), spread, out=np.zeros_like(v), where=spread > 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cuts = batch.column("names").offsets.to_numpy()
+            flat = {c: batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("names", "x", "y", "fwd")}
+            keys = zip(*[batch.column(c).to_pylist() for c in ("factor_id", "horizon", "session", "sx")], strict=True)
+            rows: list[tuple] = []
+            for i, (factor, horizon, session, sx) in enumerate(keys):
+                ids, x, y, fwd = (flat[c][cuts[i] : cuts[i + 1]] for c in ("names", "x", "y", "fwd"))
+                folds = [f for f in sorted(tested.get(sx, ())) if (f, factor, horizon) in fits]
+                if not folds:
+                    continue
+                beta, mx, my = (np.array(c)[:, None] for c in zip(*[fits[f, factor, horizon] for f in folds], strict=True))
+                e = y - my - beta * (x - mx)
+                both = np.round(standard(x) + added * standard(e), 9)
+                count = max(1, math.ceil(len(ids) * fraction))
+                by_reference = np.lexsort((ids, x))
+                for k, fold in enumerate(folds):
+                    orders = by_reference, np.lexsort((ids, both[k]))
+                    tops, ends = [o[-count:] for o in orders], [o[:count] for o in orders]
+                    long = [fwd[t].mean() for t in tops]
+                    spread = [a - fwd[b].mean() for a, b in zip(long, ends, strict=True)]
+                    figures = e[k].sum(), fwd.sum(), x.sum(), e[k] @ e[k], fwd @ fwd, x @ x, e[k] @ fwd, x @ fwd
+                    rows.append((fold, factor, horizon, session, len(ids), *map(float, figures), *map(float, long), *map(float, spread), *[ids[t].tolist() for t in tops]))
+            if rows:
+                kinds = [pa.int64(), *[batch.schema.field(c).type for c in ("factor_id", "horizon", "session")], pa.int64(), *[pa.float64()] * (len(sums) + 4), *[pa.list_(pa.int64())] * 2]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    kinds = dict(sections.dtypes)
+    schema = "fold long, " + ", ".join(f"{c} {kinds[c]}" for c in ("factor_id", "horizon", "session")) + ", n long, " + ", ".join(f"{c} double" for c in (*sums, "ret_ref", "ret_aug", "ls_ref", "ls_aug")) + ", held_ref array<long>, held_aug array<long>"
+    return sections.mapInArrow(run, schema)

@@ -402,41 +402,95 @@ SELECT o.factor_id, o.horizon, session, instrument, {r6('(least(greatest(v, lo),
 FROM {{obs}} AS o JOIN {{centre}} AS q ON {on('q')} JOIN {{spread}} AS m ON {on('m')} WHERE sx > {SPLIT}"""
 
 
-@operator("j18_marginal", OBS, ROLES)
-def marginal(d: Dialect, reference: str = "rev5", fraction: float = 0.2, blend: float = 0.5, cost: float = 0.001, complexity: float = 0.0) -> str:
+#: The registered reference factor, its share of names that are held, and the weight of what a candidate adds.
+REFERENCE, FRACTION, ADDED = "rev5", 0.2, 0.5
+
+
+def beside_text(d: Dialect) -> str:
+    """Every candidate's value y beside the reference's x."""
+    return f"""
+SELECT a.factor_id, a.horizon, a.session, a.sx, a.instrument, a.v AS y, b.v AS x, a.fwd
+FROM {{obs}} AS a JOIN {{obs}} AS b ON b.horizon = a.horizon AND b.session = a.session AND b.instrument = a.instrument WHERE a.factor_id <> '{REFERENCE}' AND b.factor_id = '{REFERENCE}'"""
+
+
+def betas_text(d: Dialect) -> str:
+    """The regression of y on x on every fold's train sessions, from one row of sums per session."""
+    return """
+SELECT fold, factor_id, horizon, n, CASE WHEN sxx - sx1 * sx1 / n > 0 THEN (sxy - sx1 * sy / n) / (sxx - sx1 * sx1 / n) ELSE 0e0 END AS beta, sx1 / n AS mx, sy / n AS my FROM (
+  SELECT r.fold, s.factor_id, s.horizon, CAST(sum(s.n) AS DOUBLE) AS n, sum(s.sx1) AS sx1, sum(s.sy) AS sy, sum(s.sxx) AS sxx, sum(s.sxy) AS sxy
+  FROM (SELECT factor_id, horizon, sx, count(*) AS n, sum(x) AS sx1, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM {beside} AS w GROUP BY factor_id, horizon, sx) AS s
+  JOIN {roles} AS r ON r.sx = s.sx WHERE r.role = 'train' GROUP BY r.fold, s.factor_id, s.horizon) AS t"""
+
+
+def packed_text(d: Dialect) -> str:
+    """One row for each candidate, horizon and session: its names in order with both values and the return."""
+    return "SELECT factor_id, horizon, session, sx, transform(z, c -> c.instrument) AS names, transform(z, c -> c.x) AS x, transform(z, c -> c.y) AS y, transform(z, c -> c.fwd) AS fwd FROM (SELECT factor_id, horizon, session, sx, array_sort(collect_list(struct(instrument, x, y, fwd))) AS z FROM {beside} AS w GROUP BY factor_id, horizon, session, sx) AS g"
+
+
+def sections_by_name_text(d: Dialect) -> str:
+    """The same figures with a row for each name and fold."""
+    part = "fold, factor_id, horizon, session"
+    z = lambda x: f"coalesce(({x} - avg({x}) OVER (PARTITION BY {part})) / nullif(stddev_pop({x}) OVER (PARTITION BY {part}), 0), 0)"
+    long = lambda k: f"avg(CASE WHEN {k} <= c THEN fwd END)"
+    short = lambda k: f"avg(CASE WHEN {k} > n - c THEN fwd END)"
+    return f"""
+WITH e AS (
+  SELECT m.fold, w.factor_id, w.horizon, w.session, w.instrument, w.x, w.fwd, w.y - m.my - m.beta * (w.x - m.mx) AS e
+  FROM {{beside}} AS w JOIN {{roles}} AS r ON r.sx = w.sx AND r.role = 'test' JOIN {{betas}} AS m ON m.fold = r.fold AND m.factor_id = w.factor_id AND m.horizon = w.horizon),
+a AS (SELECT *, round({z('x')} + {ADDED}e0 * {z('e')}, 9) AS augmented FROM e),
+p AS (
+  SELECT *, count(*) OVER (PARTITION BY {part}) AS n, greatest(1, ceil(count(*) OVER (PARTITION BY {part}) * {FRACTION}e0)) AS c,
+    row_number() OVER (PARTITION BY {part} ORDER BY x DESC, instrument DESC) AS k_ref, row_number() OVER (PARTITION BY {part} ORDER BY augmented DESC, instrument DESC) AS k_aug FROM a)
+SELECT {part}, any_value(n) AS n, sum(e) AS se, sum(fwd) AS sf, sum(x) AS sx1, sum(e * e) AS see, sum(fwd * fwd) AS sff, sum(x * x) AS sxx, sum(e * fwd) AS sef, sum(x * fwd) AS sxf,
+  {long('k_ref')} AS ret_ref, {long('k_aug')} AS ret_aug, {long('k_ref')} - {short('k_ref')} AS ls_ref, {long('k_aug')} - {short('k_aug')} AS ls_aug,
+  list(instrument) FILTER (k_ref <= c) AS held_ref, list(instrument) FILTER (k_aug <= c) AS held_aug
+FROM p GROUP BY {part}"""
+
+
+MARGINAL = ROLES | {
+    "beside": beside_text,
+    "betas": betas_text,
+    "sections": Stage(packed_text, functools.partial(models.marginal_sections, fraction=FRACTION, added=ADDED), sections_by_name_text, ("roles", "betas")),
+}
+
+
+@operator("j18_marginal", OBS, MARGINAL)
+def marginal(d: Dialect, cost: float = 0.001, complexity: float = 0.0) -> str:
     """What a candidate adds to a reference factor, fold by fold.
 
     Each fold's train sessions give the regression of the candidate on the reference (from one row of
-    sums per session); on its test sessions the residual is scored, and the long portfolio of the
-    reference is held against one of reference and residual together: Sharpe, turnover, drawdown and
-    tail, and the utility they make.
+    sums per session); on its test sessions the residual is scored, and portfolios of the reference are
+    held against those of reference and residual together, long and long-short: Sharpe, turnover,
+    drawdown and tail, and the utility of the long ones. A test session of a candidate is one row with
+    its names, ranked inside it for all folds that test it.
     """
-    part = "fold, factor_id, horizon, session"
-    z = lambda x: f"coalesce(({x} - avg({x}) OVER (PARTITION BY {part})) / nullif(stddev_pop({x}) OVER (PARTITION BY {part}), 0), 0)"
     key = "fold, factor_id, horizon, kind"
+    kinds = {"reference": ("ret_ref", "held_ref"), "augmented": ("ret_aug", "held_aug"), "reference_ls": ("ls_ref", "held_ref"), "augmented_ls": ("ls_aug", "held_aug")}
+    rows = " UNION ALL ".join(f"SELECT s.fold, s.factor_id, s.horizon, '{k}' AS kind, t.i, {ret} AS ret, {held} AS held FROM {{sections}} AS s JOIN days AS t ON t.fold = s.fold AND t.session = s.session" for k, (ret, held) in kinds.items())
+    running = f"OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    delta = lambda x, tail: f"max(CASE kind WHEN 'augmented{tail}' THEN {x} END) - max(CASE kind WHEN 'reference{tail}' THEN {x} END)"
+    corr = lambda a: f"(n * s{a}f - s{a}{'1' if a == 'x' else ''} * sf) / nullif(sqrt((n * s{a}{a} - s{a}{'1' if a == 'x' else ''} * s{a}{'1' if a == 'x' else ''}) * (n * sff - sf * sf)), 0)"
+    sums = ", ".join(f"sum({c}) AS {c}" for c in ("se", "sf", "sx1", "see", "sff", "sxx", "sef", "sxf"))
     return f"""
-WITH r AS (SELECT * FROM {{roles}}),
-w AS (SELECT a.factor_id, a.horizon, a.session, a.sx, a.instrument, a.v AS y, b.v AS x, a.fwd FROM {{obs}} AS a JOIN {{obs}} AS b ON b.horizon = a.horizon AND b.session = a.session AND b.instrument = a.instrument WHERE a.factor_id <> '{reference}' AND b.factor_id = '{reference}'),
-sums AS (SELECT factor_id, horizon, sx, count(*) AS n, sum(x) AS sx1, sum(y) AS sy, sum(x * x) AS sxx, sum(x * y) AS sxy FROM w GROUP BY factor_id, horizon, sx),
-m AS (SELECT fold, factor_id, horizon, n, CASE WHEN sxx - sx1 * sx1 / n > 0 THEN (sxy - sx1 * sy / n) / (sxx - sx1 * sx1 / n) ELSE 0e0 END AS beta, sx1 / n AS mx, sy / n AS my FROM (
-  SELECT r.fold, s.factor_id, s.horizon, CAST(sum(s.n) AS DOUBLE) AS n, sum(s.sx1) AS sx1, sum(s.sy) AS sy, sum(s.sxx) AS sxx, sum(s.sxy) AS sxy FROM sums AS s JOIN r ON r.sx = s.sx WHERE r.role = 'train' GROUP BY r.fold, s.factor_id, s.horizon) AS t),
-e AS (SELECT m.fold, w.factor_id, w.horizon, w.session, w.instrument, w.x, w.fwd, w.y - m.my - m.beta * (w.x - m.mx) AS e FROM w JOIN r ON r.sx = w.sx AND r.role = 'test' JOIN m ON m.fold = r.fold AND m.factor_id = w.factor_id AND m.horizon = w.horizon),
-a AS (SELECT *, round({z('x')} + {blend}e0 * {z('e')}, 9) AS augmented FROM e),
-p AS (SELECT *, count(*) OVER (PARTITION BY {part}) AS n, row_number() OVER (PARTITION BY {part} ORDER BY x DESC, instrument DESC) AS k_ref, row_number() OVER (PARTITION BY {part} ORDER BY augmented DESC, instrument DESC) AS k_aug FROM a),
-days AS (SELECT fold, session, row_number() OVER (PARTITION BY fold ORDER BY session) AS i FROM (SELECT DISTINCT fold, session FROM e) AS x),
-h AS (SELECT p.fold, p.factor_id, p.horizon, kind, p.session, days.i, p.instrument, p.fwd FROM p JOIN days ON days.fold = p.fold AND days.session = p.session {d.explode(d.array(['reference', 'augmented']), 'kind')} WHERE CASE kind WHEN 'reference' THEN k_ref ELSE k_aug END <= greatest(1, ceil(n * {fraction}e0))),
-o AS (SELECT *, CASE WHEN lag(i, 1) OVER (PARTITION BY {key}, instrument ORDER BY i) = i - 1 THEN 1 ELSE 0 END AS again FROM h),
-day AS (SELECT {key}, session, i, avg(fwd) AS ret, count(*) AS c, sum(again) AS shared FROM o GROUP BY {key}, session, i),
-dt AS (SELECT *, CASE WHEN lag(i, 1) OVER (PARTITION BY {key} ORDER BY i) = i - 1 THEN 1 - shared / CAST(c + lag(c, 1) OVER (PARTITION BY {key} ORDER BY i) - shared AS DOUBLE) END AS turn FROM day),
+WITH days AS (SELECT fold, session, row_number() OVER (PARTITION BY fold ORDER BY session) AS i FROM (SELECT DISTINCT fold, session FROM {{sections}}) AS x),
+o AS (SELECT {key}, i, ret, held, lag(i, 1) OVER (PARTITION BY {key} ORDER BY i) AS i_before, lag(held, 1) OVER (PARTITION BY {key} ORDER BY i) AS held_before FROM ({rows}) AS h),
+dt AS (SELECT {key}, i, ret, CASE WHEN i_before = i - 1 THEN 1 - {d.shared('held', 'held_before')} / CAST({d.length('held')} + {d.length('held_before')} - {d.shared('held', 'held_before')} AS DOUBLE) END AS turn FROM o),
 net AS (SELECT *, ret - {cost}e0 * coalesce(avg(turn) OVER (PARTITION BY {key}), 0) AS net FROM dt),
-wealth AS (SELECT *, exp(sum(ln(greatest(1 + net, 0.01e0))) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS wealth, row_number() OVER (PARTITION BY {key} ORDER BY net, i) AS worst, count(*) OVER (PARTITION BY {key}) AS n_days FROM net),
-peaks AS (SELECT *, wealth / greatest(1e0, max(wealth) OVER (PARTITION BY {key} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) - 1 AS fall FROM wealth),
-pm AS (SELECT {key}, coalesce(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252e0), 0e0) AS sharpe, coalesce(avg(turn), 0e0) AS turnover, least(0e0, min(fall)) AS drawdown, max(CASE WHEN worst = greatest(1, ceil(n_days * 0.05e0)) THEN net END) AS tail FROM peaks GROUP BY {key}),
-dl AS (SELECT fold, factor_id, horizon, max(CASE kind WHEN 'augmented' THEN sharpe END) - max(CASE kind WHEN 'reference' THEN sharpe END) AS d_sharpe, max(CASE kind WHEN 'augmented' THEN turnover END) - max(CASE kind WHEN 'reference' THEN turnover END) AS d_turnover, max(CASE kind WHEN 'augmented' THEN drawdown END) - max(CASE kind WHEN 'reference' THEN drawdown END) AS d_drawdown, max(CASE kind WHEN 'augmented' THEN tail END) - max(CASE kind WHEN 'reference' THEN tail END) AS d_tail FROM pm GROUP BY fold, factor_id, horizon),
-ri AS (SELECT fold, factor_id, horizon, corr(e, fwd) AS residual_ic, corr(x, fwd) AS reference_ic FROM e GROUP BY fold, factor_id, horizon)
+wealth AS (SELECT *, exp(sum(ln(greatest(1 + net, 0.01e0))) {running}) AS wealth, row_number() OVER (PARTITION BY {key} ORDER BY net, i) AS worst, count(*) OVER (PARTITION BY {key}) AS n_days FROM net),
+peaks AS (SELECT *, wealth / greatest(1e0, max(wealth) {running}) - 1 AS fall FROM wealth),
+pm AS (
+  SELECT {key}, coalesce(avg(net) / nullif(stddev_samp(net), 0) * sqrt(252e0), 0e0) AS sharpe, coalesce(avg(turn), 0e0) AS turnover, least(0e0, min(fall)) AS drawdown, max(CASE WHEN worst = greatest(1, ceil(n_days * 0.05e0)) THEN net END) AS tail
+  FROM peaks GROUP BY {key}),
+dl AS (
+  SELECT fold, factor_id, horizon, {delta('sharpe', '')} AS d_sharpe, {delta('turnover', '')} AS d_turnover, {delta('drawdown', '')} AS d_drawdown, {delta('tail', '')} AS d_tail,
+    {delta('sharpe', '_ls')} AS ls_sharpe, {delta('drawdown', '_ls')} AS ls_drawdown, {delta('tail', '_ls')} AS ls_tail FROM pm GROUP BY fold, factor_id, horizon),
+ri AS (
+  SELECT fold, factor_id, horizon, {corr('e')} AS residual_ic, {corr('x')} AS reference_ic FROM (
+    SELECT fold, factor_id, horizon, CAST(sum(n) AS DOUBLE) AS n, {sums} FROM {{sections}} GROUP BY fold, factor_id, horizon) AS q)
 SELECT dl.fold, dl.factor_id, dl.horizon, {r6('m.beta')} AS beta, {r6('ri.reference_ic')} AS reference_ic, {r6('ri.residual_ic')} AS residual_ic, {r6('d_sharpe')} AS delta_sharpe, {r6('d_turnover')} AS delta_turnover, {r6('d_drawdown')} AS drawdown_improvement, {r6('d_tail')} AS delta_tail,
+  {r6('ls_sharpe')} AS delta_ls_sharpe, {r6('ls_drawdown')} AS ls_drawdown_improvement, {r6('ls_tail')} AS delta_ls_tail,
   {r6(f'd_sharpe + 2 * ri.residual_ic + d_drawdown + d_tail - greatest(d_turnover, 0) - {complexity}e0')} AS utility
-FROM dl JOIN ri ON ri.fold = dl.fold AND ri.factor_id = dl.factor_id AND ri.horizon = dl.horizon JOIN m ON m.fold = dl.fold AND m.factor_id = dl.factor_id AND m.horizon = dl.horizon"""
+FROM dl JOIN ri ON ri.fold = dl.fold AND ri.factor_id = dl.factor_id AND ri.horizon = dl.horizon JOIN {{betas}} AS m ON m.fold = dl.fold AND m.factor_id = dl.factor_id AND m.horizon = dl.horizon"""
 
 
 #: Tags of the panel's factors, for the overlap of what they mean.
