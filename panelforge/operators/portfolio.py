@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from panelforge.operators.base import Dialect, operator
 from panelforge.operators.scores import REDUNDANCY
-from panelforge.operators.sqlkit import DAILY, XS, ordinal, r6, size
+from panelforge.operators.sqlkit import DAILY, XS, ordinal, r6, size, states_text
 from panelforge.operators.xs import bucket_text, winsor_z_text
 
 OBS, EV = {"obs": "obs"}, {"ev": "ev"}
@@ -32,19 +32,6 @@ COST = 0.002
 EVENT_KEYS = "factor_id, horizon, b, nav, part"
 
 
-def states_text() -> str:
-    """The regime of every session of {obs}: that of the interval between two changes of state it lies in.
-
-    {regimes} has (session, regime), each known by its session; sessions without a row carry the state on.
-    """
-    return """
-SELECT s.session, i.regime FROM (SELECT DISTINCT session FROM {obs}) AS s
-JOIN (
-  SELECT since, regime, lead(since, 1) OVER (ORDER BY since) AS until FROM (
-    SELECT session AS since, regime, lag(regime, 1) OVER (ORDER BY session) AS regime_before FROM {regimes}) AS r WHERE regime_before IS NULL OR regime_before <> regime) AS i
-  ON s.session >= i.since AND (i.until IS NULL OR s.session < i.until)"""
-
-
 def money(x: str, places: int = 2) -> str:
     """Sums of millionths as amounts, half up: whole numbers, so that no order of summing changes them."""
     unit = 10 ** (6 - places)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 
 from panelforge.operators import order
 from panelforge.operators.base import Dialect, Stage, operator
-from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, ordinal, performance, r6, size, unit
+from panelforge.operators.sqlkit import DAILY, RETURNS, XS, avg_rank, ordinal, performance, r6, size, states_text, unit
 from panelforge.operators.xs import bucket_text
 
 OBS = {"obs": "obs"}
@@ -309,6 +309,29 @@ SELECT factor_id, CAST(b AS BIGINT) AS breadth, {r6('median_sharpe')} AS median_
   concat_ws('+', CASE WHEN positive_share < {robust}e0 THEN 'subwindow_sign_instability' END, CASE WHEN coalesce(worst_sharpe, -1) <= 0 THEN 'negative_worst_subwindow' END, CASE WHEN neighbours < {robust}e0 THEN 'breadth_fragility' END) AS reasons FROM e"""
 
 
+@operator("h20_regime_increment", OBS | {"regimes": "regimes"})
+def regime_increment(d: Dialect, c: int = 4, breadths: tuple = (5, 10, 20), required: float = 0.0, penalty: float = 0.05) -> str:
+    """What trading a candidate in one regime only adds to trading it always.
+
+    Outside of its regime a candidate is flat. The objective is the median Sharpe of chronological
+    segments, less a penalty for the condition; the condition is proven if that gains more than required
+    and the worst segment gets better.
+    """
+    part = "factor_id, b, regime"
+    return f"""
+WITH top AS ({_top_text(breadths, d)}), st AS ({states_text()}),
+r AS (
+  SELECT factor_id, b, session, 'all' AS regime, ret FROM top
+  UNION ALL SELECT top.factor_id, top.b, top.session, g.regime, CASE WHEN st.regime = g.regime THEN ret ELSE 0e0 END FROM top CROSS JOIN (SELECT DISTINCT regime FROM {{regimes}}) AS g LEFT JOIN st ON st.session = top.session),
+s AS (SELECT {part}, ret, CAST(floor((i * {c} - 1) / CAST(n AS DOUBLE)) AS BIGINT) AS segment FROM (SELECT *, row_number() OVER (PARTITION BY {part} ORDER BY session) AS i, count(*) OVER (PARTITION BY {part}) AS n FROM r) AS a),
+m AS (
+  SELECT {part}, {d.percentile('sharpe', 0.5)} AS objective, min(sharpe) AS worst FROM (
+    SELECT {part}, segment, coalesce(avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(252), 0) AS sharpe FROM s GROUP BY {part}, segment) AS g GROUP BY {part})
+SELECT m.factor_id, CAST(m.b AS BIGINT) AS breadth, m.regime, {r6('m.objective - ' + str(penalty) + 'e0')} AS objective, {r6('m.objective - u.objective')} AS increment, {r6('m.worst')} AS worst_sharpe,
+  CASE WHEN m.objective - u.objective < {required}e0 OR m.worst <= u.worst THEN 'regime_increment_not_proven' ELSE '' END AS reasons
+FROM m JOIN m AS u ON u.factor_id = m.factor_id AND u.b = m.b AND u.regime = 'all' WHERE m.regime <> 'all'"""
+
+
 _INDEX = "SELECT session, sx, level, level / lag(level, 1) OVER (ORDER BY sx) - 1 AS bench FROM (SELECT session, sx, avg(close) AS level FROM {bars} GROUP BY session, sx) AS i"
 
 

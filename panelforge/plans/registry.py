@@ -14,7 +14,7 @@ from panelforge.sources import panels
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules whose import registers operators.
-MODULES = ["panelforge.functions.factors", "panelforge.operators.xs", "panelforge.operators.scores", "panelforge.operators.panel", "panelforge.operators.validation", "panelforge.operators.risk", "panelforge.operators.portfolio"]
+MODULES = ["panelforge.functions.factors", "panelforge.functions.fields", "panelforge.operators.xs", "panelforge.operators.scores", "panelforge.operators.panel", "panelforge.operators.validation", "panelforge.operators.risk", "panelforge.operators.portfolio"]
 for module in MODULES:
     importlib.import_module(module)
 

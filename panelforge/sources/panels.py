@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from panelforge.functions.factors import FIELDS
 from panelforge.operators import base
 from panelforge.operators.base import Dialect, run
 from panelforge.operators.panel import GENESIS, REGIME
@@ -142,6 +143,19 @@ f AS (
 SELECT * FROM f WHERE v IS NOT NULL AND fwd IS NOT NULL AND adv IS NOT NULL"""
 
 
+def store_text(orders: str, customer: str) -> str:
+    """Twenty-four different weekly series by nation, from orders by priority and status, as a long store:
+    a third of the fields is known on Monday morning, a third on Tuesday, a third a week later."""
+    named = "CASE k " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(FIELDS)) + " END"
+    status = "CASE o_orderstatus WHEN 'F' THEN 0 WHEN 'O' THEN 1 ELSE 2 END"
+    week = "CAST(date_trunc('week', o_orderdate) AS DATE)"
+    return f"""
+SELECT instrument, session, {named} AS field, CAST(session AS TIMESTAMP) + CASE k % 3 WHEN 0 THEN INTERVAL 9 HOUR WHEN 1 THEN INTERVAL 30 HOUR ELSE INTERVAL 192 HOUR END AS available_at, value FROM (
+  SELECT instrument, session, (p - 1) * 3 + s AS k, round(amount, 2) AS value FROM ({{0}}) AS a UNION ALL SELECT instrument, session, 15 + (p - 1) * 3 + s, CAST(n AS DOUBLE) FROM ({{0}}) AS b WHERE p <= 3) AS c""".replace(
+        "{0}", f"SELECT CAST(c_nationkey AS BIGINT) AS instrument, {week} AS session, CAST(left(o_orderpriority, 1) AS INT) AS p, {status} AS s, sum(o_totalprice) AS amount, count(*) AS n FROM {orders} JOIN {customer} ON c_custkey = o_custkey GROUP BY 1, 2, 3, 4"
+    )
+
+
 def candidates_text(d: Dialect) -> str:
     """Every set of one to three factors under each scheme that fits it, a row for each factor."""
     fac = "SELECT DISTINCT factor_id AS f FROM {obs}"
@@ -192,6 +206,7 @@ UNION ALL SELECT e.*, c.entry_hash, sha256(concat(e.seq, '|', c.entry_hash, '|',
     "obs": observations_text(base.DUCK).replace("{bars}", "p1"),
     "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
     "cands": candidates_text(base.DUCK).replace("{obs}", "obs"),
+    "store": store_text("orders", "customer"),
     "regimes": f"SELECT session, regime FROM ({REGIME.replace('{bars}', 'p1')}) AS r",
 }
 NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"], "cands": ["p1", "obs"], "regimes": ["p1"]}
@@ -206,6 +221,7 @@ SPARK = {
     "vendor": lambda spark, sf_dir: run(vendor_text("{bars}"), bars=monthly_bars(spark, sf_dir)),
     "obs": lambda spark, sf_dir: observations(monthly_bars(spark, sf_dir)),
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
+    "store": lambda spark, sf_dir: run(store_text("{orders}", "{customer}"), orders=_table(spark, sf_dir, "orders"), customer=_table(spark, sf_dir, "customer")),
     "regimes": lambda spark, sf_dir: run(f"SELECT session, regime FROM ({REGIME}) AS r", bars=monthly_bars(spark, sf_dir)),
     "cands": lambda spark, sf_dir: run(candidates_text(base.SPARK), obs=observations(monthly_bars(spark, sf_dir))),
 }
