@@ -111,7 +111,6 @@ def test_stages_against_brute_force(spark, raw, tmp_path):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     wanted, start = [], 0
     for r in sorted(mixed, key=lambda r: (r.doc_id, (r.text or "").encode())):
         ids = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")

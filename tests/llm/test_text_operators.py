@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from tokenizers import Tokenizer
 
 from panelforge.llm import decontaminate, kneser_ney, language_id, mixing, quality_rules, simhash, suffix_dedup, token_files, toxicity, wrappers
 from panelforge.llm.common import components
@@ -312,7 +313,7 @@ def test_chunks_encode_as_whole_texts_do(remembered, monkeypatch):
     path, rng = public_tokenizers.path("byte_bpe_50k.json"), np.random.default_rng(3)
     letters = list("ab é,.'\n\t  ×1\xa0”日s")
     texts = ODD_TEXTS + ["".join(rng.choice(letters, int(rng.integers(1, 30)))) for _ in range(3000)]
-    wanted = [e.ids for e in token_files._tokenizer(path).encode_batch(texts, add_special_tokens=False)]
+    wanted = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
     for a in range(0, len(texts), 700):
         assert [x.tolist() for x in token_files.encode_texts([t.encode() for t in texts[a : a + 700]], path)] == wanted[a : a + 700]
 
@@ -322,7 +323,7 @@ def test_tokens_round_trip(spark, docs, small, range_bytes):
     import public_tokenizers
 
     tokenizer_path = public_tokenizers.path("byte_bpe_50k.json")
-    tokenizer = token_files._tokenizer(tokenizer_path)
+    tokenizer = Tokenizer.from_file(tokenizer_path)
     twice = spark.createDataFrame([(9, t) for t in ("b c", "a", "", "b b b b", None, "a")], "doc_id long, text string")
     for table in (docs, small, twice, docs.limit(0)):
         path = token_files.new_path(spark)
