@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from panelforge.operators.base import REGISTRY, duck_text
+from panelforge.operators.base import REGISTRY, duck_text, written
 from panelforge.plans import by_hand, twins
 from panelforge.sources import panels
 
@@ -28,7 +28,12 @@ def _frame(spark: SparkSession, sf_dir: str, panel: str) -> DataFrame:
 def _query(name: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         entry = REGISTRY[name]
-        return entry.run({k: _frame(spark, sf_dir, p) for k, p in entry.frames.items()}, **entry.params)
+        frames = {k: _frame(spark, sf_dir, p) for k, p in entry.frames.items() if p != "cands"}
+        if len(entry.stages) > 2 and "obs" in frames:  # read by most stages: derived and written once
+            frames["obs"] = written(frames["obs"])
+        if "cands" in entry.frames:
+            frames["cands"] = panels.candidates(frames["obs"])
+        return entry.run(frames, **entry.params)
 
     return query
 

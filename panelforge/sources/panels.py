@@ -175,6 +175,11 @@ def observations(bars: DataFrame) -> DataFrame:
     return run(observations_text(base.SPARK), bars=bars)
 
 
+def candidates(obs: DataFrame) -> DataFrame:
+    """(candidate, scheme, factor_id) of candidates_text; the factors are looked up once."""
+    return run(candidates_text(base.SPARK), obs=base.written(obs.select("factor_id").distinct()))
+
+
 # --- the same panels for DuckDB, written for its dialect -------------------------------------------
 
 _DUCK_BARS = """
@@ -223,5 +228,5 @@ SPARK = {
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
     "store": lambda spark, sf_dir: run(store_text("{orders}", "{customer}"), orders=_table(spark, sf_dir, "orders"), customer=_table(spark, sf_dir, "customer")),
     "regimes": lambda spark, sf_dir: run(f"SELECT session, regime FROM ({REGIME}) AS r", bars=monthly_bars(spark, sf_dir)),
-    "cands": lambda spark, sf_dir: run(candidates_text(base.SPARK), obs=observations(monthly_bars(spark, sf_dir))),
+    "cands": lambda spark, sf_dir: candidates(observations(monthly_bars(spark, sf_dir))),
 }
