@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from panelforge.operators import models, panel, validation
 from panelforge.operators.base import SPARK, run, scratch
 from panelforge.plans import twins
-from panelforge.sources import announcements, files, panels, vendor
+from panelforge.sources import announcements, files, hashtree, panels, vendor
 from panelforge.streaming import forward
 
+#: Tables that a dataset's folder holds.
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
 
 def a3_read_bars_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
@@ -113,6 +116,11 @@ def a11_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.snapshot(spark, [f"{sf_dir}/{t}.parquet" for t in ("region", "nation", "customer", "supplier", "part")])
 
 
+def a11_snapshot_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every file of every given table by blocks, whatever its size."""
+    return hashtree.snapshot_tree(spark, [f"{sf_dir}/{t}.parquet" for t in TABLES], base=sf_dir.rstrip("/").rsplit("/", 1)[-1])
+
+
 def a14_write_bundle(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark)
     files.write_bundle(panels.raw_events(spark, sf_dir).select("event_id", "event_type", "user_id"), path)
@@ -161,6 +169,7 @@ QUERIES = {
     "a10_universe_tiers": (a10_universe_tiers, twins.A10),
     "a8_read_index": (a8_read_index, twins.A8),
     "a11_snapshot": (a11_snapshot, None),
+    "a11_snapshot_tree": (a11_snapshot_tree, None),
     "a14_write_bundle": (a14_write_bundle, twins.A14),
     "j12_deflated_sharpe": (j12_deflated_sharpe, None),
     "m1_forward_stream": (m1_forward_stream, M1_TWIN),
