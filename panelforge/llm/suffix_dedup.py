@@ -273,7 +273,21 @@ def _member(x: np.ndarray, of: np.ndarray) -> np.ndarray:
 # --- the four steps --------------------------------------------------------------------------------
 
 
-def _anchors(buckets: int):
+def _edges(buckets: int) -> np.ndarray:
+    """The first anchor of every bucket but the lowest, for buckets with equal shares of all anchors.
+
+    An anchor is the smallest of the hashes in a window, so anchors crowd near zero: a position whose hash
+    is the share 1 - q of all is one if the runs of larger hashes on both sides fill a window of w, which has
+    the chance q^(w-1) * (1 + (w-1) * (1-q)); the integral of that is their distribution.
+    """
+    w = WINDOW - ANCHOR + 1
+    x = np.linspace(0, 1, max(2**16, 16 * buckets) + 1)
+    mass = (w + 1) / 2 * ((1 - (1 - x) ** w) - (w - 1) / (w + 1) * (1 - (1 - x) ** (w + 1)))
+    cuts = np.interp(np.arange(1, buckets) / buckets, mass, x)
+    return (cuts * 2.0**63).astype(np.uint64) << np.uint64(1)
+
+
+def _anchors(edges: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, list] = {}
 
@@ -297,8 +311,8 @@ def _anchors(buckets: int):
                     kept[int(key)] = [summed(parts)]
         for key in list(kept):
             found, n = summed(kept.pop(key))
-            edges = np.searchsorted(found, np.array([(i << 64) // buckets for i in range(1, buckets)], np.uint64))
-            for bucket, (x, c) in enumerate(zip(np.split(found, edges), np.split(n, edges), strict=True)):
+            cuts = np.searchsorted(found, edges)
+            for bucket, (x, c) in enumerate(zip(np.split(found, cuts), np.split(n, cuts), strict=True)):
                 if len(x):
                     blob = pack_sorted(x, n=pa.array(np.minimum(c, 65535).astype(np.uint16)))
                     yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([key], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "batch", "blob"])
@@ -489,11 +503,12 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot_documents: int =
     total = d.agg(F.sum(F.octet_length("__t"))).first()[0]
     batches, anchors, buckets = (blocks_for(total, x) for x in (BATCH_BYTES, ANCHOR_BYTES, SEGMENT_BYTES))
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("__t")), F.lit(batches)).cast("int"))
-    packed = d.mapInArrow(pack_docs, "batch int, docs binary").groupBy("batch")
-    sent = d.select("batch", "__t").mapInArrow(_anchors(anchors), "bucket int, batch int, blob binary")
-    shared = sent.groupBy("bucket").applyInPandas(_shared(hot_documents), "batch int, blob binary")
-    pieces = packed.cogroup(shared.groupBy("batch")).applyInPandas(_send_segments(buckets), "bucket int, batch int, blob binary")
-    lows = pieces.groupBy("bucket").applyInPandas(_smallest, "batch int, blob binary")
+    # A block's number is its partition: hashed, several blocks would share a task while others idle.
+    packed = d.mapInArrow(pack_docs, "batch int, docs binary").repartitionById(batches, "batch").groupBy("batch")
+    sent = d.select("batch", "__t").mapInArrow(_anchors(_edges(anchors)), "bucket int, batch int, blob binary")
+    shared = sent.repartitionById(anchors, "bucket").groupBy("bucket").applyInPandas(_shared(hot_documents), "batch int, blob binary")
+    pieces = packed.cogroup(shared.repartitionById(batches, "batch").groupBy("batch")).applyInPandas(_send_segments(buckets), "bucket int, batch int, blob binary")
+    lows = pieces.repartitionById(buckets, "bucket").groupBy("bucket").applyInPandas(_smallest, "batch int, blob binary")
     replies = shared.withColumn("kind", F.lit(0)).unionByName(lows.withColumn("kind", F.lit(1)))
     kind = "kept_sha256 string" if digests else "kept binary"
-    return packed.cogroup(replies.groupBy("batch")).applyInPandas(_digests if digests else _cut_out, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")
+    return packed.cogroup(replies.repartitionById(batches, "batch").groupBy("batch")).applyInPandas(_digests if digests else _cut_out, f"doc_id long, n_bytes long, n_removed long, n_spans long, {kind}")

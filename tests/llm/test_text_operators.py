@@ -1,6 +1,7 @@
 """Text operators against brute force, held-out labels and exact round trips, and their edge cases."""
 
 import hashlib
+import random
 import re
 import zlib
 
@@ -69,6 +70,16 @@ def test_suffix_dedup_against_brute_force(spark, small, monkeypatch):
         assert got == wanted
 
 
+def test_anchors_are_dealt_evenly():
+    """Anchors are minima and crowd near zero; a bucket gets its share all the same."""
+    rng = random.Random(3)
+    texts = [bytes(rng.choices(range(97, 123), k=2000)) for _ in range(1000)]
+    anchors = np.unique(suffix_dedup.segments(texts)[3])
+    for buckets in (1, 2, 36, 300):
+        shares = np.diff([0, *np.searchsorted(anchors, suffix_dedup._edges(buckets)), len(anchors)])
+        assert shares.sum() == len(anchors) and shares.max() < 1.5 * len(anchors) / buckets
+
+
 def test_suffix_array_is_sorted():
     rng = np.random.default_rng(0)
     for _ in range(30):
