@@ -4,8 +4,7 @@ Every 50-byte window is dealt to a task by the smallest hash of its 24-byte stri
 equal windows always meet; neighbouring windows with one anchor travel as one segment. Four steps,
 each bounded by the size of a batch or of a bucket, never by how often a string occurs:
 
-1. tasks send the anchors of their documents, once per batch, and learn which occur in more than one
-   document;
+1. batches send each of their anchors once, and learn which occur in more than one document;
 2. batches send each distinct segment with such an anchor once, with the smallest doc_id that has it;
 3. a bucket of segments is sorted by a two-stage suffix array (only suffixes smaller than their
    successors are sorted directly, the others are induced by bucket scans), adjacent common prefixes
@@ -288,35 +287,31 @@ def _edges(buckets: int) -> np.ndarray:
 
 
 def _anchors(edges: np.ndarray):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, list] = {}
-
-        def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
-            keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-            return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
-
-        for batch in batches:
-            keys, texts = np.array(batch.column("batch").to_pylist()), batch.column("__t").to_pylist()
-            for key in np.unique(keys):
-                doc, _, _, anchor, _ = segments([texts[i] for i in np.flatnonzero(keys == key)])
-                order = np.lexsort((doc, anchor))
-                doc, anchor = doc[order], anchor[order]
-                once = np.ones(len(doc), bool)
-                once[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
-                anchor = anchor[once]
-                found, n = np.unique(anchor, return_counts=True)
-                parts = kept.setdefault(int(key), [])
-                parts.append((found, n))
-                if len(parts) >= 16:
-                    kept[int(key)] = [summed(parts)]
-        for key in list(kept):
-            found, n = summed(kept.pop(key))
-            cuts = np.searchsorted(found, edges)
-            for bucket, (x, c) in enumerate(zip(np.split(found, cuts), np.split(n, cuts), strict=True)):
-                if len(x):
-                    blob = pack_sorted(x, n=pa.array(np.minimum(c, 65535).astype(np.uint16)))
-                    yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([key], pa.int32()), pa.array([blob], pa.binary())], names=["bucket", "batch", "blob"])
+    """The anchors of one batch, once each with the number of its documents that have it, by bucket."""
+
+    def summed(parts: list) -> tuple[np.ndarray, np.ndarray]:
+        keys, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        return keys, np.bincount(where, np.concatenate([p[1] for p in parts]), len(keys)).astype(np.int64)
+
+    def run(packed: pd.DataFrame) -> pd.DataFrame:
+        parts: list[tuple[np.ndarray, np.ndarray]] = []
+        for _, texts in docs_of(packed):
+            doc, _, _, anchor, _ = segments(texts)
+            order = np.lexsort((doc, anchor))
+            doc, anchor = doc[order], anchor[order]
+            once = np.ones(len(doc), bool)
+            once[1:] = (doc[1:] != doc[:-1]) | (anchor[1:] != anchor[:-1])
+            parts.append(np.unique(anchor[once], return_counts=True))
+            if len(parts) >= 16:
+                parts = [summed(parts)]
+        found, n = summed(parts)
+        cuts = np.searchsorted(found, edges)
+        rows = []
+        for bucket, (x, c) in enumerate(zip(np.split(found, cuts), np.split(n, cuts), strict=True)):
+            if len(x):
+                rows.append((bucket, int(packed["batch"].iloc[0]), pack_sorted(x, n=pa.array(np.minimum(c, 65535).astype(np.uint16)))))
         give_back()
+        return pd.DataFrame(rows, columns=["bucket", "batch", "blob"])
 
     return run
 
@@ -505,7 +500,7 @@ def remove_repeats(docs: DataFrame, digests: bool = False, hot_documents: int =
     d = d.withColumn("batch", F.pmod(F.xxhash64("doc_id", F.octet_length("__t")), F.lit(batches)).cast("int"))
     # A block's number is its partition: hashed, several blocks would share a task while others idle.
     packed = d.mapInArrow(pack_docs, "batch int, docs binary").repartitionById(batches, "batch").groupBy("batch")
-    sent = d.select("batch", "__t").mapInArrow(_anchors(_edges(anchors)), "bucket int, batch int, blob binary")
+    sent = packed.applyInPandas(_anchors(_edges(anchors)), "bucket int, batch int, blob binary")
     shared = sent.repartitionById(anchors, "bucket").groupBy("bucket").applyInPandas(_shared(hot_documents), "batch int, blob binary")
     pieces = packed.cogroup(shared.repartitionById(batches, "batch").groupBy("batch")).applyInPandas(_send_segments(buckets), "bucket int, batch int, blob binary")
     lows = pieces.repartitionById(buckets, "bucket").groupBy("bucket").applyInPandas(_smallest, "batch int, blob binary")
