@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from panelforge.operators.base import Dialect, operator
 from panelforge.operators.sqlkit import RETURNS, XS, ordinal, r6, size
 
@@ -452,16 +454,46 @@ SELECT c.sx, count(*) AS exits FROM cal AS c JOIN f ON f.first_sx < c.sx LEFT JO
 
 # --- regimes ---------------------------------------------------------------------------------------
 
-REGIME = f"""
+#: Sessions whose sum a mean over sessions takes as one, where the frame holds all of them.
+_RUN = 16
+
+
+def _mean_before(d: Dialect, x: str, n: int = 20) -> str:
+    """Mean of x over the n sessions before; for Spark over of_k, the list of the sessions before session i.
+
+    A mean that ties its limit (half of all names rose) falls on a side of it by the order in which its
+    doubles are added. Both engines add alike: an aligned run of sixteen sessions within the frame goes
+    in as its own sum, other sessions one by one.
+    """
+    if d.name == "duckdb":
+        return f"avg({x}) OVER k" if n == 20 else f"(avg({x}) OVER (ORDER BY sx ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING))"
+    of, v = f"filter(of_k, e -> e.i >= i - {n})", f"coalesce(e.{x}, 0e0)"
+    run = f"e.i - e.i % {_RUN} >= e.till - {n} AND e.i - e.i % {_RUN} + {_RUN} <= e.till"
+    whole = f"CASE WHEN NOT ({run}) THEN a.whole + {v} WHEN e.i % {_RUN} = {_RUN - 1} THEN a.whole + (a.part + {v}) ELSE a.whole END"
+    part = f"CASE WHEN {run} AND e.i % {_RUN} < {_RUN - 1} THEN a.part + {v} ELSE 0e0 END"
+    held = f"transform({of}, e -> struct(e.i, e.{x}, i AS till))"
+    return f"(aggregate({held}, struct(0e0 AS whole, 0e0 AS part), (a, e) -> struct({whole} AS whole, {part} AS part)).whole / nullif(size(filter({of}, e -> e.{x} IS NOT NULL)), 0))"
+
+
+def regime_text(d: Dialect) -> str:
+    """The regime of each session from the sessions before it."""
+    daily = f"""
+    SELECT sx, session, avg(r) AS mret, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS up, sum(amount) AS amt FROM (SELECT *, close / nullif(lag(close, 1) OVER ({W}), 0) - 1 AS r FROM {{bars}}) AS q GROUP BY sx, session"""
+    mean = functools.partial(_mean_before, d)
+    k = "(ORDER BY sx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)"
+    if d.name == "duckdb":
+        count, source = "count(*) OVER k", f"({daily}) AS a\n  WINDOW k AS {k}"
+    else:
+        numbered = f"SELECT *, row_number() OVER (ORDER BY sx) - 1 AS i FROM ({daily}) AS a"
+        count, source = "size(of_k)", f"(SELECT *, collect_list(struct(i, mret, up, amt)) OVER {k} AS of_k FROM ({numbered}) AS b) AS l"
+    return f"""
 SELECT sx, session, CASE WHEN c < 20 THEN 'warmup' WHEN liq < 0.8 THEN 'liquidity_shock' WHEN trend < 0 AND breadth < 0.5 THEN 'risk_off' WHEN trend > 0 AND breadth > 0.5 THEN 'risk_on' ELSE 'mixed' END AS regime FROM (
-  SELECT sx, session, count(*) OVER k AS c, avg(mret) OVER k AS trend, avg(up) OVER k AS breadth, (avg(amt) OVER (ORDER BY sx ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING)) / (avg(amt) OVER k) AS liq FROM (
-    SELECT sx, session, avg(r) AS mret, avg(CASE WHEN r > 0 THEN 1e0 ELSE 0e0 END) AS up, sum(amount) AS amt FROM (SELECT *, close / nullif(lag(close, 1) OVER ({W}), 0) - 1 AS r FROM {{bars}}) AS q GROUP BY sx, session) AS a
-  WINDOW k AS (ORDER BY sx ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING)) AS b"""
+  SELECT sx, session, {count} AS c, {mean('mret')} AS trend, {mean('up')} AS breadth, {mean('amt', 5)} / ({mean('amt')}) AS liq FROM {source}) AS b"""
 
 
 @operator("i1_prior_regimes", P2)
 def prior_regimes(d: Dialect) -> str:
-    return f"SELECT session, regime FROM ({REGIME}) AS x"
+    return f"SELECT session, regime FROM ({regime_text(d)}) AS x"
 
 
 @operator("i2_trend_vol_regimes", P2)
@@ -489,4 +521,4 @@ SELECT k.horizon, k.session, k.instrument, {r6('CASE WHEN g.mid >= 0 THEN a ELSE
 
 @operator("i5_performance_by_regime", {"obs": "obs2", "bars": "p2"})
 def performance_by_regime(d: Dialect) -> str:
-    return f"SELECT factor_id, regime, count(*) AS periods, {r6('avg(ret)')} AS mean_return, {r6('avg(ret) / nullif(stddev_samp(ret), 0)')} AS sharpe FROM ({RETURNS}) AS r JOIN ({REGIME}) AS g ON g.session = r.session GROUP BY factor_id, regime"
+    return f"SELECT factor_id, regime, count(*) AS periods, {r6('avg(ret)')} AS mean_return, {r6('avg(ret) / nullif(stddev_samp(ret), 0)')} AS sharpe FROM ({RETURNS}) AS r JOIN ({regime_text(d)}) AS g ON g.session = r.session GROUP BY factor_id, regime"

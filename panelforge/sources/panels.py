@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from panelforge.functions.factors import FIELDS
 from panelforge.operators import base
 from panelforge.operators.base import Dialect, run
-from panelforge.operators.panel import GENESIS, REGIME
+from panelforge.operators.panel import GENESIS, regime_text
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -212,7 +212,7 @@ UNION ALL SELECT e.*, c.entry_hash, sha256(concat(e.seq, '|', c.entry_hash, '|',
     "obs2": observations_text(base.DUCK).replace("{bars}", "p2"),
     "cands": candidates_text(base.DUCK).replace("{obs}", "obs"),
     "store": store_text("orders", "customer"),
-    "regimes": f"SELECT session, regime FROM ({REGIME.replace('{bars}', 'p1')}) AS r",
+    "regimes": f"SELECT session, regime FROM ({regime_text(base.DUCK).replace('{bars}', 'p1')}) AS r",
 }
 NEEDS = {"obs": ["p1"], "obs2": ["p2"], "revs": ["ev"], "vendor": ["p1"], "cands": ["p1", "obs"], "regimes": ["p1"]}
 SPARK = {
@@ -227,6 +227,6 @@ SPARK = {
     "obs": lambda spark, sf_dir: observations(monthly_bars(spark, sf_dir)),
     "obs2": lambda spark, sf_dir: observations(weekly_bars(spark, sf_dir)),
     "store": lambda spark, sf_dir: run(store_text("{orders}", "{customer}"), orders=_table(spark, sf_dir, "orders"), customer=_table(spark, sf_dir, "customer")),
-    "regimes": lambda spark, sf_dir: run(f"SELECT session, regime FROM ({REGIME}) AS r", bars=monthly_bars(spark, sf_dir)),
+    "regimes": lambda spark, sf_dir: run(f"SELECT session, regime FROM ({regime_text(base.SPARK)}) AS r", bars=monthly_bars(spark, sf_dir)),
     "cands": lambda spark, sf_dir: candidates(observations(monthly_bars(spark, sf_dir))),
 }
