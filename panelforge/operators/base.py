@@ -135,6 +135,7 @@ class Entry:
     frames: dict[str, str]
     params: dict = field(default_factory=dict)
     stages: dict[str, Callable[[Dialect], str] | Stage] = field(default_factory=dict)
+    by_section: bool = False
 
     def run(self, frames: dict[str, DataFrame], **params: object) -> DataFrame:
         """The query over its frames; its stages are written first, each as one more frame."""
@@ -151,13 +152,14 @@ class Entry:
 REGISTRY: dict[str, Entry] = {}
 
 
-def operator(name: str, frames: dict[str, str] | None = None, stages: dict[str, Callable[[Dialect], str] | Stage] | None = None, **registered: object) -> Callable:
+def operator(name: str, frames: dict[str, str] | None = None, stages: dict[str, Callable[[Dialect], str] | Stage] | None = None, by_section: bool = False, **registered: object) -> Callable:
     """Registers a query text builder; frames maps its frame names to the panels of its query, stages
-    are smaller tables that its text names more than once."""
+    are smaller tables that its text names more than once. by_section: its query deals observations by
+    cross-section first, in partitions that grow in number with the tables."""
 
     def wrap(text: Callable[..., str]) -> Callable[..., DataFrame]:
         text = getattr(text, "text", text)
-        entry = REGISTRY[name] = Entry(name, text, frames or {}, dict(registered), stages or {})
+        entry = REGISTRY[name] = Entry(name, text, frames or {}, dict(registered), stages or {}, by_section)
 
         @functools.wraps(text)
         def apply(**given: object) -> DataFrame:

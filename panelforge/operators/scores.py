@@ -13,13 +13,13 @@ OBS = {"obs": "obs"}
 _SUMMARY = f"count(*) AS days, {r6('avg(ic)')} AS mean_ic, {r6('avg(rank_ic)')} AS mean_rank_ic, {r6('avg(rank_ic) / nullif(stddev_samp(rank_ic), 0) * sqrt(252)')} AS icir, {r6('avg(CASE WHEN rank_ic > 0 THEN 1e0 ELSE 0e0 END)')} AS hit_rate"
 
 
-@operator("entry_reversal_ic", OBS)
-@operator("h2_ic_summary", OBS)
+@operator("entry_reversal_ic", OBS, by_section=True)
+@operator("h2_ic_summary", OBS, by_section=True)
 def ic_summary(d: Dialect) -> str:
     return f"SELECT factor_id, horizon, {_SUMMARY} FROM ({DAILY}) AS daily GROUP BY factor_id, horizon"
 
 
-@operator("h1_daily_ic", OBS)
+@operator("h1_daily_ic", OBS, by_section=True)
 def daily_ic(d: Dialect) -> str:
     return f"SELECT {XS}, {r6('ic')} AS ic, {r6('rank_ic')} AS rank_ic, names FROM ({DAILY}) AS daily"
 
@@ -42,13 +42,13 @@ ranked AS (SELECT factor_id, horizon, session, {avg_rank('va')} AS ra, {avg_rank
 SELECT factor_id, horizon, {r6('avg(t)')} AS turnover FROM (SELECT factor_id, horizon, session, avg(abs(ra - rb)) / (max(n) - 1) AS t FROM ranked WHERE n > 1 GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon"""
 
 
-@operator("h4_ic_by_subperiod", OBS)
+@operator("h4_ic_by_subperiod", OBS, by_section=True)
 def ic_by_subperiod(d: Dialect) -> str:
     """By year, with the total over all years (a null subperiod) from the same pass."""
     return f"SELECT factor_id, horizon, subperiod, {_SUMMARY} FROM (SELECT *, year(session) AS subperiod FROM ({DAILY}) AS daily) AS x GROUP BY GROUPING SETS ((factor_id, horizon, subperiod), (factor_id, horizon))"
 
 
-@operator("h5_card", OBS)
+@operator("h5_card", OBS, by_section=True)
 def card(d: Dialect) -> str:
     """One long card: every horizon's summary and every subperiod's RankIC."""
     return f"""
@@ -90,7 +90,7 @@ k AS (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon ORDER BY abs(
 SELECT factor_id, horizon, {r6('sum(CASE WHEN i <= greatest(1, ceil(n * 0.1e0)) THEN abs(spread) ELSE 0 END) / nullif(sum(abs(spread)), 0)')} AS tail_share FROM k GROUP BY factor_id, horizon"""
 
 
-@operator("h8_attribution", OBS)
+@operator("h8_attribution", OBS, by_section=True)
 def attribution(d: Dialect) -> str:
     """RankIC before and after taking out log size, with failure labels."""
     resid = f"v - avg(v) OVER (PARTITION BY {XS}) - coalesce(covar_pop(v, ln(cap)) OVER (PARTITION BY {XS}) / nullif(var_pop(ln(cap)) OVER (PARTITION BY {XS}), 0), 0) * (ln(cap) - avg(ln(cap)) OVER (PARTITION BY {XS}))"
@@ -114,7 +114,7 @@ def year_score(d: Dialect) -> str:
     return f"SELECT factor_id, year(session) AS subperiod, count(*) AS days, {r6('avg(ret)')} AS mean_excess, {r6('avg(ret) / nullif(stddev_samp(ret), 0) * sqrt(12)')} AS sharpe FROM ({RETURNS}) AS r GROUP BY factor_id, year(session)"
 
 
-@operator("h10_year_stability", OBS)
+@operator("h10_year_stability", OBS, by_section=True)
 def year_stability(d: Dialect) -> str:
     """Share of years with a positive mean RankIC, and change of unit rank on full cross-sections."""
     return f"""
@@ -125,7 +125,7 @@ t AS (SELECT a.factor_id, a.horizon, avg(abs(a.u - b.u)) AS turnover FROM u AS a
 SELECT y.factor_id, y.horizon, {r6('positive')} AS positive_years, {r6('turnover')} AS turnover FROM y JOIN t ON y.factor_id = t.factor_id AND y.horizon = t.horizon"""
 
 
-@operator("h11_decay_alarm", OBS)
+@operator("h11_decay_alarm", OBS, by_section=True)
 def decay_alarm(d: Dialect) -> str:
     return f"""
 SELECT factor_id, horizon, {r6('max(CASE WHEN k = 1 THEN ic END)')} AS last_quarter, {r6('max(CASE WHEN k = 2 THEN ic END)')} AS quarter_before, max(CASE WHEN k <= 2 THEN ic END) < 0 AS alarm FROM (
@@ -145,7 +145,7 @@ SELECT c.factor_id, c.horizon, cells, sessions, instruments, {r6('cells / CAST(s
 FROM c JOIN g ON g.factor_id = c.factor_id AND g.horizon = c.horizon JOIN t ON t.factor_id = c.factor_id AND t.horizon = c.horizon"""
 
 
-@operator("h12_diagnostic_codes", OBS)
+@operator("h12_diagnostic_codes", OBS, by_section=True)
 def diagnostic_codes(d: Dialect, coverage: float = 0.8, stale: float = 0.05, turnover: float = 0.35, date_share: float = 0.1, regime_share: float = 0.8, cost_bps: float = 10.0) -> str:
     """What speaks against a factor before it is tested at length, with the figures behind it.
 
@@ -160,11 +160,14 @@ def diagnostic_codes(d: Dialect, coverage: float = 0.8, stale: float = 0.05, tur
         code(f"date_share > {date_share}e0", "DATE_CONCENTRATION"), code(f"regime_share > {regime_share}e0", "REGIME_CONCENTRATION"), code(f"q5 - q1 - turnover * {cost_bps / 1e4}e0 <= 0", "COST_ERASED"),
     ])
     last = f"OVER (PARTITION BY {part}, instrument ORDER BY session)"
+    placed = f"SELECT *, dense_rank() OVER (PARTITION BY {part} ORDER BY session) AS place FROM x"
+    if d.name == "spark":  # from the few sessions, so that no task sorts all rows of a factor
+        placed = f"SELECT /*+ BROADCAST(c) */ x.*, c.place FROM x JOIN (SELECT {XS}, row_number() OVER (PARTITION BY {part} ORDER BY session) AS place FROM (SELECT DISTINCT {XS} FROM {{obs}}) AS b) AS c USING ({XS})"
     return f"""
 WITH x AS (
   SELECT *, {ordinal('v')} AS k, {size()} AS n, {unit(avg_rank('v'), size())} AS u, avg(fwd) OVER (PARTITION BY {XS}) AS market FROM {{obs}}),
 m AS (
-  SELECT *, lag(v, 1) {last} AS v_before, lag(u, 1) {last} AS u_before, lag(place, 1) {last} AS place_before FROM (SELECT *, dense_rank() OVER (PARTITION BY {part} ORDER BY session) AS place FROM x) AS y),
+  SELECT *, lag(v, 1) {last} AS v_before, lag(u, 1) {last} AS u_before, lag(place, 1) {last} AS place_before FROM ({placed}) AS y),
 g AS (
   SELECT {part}, count(*) / CAST({d.distinct('session')} * {d.distinct('instrument')} AS DOUBLE) AS coverage, avg(CASE WHEN v = v_before THEN 1e0 ELSE 0e0 END) AS stale,
     {', '.join(f'avg(CASE WHEN n >= 5 AND floor((k - 1) * 5 / CAST(n AS DOUBLE)) = {q} THEN fwd END) AS q{q + 1}' for q in range(5))},
@@ -356,7 +359,7 @@ SELECT event_type AS family, code, count(*) AS occurrences, count(DISTINCT user_
 FROM (SELECT *, {code} AS code FROM {{ev}}) AS e GROUP BY event_type, code"""
 
 
-@operator("h27_adv_slices", OBS)
+@operator("h27_adv_slices", OBS, by_section=True)
 def adv_slices(d: Dialect) -> str:
     """Mean RankIC in thirds of average daily value."""
     part = f"{XS}, slice"

@@ -19,7 +19,7 @@ def pearson(d: Dialect) -> str:
     return f"SELECT {XS}, {r6('corr(v, fwd)')} AS value FROM {{obs}} GROUP BY {XS} HAVING count(*) >= 3 AND min(v) < max(v) AND min(fwd) < max(fwd)"
 
 
-@operator("f3_spearman", OBS)
+@operator("f3_spearman", OBS, by_section=True)
 def spearman(d: Dialect) -> str:
     return f"SELECT {XS}, {r6('rank_ic')} AS value FROM ({DAILY}) AS daily"
 

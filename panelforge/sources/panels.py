@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelforge.functions.factors import FIELDS
@@ -22,10 +22,25 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of lineitem, and about as many of the observation panel, that a task sorts on average.
+ROWS = 400_000
+
+
+def partitions(lines: DataFrame) -> int | None:
+    """How many partitions keep a task's rows near ROWS, if the session's own number does not; files count their rows."""
+    n = -(-lines.count() // ROWS)
+    return n if n > int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def dealt(df: DataFrame, n: int | None, *columns: str) -> DataFrame:
+    """df by the columns in n partitions; None: in as many as the session says, small ones joined."""
+    return df.repartition(n, *columns) if n else df.repartition(*columns)
+
+
 def _bars(lines: DataFrame, key: str, unit: str) -> DataFrame:
     order = F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
     price = F.col("l_extendedprice") / F.col("l_quantity")
-    return lines.groupBy(F.col(key).cast("bigint").alias("instrument"), F.to_date(F.date_trunc(unit, "l_shipdate")).alias("session")).agg(
+    return lines.groupBy(F.col(key).cast("bigint").alias("instrument"), _session(unit)).agg(
         F.min_by(price, order).alias("open"),
         F.max(price).alias("high"),
         F.min(price).alias("low"),
@@ -35,21 +50,35 @@ def _bars(lines: DataFrame, key: str, unit: str) -> DataFrame:
     )
 
 
-def _number(bars: DataFrame) -> DataFrame:
-    calendar = run("SELECT session, CAST(row_number() OVER (ORDER BY session) AS BIGINT) AS sx FROM (SELECT DISTINCT session FROM {bars})", bars=bars)
+def _session(unit: str) -> Column:
+    return F.to_date(F.date_trunc(unit, "l_shipdate")).alias("session")
+
+
+def _number(bars: DataFrame, sessions: DataFrame) -> DataFrame:
+    calendar = run("SELECT session, CAST(row_number() OVER (ORDER BY session) AS BIGINT) AS sx FROM (SELECT DISTINCT session FROM {sessions})", sessions=sessions)
     return bars.join(F.broadcast(calendar), "session")
 
 
 def monthly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Supplier by month, with the supplier's nation as group and a cap stand-in."""
+    """Supplier by month, with the supplier's nation as group and a cap stand-in.
+
+    A supplier's month has a handful of lines all over the files, so lines are dealt by supplier as they
+    are: that sends less than their partial sums, and windows by instrument find their rows in place.
+    """
+    lines = _table(spark, sf_dir, "lineitem")
+    n = partitions(lines)
+    sessions = lines.select(_session("month"))
+    lines = lines.select(F.col("l_suppkey").cast("bigint").alias("instrument"), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
     suppliers = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("instrument"), F.col("s_nationkey").cast("bigint").alias("grp"), (F.col("s_acctbal") + 1001).alias("cap"))
-    return _number(_bars(_table(spark, sf_dir, "lineitem"), "l_suppkey", "month")).join(suppliers, "instrument")
+    return _number(_bars(dealt(lines, n, "instrument"), "instrument", "month"), sessions).join(suppliers, "instrument")
 
 
 def weekly_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nation by week."""
     nation = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    bars = _number(_bars(_table(spark, sf_dir, "lineitem").join(nation, "l_suppkey"), "s_nationkey", "week"))
+    lines = _table(spark, sf_dir, "lineitem").join(nation, "l_suppkey")
+    bars = _bars(lines, "s_nationkey", "week")
+    bars = _number(bars, bars)
     return bars.withColumn("grp", F.col("instrument") % 5).withColumn("cap", 100.0 + F.col("instrument"))
 
 
@@ -175,6 +204,11 @@ def observations(bars: DataFrame) -> DataFrame:
     return run(observations_text(base.SPARK), bars=bars)
 
 
+def sections(obs: DataFrame, n: int) -> DataFrame:
+    """obs with a cross-section in one of n partitions: windows over cross-sections find their rows in place."""
+    return dealt(obs, n, "factor_id", "horizon", "session")
+
+
 def candidates(obs: DataFrame) -> DataFrame:
     """(candidate, scheme, factor_id) of candidates_text; the factors are looked up once."""
     return run(candidates_text(base.SPARK), obs=base.written(obs.select("factor_id").distinct()))
