@@ -74,52 +74,115 @@ def shuffled_ics(sections: DataFrame, reps: int = 199, seed: int = 7) -> DataFra
     return sections.mapInArrow(run, schema)
 
 
-def marginal_sections(sections: DataFrame, roles: DataFrame, betas: DataFrame, fraction: float = 0.2, added: float = 0.5) -> DataFrame:
+def marginal_sections(rows: DataFrame, roles: DataFrame, betas: DataFrame, fraction: float = 0.2, added: float = 0.5) -> DataFrame:
     """Figures of a candidate's residual on every fold's test sessions: a row for each fold and session.
 
-    A section is one row with its names in order, the reference x, the candidate y and the returns. Its
-    residual under each fold that tests the session is one line of a matrix; sums for correlations, the
-    long and long-short returns of the reference and of both together, and the names held come out. What
-    the tasks get beside the rows are the folds' regressions and which sessions they test.
+    Rows are (factor_id, horizon, session, sx, instrument, x, y, fwd): the reference x, the candidate y
+    and the returns. A cross-section is one group, taken fold by fold: sums for correlations, the long and
+    long-short returns of the reference and of both together, and the names held come out, as arrays all
+    the way. What the tasks get beside the rows are the folds' regressions and which sessions they test.
     """
     tested: dict[int, list[int]] = {}
     for r in roles.where("role = 'test'").select("fold", "sx").collect():
         tested.setdefault(r.sx, []).append(r.fold)
     fits = {(r.fold, r.factor_id, r.horizon): (r.beta, r.mx, r.my) for r in betas.collect()}
-    sums = ("se", "sf", "sx1", "see", "sff", "sxx", "sef", "sxf")
-    names = ["fold", "factor_id", "horizon", "session", "n", *sums, "ret_ref", "ret_aug", "ls_ref", "ls_aug", "held_ref", "held_aug"]
+    keys = ["factor_id", "horizon", "session", "sx"]
+    figures = ("se", "sf", "sx1", "see", "sff", "sxx", "sef", "sxf", "ret_ref", "ret_aug", "ls_ref", "ls_aug")
+    kinds = dict(rows.dtypes)
+    schema = "fold long, " + ", ".join(f"{c} {kinds[c]}" for c in keys[:3]) + ", n long, " + ", ".join(f"{c} double" for c in figures) + ", held_ref array<long>, held_aug array<long>"
 
     def standard(v: np.ndarray) -> np.ndarray:
-        spread = v.std(axis=-1, keepdims=True)
-        return np.divide(v - v.mean(axis=-1, keepdims=True), spread, out=np.zeros_like(v), where=spread > 0)
+        spread = v.std()
+        return (v - v.mean()) / spread if spread > 0 else np.zeros_like(v)
+
+    def held(names: list[np.ndarray]) -> pa.Array:
+        ends = np.cumsum([0, *map(len, names)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(names)))
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        factor, horizon, _, sx = (k.as_py() for k in key)
+        folds = [f for f in sorted(tested.get(sx, ())) if (f, factor, horizon) in fits]
+        types = [group.schema.field(c).type for c in keys[:3]]
+        if not folds:
+            empty = [pa.array([], t) for t in (pa.int64(), *types, pa.int64(), *[pa.float64()] * len(figures), *[pa.list_(pa.int64())] * 2)]
+            return pa.table(empty, names=names)
+        ids, x, y, fwd = (group.column(c).to_numpy() for c in ("instrument", "x", "y", "fwd"))
+        by_name = np.argsort(ids, kind="stable")
+        ids, x, y, fwd = ids[by_name], x[by_name], y[by_name], fwd[by_name]
+        count = max(1, math.ceil(len(ids) * fraction))
+        by_reference, zx = np.argsort(x, kind="stable"), standard(x)
+        found, kept = [], ([], [])
+        for fold in folds:
+            beta, mx, my = fits[fold, factor, horizon]
+            e = y - my - beta * (x - mx)
+            orders = by_reference, np.argsort(np.round(zx + added * standard(e), 9), kind="stable")
+            tops, ends = [o[-count:] for o in orders], [o[:count] for o in orders]
+            long = [fwd[t].mean() for t in tops]
+            spread = [a - fwd[b].mean() for a, b in zip(long, ends, strict=True)]
+            found.append([e.sum(), fwd.sum(), x.sum(), e @ e, fwd @ fwd, x @ x, e @ fwd, x @ fwd, *long, *spread])
+            for k, t in zip(kept, tops, strict=True):
+                k.append(ids[t])
+        same = [pa.repeat(k, len(folds)).cast(t) for k, t in zip(key[:3], types, strict=True)]
+        columns = [pa.array(folds, pa.int64()), *same, pa.array([len(ids)] * len(folds), pa.int64()), *[pa.array(c) for c in np.array(found, np.float64).T.copy()], *map(held, kept)]
+        return pa.table(columns, names=names)
+
+    names = ["fold", *keys[:3], "n", *figures, "held_ref", "held_aug"]
+    return rows.groupBy(*keys).applyInArrow(run, schema)
+
+
+def average_ranks(v: np.ndarray) -> np.ndarray:
+    """Ranks from 1, equal values sharing the mean of their places."""
+    order = np.argsort(v, kind="stable")
+    s = v[order]
+    first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+    ties = np.diff(np.append(first, len(v)))
+    out = np.empty(len(v))
+    out[order] = np.repeat(first + (ties + 1) / 2, ties)
+    return out
+
+
+def blend_ics(rows: DataFrame, need: DataFrame) -> DataFrame:
+    """(blend, horizon, sx, ic): RankIC of every blend on the names of a session that have all its factors.
+
+    rows are (factor_id, horizon, sx, instrument, v, fwd); need has a row (blend, horizon, sx, factor_id,
+    weight) for each factor of each blend that a session is asked for. A session's rows and blends meet
+    in one group, where factors are ranked once and blends are taken one by one, so no row is copied.
+    """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            cuts = batch.column("names").offsets.to_numpy()
-            flat = {c: batch.column(c).values.to_numpy(zero_copy_only=False) for c in ("names", "x", "y", "fwd")}
-            keys = zip(*[batch.column(c).to_pylist() for c in ("factor_id", "horizon", "session", "sx")], strict=True)
-            rows: list[tuple] = []
-            for i, (factor, horizon, session, sx) in enumerate(keys):
-                ids, x, y, fwd = (flat[c][cuts[i] : cuts[i + 1]] for c in ("names", "x", "y", "fwd"))
-                folds = [f for f in sorted(tested.get(sx, ())) if (f, factor, horizon) in fits]
-                if not folds:
+    def run(key: tuple, section: pa.Table, wanted: pa.Table) -> pa.Table:
+        out: dict[str, list] = {"blend": [], "ic": []}
+        if section.num_rows and wanted.num_rows:
+            names, at = np.unique(section.column("instrument").to_numpy(), return_inverse=True)
+            coded = section.column("factor_id").combine_chunks().dictionary_encode()
+            factor, known = coded.indices.to_numpy(), {f: i for i, f in enumerate(coded.dictionary.to_pylist())}
+            v, fwd = (section.column(c).to_numpy() for c in ("v", "fwd"))
+            units, times, best = np.zeros((len(known), len(names))), np.zeros((len(known), len(names)), np.int32), np.full((len(known), len(names)), -np.inf)
+            for i in known.values():
+                mine = factor == i
+                np.add.at(units[i], at[mine], (average_ranks(v[mine]) - 1) / max(mine.sum() - 1, 1))
+                np.add.at(times[i], at[mine], 1)
+                np.maximum.at(best[i], at[mine], fwd[mine])
+            blends: dict[str, list[tuple[str, float]]] = {}
+            for b, f, w in zip(*(wanted.column(c).to_pylist() for c in ("blend", "factor_id", "weight")), strict=True):
+                blends.setdefault(b, []).append((f, w))
+            returns: dict[tuple, tuple] = {}
+            for blend, parts in blends.items():
+                parts = sorted(parts)
+                use = tuple(known[f] for f, _ in parts if f in known)
+                if (use, len(parts)) not in returns:
+                    mask = np.flatnonzero(times[list(use)].sum(0) == len(parts)) if use else np.zeros(0, np.int64)
+                    rank = average_ranks(best[list(use)][:, mask].max(0)) if len(mask) else np.zeros(0)
+                    returns[use, len(parts)] = mask, rank - rank.mean() if len(mask) else rank
+                mask, rf = returns[use, len(parts)]
+                if len(mask) < 3:
                     continue
-                beta, mx, my = (np.array(c)[:, None] for c in zip(*[fits[f, factor, horizon] for f in folds], strict=True))
-                e = y - my - beta * (x - mx)
-                both = np.round(standard(x) + added * standard(e), 9)
-                count = max(1, math.ceil(len(ids) * fraction))
-                by_reference = np.lexsort((ids, x))
-                for k, fold in enumerate(folds):
-                    orders = by_reference, np.lexsort((ids, both[k]))
-                    tops, ends = [o[-count:] for o in orders], [o[:count] for o in orders]
-                    long = [fwd[t].mean() for t in tops]
-                    spread = [a - fwd[b].mean() for a, b in zip(long, ends, strict=True)]
-                    figures = e[k].sum(), fwd.sum(), x.sum(), e[k] @ e[k], fwd @ fwd, x @ x, e[k] @ fwd, x @ fwd
-                    rows.append((fold, factor, horizon, session, len(ids), *map(float, figures), *map(float, long), *map(float, spread), *[ids[t].tolist() for t in tops]))
-            if rows:
-                kinds = [pa.int64(), *[batch.schema.field(c).type for c in ("factor_id", "horizon", "session")], pa.int64(), *[pa.float64()] * (len(sums) + 4), *[pa.list_(pa.int64())] * 2]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
-
-    kinds = dict(sections.dtypes)
-    schema = "fold long, " + ", ".join(f"{c} {kinds[c]}" for c in ("factor_id", "horizon", "session")) + ", n long, " + ", ".join(f"{c} double" for c in (*sums, "ret_ref", "ret_aug", "ls_ref", "ls_aug")) + ", held_ref array<long>, held_aug array<long>"
-    return sections.mapInArrow(run, schema)
+                rv = average_ranks(np.round(sum(w * units[known[f]][mask] for f, w in parts if f in known), 9))
+                rv -= rv.mean()
+                spread = math.sqrt((rv @ rv) * (rf @ rf))
+                out["blend"].append(blend)
+                out["ic"].append(float(rv @ rf) / spread if spread else None)
+        n = len(out["blend"])
+        return pa.table([pa.array(out["blend"], pa.string()), *[pa.repeat(k, n).cast(pa.int64()) for k in key], pa.array(out["ic"], pa.float64())], names=["blend", "horizon", "sx", "ic"])
+
+    on = ["horizon", "sx"]
+    return rows.groupBy(*on).cogroup(need.groupBy(*on)).applyInArrow(run, "blend string, horizon long, sx long, ic double")

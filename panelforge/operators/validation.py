@@ -8,7 +8,7 @@ import math
 from pyspark.sql import DataFrame
 
 from panelforge.operators import models, order, splits
-from panelforge.operators.base import Dialect, Stage, operator
+from panelforge.operators.base import Dialect, Stage, operator, run
 from panelforge.operators.scores import REDUNDANCY
 from panelforge.operators.sqlkit import DAILY, RETURNS, avg_rank, r6, size, unit
 
@@ -143,6 +143,20 @@ k AS (SELECT blend, horizon, sx, {avg_rank('value', 'blend, horizon, sx')} AS rv
 SELECT blend, horizon, sx, corr(rv, rf) AS ic FROM k GROUP BY blend, horizon, sx HAVING count(*) >= 3"""
 
 
+def ranked_text(d: Dialect) -> str:
+    return "SELECT factor_id, horizon, sx, instrument, v, fwd FROM {obs}"
+
+
+def _blend_ics(rows: DataFrame, blends: DataFrame, weights: DataFrame, roles: DataFrame, **_: object) -> DataFrame:
+    need = """
+SELECT a.blend, a.horizon, a.sx, p.factor_id, p.weight FROM (SELECT DISTINCT b.blend, b.horizon, r.sx FROM {blends} AS b JOIN {roles} AS r ON r.fold = b.fold WHERE r.role = 'test') AS a
+JOIN (
+  SELECT b.blend, b.horizon, w.factor_id, max(w.weight) AS weight FROM {blends} AS b
+  JOIN {weights} AS w ON b.fold = w.fold AND b.horizon = w.horizon AND b.candidate = w.candidate AND b.scheme = w.scheme WHERE w.weight <> 0 GROUP BY b.blend, b.horizon, w.factor_id) AS p
+  ON p.blend = a.blend AND p.horizon = a.horizon"""
+    return models.blend_ics(rows, run(need, blends=blends, weights=weights, roles=roles))
+
+
 def tests_text(d: Dialect) -> str:
     """RankIC of every candidate on every test session of every fold, with that fold's weights."""
     return """
@@ -163,7 +177,7 @@ def fold_stages(g: int = G, k: int = K) -> dict[str, dict]:
     roles = {"roles": functools.partial(role_text, g=g, k=k)}
     scores = roles | {"daily": daily_text, "scores": scores_text}
     weights = scores | {"weights": weights_text}
-    blends = weights | {"blends": blends_text, "blend_ics": blend_ics_text}
+    blends = weights | {"blends": blends_text, "blend_ics": Stage(ranked_text, _blend_ics, blend_ics_text, ("blends", "weights", "roles"))}
     paths = blends | {"path_scores": functools.partial(path_scores_text, g=g, k=k)}
     halves = paths | {"splits": Stage(lambda d: "SELECT * FROM {path_scores}", functools.partial(splits.half_splits, paths=math.comb(g - 1, k - 1)), functools.partial(half_splits_text, g=g, k=k))}
     return {"roles": roles, "scores": scores, "weights": weights, "blends": blends, "splits": halves}
@@ -340,19 +354,20 @@ def calendar_text(blocks: int) -> str:
     return f"SELECT horizon, session, ntile({blocks}) OVER (PARTITION BY horizon ORDER BY session) AS block FROM (SELECT DISTINCT horizon, session FROM {{obs}}) AS s"
 
 
-@operator("j13_walk_forward", OBS)
+@operator("j13_walk_forward", OBS, by_section=True)
 def walk_forward(d: Dialect, blocks: int = 6) -> str:
     """For each horizon and block of time the factor with the best mean RankIC on all blocks before it."""
     return f"SELECT horizon, block, factor_id, {r6('past')} AS past, {r6('here')} AS realised FROM ({chosen_text(blocks)}) AS c"
 
 
-@operator("j13_walk_forward_signals", OBS)
+@operator("j13_walk_forward_signals", OBS, by_section=True)
 def walk_forward_signals(d: Dialect, blocks: int = 6) -> str:
     """What the selection trades: on every session of a block the signals of the block's factor, for the
     names that have all factors there."""
+    few = "/*+ BROADCAST(t), BROADCAST(c) */ " if d.name == "spark" else ""
     return f"""
-SELECT o.horizon, CAST(c.block AS BIGINT) AS block, o.factor_id, o.session, o.instrument, {r6('o.v')} AS signal, {r6('o.fwd')} AS fwd FROM (
-  SELECT n.*, count(*) OVER (PARTITION BY horizon, session, instrument) AS factors, w.wanted FROM {{obs}} AS n JOIN (SELECT horizon AS h, count(DISTINCT factor_id) AS wanted FROM {{obs}} GROUP BY horizon) AS w ON w.h = n.horizon) AS o
+SELECT {few}o.horizon, CAST(c.block AS BIGINT) AS block, o.factor_id, o.session, o.instrument, {r6('o.v')} AS signal, {r6('o.fwd')} AS fwd FROM (
+  SELECT {'/*+ BROADCAST(w) */ ' if few else ''}n.*, count(*) OVER (PARTITION BY horizon, session, instrument) AS factors, w.wanted FROM {{obs}} AS n JOIN (SELECT horizon AS h, count(DISTINCT factor_id) AS wanted FROM {{obs}} GROUP BY horizon) AS w ON w.h = n.horizon) AS o
 JOIN ({calendar_text(blocks)}) AS t ON t.horizon = o.horizon AND t.session = o.session
 JOIN ({chosen_text(blocks)}) AS c ON c.horizon = o.horizon AND c.block = t.block AND c.factor_id = o.factor_id WHERE o.factors = o.wanted"""
 
@@ -422,11 +437,6 @@ SELECT fold, factor_id, horizon, n, CASE WHEN sxx - sx1 * sx1 / n > 0 THEN (sxy
   JOIN {roles} AS r ON r.sx = s.sx WHERE r.role = 'train' GROUP BY r.fold, s.factor_id, s.horizon) AS t"""
 
 
-def packed_text(d: Dialect) -> str:
-    """One row for each candidate, horizon and session: its names in order with both values and the return."""
-    return "SELECT factor_id, horizon, session, sx, transform(z, c -> c.instrument) AS names, transform(z, c -> c.x) AS x, transform(z, c -> c.y) AS y, transform(z, c -> c.fwd) AS fwd FROM (SELECT factor_id, horizon, session, sx, array_sort(collect_list(struct(instrument, x, y, fwd))) AS z FROM {beside} AS w GROUP BY factor_id, horizon, session, sx) AS g"
-
-
 def sections_by_name_text(d: Dialect) -> str:
     """The same figures with a row for each name and fold."""
     part = "fold, factor_id, horizon, session"
@@ -450,7 +460,7 @@ FROM p GROUP BY {part}"""
 MARGINAL = ROLES | {
     "beside": beside_text,
     "betas": betas_text,
-    "sections": Stage(packed_text, functools.partial(models.marginal_sections, fraction=FRACTION, added=ADDED), sections_by_name_text, ("roles", "betas")),
+    "sections": Stage(lambda d: "SELECT factor_id, horizon, session, sx, instrument, x, y, fwd FROM {beside}", functools.partial(models.marginal_sections, fraction=FRACTION, added=ADDED), sections_by_name_text, ("roles", "betas")),
 }
 
 
@@ -461,8 +471,8 @@ def marginal(d: Dialect, cost: float = 0.001, complexity: float = 0.0) -> str:
     Each fold's train sessions give the regression of the candidate on the reference (from one row of
     sums per session); on its test sessions the residual is scored, and portfolios of the reference are
     held against those of reference and residual together, long and long-short: Sharpe, turnover,
-    drawdown and tail, and the utility of the long ones. A test session of a candidate is one row with
-    its names, ranked inside it for all folds that test it.
+    drawdown and tail, and the utility of the long ones. A test session of a candidate is one group,
+    ranked for all folds that test it.
     """
     key = "fold, factor_id, horizon, kind"
     kinds = {"reference": ("ret_ref", "held_ref"), "augmented": ("ret_aug", "held_aug"), "reference_ls": ("ls_ref", "held_ref"), "augmented_ls": ("ls_aug", "held_aug")}
