@@ -12,7 +12,7 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,6 +53,12 @@ class Dialect:
     """The few functions that Spark and DuckDB call differently."""
 
     name: str
+    #: Partitions for cross-sections that a query deals anew; 0 leaves it to the session.
+    sections: int = 0
+
+    def deal(self, columns: str) -> str:
+        """A hint that deals the selected rows by these columns."""
+        return f"/*+ REPARTITION({self.sections}, {columns}) */ " if self.sections else ""
 
     def percentile(self, value: str, p: float | str) -> str:
         return f"percentile({value}, {p})" if self.name == "spark" else f"quantile_cont({value}, {p})"
@@ -137,7 +143,7 @@ class Entry:
     stages: dict[str, Callable[[Dialect], str] | Stage] = field(default_factory=dict)
     by_section: bool = False
 
-    def run(self, frames: dict[str, DataFrame], **params: object) -> DataFrame:
+    def run(self, frames: dict[str, DataFrame], sections: int = 0, **params: object) -> DataFrame:
         """The query over its frames; its stages are written first, each as one more frame."""
         frames = dict(frames)
         for name, stage in self.stages.items():
@@ -145,7 +151,7 @@ class Entry:
                 frames[name] = written(stage.through(run(stage.rows(SPARK), **frames), **{m: frames[m] for m in stage.more}, **params))
             else:
                 frames[name] = written(run(stage(SPARK), **frames))
-        return widened(run(self.text(SPARK, **params), **frames))
+        return widened(run(self.text(replace(SPARK, sections=sections), **params), **frames))
 
 
 #: Registered operators by query name.

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from panelforge.operators.base import Dialect, operator
-from panelforge.operators.scores import REDUNDANCY
+from panelforge.operators.scores import redundancy_text
 from panelforge.operators.sqlkit import DAILY, XS, ordinal, r6, size, states_text
 from panelforge.operators.xs import bucket_text, winsor_z_text
 
@@ -113,10 +113,13 @@ SELECT factor_id, session, {r6('avg(CASE WHEN k > n - q THEN fwd END)')} AS long
   SELECT *, {ordinal('v')} AS k, {size()} AS n, greatest(1, floor({size()} * {fraction}e0)) AS q FROM ({ONE}) AS o) AS a GROUP BY factor_id, session"""
 
 
-@operator("k6_jaccard_turnover", OBS)
+@operator("k6_jaccard_turnover", OBS, by_section=True)
 def jaccard_turnover(d: Dialect, b: int = 10) -> str:
+    held = f"SELECT factor_id, instrument, i FROM (SELECT *, {ordinal('v', desc=True)} AS place, dense_rank() OVER (PARTITION BY factor_id ORDER BY session) AS i FROM ({ONE}) AS o) AS a WHERE place <= {b}"
+    if d.name == "spark":  # every session has a first name: numbered after the others have gone
+        held = f"SELECT factor_id, instrument, dense_rank() OVER (PARTITION BY factor_id ORDER BY session) AS i FROM (SELECT *, {ordinal('v', desc=True)} AS place FROM ({ONE}) AS o) AS a WHERE place <= {b}"
     return f"""
-WITH t AS (SELECT factor_id, instrument, i FROM (SELECT *, {ordinal('v', desc=True)} AS place, dense_rank() OVER (PARTITION BY factor_id ORDER BY session) AS i FROM ({ONE}) AS o) AS a WHERE place <= {b}), n AS (SELECT factor_id, i, count(*) AS c FROM t GROUP BY factor_id, i),
+WITH t AS ({held}), n AS (SELECT factor_id, i, count(*) AS c FROM t GROUP BY factor_id, i),
 s AS (SELECT a.factor_id, a.i, count(*) AS shared FROM t AS a JOIN t AS b ON a.factor_id = b.factor_id AND a.instrument = b.instrument AND b.i = a.i - 1 GROUP BY a.factor_id, a.i)
 SELECT n.factor_id, {r6('avg(1 - coalesce(shared, 0) / CAST(n.c + p.c - coalesce(shared, 0) AS DOUBLE))')} AS turnover FROM n JOIN n AS p ON p.factor_id = n.factor_id AND p.i = n.i - 1 LEFT JOIN s ON s.factor_id = n.factor_id AND s.i = n.i GROUP BY n.factor_id"""
 
@@ -235,7 +238,7 @@ SELECT factor_id, horizon, CASE WHEN days < 50 THEN 'data' WHEN k1 > {train_budg
 def prune(d: Dialect, limit: float = 0.3) -> str:
     """Dropped is any factor that correlates above the limit with a better-ranked one (dominance)."""
     return f"""
-WITH e AS (SELECT factor_id, horizon, ic, row_number() OVER (PARTITION BY horizon ORDER BY round(ic, 9) DESC, factor_id) AS k FROM ({_EVIDENCE}) AS x), r AS (SELECT fa AS a, fb AS b, horizon, rho FROM ({REDUNDANCY}) AS p UNION ALL SELECT fb, fa, horizon, rho FROM ({REDUNDANCY}) AS q)
+WITH e AS (SELECT factor_id, horizon, ic, row_number() OVER (PARTITION BY horizon ORDER BY round(ic, 9) DESC, factor_id) AS k FROM ({_EVIDENCE}) AS x), r AS (SELECT fa AS a, fb AS b, horizon, rho FROM ({redundancy_text(d)}) AS p UNION ALL SELECT fb, fa, horizon, rho FROM ({redundancy_text(d)}) AS q)
 SELECT e.horizon, e.factor_id, e.k AS place, max(CASE WHEN o.k < e.k AND abs(r.rho) > {limit} THEN 1 ELSE 0 END) = 1 AS dropped FROM e LEFT JOIN r ON r.a = e.factor_id AND r.horizon = e.horizon LEFT JOIN e AS o ON o.factor_id = r.b AND o.horizon = e.horizon GROUP BY e.horizon, e.factor_id, e.k"""
 
 

@@ -56,19 +56,21 @@ SELECT factor_id, horizon, 'all' AS slice, {r6('avg(rank_ic)')} AS mean_rank_ic,
 UNION ALL SELECT factor_id, horizon, CAST(year(session) AS {'STRING' if d.name == 'spark' else 'VARCHAR'}), {r6('avg(rank_ic)')}, count(*) FROM ({DAILY}) AS b GROUP BY factor_id, horizon, year(session)"""
 
 
-_PAIRS = """
-SELECT a.factor_id AS fa, b.factor_id AS fb, a.horizon AS horizon, a.session AS session, a.instrument AS instrument, a.v AS va, b.v AS vb
-FROM {obs} AS a JOIN {obs} AS b ON a.horizon = b.horizon AND a.session = b.session AND a.instrument = b.instrument AND a.factor_id < b.factor_id"""
-REDUNDANCY = f"""
+def redundancy_text(d: Dialect) -> str:
+    """Mean daily rank correlation of every pair of factors."""
+    pairs = f"""
+SELECT {d.deal('fa, fb, horizon, session')}a.factor_id AS fa, b.factor_id AS fb, a.horizon AS horizon, a.session AS session, a.instrument AS instrument, a.v AS va, b.v AS vb
+FROM {{obs}} AS a JOIN {{obs}} AS b ON a.horizon = b.horizon AND a.session = b.session AND a.instrument = b.instrument AND a.factor_id < b.factor_id"""
+    return f"""
 SELECT fa, fb, horizon, avg(rho) AS rho, count(*) AS days FROM (
-  SELECT fa, fb, horizon, session, corr(ra, rb) AS rho FROM (SELECT *, {avg_rank('va', 'fa, fb, horizon, session')} AS ra, {avg_rank('vb', 'fa, fb, horizon, session')} AS rb FROM ({_PAIRS}) AS p) AS q
+  SELECT fa, fb, horizon, session, corr(ra, rb) AS rho FROM (SELECT *, {avg_rank('va', 'fa, fb, horizon, session')} AS ra, {avg_rank('vb', 'fa, fb, horizon, session')} AS rb FROM ({pairs}) AS p) AS q
   GROUP BY fa, fb, horizon, session HAVING count(*) >= 3 AND min(va) < max(va) AND min(vb) < max(vb)) AS x GROUP BY fa, fb, horizon"""
 
 
 @operator("h6_redundancy", OBS)
 def redundancy(d: Dialect, limit: float = 0.7) -> str:
     """Mean daily rank correlation of every pair of factors, high ones flagged."""
-    return f"SELECT fa, fb, horizon, {r6('rho')} AS rho, days, abs(rho) > {limit} AS redundant FROM ({REDUNDANCY}) AS r"
+    return f"SELECT fa, fb, horizon, {r6('rho')} AS rho, days, abs(rho) > {limit} AS redundant FROM ({redundancy_text(d)}) AS r"
 
 
 @operator("h7_quantile_shape", OBS)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from panelforge.operators import models, order, splits
 from panelforge.operators.base import Dialect, Stage, operator, run
-from panelforge.operators.scores import REDUNDANCY
+from panelforge.operators.scores import redundancy_text
 from panelforge.operators.sqlkit import DAILY, RETURNS, avg_rank, r6, size, unit
 
 OBS = {"obs": "obs"}
@@ -515,7 +515,7 @@ def duplicate_matrix(d: Dialect, tags: dict = TAGS, pearson: float = 0.98, rank:
     return f"""
 WITH tag AS ({rows}), c AS (SELECT a.factor_id AS fa, b.factor_id AS fb, a.horizon AS horizon, count(*) AS cells, corr(a.v, b.v) AS ab, corr(a.v, ln(a.cap)) AS ac, corr(b.v, ln(a.cap)) AS bc FROM {{obs}} AS a JOIN {{obs}} AS b ON a.horizon = b.horizon AND a.session = b.session AND a.instrument = b.instrument AND a.factor_id < b.factor_id GROUP BY a.factor_id, b.factor_id, a.horizon),
 x AS (SELECT factor_id, horizon, coalesce(corr(v, ln(cap)), 0) AS e1, coalesce(corr(v, ln(adv)), 0) AS e2, coalesce(corr(v, CAST(grp AS DOUBLE)), 0) AS e3 FROM {{obs}} GROUP BY factor_id, horizon),
-s AS ({REDUNDANCY}), n AS (SELECT factor_id, count(*) AS n FROM tag GROUP BY factor_id), t AS (SELECT a.factor_id AS fa, b.factor_id AS fb, count(*) AS shared FROM tag AS a JOIN tag AS b ON a.tag = b.tag AND a.factor_id < b.factor_id GROUP BY a.factor_id, b.factor_id),
+s AS ({redundancy_text(d)}), n AS (SELECT factor_id, count(*) AS n FROM tag GROUP BY factor_id), t AS (SELECT a.factor_id AS fa, b.factor_id AS fb, count(*) AS shared FROM tag AS a JOIN tag AS b ON a.tag = b.tag AND a.factor_id < b.factor_id GROUP BY a.factor_id, b.factor_id),
 f AS (SELECT c.fa, c.fb, c.horizon, c.cells, c.ab, s.rho, (c.ab - c.ac * c.bc) / nullif(sqrt((1 - c.ac * c.ac) * (1 - c.bc * c.bc)), 0) AS rest, (xa.e1 * xb.e1 + xa.e2 * xb.e2 + xa.e3 * xb.e3) / nullif(sqrt((xa.e1 * xa.e1 + xa.e2 * xa.e2 + xa.e3 * xa.e3) * (xb.e1 * xb.e1 + xb.e2 * xb.e2 + xb.e3 * xb.e3)), 0) AS cosine,
   coalesce(t.shared, 0) / CAST(coalesce(na.n, 0) + coalesce(nb.n, 0) - coalesce(t.shared, 0) AS DOUBLE) AS jaccard FROM c JOIN s ON s.fa = c.fa AND s.fb = c.fb AND s.horizon = c.horizon JOIN x AS xa ON xa.factor_id = c.fa AND xa.horizon = c.horizon JOIN x AS xb ON xb.factor_id = c.fb AND xb.horizon = c.horizon LEFT JOIN n AS na ON na.factor_id = c.fa LEFT JOIN n AS nb ON nb.factor_id = c.fb LEFT JOIN t ON t.fa = c.fa AND t.fb = c.fb)
 SELECT fa, fb, horizon, cells, {r6('ab')} AS pearson, {r6('rho')} AS spearman, {r6('rest')} AS residual_pearson, {r6('cosine')} AS exposure_cosine, {r6('jaccard')} AS tag_jaccard,

@@ -31,11 +31,12 @@ def _query(name: str) -> Query:
         frames = {k: _frame(spark, sf_dir, p) for k, p in entry.frames.items() if p != "cands"}
         if len(entry.stages) > 2 and "obs" in frames:  # read by most stages: derived and written once
             frames["obs"] = written(frames["obs"])
-        elif entry.by_section and entry.frames["obs"] == "obs" and (n := panels.partitions(_frame(spark, sf_dir, "lineitem"))):
+        n = panels.partitions(_frame(spark, sf_dir, "lineitem")) if entry.frames.get("obs") == "obs" else None
+        if entry.by_section and n:
             frames["obs"] = panels.sections(frames["obs"], n)
         if "cands" in entry.frames:
             frames["cands"] = panels.candidates(frames["obs"])
-        return entry.run(frames, **entry.params)
+        return entry.run(frames, n or 0, **entry.params)
 
     return query
 

@@ -4,11 +4,13 @@ import contextlib
 import io
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
 
-from panelforge.operators import models, scores, validation
+from panelforge.operators import models, portfolio, scores, validation
+from panelforge.operators.base import SPARK
 from panelforge.sources import panels
 
 
@@ -75,3 +77,13 @@ def test_a_count_of_lines_gives_the_partitions(spark, monkeypatch):
     assert panels.partitions(lines) is None
     monkeypatch.setattr(panels, "ROWS", 100)
     assert panels.partitions(lines) == 10 and panels.dealt(lines, 10, "id").rdd.getNumPartitions() == 10
+
+
+def test_pairs_are_dealt_by_cross_section():
+    text = scores.redundancy_text(replace(SPARK, sections=7))
+    assert "REPARTITION(7, fa, fb, horizon, session)" in text and "REPARTITION" not in scores.redundancy_text(SPARK)
+
+
+def test_only_names_held_are_numbered_by_session():
+    text = portfolio.jaccard_turnover.text(SPARK)
+    assert text.index("dense_rank") < text.index("AS place FROM")
