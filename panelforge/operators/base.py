@@ -125,13 +125,16 @@ SPARK, DUCK = Dialect("spark"), Dialect("duckdb")
 class Stage:
     """A stage whose rows pass through a function of the DataFrame; DuckDB gets all of it as SQL.
 
-    more names frames and earlier stages that the function takes as well, by these names.
+    more names frames and earlier stages that the function takes as well, by these names. A stage without
+    duck is Spark's alone: DuckDB's text of the operator does without it. stored=False leaves a stage that
+    is read once to the plan of the result.
     """
 
     rows: Callable[..., str]
     through: Callable[..., DataFrame]
-    duck: Callable[..., str]
+    duck: Callable[..., str] | None
     more: tuple[str, ...] = ()
+    stored: bool = True
 
 
 @dataclass
@@ -148,7 +151,8 @@ class Entry:
         frames = dict(frames)
         for name, stage in self.stages.items():
             if isinstance(stage, Stage):
-                frames[name] = written(stage.through(run(stage.rows(SPARK), **frames), **{m: frames[m] for m in stage.more}, **params))
+                rows = stage.through(run(stage.rows(SPARK), **frames), **{m: frames[m] for m in stage.more}, **params)
+                frames[name] = written(rows) if stage.stored else rows
             else:
                 frames[name] = written(run(stage(SPARK), **frames))
         return widened(run(self.text(replace(SPARK, sections=sections), **params), **frames))
@@ -186,8 +190,9 @@ def duck_text(entry: Entry, panels: dict[str, str], needs: dict[str, list[str]])
         for p in [*needs.get(panel, []), panel]:
             if p not in wanted:
                 wanted.append(p)
-    names = entry.frames | {s: s for s in entry.stages}
+    stages = {s: t for s, t in entry.stages.items() if not isinstance(t, Stage) or t.duck}
+    names = entry.frames | {s: s for s in stages}
     named = lambda t: re.sub(r"\{(\w+)\}", lambda m: names[m[1]], t)
     text = named(entry.text(DUCK, **entry.params))
-    tables = ", ".join([f"{p} AS MATERIALIZED ({panels[p]})" for p in wanted if p in panels] + [f"{s} AS MATERIALIZED ({named(t.duck(DUCK, **entry.params) if isinstance(t, Stage) else t(DUCK))})" for s, t in entry.stages.items()])
+    tables = ", ".join([f"{p} AS MATERIALIZED ({panels[p]})" for p in wanted if p in panels] + [f"{s} AS MATERIALIZED ({named(t.duck(DUCK, **entry.params) if isinstance(t, Stage) else t(DUCK))})" for s, t in stages.items()])
     return f"WITH {tables} SELECT * FROM ({text}) AS result" if tables else text

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import functools
 
+from pyspark.sql import DataFrame
+
 from panelforge.operators import linear
 from panelforge.operators.base import Dialect, Stage, operator
 from panelforge.operators.sqlkit import r6
@@ -127,10 +129,19 @@ SELECT cov.fold, cov.horizon, cov.n, [{', '.join(f'm{i}' for i in n)}] AS means,
 FROM cov JOIN it ON {on('cov', 'it')} AND it.k = {linear.POWER_STEPS} JOIN (SELECT fold, horizon, list([{', '.join(f'b{i}' for i in n)}] ORDER BY j) AS centres FROM b{linear.CLUSTER_STEPS} GROUP BY fold, horizon) AS c ON {on('cov', 'c')}"""
 
 
+def _wide(d: Dialect) -> str:
+    return "SELECT * FROM {wide}"
+
+
+def _held_out(wide: DataFrame, roles: DataFrame, limits: DataFrame, states: DataFrame, least_members: int = MEMBERS, least_names: int = NAMES) -> DataFrame:
+    return linear.neutral_sections(wide, roles, limits, states, len(EXPOSURES), least_members, least_names)
+
+
 RISK = ROLES | {
     "wide": exposures_text,
-    "limits": Stage(train_exposures_text, linear.robust_limits, limits_text),
-    "states": Stage(lambda d: "SELECT * FROM {wide}", lambda wide, roles, limits: linear.risk_states(wide, roles, limits, len(EXPOSURES), CLUSTERS), states_text, ("roles", "limits")),
+    "limits": Stage(_wide, lambda wide, roles, **_: linear.robust_limits(wide, roles, len(EXPOSURES)), limits_text, ("roles",)),
+    "states": Stage(_wide, lambda wide, roles, limits, **_: linear.risk_states(wide, roles, limits, len(EXPOSURES), CLUSTERS), states_text, ("roles", "limits")),
+    "held_out": Stage(_wide, _held_out, None, ("roles", "limits", "states"), stored=False),
 }
 
 
@@ -143,12 +154,14 @@ def component_and_cluster(d: Dialect, least_members: int = MEMBERS, least_names:
     with an intercept, and its cluster's mean is taken off, or the session's where the cluster has fewer
     than least_members there. Sessions under least_names names are skipped.
     """
+    if d.name == "spark":  # a session is one group for all folds that test it
+        return f"SELECT fold, horizon, session, instrument, {r6('pc')} AS pc, cluster, {r6('pca_neutral')} AS pca_neutral, {r6('cluster_neutral')} AS cluster_neutral FROM {{held_out}}"
     n = range(1, len(EXPOSURES) + 1)
-    first = 0 if d.name == "spark" else 1
+    first = 1
     score = " + ".join(f"(z{i} - s.means[{i - 1 + first}]) * s.loadings[{i - 1 + first}]" for i in n)
     centre = lambda j: " + ".join(f"(z{i} - s.centres[{j + first}][{i - 1 + first}]) * (z{i} - s.centres[{j + first}][{i - 1 + first}])" for i in n)
     distances = d.array_of(*[centre(j) for j in range(CLUSTERS)])
-    place = "array_position(ds, array_min(ds)) - 1" if d.name == "spark" else "list_position(ds, list_min(ds)) - 1"
+    place = "list_position(ds, list_min(ds)) - 1"
     part = "fold, horizon, session"
     return f"""
 WITH t AS ({scaled_text('test')}),
