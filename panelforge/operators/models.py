@@ -130,6 +130,49 @@ def marginal_sections(rows: DataFrame, roles: DataFrame, betas: DataFrame, fract
     return rows.groupBy(*keys).applyInArrow(run, schema)
 
 
+def slices(rows: DataFrame, kinds: dict[str, str], b: int, parts: int = 3) -> DataFrame:
+    """A row for each of the equal parts of every cross-section by size, liquidity ... (kinds: name and column).
+
+    Rows are (factor_id, horizon, session, instrument, v, fwd, prior_amount) with the columns of kinds; a
+    cross-section is one group. n names with their mean return (market) and RankIC (three names and spread at
+    least, else null), the first of them in the order that cuts the parts, and the b largest v, held.
+    """
+    types = dict(rows.dtypes)
+    schema = f"base string, factor_id string, kind string, slice long, horizon {types['horizon']}, session {types['session']}, n long, market double, rank_ic double, first_x double, first_name {types['instrument']}, held array<struct<instrument {types['instrument']}, fwd double, prior_amount double>>"
+
+    def ordered(x: pa.ChunkedArray) -> np.ndarray:
+        return x.fill_null(-np.inf).to_numpy()
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        factor, horizon, session = (k.as_py() for k in key)
+        group = group.combine_chunks()
+        ids, n, out = group.column("instrument").to_numpy(), group.num_rows, []
+        v, fwd = ordered(group.column("v")), group.column("fwd").to_numpy()
+        best = np.lexsort((ids, -v))
+        for kind, column in kinds.items():
+            by = np.lexsort((ids, ordered(group.column(column))))
+            cut = np.empty(n, np.int64)
+            cut[by] = np.floor(np.arange(n) * parts / n)
+            for k in range(parts):
+                mine = np.flatnonzero(cut == k)
+                if not len(mine):
+                    continue
+                x, y, first = v[mine], fwd[mine], by[cut[by].searchsorted(k)]
+                ic = None
+                if len(mine) >= 3 and x.min() < x.max() and y.min() < y.max():
+                    rx, ry = (r - r.mean() for r in (average_ranks(x), average_ranks(y)))
+                    ic = float(rx @ ry / math.sqrt((rx @ rx) * (ry @ ry)))
+                held = group.select(["instrument", "fwd", "prior_amount"]).take(pa.array(best[cut[best] == k][:b])).to_pylist()
+                out.append((factor, f"{factor}|{kind}|{k + 1}", kind, k + 1, horizon, session, len(mine), float(y.mean()), ic, group.column(column)[int(first)].as_py(), int(ids[first]), held))
+        fields = [group.schema.field(c).type for c in ("horizon", "session", "instrument")]
+        row = pa.struct([("instrument", fields[2]), ("fwd", pa.float64()), ("prior_amount", pa.float64())])
+        arrow = [pa.string(), pa.string(), pa.string(), pa.int64(), fields[0], fields[1], pa.int64(), pa.float64(), pa.float64(), pa.float64(), fields[2], pa.list_(row)]
+        names = ["base", "factor_id", "kind", "slice", "horizon", "session", "n", "market", "rank_ic", "first_x", "first_name", "held"]
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), arrow, strict=True)], names=names)
+
+    return rows.groupBy("factor_id", "horizon", "session").applyInArrow(run, schema)
+
+
 def average_ranks(v: np.ndarray) -> np.ndarray:
     """Ranks from 1, equal values sharing the mean of their places."""
     order = np.argsort(v, kind="stable")

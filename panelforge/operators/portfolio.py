@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from panelforge.operators.base import Dialect, operator
+from pyspark.sql import DataFrame
+
+from panelforge.operators import models
+from panelforge.operators.base import Dialect, Stage, operator
 from panelforge.operators.scores import redundancy_text
 from panelforge.operators.sqlkit import DAILY, XS, ordinal, r6, size, states_text
 from panelforge.operators.xs import bucket_text, winsor_z_text
@@ -38,7 +41,7 @@ def money(x: str, places: int = 2) -> str:
     return f"floor(({x} + {unit // 2}) / {unit}e0) / {10**places}e0 + 0.0"
 
 
-def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tuple = (1e6,), parts: tuple = (0.1,), gate: tuple | None = None, hold: bool = False, base: str = "rev5", cost: float = COST) -> str:
+def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tuple = (1e6,), parts: tuple = (0.1,), gate: tuple | None = None, hold: bool = False, base: str = "rev5", cost: float = COST, ranked: str = "", counted: str = "") -> str:
     """Cohorts of every factor and horizon over a grid of breadths, NAVs and participations, in one plan.
 
     A factor with labels over h sessions has h staggered offsets; each cohort puts 1 / h of the NAV into
@@ -48,7 +51,9 @@ def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tu
     whose session's regime is not one of gate (or not known) is flat, or holds everything alike. What could
     not be placed (clipped) is counted in millionths, see money. Turnover is half the sum of weight changes
     against the offset's last cohort: a name that is held again changes by the difference, one that is
-    not held again leaves in the next cohort; a window over the name's own rows tells which.
+    not held again leaves in the next cohort; a window over the name's own rows tells which. ranked and
+    counted stand for the ranked rows and the sizes and markets of the cross-sections where these are known,
+    the latter few enough for every task.
     """
     raw = {"BUY": "CASE WHEN down <= b THEN 1e0 / b END", "AVOID": "CASE WHEN up > b THEN 1e0 / (n - b) END", "TIMING": "CASE WHEN base_down <= b AND v >= threshold THEN 1e0 / b END"}[mode]
     timing, joined, active = "", "", "TRUE"
@@ -57,6 +62,9 @@ def events_text(d: Dialect, breadths: tuple = (10,), mode: str = "BUY", navs: tu
         joined = f"LEFT JOIN ({states_text()}) AS st ON st.session = c.session"
     if mode == "TIMING":
         timing = f", max(CASE WHEN factor_id = '{base}' THEN down END) OVER (PARTITION BY horizon, session, instrument) AS base_down, max(CASE WHEN up = floor(n_own / 2e0) + 1 THEN v END) OVER (PARTITION BY {XS}) AS threshold"
+    ranked = ranked or f"SELECT *{timing} FROM (SELECT *, {ordinal('v', desc=True)} AS down, {ordinal('v')} AS up, {size()} AS n_own FROM {{obs}}) AS x"
+    few = "/*+ BROADCAST(c) */ " if counted else ""
+    counted = counted or "SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) AS market FROM {obs} GROUP BY factor_id, horizon, session"
     return f"""
 SELECT {EVENT_KEYS}, offset_no, seq, max(session) AS session, max(CASE WHEN active THEN 1 ELSE 0 END) = 1 AS active, sum(ret) - max(market) AS gross, sum(abs(dw)) / 2 AS turnover, sum(ret) - max(market) - {cost}e0 * sum(abs(dw)) / 2 AS net,
   sum(clipped) AS clipped, CAST(sum(CASE WHEN clipped > 0 THEN 1 ELSE 0 END) AS BIGINT) AS clipped_orders FROM (
@@ -64,13 +72,13 @@ SELECT {EVENT_KEYS}, offset_no, seq, max(session) AS session, max(CASE WHEN acti
     CASE WHEN k = 1 THEN -w WHEN seq_before = seq - 1 THEN w - w_before ELSE w END AS dw FROM (
     SELECT *, lag(seq, 1) OVER kept AS seq_before, lag(w, 1) OVER kept AS w_before, lead(seq, 1) OVER kept AS seq_after FROM (
       SELECT *, least(nav / horizon * w0, coalesce(prior_amount, 0) * part) / nav AS w, CAST(round(greatest(nav / horizon * w0 - coalesce(prior_amount, 0) * part, 0e0) * 1e6) AS BIGINT) AS clipped FROM (
-        SELECT o.factor_id, o.horizon, o.session, o.instrument, o.fwd, o.prior_amount, o.down, c.b, c.offset_no, c.seq, c.active, c.market / o.horizon AS market,
+        SELECT {few}o.factor_id, o.horizon, o.session, o.instrument, o.fwd, o.prior_amount, o.down, c.b, c.offset_no, c.seq, c.active, c.market / o.horizon AS market,
           coalesce(CASE WHEN c.active THEN {raw} WHEN {str(hold).upper()} THEN 1e0 / n END, 0e0) AS w0 FROM (
-          SELECT *{timing} FROM (SELECT *, {ordinal('v', desc=True)} AS down, {ordinal('v')} AS up, {size()} AS n_own FROM {{obs}}) AS x) AS o
+          {ranked}) AS o
         JOIN (
           SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, offset_no, b ORDER BY session) - 1 AS seq FROM (
             SELECT *, (row_number() OVER (PARTITION BY factor_id, horizon ORDER BY session) - 1) % horizon AS offset_no FROM (
-              SELECT c.*, {active} AS active FROM (SELECT factor_id, horizon, session, count(*) AS n, avg(fwd) AS market FROM {{obs}} GROUP BY factor_id, horizon, session) AS c {joined}) AS c0) AS c1 {d.explode(d.array(list(breadths)), 'b')} WHERE n > b) AS c
+              SELECT c.*, {active} AS active FROM ({counted}) AS c {joined}) AS c0) AS c1 {d.explode(d.array(list(breadths)), 'b')} WHERE n > b) AS c
         ON c.factor_id = o.factor_id AND c.horizon = o.horizon AND c.session = o.session) AS weighted {d.explode(d.doubles(navs), 'nav')} {d.explode(d.doubles(parts), 'part')} WHERE w0 > 0 OR down = 1) AS executed
     WINDOW kept AS (PARTITION BY {EVENT_KEYS}, offset_no, instrument ORDER BY seq)) AS walked {d.explode(d.array([0, 1]), 'k')} WHERE k = 0 OR (w > 0 AND seq_after IS DISTINCT FROM seq + 1)) AS moved
 GROUP BY {EVENT_KEYS}, offset_no, seq HAVING max(session) IS NOT NULL"""
@@ -167,16 +175,45 @@ def sliced_text() -> str:
     return f"SELECT * FROM ({kinds}) AS u"
 
 
-@operator("k9_cohorts_by_slice", OBS)
+def slice_rows_text(d: Dialect) -> str:
+    return "SELECT factor_id, horizon, session, instrument, v, fwd, prior_amount, cap, adv FROM {obs}"
+
+
+def _slices(rows: DataFrame, b: int = 3) -> DataFrame:
+    return models.slices(rows, {"size": "cap", "liquidity": "adv"}, b)
+
+
+def sliced_events(d: Dialect, b: int) -> tuple[str, str]:
+    """The cohorts and the control of sliced_text, from one row for each slice of a cross-section.
+
+    The best names are in that row. The control holds every name: rows stay where they are, by instrument,
+    and find their slices by the first name of each.
+    """
+    counted = "SELECT factor_id, horizon, session, n, market FROM {slices}"
+    best = "SELECT factor_id, horizon, session, z.instrument, z.fwd, z.prior_amount, i + 1 AS down FROM {slices} LATERAL VIEW posexplode(held) AS i, z"
+    first = lambda kind, k: f"max(CASE WHEN kind = '{kind}' AND slice = {k} THEN named_struct('x', first_x, 'i', first_name) END) AS {kind}{k}"
+    marks = f"SELECT base, horizon, session, {', '.join(first(kind, k) for kind in ('size', 'liquidity') for k in (2, 3))} FROM {{slices}} GROUP BY base, horizon, session"
+    within = lambda kind, x: f"concat(o.factor_id, '|{kind}|', CASE WHEN named_struct('x', {x}, 'i', o.instrument) >= m.{kind}3 THEN 3 WHEN named_struct('x', {x}, 'i', o.instrument) >= m.{kind}2 THEN 2 ELSE 1 END)"
+    rows = f"SELECT /*+ BROADCAST(m) */ o.horizon, o.session, o.instrument, o.fwd, o.prior_amount, array({within('size', 'o.cap')}, {within('liquidity', 'o.adv')}) AS ids FROM {{obs}} AS o JOIN ({marks}) AS m ON m.base = o.factor_id AND m.horizon = o.horizon AND m.session = o.session"
+    everyone = f"SELECT factor_id, horizon, session, instrument, fwd, prior_amount, 1 AS down, 1 AS up FROM ({rows}) AS r LATERAL VIEW explode(ids) AS factor_id"
+    return events_text(d, (b,), ranked=best, counted=counted), events_text(d, (0,), "AVOID", ranked=everyone, counted=counted)
+
+
+@operator("k9_cohorts_by_slice", OBS, {"slices": Stage(slice_rows_text, _slices, None)})
 def cohorts_by_slice(d: Dialect, b: int = 3) -> str:
     """Cohorts (K3), their offset paths against the control (K5) and RankIC (H1) in each third of size and liquidity."""
     within = lambda text: text.replace("{obs}", f"({sliced_text()})")
+    if d.name == "spark":
+        events, control = sliced_events(d, b)
+        daily = "SELECT factor_id, horizon, rank_ic FROM {slices} WHERE rank_ic IS NOT NULL"
+    else:
+        events, control, daily = within(events_text(d, (b,))), within(control_text(d)), within(DAILY)
     return f"""
-WITH e AS ({within(events_text(d, (b,)))}), c AS ({within(control_text(d))}),
+WITH e AS ({events}), c AS ({control}),
 p AS (SELECT e.factor_id, e.horizon, e.offset_no, avg(e.net - c.net) / nullif(stddev_samp(e.net - c.net), 0) AS sharpe FROM e JOIN c ON c.factor_id = e.factor_id AND c.horizon = e.horizon AND c.session = e.session GROUP BY e.factor_id, e.horizon, e.offset_no),
 k AS (SELECT factor_id, horizon, count(*) AS cohorts, avg(net) AS net, avg(turnover) AS turnover FROM e GROUP BY factor_id, horizon),
 q AS (SELECT factor_id, horizon, {d.percentile('sharpe', 0.5)} AS median_path, CAST(sum(CASE WHEN sharpe > 0 THEN 1 ELSE 0 END) AS BIGINT) AS positive_paths FROM p GROUP BY factor_id, horizon),
-i AS (SELECT factor_id, horizon, avg(rank_ic) AS rank_ic FROM ({within(DAILY)}) AS d GROUP BY factor_id, horizon)
+i AS (SELECT factor_id, horizon, avg(rank_ic) AS rank_ic FROM ({daily}) AS d GROUP BY factor_id, horizon)
 SELECT k.factor_id, k.horizon, cohorts, {r6('net')} AS mean_net, {r6('turnover')} AS turnover, {r6('median_path')} AS median_path_sharpe, positive_paths, {r6('rank_ic')} AS mean_rank_ic
 FROM k JOIN q ON q.factor_id = k.factor_id AND q.horizon = k.horizon JOIN i ON i.factor_id = k.factor_id AND i.horizon = k.horizon"""
 

@@ -8,9 +8,11 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from panelforge.operators import models, portfolio, scores, validation
-from panelforge.operators.base import SPARK
+from panelforge.operators.base import SPARK, run
+from panelforge.operators.sqlkit import DAILY
 from panelforge.sources import panels
 
 
@@ -87,3 +89,19 @@ def test_pairs_are_dealt_by_cross_section():
 def test_only_names_held_are_numbered_by_session():
     text = portfolio.jaccard_turnover.text(SPARK)
     assert text.index("dense_rank") < text.index("AS place FROM")
+
+
+def test_slices_keep_the_cohorts_and_the_control_of_whole_sections(spark, sf_dir):
+    obs = panels.SPARK["obs"](spark, sf_dir).where("instrument % 3 < 2 OR sx % 7 > 0").withColumn("cap", F.floor(F.col("cap") / 2000).cast("double")).cache()
+    slices = portfolio._slices(run(portfolio.slice_rows_text(SPARK), obs=obs), 2).cache()
+    plain = portfolio.events_text(SPARK, (2,)), portfolio.control_text(SPARK)
+    for new, old in zip(portfolio.sliced_events(SPARK, 2), plain, strict=True):
+        rounded = [F.round(c, 9).alias(c) for c in ("gross", "turnover", "net")]
+        keys = ["factor_id", "horizon", "b", "offset_no", "seq", "session", "active", "clipped", "clipped_orders"]
+        a, b = (x.select(*keys, *rounded) for x in (run(new, obs=obs, slices=slices), run(old.replace("{obs}", f"({portfolio.sliced_text()})"), obs=obs)))
+        assert b.count() > 100 and a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    dealt = plan(run(portfolio.sliced_events(SPARK, 2)[1], obs=obs.repartition("instrument"), slices=slices))
+    assert not re.search(r"hashpartitioning\([^)]*offset_no[^)]*instrument", dealt)
+    ics = run(f"SELECT factor_id, horizon, session, round(rank_ic, 9) AS ic FROM ({DAILY})".replace("{obs}", f"({portfolio.sliced_text()})"), obs=obs)
+    found = slices.where("rank_ic IS NOT NULL").selectExpr("factor_id", "horizon", "session", "round(rank_ic, 9) AS ic")
+    assert ics.exceptAll(found).isEmpty() and found.exceptAll(ics).isEmpty()
