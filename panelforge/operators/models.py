@@ -42,36 +42,71 @@ PRIME, BY_NAME, BY_REP, BY_SESSION, BY_METHOD, BY_SEED = 2147483647, 48271, 6962
 PLACE_BITS = 24
 
 
-def shuffled_ics(sections: DataFrame, reps: int = 199, seed: int = 7) -> DataFrame:
+def _folded(x: np.ndarray) -> np.ndarray:
+    """x modulo PRIME, 2^31 - 1, for x from 0 below 2^62, without a division."""
+    x = (x & PRIME) + (x >> 31)
+    x = (x & PRIME) + (x >> 31)
+    return np.where(x >= PRIME, x - PRIME, x)
+
+
+def shuffled_ics(rows: DataFrame, reps: int = 199, seed: int = 7) -> DataFrame:
     """(factor_id, horizon, session, method, rep, ic): RankICs of cross-sections with one side shuffled.
 
-    A cross-section is one row with its names in order and both ranks; method 0 shuffles the returns,
-    1 the signals, by squares modulo a prime. A constant side gives no ic.
+    Rows are (factor_id, horizon, session, sx, instrument, v, fwd). Method 0 shuffles the returns, 1 the
+    signals, by squares modulo a prime; repetition 0 is the cross-section as it is. A constant side gives
+    no ic. A session is one group: the order of a repetition depends on names and session only, so names are
+    sorted once for all factors and horizons, and a cross-section takes its own names out of that order.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rep = np.arange(1, reps + 1, dtype=np.int64)[:, None]
-        for batch in batches:
-            sides = {c: batch.column(c) for c in ("names", "rv", "rf")}
-            flat = {c: x.values.to_numpy(zero_copy_only=False) for c, x in sides.items()}
-            cuts, sx = {c: x.offsets.to_numpy() for c, x in sides.items()}, batch.column("sx").to_pylist()
-            for i in range(batch.num_rows):
-                names, rv, rf = (flat[c][cuts[c][i] : cuts[c][i + 1]] for c in sides)
-                if len(names) >> PLACE_BITS:
-                    raise ValueError(f"a cross-section of {len(names)} names is too large to be shuffled in one row")
-                place, spread = np.arange(len(names)), math.sqrt(rv.var() * rf.var())
-                for method, still, moved in ((0, rv, rf), (1, rf, rv)):
-                    first = (names * BY_NAME + rep * BY_REP + sx[i] * BY_SESSION + method * BY_METHOD + seed * BY_SEED) % PRIME
-                    second = first * first % PRIME + rep
-                    # The place stands in the low bits: one sort gives the order, ties by name.
-                    order = np.sort((second * second % PRIME) << PLACE_BITS | place, axis=1) & ((1 << PLACE_BITS) - 1)
-                    ic = (moved[order] @ still / len(names) - rv.mean() * rf.mean()) / spread if spread else np.full(reps, np.nan)
-                    keys = [pa.repeat(batch.column(c)[i], reps) for c in ("factor_id", "horizon", "session")]
-                    yield pa.RecordBatch.from_arrays([*keys, pa.array([method] * reps, pa.int32()), pa.array(rep[:, 0].astype(np.int32)), pa.array(ic, from_pandas=True)], names=["factor_id", "horizon", "session", "method", "rep", "ic"])
-
-    kinds = dict(sections.dtypes)
+    kinds = dict(rows.dtypes)
     schema = ", ".join(f"{c} {kinds[c]}" for c in ("factor_id", "horizon", "session")) + ", method int, rep int, ic double"
-    return sections.mapInArrow(run, schema)
+
+    def ordered(x: pa.ChunkedArray) -> np.ndarray:
+        return np.nan_to_num(x.cast(pa.float64()).fill_null(-np.inf).to_numpy(), nan=np.inf, posinf=np.inf, neginf=-np.inf)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        sx = key[1].as_py()
+        group = group.combine_chunks()
+        names, at = np.unique(group.column("instrument").to_numpy(), return_inverse=True)
+        if len(names) >> PLACE_BITS:
+            raise ValueError(f"a session of {len(names)} names is too large to be shuffled in one group")
+        v, fwd = ordered(group.column("v")), ordered(group.column("fwd"))
+        factor = group.column("factor_id").combine_chunks().dictionary_encode()
+        horizon = group.column("horizon").combine_chunks().dictionary_encode()
+        code = factor.indices.to_numpy() * len(horizon.dictionary) + horizon.indices.to_numpy()
+        same: dict[bytes, tuple[np.ndarray | None, list]] = {}
+        for c in np.unique(code).tolist():
+            mine = np.flatnonzero(code == c)
+            mine = mine[np.argsort(at[mine], kind="stable")]
+            ranks = [average_ranks(x[mine]) for x in (v, fwd)]
+            ranks = [r - r.mean() for r in ranks]
+            spread = math.sqrt((ranks[0] @ ranks[0]) * (ranks[1] @ ranks[1]))
+            seat = np.full(len(names), -1, np.int64)
+            seat[at[mine]] = np.arange(len(mine))
+            whole = None if len(mine) == len(names) else seat
+            same.setdefault(b"" if whole is None else seat.tobytes(), (whole, []))[1].append((c, ranks, spread))
+        out: list[tuple] = [(c, 0, 0, float(r[0] @ r[1]) / s if s else None) for _, sections in same.values() for c, r, s in sections]
+        mixed = _folded((names * BY_NAME) % PRIME)
+        places = np.arange(len(names))
+        for method in (0, 1):
+            for rep in range(1, reps + 1):
+                first = _folded(mixed + (rep * BY_REP + sx * BY_SESSION + method * BY_METHOD + seed * BY_SEED) % PRIME)
+                second = _folded(first * first) + rep
+                # The place stands in the low bits: one sort gives the order, ties by name.
+                order = np.sort(_folded(second * second) << PLACE_BITS | places) & ((1 << PLACE_BITS) - 1)
+                for seat, sections in same.values():
+                    taken = order
+                    if seat is not None:
+                        taken = seat[order]
+                        taken = taken[taken >= 0]
+                    for c, (rv, rf), spread in sections:
+                        moved, still = (rf, rv) if method == 0 else (rv, rf)
+                        out.append((c, method, rep, float(moved[taken] @ still) / spread if spread else None))
+        found, method, rep, ic = zip(*out, strict=True)
+        found = np.array(found)
+        which = [d.dictionary.take(pa.array(i)) for d, i in ((factor, found // len(horizon.dictionary)), (horizon, found % len(horizon.dictionary)))]
+        return pa.table([*which, pa.repeat(key[0], len(ic)).cast(group.schema.field("session").type), pa.array(method, pa.int32()), pa.array(rep, pa.int32()), pa.array(ic, pa.float64())], names=["factor_id", "horizon", "session", "method", "rep", "ic"])
+
+    return rows.groupBy("session", "sx").applyInArrow(run, schema)
 
 
 def marginal_sections(rows: DataFrame, roles: DataFrame, betas: DataFrame, fraction: float = 0.2, added: float = 0.5) -> DataFrame:

@@ -300,9 +300,8 @@ SELECT count(*) AS splits, {r6('avg(CASE WHEN r / (n + 1) <= 0.5 THEN 1e0 ELSE 0
 _RANKED = f"SELECT factor_id, horizon, session, sx, instrument, {avg_rank('v')} AS rv, {avg_rank('fwd')} AS rf FROM {{obs}}"
 
 
-def sections_text(d: Dialect) -> str:
-    """One row for each cross-section: its names in order and their ranks."""
-    return f"SELECT factor_id, horizon, session, sx, transform(z, x -> x.instrument) AS names, transform(z, x -> x.rv) AS rv, transform(z, x -> x.rf) AS rf FROM (SELECT factor_id, horizon, session, sx, array_sort(collect_list(struct(instrument, rv, rf))) AS z FROM ({_RANKED}) AS k GROUP BY factor_id, horizon, session, sx) AS g"
+def placebo_rows_text(d: Dialect) -> str:
+    return "SELECT factor_id, horizon, session, sx, instrument, v, fwd FROM {obs}"
 
 
 def plain_placebo_text(d: Dialect, reps: int = 199, seed: int = 7) -> str:
@@ -317,17 +316,20 @@ SELECT {keys}, corr(CASE WHEN method = 0 THEN seat_rv ELSE rv END, CASE WHEN met
   JOIN (SELECT *, row_number() OVER (PARTITION BY factor_id, horizon, session ORDER BY instrument) AS seat FROM ({_RANKED}) AS k) AS q ON q.factor_id = p.factor_id AND q.horizon = p.horizon AND q.session = p.session AND q.seat = p.seat) AS x GROUP BY {keys}"""
 
 
-@operator("j11_placebo", OBS, {"ics": Stage(sections_text, models.shuffled_ics, plain_placebo_text)})
+@operator("j11_placebo", OBS, {"ics": Stage(placebo_rows_text, models.shuffled_ics, plain_placebo_text)})
 def placebo(d: Dialect, reps: int = 199, seed: int = 7) -> str:
     """Returns shuffled against signals (return) and signals against returns (signal), within each session.
 
-    Ranks are taken once; a cross-section is one row, and every repetition shuffles it inside that row
-    (a session's names bound it), so repetitions are never sorted or sent between tasks.
+    Ranks are taken once; a session is one group, and every repetition shuffles it inside that group
+    (a session's names bound it), so repetitions are never sent between tasks.
     p = (1 + repetitions with a mean RankIC at least the observed one) / (repetitions + 1).
     """
+    shuffled, observed = "{ics}", f"SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM ({_RANKED}) AS k GROUP BY factor_id, horizon, session"
+    if d.name == "spark":  # repetition 0 is the observed one
+        shuffled, observed = "{ics} WHERE rep > 0", "SELECT factor_id, horizon, session, ic FROM {ics} WHERE rep = 0"
     return f"""
-WITH m AS (SELECT factor_id, horizon, method, rep, round(avg(ic), 9) AS ic FROM {{ics}} GROUP BY factor_id, horizon, method, rep),
-o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM (SELECT factor_id, horizon, session, corr(rv, rf) AS ic FROM ({_RANKED}) AS k GROUP BY factor_id, horizon, session) AS x GROUP BY factor_id, horizon)
+WITH m AS (SELECT factor_id, horizon, method, rep, round(avg(ic), 9) AS ic FROM {shuffled} GROUP BY factor_id, horizon, method, rep),
+o AS (SELECT factor_id, horizon, round(avg(ic), 9) AS ic FROM ({observed}) AS x GROUP BY factor_id, horizon)
 SELECT o.factor_id, o.horizon, CASE m.method WHEN 0 THEN 'return' ELSE 'signal' END AS method, {r6('max(o.ic)')} AS observed, {r6('(1 + sum(CASE WHEN m.ic >= o.ic THEN 1 ELSE 0 END)) / CAST(count(*) + 1 AS DOUBLE)')} AS p_value FROM o JOIN m ON m.factor_id = o.factor_id AND m.horizon = o.horizon GROUP BY o.factor_id, o.horizon, m.method"""
 
 

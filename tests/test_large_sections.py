@@ -105,3 +105,25 @@ def test_slices_keep_the_cohorts_and_the_control_of_whole_sections(spark, sf_dir
     ics = run(f"SELECT factor_id, horizon, session, round(rank_ic, 9) AS ic FROM ({DAILY})".replace("{obs}", f"({portfolio.sliced_text()})"), obs=obs)
     found = slices.where("rank_ic IS NOT NULL").selectExpr("factor_id", "horizon", "session", "round(rank_ic, 9) AS ic")
     assert ics.exceptAll(found).isEmpty() and found.exceptAll(ics).isEmpty()
+
+
+def test_a_session_is_shuffled_once_for_all_its_sections(spark):
+    """Sections with other names take their own out of the session's order: the same as if shuffled alone."""
+    rng, reps, seed = random.Random(9), 5, 7
+    data = [(f, h, sx, sx, i, round(rng.gauss(0, 1), 1), round(rng.gauss(0, 1), 1)) for sx in (3, 4) for f in "ab" for h in (1, 5) for i in range(3_000_000_000, 3_000_000_040) if f == "a" or rng.random() < 0.7]
+    data += [("c", 1, 3, 3, i, 1.0, float(i)) for i in (1, 2, 3)]
+    df = spark.createDataFrame(data, "factor_id string, horizon long, session long, sx long, instrument long, v double, fwd double")
+    found = {(r.factor_id, r.horizon, r.session, r.method, r.rep): r.ic for r in models.shuffled_ics(df, reps, seed).collect()}
+    assert len(found) == 9 * (2 * reps + 1) and all(found["c", 1, 3, m, r] is None for m in (0, 1) for r in range(1, reps + 1))
+    p = models.PRIME
+    for f, h, sx in {d[:3] for d in data if d[0] != "c"}:
+        mine = sorted((d[4], d[5], d[6]) for d in data if d[:3] == (f, h, sx))
+        rv, rf = (models.average_ranks(np.array([m[k] for m in mine])) for k in (1, 2))
+        assert found[f, h, sx, 0, 0] == pytest.approx(np.corrcoef(rv, rf)[0, 1])
+        for method in (0, 1):
+            for rep in range(1, reps + 1):
+                first = [(i * models.BY_NAME + rep * models.BY_REP + sx * models.BY_SESSION + method * models.BY_METHOD + seed * models.BY_SEED) % p for i, *_ in mine]
+                second = [x * x % p + rep for x in first]
+                order = sorted(range(len(mine)), key=lambda k: (second[k] ** 2 % p, k))
+                still, moved = (rv, rf) if method == 0 else (rf, rv)
+                assert found[f, h, sx, method, rep] == pytest.approx(np.corrcoef(still, moved[order])[0, 1])
