@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import functools
 import operator
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from panelforge.operators.base import written
 
@@ -21,6 +25,8 @@ PER_RANGE = 1_000_000
 BINS, FITS = 1024, 10_000
 #: Rows of a small table that are sent to every task at most; beyond it Spark picks the join.
 FEW = 500_000
+#: Rows of a range of a column, on average, where rows are ranked as they are, and cuts between ranges of a group at most.
+ROWS, CUTS = 400_000, 1023
 
 
 def joined(a: DataFrame, b: DataFrame, on: list[str], also: Column | None = None) -> DataFrame:
@@ -51,6 +57,51 @@ def places(df: DataFrame, by: list[str], values: list[str], name: str) -> DataFr
     return joined(df, written(found), [*by, *values])
 
 
+def ranked(df: DataFrame, by: list[str], names: dict[str, list[str]], stored: DataFrame | None = None) -> DataFrame:
+    """df with name_before and name_ties, as in places, for every name and the columns that it is ordered by.
+
+    All begin with the same column, of doubles. Rows go once to ranges of it that lie between approximate
+    quantiles of their group; each range is ranked by itself and moved by the counts of the ranges before.
+    Groups are few: their cuts are sent to the tasks. Equal values stay in one range, however many they are.
+    stored are the same rows where they can be read cheaply for cuts and counts, if df is not.
+    """
+    stored = df if stored is None else stored
+    column = next(iter(names.values()))[0]
+    known = F.when(~F.isnan(column), F.col(column))
+    probs = [i / (CUTS + 1) for i in range(1, CUTS + 1)]
+    groups = stored.groupBy(*by).agg(F.count("*").alias("n"), F.percentile_approx(known, probs, 10 * CUTS).alias("cuts")).collect()
+    if not groups:
+        groups = [(*[None] * len(by), 0, None)]
+    ranges = [min(CUTS + 1, max(1, -(-g[-2] // ROWS))) for g in groups]
+    cuts = [np.unique(np.array(g[-1] or [], float)[[i * (CUTS + 1) // r - 1 for i in range(1, r)]] if g[-1] else np.zeros(0)) for g, r in zip(groups, ranges, strict=True)]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            group, x = batch.column("group_no").to_numpy(), batch.column(column).fill_null(-np.inf).to_numpy()
+            range_no = np.zeros(len(x), np.int64)
+            for g in np.unique(group).tolist():
+                mine = np.flatnonzero(group == g)
+                range_no[mine] = np.searchsorted(cuts[g], x[mine], "right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(range_no)], names=[*batch.schema.names, "range_no"])
+
+    fields = [df.schema[c] for c in by]
+    numbers = df.sparkSession.createDataFrame([(*g[:-2], i) for i, g in enumerate(groups)], T.StructType([*[T.StructField(f.name, f.dataType) for f in fields], T.StructField("group_no", T.LongType())]))
+
+    def dealing(rows: DataFrame) -> DataFrame:
+        numbered = joined(rows, numbers, by)
+        return numbered.mapInArrow(deal, T.StructType([*numbered.schema.fields, T.StructField("range_no", T.LongType())]))
+
+    earlier = Window.partitionBy("group_no").orderBy("range_no").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealing(stored.select(*by, column)).groupBy("group_no", "range_no").agg(F.count("*").alias("rows_here"))
+    offsets = written(sums.select("group_no", "range_no", F.coalesce(F.sum("rows_here").over(earlier), F.lit(0)).alias("offset")))
+    at = ["group_no", "range_no"]
+    out = dealing(df).repartition(max(sum(ranges), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *at)
+    for name, columns in sorted(names.items(), key=lambda item: -len(item[1])):  # the longest order serves the others
+        out = out.withColumn(f"{name}_before", F.rank().over(Window.partitionBy(*at).orderBy(*columns)).cast("long") - 1).withColumn(f"{name}_ties", F.count("*").over(Window.partitionBy(*at, *columns)))
+    out = out.join(F.broadcast(offsets), at)
+    return out.select(*df.columns, *[c for name in names for c in ((F.col(f"{name}_before") + F.col("offset")).alias(f"{name}_before"), f"{name}_ties")])
+
+
 def kth_values(rows: DataFrame, by: list[str], value: str, wanted: DataFrame) -> DataFrame:
     """(by, k, value) for the wanted (by, k): the value at place k, from 0, among a group's finite values.
 

@@ -195,9 +195,7 @@ _POOL = ["factor_id", "horizon", "regime"]
 
 
 def _pooled(cells: DataFrame) -> DataFrame:
-    for values, name in ((["v"], "v"), (["fwd"], "fwd"), (["v", "fwd"], "both")):
-        cells = order.places(cells, _POOL, values, name)
-    return cells
+    return order.ranked(order.ranked(cells, _POOL, {"v": ["v"], "both": ["v", "fwd"]}), _POOL, {"fwd": ["fwd"]}, cells)
 
 
 def pooled_text(d: Dialect) -> str:
@@ -210,7 +208,7 @@ def pooled_text(d: Dialect) -> str:
     return f"SELECT *, {', '.join(places)} FROM {{cells}} AS c"
 
 
-@operator("h13_regime_evidence", OBS, {"cells": cells_text, "pooled": Stage(lambda d: "SELECT * FROM {cells}", _pooled, pooled_text)})
+@operator("h13_regime_evidence", OBS, {"cells": cells_text, "pooled": Stage(lambda d: "SELECT * FROM {cells}", _pooled, pooled_text, stored=False)})
 def regime_evidence(d: Dialect, least_cells: int = 10) -> str:
     """Pooled RankIC and excess of the top fifth in sessions that the market rose and fell in.
 
